@@ -1,0 +1,42 @@
+"""Join helpers: broadcast only behind a size check, salt hot keys otherwise."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when it has at most this many rows; beyond it the
+# join shuffles (sort-merge, with AQE's skew split for hot keys).
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it holds at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The check is a bounded count (it stops after ``max_rows + 1`` rows), so
+    its cost does not grow with a big input.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def broadcast_literal_rows(df: DataFrame, n_rows: int, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """For a frame built from a driver-side list whose length is known."""
+    return F.broadcast(df) if n_rows <= max_rows else df
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                buckets: int = 16, salt_source: list[str] | None = None) -> DataFrame:
+    """Equi-join that spreads every key of ``big`` over ``buckets`` tasks.
+
+    ``small`` (one or few rows per key) is replicated once per bucket; each
+    row of ``big`` picks a bucket from a hash of ``salt_source`` columns, so a
+    key holding a third of ``big`` is split ``buckets`` ways. Only inner and
+    left joins keep their meaning under salting.
+    """
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"salting keeps the meaning of inner/left joins only, not {how}")
+    src = [F.col(c) for c in (salt_source or big.columns)]
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*src), F.lit(buckets)))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return b.join(s, on=[*on, "_salt"], how=how).drop("_salt")
