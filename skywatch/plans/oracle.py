@@ -453,3 +453,5 @@ FROM events""",
 
 # The stream over two file drops must equal the batch alerts.
 ORACLE["login_stream"] = ORACLE["login_alerts"]
+# The device-state stream's final state must equal the batch latest state.
+ORACLE["device_stream"] = ORACLE["device_latest"]
