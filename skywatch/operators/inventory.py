@@ -95,7 +95,7 @@ def key_tree(keys: DataFrame, col: str = "path", drop_suffix: str = "index.html"
     files = k.select(parts.alias("path_parts"), F.lit("file").alias("kind"))
     return (folders.unionByName(files)
             .select(F.array_join("path_parts", "/").alias("path"),
-                    F.element_at("path_parts", -1).alias("name"),
+                    F.try_element_at("path_parts", F.lit(-1)).alias("name"),
                     (F.size("path_parts") - 1).alias("depth"),
                     "kind", "path_parts"))
 
@@ -231,7 +231,7 @@ def fields_to_row(df: DataFrame, fields_col: str, names: list[str], keep: list[s
     arr = F.col(fields_col)
 
     def last(n: str) -> Column:
-        return F.element_at(F.filter(arr, lambda x: x["field"] == F.lit(n)), -1)["value"]
+        return F.try_element_at(F.filter(arr, lambda x: x["field"] == F.lit(n)), F.lit(-1))["value"]
 
     return df.select(*keep, *[last(n).alias(n) for n in names])
 

@@ -33,8 +33,8 @@ _OPTIONAL_FROM = 19  # groups 19..26 may not take part in the match
 def path_parts(df: DataFrame) -> DataFrame:
     """Add ``stackName`` and ``stackResourceName`` from ``.../<stack>/<resource>/<file>``."""
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return (df.withColumn("stackName", F.element_at(parts, -3))
-              .withColumn("stackResourceName", F.element_at(parts, -2)))
+    return (df.withColumn("stackName", F.try_element_at(parts, F.lit(-3)))
+              .withColumn("stackResourceName", F.try_element_at(parts, F.lit(-2))))
 
 
 def read_cdn_logs(spark: SparkSession, path: str | list[str], with_path: bool = True) -> DataFrame:

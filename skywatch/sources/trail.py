@@ -21,11 +21,11 @@ def explode_records(docs: DataFrame) -> DataFrame:
     return (docs
             .select(F.col("_metadata.file_path").alias("_file"), F.explode("Records").alias("r"))
             .select("r.*", F.col("_file").alias("trailFile"),
-                    F.element_at(parts, n - 7).alias("trailOrgId"),
-                    F.element_at(parts, n - 6).alias("trailAccountId"),
-                    F.element_at(parts, n - 4).alias("trailRegion"),
-                    F.concat_ws("-", F.element_at(parts, n - 3), F.element_at(parts, n - 2),
-                                F.element_at(parts, n - 1)).alias("trailDate")))
+                    F.try_element_at(parts, n - 7).alias("trailOrgId"),
+                    F.try_element_at(parts, n - 6).alias("trailAccountId"),
+                    F.try_element_at(parts, n - 4).alias("trailRegion"),
+                    F.concat_ws("-", F.try_element_at(parts, n - 3), F.try_element_at(parts, n - 2),
+                                F.try_element_at(parts, n - 1)).alias("trailDate")))
 
 
 def read_audit_trail(spark: SparkSession, path: str | list[str]) -> DataFrame:
