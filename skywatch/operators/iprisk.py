@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch.functions.scalars import ipv4_network, ipv4_to_long, js_text, strip_network_number
-from skywatch.operators.joins import bounded_broadcast, broadcast_literal_rows
 
 
 def risk_class(country_code: Column, high: list[str], home: list[str]) -> Column:
@@ -40,17 +39,29 @@ def ip_dimension(ip_info: DataFrame, high: list[str], home: list[str]) -> DataFr
 
 
 def seen_ip_dimension(usage: DataFrame, ip_info: DataFrame, high: list[str], home: list[str]) -> DataFrame:
-    """D5 + A12: dimension rows for the distinct addresses present in ``usage`` only."""
+    """D5 + A12: dimension rows for the distinct addresses present in ``usage`` only.
+
+    Reads ``usage`` once more; use it on a materialized frame, or derive the
+    seen rows from an enriched frame (:func:`seen_from_enriched`).
+    """
     ips = usage.select(F.col("sourceIp").alias("ip")).distinct()
     return ip_dimension(ip_info.join(ips, on="ip", how="left_semi"), high, home)
 
 
+def seen_from_enriched(enriched: DataFrame) -> DataFrame:
+    """D5 from an enriched frame: ``(ip, risk, description, shortDescription)`` of known addresses."""
+    return (enriched.where(F.col("known"))
+            .select(F.col("sourceIp").alias("ip"), "risk", "description", "shortDescription").distinct())
+
+
 def enrich(usage: DataFrame, dim: DataFrame) -> DataFrame:
     """Every usage row gets ``risk`` (``unknown`` without a match) and the
     dimension texts; ``known`` tells whether the address was found."""
     d = dim.select(F.col("ip").alias("sourceIp"), F.col("risk").alias("_risk"),
                    "description", "shortDescription", F.lit(True).alias("known"))
-    out = usage.join(bounded_broadcast(d), on="sourceIp", how="left")
+    # One row per distinct address: AQE broadcasts it when its measured size
+    # is under the threshold and keeps the sort-merge join otherwise.
+    out = usage.join(d, on="sourceIp", how="left")
     return (out.withColumn("risk", F.coalesce(F.col("_risk"), F.lit("unknown")))
                .withColumn("known", F.coalesce(F.col("known"), F.lit(False)))
                .drop("_risk"))
@@ -113,45 +124,71 @@ def _normalise_colon_address(ip: Column) -> Column:
     return norm(ip)
 
 
+# Up to this many ranges the check is a per-row expression over literal sets
+# (InSet, inside whole-stage codegen); beyond it, an equi-join on
+# (version, prefix length, network) against the range table.
+LITERAL_RANGE_LIMIT = 50_000
+
+
+def _in_ranges_expr(parsed, ipn: Column, bits: Column) -> Column:
+    """Per-row membership test: for each distinct prefix length, is the
+    address's network number in that length's literal set? ``ipn`` is the
+    IPv4 number (or NULL), ``bits`` the IPv6 bit text (or NULL)."""
+    conds = []
+    for version in (4, 6):
+        by_len: dict[int, list[str]] = {}
+        for v, plen, key in parsed:
+            if v == version:
+                by_len.setdefault(plen, []).append(key)
+        for plen, keys in sorted(by_len.items()):
+            if version == 4:
+                net = ipv4_network(ipn, plen)
+                conds.append(net.isin(*[int(k) for k in sorted(set(keys))]))
+            else:
+                conds.append(F.substring(bits, 1, plen).isin(*sorted(set(keys))))
+    out = F.lit(False)
+    for c in conds:
+        out = out | F.coalesce(c, F.lit(False))
+    return out
+
+
 def allowed_addresses(spark: SparkSession, addresses: DataFrame, ranges: list[str]) -> DataFrame:
     """Distinct addresses (column ``ip``) that fall in at least one range.
 
-    Equi-join on ``(version, prefix_len, network)``: each address is expanded
-    once per *distinct prefix length* in the list (at most 33 for IPv4, 129
-    for IPv6), never per range, so the work is linear in the addresses and a
-    long range list costs nothing extra. The range table is built from the
-    driver-side list, whose length is the proven bound for broadcasting.
+    Each distinct address is normalised once: dotted IPv4 by expressions,
+    anything with a colon by an Arrow-batched Python step (v4-mapped IPv6
+    becomes its IPv4 address, as the reference's range check does). Short
+    lists are tested with literal sets; long ones by an equi-join on
+    ``(version, prefix_len, network)``, one probe per distinct prefix length
+    (at most 33 for IPv4, 129 for IPv6), never one per range.
     """
     parsed = parse_ranges(ranges)
     if not parsed:
         return addresses.select("ip").where(F.lit(False))
-    rdf = spark.createDataFrame(parsed, "version int, plen int, net string").distinct()
-    rdf = broadcast_literal_rows(rdf, len(parsed))
     ips = addresses.select("ip").distinct()
     colon = F.coalesce(F.col("ip").contains(":"), F.lit(False))
     # The Python step sees only the distinct addresses that contain a colon.
     with_colon = (ips.where(colon).select("ip", _normalise_colon_address(F.col("ip")).alias("_n"))
                   .select("ip", F.col("_n.v4").alias("v4"), F.col("_n.v6").alias("h")))
     ips = (ips.where(~colon).select("ip", F.col("ip").alias("v4"), F.lit(None).cast("string").alias("h"))
-           .unionByName(with_colon))
+           .unionByName(with_colon)
+           .select("ip", ipv4_to_long(F.col("v4")).alias("n"), "h"))
+    if len(parsed) <= LITERAL_RANGE_LIMIT:
+        return ips.where(_in_ranges_expr(parsed, F.col("n"), F.col("h"))).select("ip")
+    rdf = spark.createDataFrame(parsed, "version int, plen int, net string").distinct()
     parts = []
     v4_lens = sorted({p for v, p, _ in parsed if v == 4})
     if v4_lens:
-        n = F.col("n")
-        keys = F.array(*[F.struct(F.lit(x).alias("plen"), ipv4_network(n, x).cast("string").alias("net"))
+        keys = F.array(*[F.struct(F.lit(x).alias("plen"), ipv4_network(F.col("n"), x).cast("string").alias("net"))
                          for x in v4_lens])
-        v4 = (ips.select("ip", ipv4_to_long(F.col("v4")).alias("n")).where(n.isNotNull())
-              .select("ip", F.explode(keys).alias("k"))
-              .select("ip", F.lit(4).alias("version"), "k.plen", "k.net"))
-        parts.append(v4)
+        parts.append(ips.where(F.col("n").isNotNull()).select("ip", F.explode(keys).alias("k"))
+                     .select("ip", F.lit(4).alias("version"), "k.plen", "k.net"))
     v6_lens = sorted({p for v, p, _ in parsed if v == 6})
     if v6_lens:
-        h = F.col("h")
-        keys = F.array(*[F.struct(F.lit(x).alias("plen"), F.substring(h, 1, x).alias("net")) for x in v6_lens])
-        v6 = (ips.where(h.isNotNull())
-              .select("ip", F.explode(keys).alias("k"))
-              .select("ip", F.lit(6).alias("version"), "k.plen", "k.net"))
-        parts.append(v6)
+        keys = F.array(*[F.struct(F.lit(x).alias("plen"), F.substring(F.col("h"), 1, x).alias("net"))
+                         for x in v6_lens])
+        parts.append(ips.where(F.col("h").isNotNull()).select("ip", F.explode(keys).alias("k"))
+                     .select("ip", F.lit(6).alias("version"), "k.plen", "k.net"))
     keyed = parts[0]
     for p in parts[1:]:
         keyed = keyed.unionByName(p)
@@ -162,11 +199,21 @@ def outside_ranges(spark: SparkSession, df: DataFrame, ip_col: str, ranges: list
     """Keep rows whose address is in none of the ranges.
 
     Invalid text (a service host name) is in no range, so it is kept
-    (flagged); an empty list keeps everything. The anti-join is against the
-    distinct allowed addresses, not against the ranges.
+    (flagged); an empty list keeps everything. Dotted IPv4 addresses are
+    decided row by row with literal sets (one pass, no join); addresses with
+    a colon are normalised once per distinct value and removed with an
+    anti-join against the (small) set of allowed ones.
     """
-    if not ranges:
+    parsed = parse_ranges(ranges)
+    if not parsed:
         return df
-    allowed = allowed_addresses(spark, df.select(F.col(ip_col).alias("ip")), ranges)
-    allowed = allowed.withColumnRenamed("ip", "_allowed_ip")
-    return df.join(allowed, on=F.col(ip_col) == F.col("_allowed_ip"), how="left_anti")
+    ip = F.col(ip_col)
+    colon = F.coalesce(ip.contains(":"), F.lit(False))
+    if len(parsed) > LITERAL_RANGE_LIMIT:
+        allowed = allowed_addresses(spark, df.select(ip.alias("ip")), ranges).withColumnRenamed("ip", "_allowed_ip")
+        return df.join(allowed, on=ip == F.col("_allowed_ip"), how="left_anti")
+    plain_ok = _in_ranges_expr(parsed, ipv4_to_long(ip), F.lit(None).cast("string"))
+    kept = df.where(colon | ~plain_ok)
+    allowed_colon = (allowed_addresses(spark, df.where(colon).select(ip.alias("ip")), ranges)
+                     .withColumnRenamed("ip", "_allowed_ip"))
+    return kept.join(allowed_colon, on=ip == F.col("_allowed_ip"), how="left_anti")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from skywatch import config
 from skywatch.functions.scalars import first_path_segment, log_time_to_date
-from skywatch.operators.joins import bounded_broadcast
 
 RESOURCE_KEYS = ["stackName", "stackResourceName"]
 
@@ -108,11 +107,16 @@ def log_range_guard(groups: DataFrame, end, now) -> DataFrame:
 
 
 def _attach(agg: DataFrame, resources: DataFrame, rtype: str) -> DataFrame:
-    """Join aggregated family rows to their tracked resources (broadcast if bounded)."""
+    """Join aggregated family rows to their tracked resources.
+
+    The resource table is tiny next to the logs (one row per tracked
+    resource); the planner broadcasts it from its size estimate, and AQE
+    re-checks with the measured size, falling back to a shuffle join.
+    """
     res = (resources.where(F.col("type") == rtype)
            .select("accountId", "stackName", F.col("name").alias("stackResourceName"),
                    F.coalesce(F.col("splitReportingByUrlRoot"), F.lit(False)).alias("_split")))
-    return agg.join(bounded_broadcast(res), on=RESOURCE_KEYS, how="inner")
+    return agg.join(res, on=RESOURCE_KEYS, how="inner")
 
 
 def _text(c) -> Column:
@@ -153,8 +157,7 @@ def usage_rows(resources: DataFrame, start, end,
         if log_groups is not None:
             guard = log_range_guard(log_groups, api_end if api_end is not None else end,
                                     now if now is not None else end).where("in_range")
-            res = res.join(bounded_broadcast(guard.select(F.col("logGroupName").alias("source"))),
-                           on="source", how="left_semi")
+            res = res.join(guard.select(F.col("logGroupName").alias("source")), on="source", how="left_semi")
         a = _attach(api_usage(api, start, api_end if api_end is not None else end, by_resource=True),
                     res, config.TYPE_LOG_GROUP)
         parts.append(a.select(

@@ -17,6 +17,7 @@ from skywatch.operators import issues as iss
 from skywatch.operators import logins, rules, usage
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
+from skywatch.session import materialize
 from skywatch.sources import logs, reports
 
 PARAMS = Params(now=sh.NOW, days=sh.DAYS, high_risk_countries=sh.HIGH_RISK, home_countries=sh.HOME,
@@ -61,28 +62,25 @@ def _enriched(spark, d):
 
 
 def q_ip_risk(spark: SparkSession, d: str) -> DataFrame:
-    u = q_usage_all(spark, d)
     from skywatch.operators import iprisk
-    dim = iprisk.seen_ip_dimension(u, sh.ip_info(spark, d), PARAMS.high_risk_countries, PARAMS.home_countries)
-    ips = u.select("sourceIp").distinct()
+    ips = q_usage_all(spark, d).select("sourceIp").distinct()
+    dim = iprisk.ip_dimension(sh.ip_info(spark, d), PARAMS.high_risk_countries, PARAMS.home_countries)
     return (iprisk.enrich(ips, dim)
             .select(F.col("sourceIp").alias("ip"), "risk", "description", "shortDescription", "known"))
 
 
 def q_usage_rollup(spark: SparkSession, d: str) -> DataFrame:
-    enriched, _ = _enriched(spark, d)
-    return usage.usage_rollup(enriched)
+    return usage.usage_rollup(_enriched(spark, d))
 
 
 def q_usage_report(spark: SparkSession, d: str) -> DataFrame:
-    enriched, dim = _enriched(spark, d)
+    enriched = materialize(_enriched(spark, d), "usage_enriched")
     errors = reports.route_resources(_resources(spark, d)).where(F.col("route") == "error")
-    return ur.report_lines(enriched, dim, errors, PARAMS.days)
+    return ur.report_lines(enriched, errors, PARAMS.days)
 
 
 def q_usage_detail(spark: SparkSession, d: str) -> DataFrame:
-    enriched, _ = _enriched(spark, d)
-    return ur.detail_lines(enriched)
+    return ur.detail_lines(_enriched(spark, d))
 
 
 def q_tracked_resources(spark: SparkSession, d: str) -> DataFrame:
@@ -152,9 +150,12 @@ IAM_MONITOR = iss.Monitor(
 
 
 def _lifecycle_inputs(spark, d):
-    current = iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_NOW, 11))
+    """Current issues (computed once, materialized: several joins read them)
+    and the previous snapshot (in production a stored table; here the issues
+    of an earlier run, also materialized)."""
+    current = materialize(iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_NOW, 11)), "iam_current")
     prev_issues = iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_PREV_NOW, 7))
-    previous = prev_issues.select(F.lit(IAM_MONITOR.type).alias("monitor"), "pk", "obj")
+    previous = materialize(prev_issues.select(F.lit(IAM_MONITOR.type).alias("monitor"), "pk", "obj"), "iam_previous")
     return current, previous
 
 

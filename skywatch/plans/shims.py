@@ -33,8 +33,18 @@ SITE_PREFIX = "site"
 EXPECTED_ASSETS = 3
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver table. ``spread=True`` for inputs that feed per-row CPU work
+    (regex parsing, address checks): the driver tables are single Parquet
+    row groups, i.e. one scan task, so when the scan has fewer partitions
+    than the session has cores, rows are dealt round-robin across cores.
+    Real log inputs are many files and never take this branch."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def s(c) -> Column:
@@ -67,7 +77,7 @@ def _ev_resource() -> list[Column]:
 
 def cdn_logs(spark, d) -> DataFrame:
     """M1 rows from ``events`` (the CSV reader itself is tested on files)."""
-    e = table(spark, d, "events")
+    e = table(spark, d, "events", spread=True)
     eid = E("event_id")
     uri = (F.when(eid % 101 == 0, F.lit(None).cast("string"))
             .when(eid % 7 == 0, F.lit("/favicon.ico"))
@@ -87,7 +97,7 @@ def cdn_logs(spark, d) -> DataFrame:
 def object_log_lines(spark, d) -> DataFrame:
     """M2 as raw text lines from ``events``; some lines lack the optional
     fields, some are junk, some are logged at +0100."""
-    e = table(spark, d, "events")
+    e = table(spark, d, "events", spread=True)
     eid = E("event_id")
     shifted = eid % 8 == 0
     when_ = F.when(shifted, E("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(E("ts"))
@@ -106,7 +116,7 @@ def object_log_lines(spark, d) -> DataFrame:
 
 def api_log_records(spark, d) -> DataFrame:
     """M3 ``(timestamp, message)`` from ``events``, with web-socket and junk lines."""
-    e = table(spark, d, "events")
+    e = table(spark, d, "events", spread=True)
     eid = E("event_id")
     msg = (F.when(eid % 83 == 0, F.lit("junk"))
             .when(eid % 9 == 0, cat(_ev_ip(), ",MESSAGE $default,", eid))
@@ -201,7 +211,7 @@ def deploy_stacks(spark, d) -> DataFrame:
 
 def trail_records(spark, d) -> DataFrame:
     """M4 records from ``events`` with the edge cases of FIXTURES §1."""
-    e = table(spark, d, "events")
+    e = table(spark, d, "events", spread=True)
     eid = E("event_id")
     u = E("user_id")
     name = (F.when(eid % 11 == 0, F.lit(None).cast("string")).when(eid % 7 == 0, F.lit("CheckMfa"))
@@ -278,7 +288,7 @@ def drift_stacks(spark, d) -> DataFrame:
 
 
 def resource_drifts(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem", spread=True)
     ln = E("l_linenumber")
     rtype = (F.when(E("l_returnflag") == "A", F.lit("AWS::Events::Rule"))
               .when(E("l_returnflag") == "R", F.lit("AWS::ApiGatewayV2::Api"))

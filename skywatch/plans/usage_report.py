@@ -3,10 +3,11 @@
 Stages 3-11 of the reference are one lazy lineage here. Physical plan at
 scale: one scan per log family with the date filter pushed down, a
 partial+final aggregate per family (the big shuffle, already reduced
-map-side), a broadcast of the bounded tracked-resource table, a small
-distinct-IP join to the IP dimension, and a second small aggregate for the
-roll-up. The report itself is a frame of ordered lines (H1, H2); only a sink
-turns it into text.
+map-side), a broadcast of the small tracked-resource table, one join of the
+aggregated rows to the IP dimension (broadcast when its measured size
+allows), and a second small aggregate for the roll-up. The report has several
+consumers of the enriched rows, so it reads a materialized copy; the report
+itself is a frame of ordered lines (H1, H2); only a sink turns it into text.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 from skywatch.operators import iprisk, usage
 
 
-def usage_enriched(usage_df: DataFrame, ip_info: DataFrame, high: list[str], home: list[str]) -> tuple[DataFrame, DataFrame]:
-    """C1 + G6 on usage rows; returns ``(enriched rows with descriptor, seen IP dimension)``."""
-    dim = iprisk.seen_ip_dimension(usage_df, ip_info, high, home)
-    enriched = iprisk.ip_descriptor(iprisk.enrich(usage_df, dim))
-    return enriched, dim
+def usage_enriched(usage_df: DataFrame, ip_info: DataFrame, high: list[str], home: list[str]) -> DataFrame:
+    """C1 + G6 on usage rows: risk, dimension texts and the report descriptor.
+
+    ``usage_df`` is read once: the dimension is joined whole on ``ip`` (a
+    shuffle join, or a broadcast when its measured size allows).
+    """
+    return iprisk.ip_descriptor(iprisk.enrich(usage_df, iprisk.ip_dimension(ip_info, high, home)))
 
 
-def report_lines(enriched: DataFrame, dim: DataFrame, errors: DataFrame, days: int) -> DataFrame:
+def report_lines(enriched: DataFrame, errors: DataFrame, days: int) -> DataFrame:
     """H1 (+E1, E2): the short report as rows ``(section, title, kind, line)``.
 
     Order by ``(section, title, kind, line)`` to read it: section 0 is the
@@ -36,6 +39,7 @@ def report_lines(enriched: DataFrame, dim: DataFrame, errors: DataFrame, days: i
     spark = enriched.sparkSession
     head = spark.createDataFrame([(0, "", 0, f"Usage info for the past {days} days:")],
                                  "section int, title string, kind int, line string")
+    dim = iprisk.seen_from_enriched(enriched)
     ips = dim.select(F.lit(1).alias("section"), F.lit("").alias("title"), F.lit(0).alias("kind"),
                      F.concat(F.col("ip"), F.lit(": "), F.col("description"), F.lit(" ("), F.col("risk"),
                               F.lit(" risk)")).alias("line"))

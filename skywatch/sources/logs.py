@@ -28,6 +28,8 @@ API_LOG_REGEX = r"^(.*?),(.*?) (.*?),(.*)$"
 # The SerDe matches the whole line; regexp_extract searches, so anchor it.
 _OBJECT_LOG_ANCHORED = "^" + OBJECT_LOG_REGEX
 _OPTIONAL_FROM = 19  # groups 19..26 may not take part in the match
+# Separator for one-pass group extraction; log text never contains it.
+_SEP = "\u0001"
 
 
 def path_parts(df: DataFrame) -> DataFrame:
@@ -51,25 +53,48 @@ def read_cdn_logs(spark: SparkSession, path: str | list[str], with_path: bool =
     return path_parts(df) if with_path else df
 
 
+def _parse_lines(df: DataFrame, text: Column, anchored: str, fields: list[tuple[str, int, str]],
+                 keep: list[str]) -> DataFrame:
+    """Evaluate an anchored whole-line regex ONCE per row and expand its groups.
+
+    ``regexp_replace`` rewrites a matching line to ``SEP g1 SEP g2 ...``; a
+    non-matching line comes back unchanged (no separator, so one field after
+    the split). ``fields`` are ``(name, group, kind)`` with kind ``str``,
+    ``opt`` (empty -> NULL) or ``bigint``. The groups are computed in one
+    projection and expanded with ``inline``: predicates on the parsed
+    columns stay above the generator instead of being pushed down with the
+    regex substituted into them (which would evaluate it again per column).
+    """
+    n_groups = max(g for _, g, _ in fields)
+    rep = _SEP + _SEP.join(f"${i}" for i in range(1, n_groups + 1))
+    groups = F.split(F.substring(F.regexp_replace(text, anchored, rep), 2, 1 << 30), _SEP, -1)
+    staged = df.select(*keep, groups.alias("_g"))
+    g = F.col("_g")
+    matched = F.size(g) == n_groups
+    cols = []
+    for name, i, kind in fields:
+        c = g[i - 1]
+        if kind == "opt":
+            c = F.nullif(c, F.lit(""))
+        elif kind == "bigint":
+            c = c.try_cast("bigint")
+        cols.append(F.when(matched, c).alias(name))
+    return staged.select(*keep, F.inline(F.array(F.struct(*cols))))
+
+
 def parse_object_log(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """A2: regex-parse access-log lines into the 26 typed columns.
 
     A line that does not match gives NULL in every column (as the SerDe);
     optional groups that do not take part give NULL; ``-`` byte counts give
-    NULL. Column pruning drops the extractions nobody reads.
+    NULL. The regex runs once per line (see :func:`_parse_lines`).
     """
-    v = F.col(text_col)
-    matches = v.rlike(_OBJECT_LOG_ANCHORED)
-    cols: list[Column] = []
+    fields = []
     for i, name in enumerate(schemas.OBJECT_LOG_COLUMNS, start=1):
-        g = F.regexp_extract(v, _OBJECT_LOG_ANCHORED, i)
-        if i >= _OPTIONAL_FROM:
-            g = F.nullif(g, F.lit(""))
-        if name in schemas.OBJECT_LOG_BIGINT:
-            g = g.try_cast("bigint")
-        cols.append(F.when(matches, g).alias(name))
+        kind = "bigint" if name in schemas.OBJECT_LOG_BIGINT else ("opt" if i >= _OPTIONAL_FROM else "str")
+        fields.append((name, i, kind))
     keep = [c for c in lines.columns if c != text_col]
-    return lines.select(*keep, *cols)
+    return _parse_lines(lines, F.col(text_col), _OBJECT_LOG_ANCHORED, fields, keep)
 
 
 def read_object_access_logs(spark: SparkSession, path: str | list[str], with_path: bool = True) -> DataFrame:
@@ -81,15 +106,10 @@ def read_object_access_logs(spark: SparkSession, path: str | list[str], with_pat
 
 
 def parse_api_log(df: DataFrame, message_col: str = "message") -> DataFrame:
-    """A3: ``sourceIp, method, path`` from the access-log message; NULLs when it does not match."""
-    m = F.col(message_col)
-    ok = m.rlike(API_LOG_REGEX)
-    return df.select(
-        "*",
-        F.when(ok, F.regexp_extract(m, API_LOG_REGEX, 1)).alias("sourceIp"),
-        F.when(ok, F.regexp_extract(m, API_LOG_REGEX, 2)).alias("method"),
-        F.when(ok, F.regexp_extract(m, API_LOG_REGEX, 3)).alias("path"),
-    )
+    """A3: ``sourceIp, method, path`` from the access-log message (one regex
+    evaluation per line); NULLs when it does not match."""
+    fields = [("sourceIp", 1, "str"), ("method", 2, "str"), ("path", 3, "str"), ("_requestId", 4, "str")]
+    return _parse_lines(df, F.col(message_col), API_LOG_REGEX, fields, df.columns).drop("_requestId")
 
 
 def read_api_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from skywatch.functions.scalars import safe_table_name
 def read_credential_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A5: credential report CSV (header, all text) + ``accountId`` from ``.../<account>/<file>``."""
     df = (spark.read.schema(schemas.CREDENTIAL_REPORT).option("header", True).csv(path))
-    return df.withColumn("accountId", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return df.withColumn("accountId", F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2)))
 
 
 def read_stacks(spark: SparkSession, path: str | list[str]) -> DataFrame:

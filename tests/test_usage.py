@@ -69,13 +69,13 @@ def test_risk_descriptor_and_report(spark):
     info = spark.createDataFrame(
         [("1.1.1.1", "Land", "HI", "Reg", "City", "AS123 Big Org"), ("2.2.2.2", "Home", "HO", None, "Town", "Small")],
         "ip string, country string, countryCode string, region string, city string, org string")
-    enriched, dim = ur.usage_enriched(u, info, ["HI"], ["HO"])
+    enriched = ur.usage_enriched(u, info, ["HI"], ["HO"])
     desc = {r.sourceIp: (r.risk, r.descriptor) for r in enriched.collect()}
     assert desc["1.1.1.1"] == ("high", "high risk (GeoBlocked): Land (Big Org)")
     assert desc["2.2.2.2"] == ("low", "low risk: Home (Small)")
     assert desc["9.9.9.9"] == ("unknown", "9.9.9.9")
     errors = resources(spark).where("type = 'Nope'")
-    text = ur.render(ur.report_lines(enriched, dim, errors, 7))
+    text = ur.render(ur.report_lines(enriched, errors, 7))
     assert text.splitlines() == [
         "Usage info for the past 7 days:", "",
         "1.1.1.1: Land > Reg > City (AS123 Big Org) (high risk)",
@@ -91,9 +91,9 @@ def test_empty_usage_report(spark):
     u = spark.createDataFrame([], "accountId string, stackName string, stackResourceName string, date string, "
                                   "count bigint, event string, sourceIp string, geoBlocked string, uriRoot string")
     info = spark.createDataFrame([], "ip string, country string, countryCode string, region string, city string, org string")
-    enriched, dim = ur.usage_enriched(u, info, [], [])
+    enriched = ur.usage_enriched(u, info, [], [])
     errors = spark.createDataFrame([], "name string, source string, type string, splitReportingByUrlRoot boolean")
-    assert ur.render(ur.report_lines(enriched, dim, errors, 7)).splitlines() == [
+    assert ur.render(ur.report_lines(enriched, errors, 7)).splitlines() == [
         "Usage info for the past 7 days:", "", "No usage found."]
 
 
