@@ -4,8 +4,9 @@
 raised = current keys not stored (C3), existing = current keys stored (C5),
 fixed = stored keys no longer current (C4, reported with the *stored*
 object). Duplicate current keys are all reported; the snapshot keeps one
-row per key. All comparisons are semi/anti joins on distinct keys, so a key
-repeated across a third of the rows is collapsed map-side before any shuffle.
+row per key. All three states come from one full outer join, so a key
+repeated across a third of the rows meets one stored row in a single join;
+AQE splits such a hot partition of the join.
 """
 
 from __future__ import annotations
@@ -46,38 +47,49 @@ def with_keys(monitor: Monitor, issues: DataFrame) -> DataFrame:
     return issues.select(*names, monitor.pk().alias("pk"), obj.alias("obj"), monitor.text().alias("text"))
 
 
-def stored_text(monitor: Monitor, stored: DataFrame) -> DataFrame:
-    """Text of stored issues, formatted from their stored JSON."""
-    parsed = stored.select("pk", "obj", F.from_json("obj", monitor.fields).alias("o")).select("pk", "obj", "o.*")
-    return parsed.select("pk", "obj", monitor.text().alias("text"))
+def _joined(monitor: Monitor, current: DataFrame, previous: DataFrame) -> DataFrame:
+    """One full outer join of current rows with stored rows on ``pk``.
+
+    Stored keys are unique (one row per key), so each current row meets at
+    most one stored row: matched = existing, current only = raised, stored
+    only = fixed. Both sides are read once.
+    """
+    prev = (previous.where(F.col("monitor") == monitor.type)
+            .select(F.col("pk").alias("_ppk"), F.col("obj").alias("_pobj")))
+    cur = current.select(F.col("pk").alias("_cpk"), F.col("obj").alias("_cobj"), F.col("text").alias("_ctext"))
+    return cur.join(prev, on=F.col("_cpk") == F.col("_ppk"), how="full_outer")
 
 
 def issue_states(monitor: Monitor, current: DataFrame, previous: DataFrame) -> DataFrame:
     """H3: ``(state, pk, obj, text)`` for raised, existing and fixed issues.
 
     ``current`` comes from :func:`with_keys`; ``previous`` is the store
-    ``(monitor, pk, obj)`` for this monitor.
+    ``(monitor, pk, obj)``. Fixed issues are reported with the *stored*
+    object, formatted by the monitor from its JSON.
     """
-    prev = previous.where(F.col("monitor") == monitor.type).select("pk", "obj")
-    prev_keys = prev.select("pk").distinct()
-    cur_keys = current.select("pk").distinct()
-    cur = current.select("pk", "obj", "text")
-    raised = cur.join(prev_keys, on="pk", how="left_anti").withColumn("state", F.lit("raised"))
-    existing = cur.join(prev_keys, on="pk", how="left_semi").withColumn("state", F.lit("existing"))
-    fixed = (stored_text(monitor, prev.join(cur_keys, on="pk", how="left_anti"))
-             .withColumn("state", F.lit("fixed")))
-    return raised.unionByName(existing).unionByName(fixed).select("state", "pk", "obj", "text")
+    j = _joined(monitor, current, previous)
+    state = (F.when(F.col("_cpk").isNull(), F.lit("fixed"))
+              .when(F.col("_ppk").isNull(), F.lit("raised"))
+              .otherwise(F.lit("existing")))
+    stored = F.from_json(F.col("_pobj"), monitor.fields)
+    # monitor.text() refers to issue fields by name: expose the stored
+    # object's fields as columns so the same formatter serves fixed issues.
+    out = j.select(state.alias("state"), F.coalesce("_cpk", "_ppk").alias("pk"),
+                   F.when(F.col("_cpk").isNull(), F.col("_pobj")).otherwise(F.col("_cobj")).alias("obj"),
+                   F.col("_ctext"), stored.alias("_stored"))
+    stored_cols = out.select("*", "_stored.*").drop("_stored")
+    return stored_cols.select("state", "pk", "obj",
+                              F.when(F.col("state") == "fixed", monitor.text()).otherwise(F.col("_ctext")).alias("text"))
 
 
 def next_snapshot(monitor: Monitor, current: DataFrame, previous: DataFrame) -> DataFrame:
     """A10 input: stored rows still current keep their first stored object;
-    new keys are added once each (the smallest object text of a repeated key)."""
-    prev = previous.where(F.col("monitor") == monitor.type).select("pk", "obj")
-    cur_keys = current.select("pk").distinct()
-    kept = prev.join(cur_keys, on="pk", how="left_semi")
-    new = (current.join(prev.select("pk"), on="pk", how="left_anti")
-           .groupBy("pk").agg(F.min("obj").alias("obj")))
-    return kept.unionByName(new).select(F.lit(monitor.type).alias("monitor"), "pk", "obj")
+    new keys are added once each (the smallest object text of a repeated
+    key). Same single join as :func:`issue_states`."""
+    j = _joined(monitor, current, previous).where(F.col("_cpk").isNotNull())
+    return (j.groupBy(F.col("_cpk").alias("pk"))
+            .agg(F.min(F.coalesce(F.col("_pobj"), F.col("_cobj"))).alias("obj"))
+            .select(F.lit(monitor.type).alias("monitor"), "pk", "obj"))
 
 
 def state_counts(states: DataFrame) -> DataFrame:

@@ -33,17 +33,26 @@ SITE_PREFIX = "site"
 EXPECTED_ASSETS = 3
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """One driver table. ``spread=True`` for inputs that feed per-row CPU work
-    (regex parsing, address checks): the driver tables are single Parquet
-    row groups, i.e. one scan task, so when the scan has fewer partitions
-    than the session has cores, rows are dealt round-robin across cores.
-    Real log inputs are many files and never take this branch."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table. The scan is created once per session and path and
+    reused, as a catalog table handle would be: no repeated schema inference
+    or file listing, and identical scans in one plan are shared.
+
+    ``spread=True`` for inputs that feed per-row CPU work (regex parsing,
+    address checks): every driver table is a single Parquet row group, i.e.
+    one scan task, so its rows are dealt round-robin across the session's
+    cores. Real log inputs arrive as many files and need no such step.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
     if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
