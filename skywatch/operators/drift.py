@@ -67,10 +67,17 @@ def drift_acceptable() -> Column:
                       | is_api_null_props(), F.lit(False))
 
 
-def stack_acceptability(drifts: DataFrame, keys: list[str]) -> DataFrame:
-    """Per stack, true when every MODIFIED drift is acceptable."""
-    return (drifts.where(F.coalesce(F.col("StackResourceDriftStatus"), F.lit("MODIFIED")) == "MODIFIED")
-            .groupBy(*keys).agg(F.bool_and(drift_acceptable()).alias("acceptable")))
+def stack_acceptability(drifts: DataFrame, keys: list[str], include_deleted: bool = False) -> DataFrame:
+    """Per stack, true when every MODIFIED drift is acceptable.
+
+    The reference fetches MODIFIED drifts only, so a stack whose only drift
+    is a deleted resource ends up in sync (kept as the default). With
+    ``include_deleted=True`` a DELETED resource is never acceptable.
+    """
+    status = F.coalesce(F.col("StackResourceDriftStatus"), F.lit("MODIFIED"))
+    wanted = status.isin("MODIFIED", "DELETED") if include_deleted else (status == "MODIFIED")
+    ok = F.when(status == "DELETED", F.lit(False)).otherwise(drift_acceptable())
+    return drifts.where(wanted).groupBy(*keys).agg(F.bool_and(ok).alias("acceptable"))
 
 
 def checked_stacks(stacks: DataFrame) -> DataFrame:
@@ -78,13 +85,13 @@ def checked_stacks(stacks: DataFrame) -> DataFrame:
     return stacks.where(~F.coalesce(F.col("StackStatus").isin(*config.IGNORED_STACK_STATES), F.lit(False)))
 
 
-def drift_status(stacks: DataFrame, drifts: DataFrame, keys: list[str]) -> DataFrame:
+def drift_status(stacks: DataFrame, drifts: DataFrame, keys: list[str], include_deleted: bool = False) -> DataFrame:
     """B29 + B30: effective status per stack, issue flag, key (G9) and text.
 
     ``stacks`` has ``keys`` + ``accountId, StackName, StackStatus, StackDriftStatus``;
     a stack without drift rows is acceptable.
     """
-    acc = stack_acceptability(drifts, keys)
+    acc = stack_acceptability(drifts, keys, include_deleted)
     s = checked_stacks(stacks).join(acc, on=keys, how="left")
     detected = F.col("StackDriftStatus")
     acceptable = F.coalesce(F.col("acceptable"), F.lit(True))

@@ -100,6 +100,18 @@ def key_tree(keys: DataFrame, col: str = "path", drop_suffix: str = "index.html"
                     "kind", "path_parts"))
 
 
+def file_links(tree: DataFrame, base_path: str, custom=None) -> DataFrame:
+    """A link per file of :func:`key_tree`; ``custom(file_path, name)`` may
+    return a Column that is NULL where it has no opinion, and the default
+    ``<a href="/<file_path>"><name></a>`` fills in (the reference's
+    ``undefined`` fallback). Folders get no link. The HTML page itself is
+    not built."""
+    file_path = F.concat(F.lit(base_path + "/"), F.col("path"))
+    default = F.concat(F.lit('<a href="/'), file_path, F.lit('">'), F.col("name"), F.lit("</a>"))
+    link = F.coalesce(custom(file_path, F.col("name")), default) if custom else default
+    return tree.withColumn("link", F.when(F.col("kind") == "file", link))
+
+
 # ------------------------------------------------------------------ C7
 
 def unique_lookup(resources: DataFrame, lookups: DataFrame) -> DataFrame:

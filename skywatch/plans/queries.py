@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from skywatch.config import Params
 from skywatch.operators import devices as dev
@@ -15,6 +14,7 @@ from skywatch.operators import drift as drf
 from skywatch.operators import inventory as inv
 from skywatch.operators import issues as iss
 from skywatch.operators import logins, rules, usage
+from skywatch.plans import accounts as monitors
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
 from skywatch.session import materialize
@@ -139,14 +139,7 @@ def q_device_latest(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ issue lifecycle
 
-_CRED_FIELDS = StructType.fromJson({"type": "struct", "fields": [
-    {"name": n, "type": "string", "nullable": True, "metadata": {}}
-    for n in ["accountId", "resource", "attribute", "expected", "actual"]]})
-
-IAM_MONITOR = iss.Monitor(
-    type="iam-checker", label="IAM", fields=_CRED_FIELDS,
-    text=rules.credential_issue_text,
-    pk=lambda: F.concat_ws("-", "accountId", "resource", "attribute", "expected"))
+IAM_MONITOR = monitors.IAM
 
 
 def _lifecycle_inputs(spark, d):
