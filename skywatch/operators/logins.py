@@ -56,14 +56,14 @@ def alert_projection(records: DataFrame, keep: list[str] | None = None) -> DataF
 
 
 def login_alerts(spark: SparkSession, records: DataFrame, ip_ranges: list[str],
-                 keep: list[str] | None = None, materialize_signins: bool = False) -> DataFrame:
+                 keep: list[str] | None = None, materialize_signins: bool = True) -> DataFrame:
     """Alert rows for sign-ins from outside the allowed ranges.
 
     Dotted IPv4 addresses are decided in the same pass as the filters;
-    addresses with a colon need a second look at the sign-ins, so over a
-    large trail pass ``materialize_signins=True`` (the sign-ins are a tiny
-    share of all records and are then written once, not re-read from the
-    trail). A streaming micro-batch is persisted by its caller instead.
+    addresses with a colon need a second look at the sign-ins, so by default
+    the sign-ins (a tiny share of all trail records) are written once and
+    re-read, instead of scanning the trail twice. A streaming micro-batch is
+    persisted by its caller, which passes ``materialize_signins=False``.
     """
     signins = signin_events(records)
     if materialize_signins:

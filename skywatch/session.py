@@ -25,6 +25,28 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(executors: int, cores_per_executor: int, input_tb: float = 100.0) -> dict[str, str]:
+    """Settings for a large cluster run (pass as ``extra`` to :func:`get_spark`
+    or to spark-submit). Shuffle partitions start at ~3 per core and AQE
+    coalesces them to ~128 MB each; many small gzip log files are packed into
+    read tasks by ``openCostInBytes``; skewed partitions over 256 MB and 5x
+    the median are split.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, 3 * cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.files.openCostInBytes": str(8 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "skywatch", extra: dict | None = None) -> SparkSession:
     """Return a session with the base settings.

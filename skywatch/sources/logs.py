@@ -139,3 +139,26 @@ def register_log_table(spark: SparkSession, family: str, stack: str, resource: s
     else:
         spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` (value string) USING text LOCATION '{location}'")
     return name
+
+
+def land_log_family(df: DataFrame, path: str, date_col: str = "date") -> None:
+    """Write a parsed log family as Parquet partitioned by stack, resource and
+    date (SURVEY §4: land raw logs when they are read more than once).
+
+    Partitioned writes append per (stack, resource, date) directory without a
+    shuffle: every task writes its own files, so a resource holding a third of
+    the logs is still written by all tasks. Dynamic overwrite replaces only
+    the partitions present in ``df`` (re-landing a day is idempotent).
+    """
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("stackName", "stackResourceName", date_col)
+     .parquet(path))
+
+
+def read_landed(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a landed family; a predicate on ``date`` / stack / resource prunes
+    directories before any file is opened."""
+    r = spark.read
+    if schema is not None:
+        r = r.schema(schema)
+    return r.parquet(path)

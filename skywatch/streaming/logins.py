@@ -41,7 +41,8 @@ def start_login_alert_stream(spark: SparkSession, source_dir: str, ip_ranges: li
     def per_batch(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
         try:
-            alerts = logins.login_alerts(df.sparkSession, df, ip_ranges, keep=["eventID", "trailFile"])
+            alerts = logins.login_alerts(df.sparkSession, df, ip_ranges, keep=["eventID", "trailFile"],
+                                         materialize_signins=False)
             alerts = alerts.persist()
             (alerts.write.mode("overwrite").parquet(f"{out_dir}/alerts/batch={batch_id}"))
             msgs = logins.alert_messages(alerts.withColumn("batch", F.lit(batch_id)), "batch",

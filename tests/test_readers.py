@@ -124,3 +124,20 @@ def test_register_log_table(spark, tmp_path):
     name = logs.register_log_table(spark, "cloudfrontlogs", "stk", "Res-1", str(d))
     assert name == "cloudfrontlogs_stk_res__1"
     assert spark.table(name).where(F.col("status") == 200).count() == 1
+
+
+def test_landed_logs_prune_by_date(spark, tmp_path):
+    import datetime as dt
+    from skywatch.operators.usage import cdn_usage
+    d = tmp_path / "bucket" / "stackA" / "siteB"
+    d.mkdir(parents=True)
+    (d / "x.tsv").write_text(CDN_HEADER + cdn_line("2024-01-10", "1.1.1.1", "GET", "/a/b", "200")
+                             + cdn_line("2024-01-01", "2.2.2.2", "GET", "/a/b", "200"))
+    raw = logs.read_cdn_logs(spark, str(tmp_path / "bucket" / "*" / "*"))
+    out = str(tmp_path / "landed")
+    logs.land_log_family(raw, out)
+    landed = logs.read_landed(spark, out)
+    q = cdn_usage(landed, dt.date(2024, 1, 10), dt.date(2024, 1, 17))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert [r.request_ip for r in q.collect()] == ["1.1.1.1"]
