@@ -119,11 +119,6 @@ def _attach(agg: DataFrame, resources: DataFrame, rtype: str) -> DataFrame:
     return agg.join(res, on=RESOURCE_KEYS, how="inner")
 
 
-def _text(c) -> Column:
-    """A result cell as the reference reads it: NULL -> ''."""
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
-
-
 def usage_rows(resources: DataFrame, start, end,
                cdn: DataFrame | None = None, objlog: DataFrame | None = None,
                api: DataFrame | None = None, log_groups: DataFrame | None = None,
@@ -135,23 +130,21 @@ def usage_rows(resources: DataFrame, start, end,
     ``log_groups`` the API family is limited to groups passing B8.
     """
     parts = []
+    # NULL result cells read as '' (as the reference reads them); one SQL
+    # projection per family.
     if cdn is not None:
         a = _attach(cdn_usage(cdn, start, end, by_resource=True), resources, config.TYPE_CLOUDFRONT)
-        parts.append(a.select(
-            "accountId", "stackName", "stackResourceName",
-            F.date_format("date", "yyyy-MM-dd").alias("date"), "count",
-            F.concat_ws(" ", _text("method"), _text("status")).alias("event"),
-            F.col("request_ip").alias("sourceIp"), "geoBlocked",
-            F.when(F.col("_split"), _text("uriRoot")).alias("uriRoot")))
+        parts.append(a.selectExpr(
+            "accountId", "stackName", "stackResourceName", "date_format(date, 'yyyy-MM-dd') AS date", "count",
+            "concat_ws(' ', coalesce(method, ''), coalesce(CAST(status AS STRING), '')) AS event",
+            "request_ip AS sourceIp", "geoBlocked",
+            "CASE WHEN _split THEN coalesce(uriRoot, '') END AS uriRoot"))
     if objlog is not None:
         a = _attach(object_usage(objlog, start, end, by_resource=True), resources, config.TYPE_S3_ACCESS_LOGS)
-        parts.append(a.select(
-            "accountId", "stackName", "stackResourceName",
-            F.date_format("date", "yyyy-MM-dd").alias("date"), "count",
-            F.concat_ws(" ", _text("method"), _text("status")).alias("event"),
-            F.col("request_ip").alias("sourceIp"),
-            F.lit(None).cast("string").alias("geoBlocked"),
-            F.lit(None).cast("string").alias("uriRoot")))
+        parts.append(a.selectExpr(
+            "accountId", "stackName", "stackResourceName", "date_format(date, 'yyyy-MM-dd') AS date", "count",
+            "concat_ws(' ', coalesce(method, ''), coalesce(status, '')) AS event",
+            "request_ip AS sourceIp", "CAST(NULL AS STRING) AS geoBlocked", "CAST(NULL AS STRING) AS uriRoot"))
     if api is not None:
         res = resources
         if log_groups is not None:
@@ -160,12 +153,10 @@ def usage_rows(resources: DataFrame, start, end,
             res = res.join(guard.select(F.col("logGroupName").alias("source")), on="source", how="left_semi")
         a = _attach(api_usage(api, start, api_end if api_end is not None else end, by_resource=True),
                     res, config.TYPE_LOG_GROUP)
-        parts.append(a.select(
+        parts.append(a.selectExpr(
             "accountId", "stackName", "stackResourceName", "date", "count",
-            F.concat_ws(" ", _text("method"), _text("path")).alias("event"),
-            "sourceIp",
-            F.lit(None).cast("string").alias("geoBlocked"),
-            F.lit(None).cast("string").alias("uriRoot")))
+            "concat_ws(' ', coalesce(method, ''), coalesce(path, '')) AS event",
+            "sourceIp", "CAST(NULL AS STRING) AS geoBlocked", "CAST(NULL AS STRING) AS uriRoot"))
     if not parts:
         raise ValueError("no log family given")
     out = parts[0]

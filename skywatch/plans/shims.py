@@ -56,112 +56,82 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df
 
 
-def s(c) -> Column:
-    """Column or literal as text."""
-    if isinstance(c, Column):
-        return c.cast("string")
-    return F.lit(str(c))
+def _ev_ip() -> str:
+    return "concat('10.0.', user_id % 4, '.', user_id)"
 
 
-def cat(*parts) -> Column:
-    return F.concat(*[s(p) for p in parts])
+_EV_PK = "(3 * (event_id % 40))"
+_EV_RESOURCE = [f"concat('stack', {_EV_PK} % 9) AS stackName", f"concat('r', {_EV_PK}) AS stackResourceName"]
 
 
-E = F.col
-
-
-# ------------------------------------------------------------------ events -> logs
-
-def _ev_ip() -> Column:
-    return cat("10.0.", E("user_id") % 4, ".", E("user_id"))
-
-
-def _ev_pk() -> Column:
-    return F.lit(3) * (E("event_id") % 40)
-
-
-def _ev_resource() -> list[Column]:
-    return [cat("stack", _ev_pk() % 9).alias("stackName"), cat("r", _ev_pk()).alias("stackResourceName")]
-
+# Each derivation is one SQL projection (``selectExpr``): the expression
+# text is parsed once on the JVM side instead of being assembled from
+# hundreds of single-function calls.
 
 def cdn_logs(spark, d) -> DataFrame:
     """M1 rows from ``events`` (the CSV reader itself is tested on files)."""
-    e = table(spark, d, "events", spread=True)
-    eid = E("event_id")
-    uri = (F.when(eid % 101 == 0, F.lit(None).cast("string"))
-            .when(eid % 7 == 0, F.lit("/favicon.ico"))
-            .when(eid % 5 == 0, F.lit("/index.html"))
-            .otherwise(cat("/", E("event_type"), "/", eid % 3)))
-    return e.select(
-        E("ts").cast("date").alias("date"),
-        F.date_format("ts", "HH:mm:ss").alias("time"),
-        _ev_ip().alias("request_ip"),
-        E("event_type").alias("method"),
-        F.when(eid % 10 == 0, F.lit(403)).otherwise(F.lit(200)).alias("status"),
-        F.when(eid % 10 == 0, F.lit("ClientGeoBlocked")).otherwise(F.lit("Hit")).alias("x_edge_detailed_result_type"),
-        uri.alias("uri"),
-        *_ev_resource())
+    return table(spark, d, "events", spread=True).selectExpr(
+        "CAST(ts AS DATE) AS date",
+        "date_format(ts, 'HH:mm:ss') AS time",
+        f"{_ev_ip()} AS request_ip",
+        "event_type AS method",
+        "CASE WHEN event_id % 10 = 0 THEN 403 ELSE 200 END AS status",
+        "CASE WHEN event_id % 10 = 0 THEN 'ClientGeoBlocked' ELSE 'Hit' END AS x_edge_detailed_result_type",
+        "CASE WHEN event_id % 101 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 7 = 0 THEN '/favicon.ico' "
+        "WHEN event_id % 5 = 0 THEN '/index.html' ELSE concat('/', event_type, '/', event_id % 3) END AS uri",
+        *_EV_RESOURCE)
 
 
 def object_log_lines(spark, d) -> DataFrame:
     """M2 as raw text lines from ``events``; some lines lack the optional
     fields, some are junk, some are logged at +0100."""
-    e = table(spark, d, "events", spread=True)
-    eid = E("event_id")
-    shifted = eid % 8 == 0
-    when_ = F.when(shifted, E("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(E("ts"))
-    stamp = cat("[", F.date_format(when_, "dd/MMM/yyyy:HH:mm:ss"), " ",
-                F.when(shifted, F.lit("+0100")).otherwise(F.lit("+0000")), "]")
-    status = F.when(eid % 10 == 0, F.lit("403")).otherwise(F.lit("200"))
-    auth = F.when(eid % 3 == 0, F.lit("QueryString")).otherwise(F.lit("-"))
-    head = cat("o b ", stamp, " 10.0.0.", E("user_id"), " r ", eid, " ", E("event_type"),
-               ' k "GET /k HTTP/1.1" ', status, ' - 113 - 7 - "-" "UA x" -')
-    tail = cat(" h SigV4 C ", auth, " ep TLS - -")
-    line = (F.when(eid % 89 == 0, F.lit("junk line"))
-             .when(eid % 4 == 1, head)
-             .otherwise(F.concat(head, tail)))
-    return e.select(line.alias("value"), *_ev_resource())
+    head = ("concat('o b [', date_format(CASE WHEN event_id % 8 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END, "
+            "'dd/MMM/yyyy:HH:mm:ss'), ' ', CASE WHEN event_id % 8 = 0 THEN '+0100' ELSE '+0000' END, '] 10.0.0.', "
+            "user_id, ' r ', event_id, ' ', event_type, ' k \"GET /k HTTP/1.1\" ', "
+            "CASE WHEN event_id % 10 = 0 THEN '403' ELSE '200' END, ' - 113 - 7 - \"-\" \"UA x\" -')")
+    tail = "concat(' h SigV4 C ', CASE WHEN event_id % 3 = 0 THEN 'QueryString' ELSE '-' END, ' ep TLS - -')"
+    return table(spark, d, "events", spread=True).selectExpr(
+        f"CASE WHEN event_id % 89 = 0 THEN 'junk line' WHEN event_id % 4 = 1 THEN {head} "
+        f"ELSE concat({head}, {tail}) END AS value",
+        *_EV_RESOURCE)
 
 
 def api_log_records(spark, d) -> DataFrame:
     """M3 ``(timestamp, message)`` from ``events``, with web-socket and junk lines."""
-    e = table(spark, d, "events", spread=True)
-    eid = E("event_id")
-    msg = (F.when(eid % 83 == 0, F.lit("junk"))
-            .when(eid % 9 == 0, cat(_ev_ip(), ",MESSAGE $default,", eid))
-            .otherwise(cat(_ev_ip(), ",",
-                           F.when(E("event_type") == "signup", F.lit("CONNECTION_API")).otherwise(F.lit("GET")),
-                           " /", E("event_type"), ",", eid)))
-    return e.select(E("ts").alias("timestamp"), msg.alias("message"), *_ev_resource())
+    return table(spark, d, "events", spread=True).selectExpr(
+        "ts AS timestamp",
+        f"CASE WHEN event_id % 83 = 0 THEN 'junk' "
+        f"WHEN event_id % 9 = 0 THEN concat({_ev_ip()}, ',MESSAGE $default,', event_id) "
+        f"ELSE concat({_ev_ip()}, ',', CASE WHEN event_type = 'signup' THEN 'CONNECTION_API' ELSE 'GET' END, "
+        f"' /', event_type, ',', event_id) END AS message",
+        *_EV_RESOURCE)
+
+
+_RTYPE = ("CASE WHEN p_size % 7 IN (0, 1) THEN 'CloudFront' WHEN p_size % 7 IN (2, 3) THEN 'S3AccessLogs' "
+          "WHEN p_size % 7 IN (4, 5) THEN 'LogGroup' ELSE 'Unknown' END")
 
 
 def usage_resources(spark, d) -> DataFrame:
     """M7 tracked resources from ``part`` (one per part key divisible by 3)."""
-    p = table(spark, d, "part")
-    pk = E("p_partkey")
-    m = E("p_size") % 7
-    rtype = (F.when(m.isin(0, 1), F.lit("CloudFront")).when(m.isin(2, 3), F.lit("S3AccessLogs"))
-              .when(m.isin(4, 5), F.lit("LogGroup")).otherwise(F.lit("Unknown")))
-    return (p.where(pk % 3 == 0)
-            .select(cat("acct", pk % 4).alias("accountId"), cat("stack", pk % 9).alias("stackName"),
-                    cat("r", pk).alias("name"), cat("bucket-", pk % 5).alias("source"), rtype.alias("type"),
-                    F.when(pk % 2 == 0, F.lit(True)).alias("splitReportingByUrlRoot")))
+    return table(spark, d, "part").where("p_partkey % 3 = 0").selectExpr(
+        "concat('acct', p_partkey % 4) AS accountId", "concat('stack', p_partkey % 9) AS stackName",
+        "concat('r', p_partkey) AS name", "concat('bucket-', p_partkey % 5) AS source", f"{_RTYPE} AS type",
+        "CASE WHEN p_partkey % 2 = 0 THEN true END AS splitReportingByUrlRoot")
 
 
 def ip_info(spark, d) -> DataFrame:
     """M12 from ``events`` + ``nation`` + ``region``; some addresses unknown."""
-    e = table(spark, d, "events").where(E("user_id") % 30 < 25)
+    users = (table(spark, d, "events").where("user_id % 30 < 25")
+             .selectExpr("user_id", "CAST(user_id % 30 AS INT) AS nk").distinct())
     n = table(spark, d, "nation")
     r = table(spark, d, "region")
-    u = E("user_id")
-    rows = (e.select(u, (u % 30).cast("int").alias("nk")).distinct()
-            .join(n, F.col("nk") == n.n_nationkey)
-            .join(r, n.n_regionkey == r.r_regionkey))
-    return rows.select(
-        _ev_ip().alias("ip"), E("n_name").alias("country"),
-        F.when(u % 30 == 24, F.lit(None).cast("string")).otherwise(cat("C", E("n_nationkey"))).alias("countryCode"),
-        E("r_name").alias("region"), cat("City", u % 7).alias("city"),
-        F.when(u % 6 == 0, cat("Org", u % 5)).otherwise(cat("AS", u, " Org", u % 5)).alias("org"))
+    rows = users.join(n, F.col("nk") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return rows.selectExpr(
+        f"{_ev_ip()} AS ip", "n_name AS country",
+        "CASE WHEN user_id % 30 = 24 THEN CAST(NULL AS STRING) ELSE concat('C', n_nationkey) END AS countryCode",
+        "r_name AS region", "concat('City', user_id % 7) AS city",
+        "CASE WHEN user_id % 6 = 0 THEN concat('Org', user_id % 5) "
+        "ELSE concat('AS', user_id, ' Org', user_id % 5) END AS org")
 
 
 # ------------------------------------------------------------------ orders + part -> stacks
@@ -170,89 +140,73 @@ def stacks_with_outputs(spark, d) -> DataFrame:
     """M6 stacks from ``orders``; outputs from the ``part`` row keyed by ``o_custkey``."""
     o = table(spark, d, "orders")
     p = table(spark, d, "part")
-    pk = E("p_partkey")
-    m = E("p_size") % 7
-    rtype = (F.when(m.isin(0, 1), F.lit("CloudFront")).when(m.isin(2, 3), F.lit("S3AccessLogs"))
-              .when(m.isin(4, 5), F.lit("LogGroup")).otherwise(F.lit("Unknown")))
-    value = F.to_json(F.struct(cat("r", pk).alias("name"), cat("bucket-", pk % 5).alias("source"),
-                               rtype.alias("type"),
-                               F.when(pk % 2 == 0, F.lit(True)).alias("splitReportingByUrlRoot")))
-    key = F.when(pk % 3 == 0, cat("USAGETRACKING", pk)).otherwise(cat("Other", pk))
-    outputs = F.when(E("o_orderkey") % 5 == 0, F.lit(None)).otherwise(F.array(
-        F.struct(key.alias("OutputKey"), value.alias("OutputValue")),
-        F.struct(F.lit("Endpoint").alias("OutputKey"), cat("https://", E("o_orderkey")).alias("OutputValue"))))
-    return (o.join(p, o.o_custkey == p.p_partkey, "left")
-            .select(E("o_orderpriority").alias("accountId"), cat("stack", E("o_orderkey")).alias("StackName"),
-                    F.lit("UPDATE_COMPLETE").alias("StackStatus"),
-                    (E("o_orderkey") % 4 == 0).alias("EnableTerminationProtection"),
-                    outputs.alias("Outputs")))
+    value = (f"to_json(named_struct('name', concat('r', p_partkey), 'source', concat('bucket-', p_partkey % 5), "
+             f"'type', {_RTYPE}, 'splitReportingByUrlRoot', CASE WHEN p_partkey % 2 = 0 THEN true END))")
+    key = "CASE WHEN p_partkey % 3 = 0 THEN concat('USAGETRACKING', p_partkey) ELSE concat('Other', p_partkey) END"
+    outputs = (f"CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE array("
+               f"named_struct('OutputKey', {key}, 'OutputValue', {value}), "
+               f"named_struct('OutputKey', 'Endpoint', 'OutputValue', concat('https://', o_orderkey))) END")
+    return o.join(p, o.o_custkey == p.p_partkey, "left").selectExpr(
+        "o_orderpriority AS accountId", "concat('stack', o_orderkey) AS StackName",
+        "'UPDATE_COMPLETE' AS StackStatus", "o_orderkey % 4 = 0 AS EnableTerminationProtection",
+        f"{outputs} AS Outputs")
 
 
 def log_groups(spark, d) -> DataFrame:
     """Log-group metadata from ``orders``; some names repeat, some retentions are NULL."""
-    o = table(spark, d, "orders")
-    k = E("o_orderkey")
-    name = F.when(k % 50 == 1, cat("lg", k - 1)).otherwise(cat("lg", k))
-    return o.select(name.alias("logGroupName"), E("o_orderdate").cast("timestamp").alias("creationTime"),
-                    F.when(k % 9 == 0, F.lit(None)).otherwise(k % 1000).cast("int").alias("retentionInDays"))
-
-
-def stack_names(k: Column) -> Column:
-    return F.when(k % 1000 == 0, F.lit("CDKToolkit")).otherwise(cat("stack", k))
+    return table(spark, d, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 50 = 1 THEN concat('lg', o_orderkey - 1) ELSE concat('lg', o_orderkey) END "
+        "AS logGroupName",
+        "CAST(o_orderdate AS TIMESTAMP) AS creationTime",
+        "CAST(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 1000 END AS INT) AS retentionInDays")
 
 
 def deploy_stacks(spark, d) -> DataFrame:
     """Stacks per profile (B39) and tear-down inputs (B32, D7) from ``orders``."""
-    o = table(spark, d, "orders")
-    k = E("o_orderkey")
-    st = E("o_orderstatus")
-    return o.select(
-        F.concat(F.lower(F.replace(E("o_orderpriority"), F.lit(" "), F.lit(""))),
-                 F.when(k % 2 == 0, F.lit("-developer")).otherwise(F.lit("-admin"))).alias("profile"),
-        stack_names(k).alias("StackName"),
-        F.when(st == "F", F.lit("CREATE_COMPLETE")).when(st == "O", F.lit("DELETE_COMPLETE"))
-         .otherwise(F.lit("UPDATE_COMPLETE")).alias("StackStatus"),
-        (k % 4 == 0).alias("EnableTerminationProtection"),
-        F.when(st == "F", F.lit("DELETE_COMPLETE")).when(st == "O", F.lit("DELETE_FAILED")).alias("deleteResult"))
+    return table(spark, d, "orders").selectExpr(
+        "concat(lower(replace(o_orderpriority, ' ', '')), "
+        "CASE WHEN o_orderkey % 2 = 0 THEN '-developer' ELSE '-admin' END) AS profile",
+        "CASE WHEN o_orderkey % 1000 = 0 THEN 'CDKToolkit' ELSE concat('stack', o_orderkey) END AS StackName",
+        "CASE o_orderstatus WHEN 'F' THEN 'CREATE_COMPLETE' WHEN 'O' THEN 'DELETE_COMPLETE' "
+        "ELSE 'UPDATE_COMPLETE' END AS StackStatus",
+        "o_orderkey % 4 = 0 AS EnableTerminationProtection",
+        "CASE o_orderstatus WHEN 'F' THEN 'DELETE_COMPLETE' WHEN 'O' THEN 'DELETE_FAILED' END AS deleteResult")
 
 
 # ------------------------------------------------------------------ events -> audit trail
 
 def trail_records(spark, d) -> DataFrame:
     """M4 records from ``events`` with the edge cases of FIXTURES §1."""
-    e = table(spark, d, "events", spread=True)
-    eid = E("event_id")
-    u = E("user_id")
-    name = (F.when(eid % 11 == 0, F.lit(None).cast("string")).when(eid % 7 == 0, F.lit("CheckMfa"))
-             .when(eid % 2 == 0, F.lit("SwitchRole")).otherwise(F.lit("ConsoleLogin")))
-    result = (F.when(eid % 5 == 0, F.lit(None).cast("string")).when(eid % 5 == 1, F.lit("Failure"))
-               .otherwise(F.lit("Success")))
-    is_switch = F.coalesce(name == "SwitchRole", F.lit(False))
-    resp = F.when(eid % 13 == 3, F.lit(None)).otherwise(F.struct(
-        F.when(is_switch, result).alias("SwitchRole"),
-        F.when(~is_switch, result).alias("ConsoleLogin")))
-    ip = (F.when(eid % 23 == 0, F.lit("signin.amazonaws.com"))
-           .when(eid % 29 == 0, cat("::ffff:10.0.0.", u))
-           .when(eid % 31 == 0, cat("2001:db8::", u))
-           .otherwise(cat("10.0.", u % 3, ".", u)))
-    ident = F.when(eid % 17 == 0, F.lit(None)).otherwise(F.struct(
-        F.when(u % 2 == 0, F.lit("IAMUser")).otherwise(F.lit("AssumedRole")).alias("type"),
-        cat("p", u).alias("principalId"), cat("arn:aws:iam::", u).alias("arn"),
-        cat("a", u % 4).alias("accountId"), cat("u", u).alias("userName")))
-    extra = F.when(eid % 19 == 0, F.lit(None)).otherwise(F.struct(
-        cat("arn:from:", u).alias("SwitchFrom"), F.lit(None).cast("string").alias("RedirectTo"),
-        F.lit(None).cast("string").alias("LoginTo"), F.lit("No").alias("MobileVersion"),
-        F.lit("Yes").alias("MFAUsed")))
-    return e.select(
-        F.lit("1.05").alias("eventVersion"), ident.alias("userIdentity"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"),
-        F.when(E("event_type") != "view", F.lit("signin.amazonaws.com")).otherwise(F.lit("other")).alias("eventSource"),
-        name.alias("eventName"), F.lit("us-east-1").alias("awsRegion"), ip.alias("sourceIPAddress"),
-        cat("agent-", E("event_type")).alias("userAgent"), F.lit(None).cast("string").alias("requestParameters"),
-        resp.alias("responseElements"), extra.alias("additionalEventData"),
-        s(eid).alias("eventID"),
-        F.when(E("event_type") == "error", F.lit("AwsApiCall")).otherwise(F.lit("AwsConsoleSignIn")).alias("eventType"),
-        cat("acct", u % 4).alias("recipientAccountId"))
+    name = ("CASE WHEN event_id % 11 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 7 = 0 THEN 'CheckMfa' "
+            "WHEN event_id % 2 = 0 THEN 'SwitchRole' ELSE 'ConsoleLogin' END")
+    result = ("CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 5 = 1 THEN 'Failure' "
+              "ELSE 'Success' END")
+    is_switch = f"coalesce(({name}) = 'SwitchRole', false)"
+    return table(spark, d, "events", spread=True).selectExpr(
+        "'1.05' AS eventVersion",
+        "CASE WHEN event_id % 17 = 0 THEN NULL ELSE named_struct("
+        "'type', CASE WHEN user_id % 2 = 0 THEN 'IAMUser' ELSE 'AssumedRole' END, "
+        "'principalId', concat('p', user_id), 'arn', concat('arn:aws:iam::', user_id), "
+        "'accountId', concat('a', user_id % 4), 'userName', concat('u', user_id)) END AS userIdentity",
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS eventTime",
+        "CASE WHEN event_type <> 'view' THEN 'signin.amazonaws.com' ELSE 'other' END AS eventSource",
+        f"{name} AS eventName",
+        "'us-east-1' AS awsRegion",
+        "CASE WHEN event_id % 23 = 0 THEN 'signin.amazonaws.com' "
+        "WHEN event_id % 29 = 0 THEN concat('::ffff:10.0.0.', user_id) "
+        "WHEN event_id % 31 = 0 THEN concat('2001:db8::', user_id) "
+        "ELSE concat('10.0.', user_id % 3, '.', user_id) END AS sourceIPAddress",
+        "concat('agent-', event_type) AS userAgent",
+        "CAST(NULL AS STRING) AS requestParameters",
+        f"CASE WHEN event_id % 13 = 3 THEN NULL ELSE named_struct("
+        f"'SwitchRole', CASE WHEN {is_switch} THEN {result} END, "
+        f"'ConsoleLogin', CASE WHEN NOT {is_switch} THEN {result} END) END AS responseElements",
+        "CASE WHEN event_id % 19 = 0 THEN NULL ELSE named_struct("
+        "'SwitchFrom', concat('arn:from:', user_id), 'RedirectTo', CAST(NULL AS STRING), "
+        "'LoginTo', CAST(NULL AS STRING), 'MobileVersion', 'No', 'MFAUsed', 'Yes') END AS additionalEventData",
+        "CAST(event_id AS STRING) AS eventID",
+        "CASE WHEN event_type = 'error' THEN 'AwsApiCall' ELSE 'AwsConsoleSignIn' END AS eventType",
+        "concat('acct', user_id % 4) AS recipientAccountId")
 
 
 # ------------------------------------------------------------------ customer + orders -> credentials
@@ -261,158 +215,140 @@ def credential_report(spark, d, exclude_mod: int | None = None) -> DataFrame:
     """M5 rows from ``customer`` with the latest order date as every credential date."""
     c = table(spark, d, "customer")
     if exclude_mod:
-        c = c.where(E("c_custkey") % exclude_mod != 0)
-    latest = (table(spark, d, "orders").groupBy(E("o_custkey").alias("c_custkey"))
+        c = c.where(f"c_custkey % {int(exclude_mod)} <> 0")
+    latest = (table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
               .agg(F.max("o_orderdate").alias("latest")))
-    k = E("c_custkey")
-    date = F.coalesce(F.date_format("latest", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("N/A"))
-    tf = lambda cond: F.when(cond, F.lit("true")).otherwise(F.lit("false"))
-    return (c.join(latest, on="c_custkey", how="left")
-            .select(s(E("c_nationkey")).alias("accountId"),
-                    F.when(k % 50 == 0, F.lit("<root_account>")).otherwise(E("c_name")).alias("user"),
-                    cat("arn:", k).alias("arn"),
-                    tf(k % 2 == 0).alias("password_enabled"), date.alias("password_last_changed"),
-                    tf(E("c_acctbal") > 5000).alias("mfa_active"),
-                    tf(k % 3 == 0).alias("access_key_1_active"), date.alias("access_key_1_last_rotated"),
-                    tf(k % 5 == 0).alias("access_key_2_active"), date.alias("access_key_2_last_rotated")))
+    date = "coalesce(date_format(latest, \"yyyy-MM-dd'T'HH:mm:ss'+00:00'\"), 'N/A')"
+    tf = lambda cond: f"CASE WHEN {cond} THEN 'true' ELSE 'false' END"
+    return c.join(latest, on="c_custkey", how="left").selectExpr(
+        "CAST(c_nationkey AS STRING) AS accountId",
+        "CASE WHEN c_custkey % 50 = 0 THEN '<root_account>' ELSE c_name END AS user",
+        "concat('arn:', c_custkey) AS arn",
+        f"{tf('c_custkey % 2 = 0')} AS password_enabled", f"{date} AS password_last_changed",
+        f"{tf('c_acctbal > 5000')} AS mfa_active",
+        f"{tf('c_custkey % 3 = 0')} AS access_key_1_active", f"{date} AS access_key_1_last_rotated",
+        f"{tf('c_custkey % 5 = 0')} AS access_key_2_active", f"{date} AS access_key_2_last_rotated")
 
 
 def accounts(spark, d) -> DataFrame:
-    return table(spark, d, "nation").select(s(E("n_nationkey")).alias("accountId"))
+    return table(spark, d, "nation").selectExpr("CAST(n_nationkey AS STRING) AS accountId")
 
 
 # ------------------------------------------------------------------ lineitem + orders -> drift
 
 def drift_stacks(spark, d) -> DataFrame:
-    o = table(spark, d, "orders")
-    k = E("o_orderkey")
-    st = E("o_orderstatus")
-    return o.select(
-        k.alias("stackKey"), E("o_orderpriority").alias("accountId"), cat("stack", k).alias("StackName"),
-        F.when(k % 13 == 0, F.lit("DELETE_COMPLETE")).when(k % 17 == 0, F.lit("ROLLBACK_COMPLETE"))
-         .when(k % 19 == 0, F.lit("IMPORT_COMPLETE")).otherwise(F.lit("UPDATE_COMPLETE")).alias("StackStatus"),
-        F.lit("DETECTION_COMPLETE").alias("DetectionStatus"),
-        F.when(k % 23 == 0, F.lit("NOT_CHECKED")).when(st == "F", F.lit("DRIFTED"))
-         .when(st == "O", F.lit("UNKNOWN")).otherwise(F.lit("IN_SYNC")).alias("StackDriftStatus"))
+    return table(spark, d, "orders").selectExpr(
+        "o_orderkey AS stackKey", "o_orderpriority AS accountId", "concat('stack', o_orderkey) AS StackName",
+        "CASE WHEN o_orderkey % 13 = 0 THEN 'DELETE_COMPLETE' WHEN o_orderkey % 17 = 0 THEN 'ROLLBACK_COMPLETE' "
+        "WHEN o_orderkey % 19 = 0 THEN 'IMPORT_COMPLETE' ELSE 'UPDATE_COMPLETE' END AS StackStatus",
+        "'DETECTION_COMPLETE' AS DetectionStatus",
+        "CASE WHEN o_orderkey % 23 = 0 THEN 'NOT_CHECKED' WHEN o_orderstatus = 'F' THEN 'DRIFTED' "
+        "WHEN o_orderstatus = 'O' THEN 'UNKNOWN' ELSE 'IN_SYNC' END AS StackDriftStatus")
+
+
+_DIFFS = "array<struct<PropertyPath:string,ExpectedValue:string,ActualValue:string,DifferenceType:string>>"
 
 
 def resource_drifts(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem", spread=True)
-    ln = E("l_linenumber")
-    rtype = (F.when(E("l_returnflag") == "A", F.lit("AWS::Events::Rule"))
-              .when(E("l_returnflag") == "R", F.lit("AWS::ApiGatewayV2::Api"))
-              .otherwise(F.lit("AWS::ApiGatewayV2::Integration")))
-    path = (F.when(ln % 4 == 0, F.lit("/Tags")).when(ln % 4 == 1, F.lit("/Body"))
-             .when(ln % 4 == 2, F.lit("/IntegrationUri")).otherwise(F.lit("/Targets/0/RetryPolicy")))
-    actual = (F.when(E("l_partkey") % 97 == 0, F.lit(None).cast("string"))
-               .when(E("l_linestatus") == "F", F.lit("null")).otherwise(F.lit("x")))
-    diff = F.struct(path.alias("PropertyPath"), F.lit('{"MaximumRetryAttempts":1}').alias("ExpectedValue"),
-                    actual.alias("ActualValue"), F.lit("NOT_EQUAL").alias("DifferenceType"))
-    diffs = F.when(ln == 7, F.array().cast(
-        "array<struct<PropertyPath:string,ExpectedValue:string,ActualValue:string,DifferenceType:string>>")
-    ).otherwise(F.array(diff))
-    return li.select(E("l_orderkey").alias("stackKey"), cat("res", ln).alias("LogicalResourceId"),
-                     rtype.alias("ResourceType"), F.lit("MODIFIED").alias("StackResourceDriftStatus"),
-                     diffs.alias("PropertyDifferences"))
+    diff = ("named_struct("
+            "'PropertyPath', CASE l_linenumber % 4 WHEN 0 THEN '/Tags' WHEN 1 THEN '/Body' "
+            "WHEN 2 THEN '/IntegrationUri' ELSE '/Targets/0/RetryPolicy' END, "
+            "'ExpectedValue', '{\"MaximumRetryAttempts\":1}', "
+            "'ActualValue', CASE WHEN l_partkey % 97 = 0 THEN CAST(NULL AS STRING) "
+            "WHEN l_linestatus = 'F' THEN 'null' ELSE 'x' END, "
+            "'DifferenceType', 'NOT_EQUAL')")
+    return table(spark, d, "lineitem", spread=True).selectExpr(
+        "l_orderkey AS stackKey", "concat('res', l_linenumber) AS LogicalResourceId",
+        "CASE l_returnflag WHEN 'A' THEN 'AWS::Events::Rule' WHEN 'R' THEN 'AWS::ApiGatewayV2::Api' "
+        "ELSE 'AWS::ApiGatewayV2::Integration' END AS ResourceType",
+        "'MODIFIED' AS StackResourceDriftStatus",
+        f"CASE WHEN l_linenumber = 7 THEN CAST(array() AS {_DIFFS}) ELSE array({diff}) END AS PropertyDifferences")
 
 
 # ------------------------------------------------------------------ supplier / events -> devices
 
 def devices(spark, d) -> DataFrame:
-    sp = table(spark, d, "supplier")
-    k = E("s_suppkey")
-    groups = (F.when(k % 5 == 0, F.lit(None).cast("array<string>"))
-               .when(k % 2 == 0, F.array(F.lit("uptime-monitoring"), F.lit("x")))
-               .otherwise(F.array(F.lit("x"))))
-    ts = F.when(k % 7 == 0, F.lit(None).cast("bigint")).otherwise(F.lit(1_700_000_000_000) + k * 1000)
-    return sp.select(cat("thing", k).alias("thingName"), cat("id", k).alias("thingId"),
-                     groups.alias("thingGroupNames"),
-                     F.struct((E("s_acctbal") > 1000).alias("connected"), ts.alias("timestamp")).alias("connectivity"))
+    return table(spark, d, "supplier").selectExpr(
+        "concat('thing', s_suppkey) AS thingName", "concat('id', s_suppkey) AS thingId",
+        "CASE WHEN s_suppkey % 5 = 0 THEN CAST(NULL AS ARRAY<STRING>) "
+        "WHEN s_suppkey % 2 = 0 THEN array('uptime-monitoring', 'x') ELSE array('x') END AS thingGroupNames",
+        "named_struct('connected', s_acctbal > 1000, 'timestamp', "
+        "CASE WHEN s_suppkey % 7 = 0 THEN CAST(NULL AS BIGINT) ELSE 1700000000000 + s_suppkey * 1000 END) "
+        "AS connectivity")
 
 
 def device_events(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select(E("user_id").alias("thing"), "ts", "event_id",
-                    E("event_type").isin("click", "view", "signup").alias("connected"))
+    return table(spark, d, "events").selectExpr(
+        "user_id AS thing", "ts", "event_id", "event_type IN ('click', 'view', 'signup') AS connected")
 
 
 # ------------------------------------------------------------------ pages -> inventory
 
 def page_paths(spark, d) -> DataFrame:
-    pg = table(spark, d, "pages")
-    path = F.regexp_replace(F.regexp_replace(E("url"), r"^[a-z]+://[^/]+/", ""), r"[?#].*$", "")
-    return pg.select("page_id", path.alias("path"))
+    return table(spark, d, "pages").selectExpr(
+        "page_id", "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS path")
 
 
 def remote_keys(spark, d) -> DataFrame:
-    return page_paths(spark, d).where(E("page_id") % 3 != 0).select(cat(SITE_PREFIX + "/", E("path")).alias("key"))
+    return page_paths(spark, d).where("page_id % 3 <> 0").selectExpr(f"concat('{SITE_PREFIX}/', path) AS key")
 
 
 def local_paths(spark, d) -> DataFrame:
-    return page_paths(spark, d).where(E("page_id") % 4 != 0).select("path")
+    return page_paths(spark, d).where("page_id % 4 <> 0").select("path")
 
 
 # ------------------------------------------------------------------ part -> templates
 
 def template_resources(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
-    k = E("p_partkey")
-    sz = E("p_size")
-    rtype = (F.when(k % 4 == 0, F.lit("AWS::S3::Bucket")).when(k % 4 == 1, F.lit("AWS::IAM::ManagedPolicy"))
-              .when(k % 4 == 2, F.lit("AWS::SecretsManager::Secret")).otherwise(F.lit("AWS::Lambda::Function")))
-    algo = F.when(sz > 40, F.lit("aws:kms")).otherwise(F.lit("AES256"))
-    bucket = F.when(sz > 10, cat('{"BucketEncryption":{"ServerSideEncryptionConfiguration":'
-                                 '[{"ServerSideEncryptionByDefault":{"SSEAlgorithm":"', algo, '"}}]}}')
-                    ).otherwise(F.lit("{}"))
-    policy = (F.when(sz % 5 == 0, F.lit('{"Description":""}')).when(sz % 5 == 1, F.lit("{}"))
-               .otherwise(cat('{"Description":"policy ', k, '"}')))
-    handler = F.when(sz % 9 == 0, F.lit("framework.onEvent")).otherwise(F.lit("index.handler"))
-    s3key = F.when(sz % 11 == 0, F.lit(None).cast("string")).otherwise(cat("asset", k, ".zip"))
-    function = F.to_json(F.struct(handler.alias("Handler"), F.struct(s3key.alias("S3Key")).alias("Code")))
-    props = (F.when(k % 4 == 0, bucket).when(k % 4 == 1, policy).when(k % 4 == 2, F.lit("{}"))
-              .otherwise(function))
-    return p.select(
-        E("p_brand").alias("template"), cat("Res", k).alias("logicalId"), rtype.alias("Type"),
-        F.when(sz % 3 == 1, F.lit("Delete")).when(sz % 3 == 2, F.lit("Retain")).alias("DeletionPolicy"),
-        F.when(sz % 4 == 1, F.lit("Delete")).when(sz % 4 == 2, F.lit("Snapshot")).alias("UpdateReplacePolicy"),
-        props.alias("Properties"),
-        F.concat(E("p_brand"), F.lit("/"), E("p_name")).alias("path"),
-        cat("phys-", k).alias("physicalId"))
+    bucket = ("CASE WHEN p_size > 10 THEN concat('{\"BucketEncryption\":{\"ServerSideEncryptionConfiguration\":"
+              "[{\"ServerSideEncryptionByDefault\":{\"SSEAlgorithm\":\"', "
+              "CASE WHEN p_size > 40 THEN 'aws:kms' ELSE 'AES256' END, '\"}}]}}') ELSE '{}' END")
+    policy = ("CASE WHEN p_size % 5 = 0 THEN '{\"Description\":\"\"}' WHEN p_size % 5 = 1 THEN '{}' "
+              "ELSE concat('{\"Description\":\"policy ', p_partkey, '\"}') END")
+    function = ("to_json(named_struct('Handler', CASE WHEN p_size % 9 = 0 THEN 'framework.onEvent' "
+                "ELSE 'index.handler' END, 'Code', named_struct('S3Key', CASE WHEN p_size % 11 = 0 "
+                "THEN CAST(NULL AS STRING) ELSE concat('asset', p_partkey, '.zip') END)))")
+    return table(spark, d, "part").selectExpr(
+        "p_brand AS template", "concat('Res', p_partkey) AS logicalId",
+        "CASE p_partkey % 4 WHEN 0 THEN 'AWS::S3::Bucket' WHEN 1 THEN 'AWS::IAM::ManagedPolicy' "
+        "WHEN 2 THEN 'AWS::SecretsManager::Secret' ELSE 'AWS::Lambda::Function' END AS Type",
+        "CASE p_size % 3 WHEN 1 THEN 'Delete' WHEN 2 THEN 'Retain' END AS DeletionPolicy",
+        "CASE p_size % 4 WHEN 1 THEN 'Delete' WHEN 2 THEN 'Snapshot' END AS UpdateReplacePolicy",
+        f"CASE p_partkey % 4 WHEN 0 THEN {bucket} WHEN 1 THEN {policy} WHEN 2 THEN '{{}}' "
+        f"ELSE {function} END AS Properties",
+        "concat(p_brand, '/', p_name) AS path", "concat('phys-', p_partkey) AS physicalId")
 
 
 def template_lookups(spark, d) -> DataFrame:
     p = table(spark, d, "part")
-    k = E("p_partkey")
-    hit = p.where(k % 2 == 0).select(E("p_brand").alias("template"),
-                                     F.concat(E("p_brand"), F.lit("/"), E("p_name")).alias("path"))
-    miss = p.where(k % 10 == 1).select(E("p_brand").alias("template"),
-                                       F.concat(E("p_brand"), F.lit("/"), E("p_name"), F.lit("-missing")).alias("path"))
+    hit = p.where("p_partkey % 2 = 0").selectExpr("p_brand AS template", "concat(p_brand, '/', p_name) AS path")
+    miss = p.where("p_partkey % 10 = 1").selectExpr("p_brand AS template",
+                                                     "concat(p_brand, '/', p_name, '-missing') AS path")
     return hit.unionByName(miss).distinct()
 
 
 # ------------------------------------------------------------------ orders -> costs; documents -> requests
 
 def monthly_costs(spark, d) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.select(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM-dd").alias("month"),
-                    F.round(E("o_totalprice") * 100).cast("bigint").alias("cost_cents"))
+    return table(spark, d, "orders").selectExpr(
+        "date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd') AS month",
+        "CAST(round(o_totalprice * 100) AS BIGINT) AS cost_cents")
 
 
 def upload_requests(spark, d) -> DataFrame:
-    doc = table(spark, d, "documents")
-    k = E("doc_id")
-    name = F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise(cat(E("source"), " (", k, ")!.txt"))
-    prefixes = (F.when(k % 3 == 0, F.lit(None).cast("array<string>"))
-                 .when(k % 3 == 1, F.array().cast("array<string>"))
-                 .otherwise(F.array(E("lang"))))
-    return doc.select(s(k).alias("request_id"), name.alias("fileName"), prefixes.alias("prefixes"),
-                      F.lit(UPLOAD_TS).cast("timestamp").alias("ts"))
+    return table(spark, d, "documents").selectExpr(
+        "CAST(doc_id AS STRING) AS request_id",
+        "CASE WHEN doc_id % 13 = 0 THEN CAST(NULL AS STRING) ELSE concat(source, ' (', doc_id, ')!.txt') END "
+        "AS fileName",
+        "CASE doc_id % 3 WHEN 0 THEN CAST(NULL AS ARRAY<STRING>) WHEN 1 THEN CAST(array() AS ARRAY<STRING>) "
+        "ELSE array(lang) END AS prefixes",
+        f"TIMESTAMP '{UPLOAD_TS:%Y-%m-%d %H:%M:%S}' AS ts")
 
 
 def event_fields(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    f = lambda n, v: F.struct(F.lit(n).alias("field"), s(v).alias("value"))
-    arr = F.when(E("event_id") % 2 == 0,
-                 F.array(f("type", E("event_type")), f("user", E("user_id")), f("type", F.upper(E("event_type"))))
-                 ).otherwise(F.array(f("type", E("event_type")), f("user", E("user_id"))))
-    return e.select("event_id", arr.alias("fields"))
+    f = lambda n, v: f"named_struct('field', '{n}', 'value', CAST({v} AS STRING))"
+    return table(spark, d, "events").selectExpr(
+        "event_id",
+        f"CASE WHEN event_id % 2 = 0 THEN array({f('type', 'event_type')}, {f('user', 'user_id')}, "
+        f"{f('type', 'upper(event_type)')}) ELSE array({f('type', 'event_type')}, {f('user', 'user_id')}) END "
+        "AS fields")

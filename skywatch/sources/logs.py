@@ -69,17 +69,16 @@ def _parse_lines(df: DataFrame, text: Column, anchored: str, fields: list[tuple[
     rep = _SEP + _SEP.join(f"${i}" for i in range(1, n_groups + 1))
     groups = F.split(F.substring(F.regexp_replace(text, anchored, rep), 2, 1 << 30), _SEP, -1)
     staged = df.select(*keep, groups.alias("_g"))
-    g = F.col("_g")
-    matched = F.size(g) == n_groups
-    cols = []
+    parts = []
     for name, i, kind in fields:
-        c = g[i - 1]
+        c = f"_g[{i - 1}]"
         if kind == "opt":
-            c = F.nullif(c, F.lit(""))
+            c = f"nullif({c}, '')"
         elif kind == "bigint":
-            c = c.try_cast("bigint")
-        cols.append(F.when(matched, c).alias(name))
-    return staged.select(*keep, F.inline(F.array(F.struct(*cols))))
+            c = f"try_cast({c} AS BIGINT)"
+        parts.append(f"'{name}', CASE WHEN size(_g) = {n_groups} THEN {c} END")
+    # one SQL expression for the whole record: parsed once, not built call by call
+    return staged.selectExpr(*[f"`{k}`" for k in keep], f"inline(array(named_struct({', '.join(parts)})))")
 
 
 def parse_object_log(lines: DataFrame, text_col: str = "value") -> DataFrame:
