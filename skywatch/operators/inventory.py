@@ -120,10 +120,15 @@ def unique_lookup(resources: DataFrame, lookups: DataFrame) -> DataFrame:
     ``resources (template, logicalId, path, physicalId)``, ``lookups
     (template, path)``. Zero or several matches give an ``error`` instead.
     """
-    matches = (lookups.join(resources, on=["template", "path"], how="left")
-               .groupBy("template", "path")
-               .agg(F.count("logicalId").alias("n_matches"),
-                    F.min("logicalId").alias("_lid"), F.min("physicalId").alias("_pid")))
+    # Resources are reduced to one row per (template, path) first: a path
+    # carried by a third of all resources is collapsed map-side, so the join
+    # has unique keys on both sides.
+    per_path = (resources.groupBy("template", "path")
+                .agg(F.count("logicalId").alias("_n"),
+                     F.min("logicalId").alias("_lid"), F.min("physicalId").alias("_pid")))
+    matches = (lookups.select("template", "path").distinct()
+               .join(per_path, on=["template", "path"], how="left")
+               .select("template", "path", F.coalesce(F.col("_n"), F.lit(0)).alias("n_matches"), "_lid", "_pid"))
     return matches.select(
         "template", "path", "n_matches",
         F.when(F.col("n_matches") == 1, F.col("_lid")).alias("logicalId"),

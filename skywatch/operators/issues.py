@@ -4,9 +4,9 @@
 raised = current keys not stored (C3), existing = current keys stored (C5),
 fixed = stored keys no longer current (C4, reported with the *stored*
 object). Duplicate current keys are all reported; the snapshot keeps one
-row per key. All three states come from one full outer join, so a key
-repeated across a third of the rows meets one stored row in a single join;
-AQE splits such a hot partition of the join.
+row per key. A key repeated across a third of the current rows is only
+ever on a splittable side (the streamed side of a left join, which AQE
+splits) or reduced map-side first (distinct keys, per-key aggregates).
 """
 
 from __future__ import annotations
@@ -47,49 +47,44 @@ def with_keys(monitor: Monitor, issues: DataFrame) -> DataFrame:
     return issues.select(*names, monitor.pk().alias("pk"), obj.alias("obj"), monitor.text().alias("text"))
 
 
-def _joined(monitor: Monitor, current: DataFrame, previous: DataFrame) -> DataFrame:
-    """One full outer join of current rows with stored rows on ``pk``.
-
-    Stored keys are unique (one row per key), so each current row meets at
-    most one stored row: matched = existing, current only = raised, stored
-    only = fixed. Both sides are read once.
-    """
-    prev = (previous.where(F.col("monitor") == monitor.type)
+def _stored(monitor: Monitor, previous: DataFrame) -> DataFrame:
+    return (previous.where(F.col("monitor") == monitor.type)
             .select(F.col("pk").alias("_ppk"), F.col("obj").alias("_pobj")))
-    cur = current.select(F.col("pk").alias("_cpk"), F.col("obj").alias("_cobj"), F.col("text").alias("_ctext"))
-    return cur.join(prev, on=F.col("_cpk") == F.col("_ppk"), how="full_outer")
 
 
 def issue_states(monitor: Monitor, current: DataFrame, previous: DataFrame) -> DataFrame:
     """H3: ``(state, pk, obj, text)`` for raised, existing and fixed issues.
 
     ``current`` comes from :func:`with_keys`; ``previous`` is the store
-    ``(monitor, pk, obj)``. Fixed issues are reported with the *stored*
-    object, formatted by the monitor from its JSON.
+    ``(monitor, pk, obj)`` with one row per key. Current rows are left-joined
+    to the stored keys (raised when unmatched, existing when matched): a key
+    repeated over a third of the current rows is on the streamed side, which
+    AQE's skew handling splits. Fixed issues are stored keys anti-joined with
+    the *distinct* current keys (collapsed map-side), reported with the
+    stored object, formatted by the monitor from its JSON.
     """
-    j = _joined(monitor, current, previous)
-    state = (F.when(F.col("_cpk").isNull(), F.lit("fixed"))
-              .when(F.col("_ppk").isNull(), F.lit("raised"))
-              .otherwise(F.lit("existing")))
-    stored = F.from_json(F.col("_pobj"), monitor.fields)
-    # monitor.text() refers to issue fields by name: expose the stored
-    # object's fields as columns so the same formatter serves fixed issues.
-    out = j.select(state.alias("state"), F.coalesce("_cpk", "_ppk").alias("pk"),
-                   F.when(F.col("_cpk").isNull(), F.col("_pobj")).otherwise(F.col("_cobj")).alias("obj"),
-                   F.col("_ctext"), stored.alias("_stored"))
-    stored_cols = out.select("*", "_stored.*").drop("_stored")
-    return stored_cols.select("state", "pk", "obj",
-                              F.when(F.col("state") == "fixed", monitor.text()).otherwise(F.col("_ctext")).alias("text"))
+    prev = _stored(monitor, previous)
+    cur = current.select("pk", "obj", "text")
+    matched = cur.join(prev.select("_ppk"), on=F.col("pk") == F.col("_ppk"), how="left")
+    live = matched.select(F.when(F.col("_ppk").isNull(), F.lit("raised")).otherwise(F.lit("existing")).alias("state"),
+                          "pk", "obj", "text")
+    gone = prev.join(cur.select(F.col("pk").alias("_ppk")).distinct(), on="_ppk", how="left_anti")
+    stored = gone.select(F.col("_ppk").alias("pk"), F.col("_pobj").alias("obj"),
+                         F.from_json(F.col("_pobj"), monitor.fields).alias("_o"))
+    # monitor.text() refers to issue fields by name: expose the stored fields
+    fixed = stored.select("pk", "obj", "_o.*").select(F.lit("fixed").alias("state"), "pk", "obj",
+                                                      monitor.text().alias("text"))
+    return live.unionByName(fixed)
 
 
 def next_snapshot(monitor: Monitor, current: DataFrame, previous: DataFrame) -> DataFrame:
     """A10 input: stored rows still current keep their first stored object;
     new keys are added once each (the smallest object text of a repeated
-    key). Same single join as :func:`issue_states`."""
-    j = _joined(monitor, current, previous).where(F.col("_cpk").isNotNull())
-    return (j.groupBy(F.col("_cpk").alias("pk"))
-            .agg(F.min(F.coalesce(F.col("_pobj"), F.col("_cobj"))).alias("obj"))
-            .select(F.lit(monitor.type).alias("monitor"), "pk", "obj"))
+    key). Current rows are reduced to one per key first (partial aggregate),
+    so the join has unique keys on both sides."""
+    keys = current.groupBy("pk").agg(F.min("obj").alias("_cobj"))
+    j = keys.join(_stored(monitor, previous), on=F.col("pk") == F.col("_ppk"), how="left")
+    return j.select(F.lit(monitor.type).alias("monitor"), "pk", F.coalesce("_pobj", "_cobj").alias("obj"))
 
 
 def state_counts(states: DataFrame) -> DataFrame:

@@ -144,7 +144,10 @@ IAM_MONITOR = monitors.IAM
 
 def _lifecycle_inputs(spark, d):
     """Current issues and the previous snapshot (in production a stored
-    table; here the issues of an earlier run over fewer customers)."""
+    table; here the issues of an earlier run over fewer customers). The
+    lifecycle reads each twice; both are small per-run sets here, so they
+    are recomputed (measured faster than writing them); a caller with large
+    issue sets passes materialized frames (``session.materialize``)."""
     current = iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_NOW, 11))
     prev_issues = iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_PREV_NOW, 7))
     previous = prev_issues.select(F.lit(IAM_MONITOR.type).alias("monitor"), "pk", "obj")
