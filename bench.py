@@ -29,7 +29,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or \
         [q for q in QUERIES if q not in STREAMING]
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus * 2, app_name="skywatch-bench",
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)), app_name="skywatch-bench",
                       extra={"spark.ui.showConsoleProgress": "false"})
     times: dict[str, float] = {}
     for name in names:

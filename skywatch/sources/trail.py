@@ -15,17 +15,25 @@ from skywatch import schemas
 
 
 def explode_records(docs: DataFrame) -> DataFrame:
-    """One row per record plus the path-derived fields."""
+    """One row per record plus the path-derived fields (NULL when the file
+    does not sit in the ``.../<org>/<account>/CloudTrail/<region>/<y>/<m>/<d>/``
+    layout)."""
     parts = F.split(F.col("_file"), "/")
-    n = F.size(parts)
+
+    def part(i: int):
+        return F.try_element_at(parts, F.lit(i))
+
+    in_layout = F.coalesce(part(-6) == "CloudTrail", F.lit(False))
+
+    def field(i: int):
+        return F.when(in_layout, part(i))
+
     return (docs
             .select(F.col("_metadata.file_path").alias("_file"), F.explode("Records").alias("r"))
             .select("r.*", F.col("_file").alias("trailFile"),
-                    F.try_element_at(parts, n - 7).alias("trailOrgId"),
-                    F.try_element_at(parts, n - 6).alias("trailAccountId"),
-                    F.try_element_at(parts, n - 4).alias("trailRegion"),
-                    F.concat_ws("-", F.try_element_at(parts, n - 3), F.try_element_at(parts, n - 2),
-                                F.try_element_at(parts, n - 1)).alias("trailDate")))
+                    field(-8).alias("trailOrgId"), field(-7).alias("trailAccountId"),
+                    field(-5).alias("trailRegion"),
+                    F.when(in_layout, F.concat_ws("-", part(-4), part(-3), part(-2))).alias("trailDate")))
 
 
 def read_audit_trail(spark: SparkSession, path: str | list[str]) -> DataFrame:
