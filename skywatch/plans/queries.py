@@ -3,6 +3,7 @@ a DataFrame over the whole driver tables. Oracle SQL: ``skywatch.plans.oracle``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from skywatch.operators import logins, rules, usage
 from skywatch.plans import accounts as monitors
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
-from skywatch.session import materialize
+from skywatch.session import materialize, prepare_session
 from skywatch.sources import logs, reports
 
 PARAMS = Params(now=sh.NOW, days=sh.DAYS, high_risk_countries=sh.HIGH_RISK, home_countries=sh.HOME,
@@ -269,6 +270,14 @@ def q_device_stream(spark: SparkSession, d: str) -> DataFrame:
     return run_device_state_stream(spark, d)
 
 
+def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(fn)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        prepare_session(spark)
+        return fn(spark, d)
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cdn_usage": q_cdn_usage,
     "object_usage": q_object_usage,
@@ -305,4 +314,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "login_stream": q_login_stream,
     "device_stream": q_device_stream,
 }
+QUERIES = {name: _prepared(fn) for name, fn in QUERIES.items()}
 

@@ -14,6 +14,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skywatch.session import default_parallelism
+
 NOW = dt.datetime(2024, 1, 17, 0, 0, 0)
 DAYS = 7
 ACCOUNTS = ["acct0", "acct1", "acct2"]
@@ -52,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     if df is None:
         df = _TABLES[key] = spark.read.parquet(path)
     if spread:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+        df = df.repartition(default_parallelism(spark))
     return df
 
 

@@ -67,17 +67,35 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect client."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (None if unset)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    return spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    return sc.getCheckpointDir() if sc is not None else None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -87,8 +105,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="skywatch-ckpt-", dir=os.environ.get("SKYWATCH_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    sc = _context(spark)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -109,3 +128,12 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Make a caller's session fit the library: dates are UTC midnights, and
+    scratch tables need a checkpoint folder (created only when unset)."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
