@@ -52,19 +52,20 @@ def strip_prefix(keys: DataFrame, col: str, prefix: str, fail_outside: bool = Tr
 
 def inventory_diff(remote: DataFrame, local: DataFrame, col: str = "path",
                    keep_remote: tuple[str, ...] = ("index.html",)) -> DataFrame:
-    """C6 (+F3, F4): one full outer join on the name -> ``action``.
+    """C6 (+F3, F4): which names to delete, upload or leave.
 
     ``delete`` = remote only (never the kept index page), ``upload`` = local
-    only, ``ignore`` = both. Names only; contents are not compared. Each side
-    is made distinct first (map-side), so a repeated name is one row.
+    only, ``ignore`` = both. Names only; contents are not compared. One
+    union and one aggregate per name (partial aggregation, a single
+    shuffle, no join): a name repeated many times is collapsed map-side.
     """
-    r = remote.select(F.col(col).alias("path")).distinct().withColumn("_r", F.lit(True))
-    l = local.select(F.col(col).alias("path")).distinct().withColumn("_l", F.lit(True))
-    j = r.join(l, on="path", how="full_outer")
+    r = remote.select(F.col(col).alias("path"), F.lit(True).alias("_r"), F.lit(False).alias("_l"))
+    l = local.select(F.col(col).alias("path"), F.lit(False).alias("_r"), F.lit(True).alias("_l"))
+    sides = r.unionByName(l).groupBy("path").agg(F.bool_or("_r").alias("_r"), F.bool_or("_l").alias("_l"))
     action = (F.when(F.col("_r") & F.col("_l"), F.lit("ignore"))
                .when(F.col("_l"), F.lit("upload"))
                .when(~F.col("path").isin(*keep_remote), F.lit("delete")))
-    return j.select("path", action.alias("action")).where(F.col("action").isNotNull())
+    return sides.select("path", action.alias("action")).where(F.col("action").isNotNull())
 
 
 def action_counts(diff: DataFrame) -> DataFrame:

@@ -74,3 +74,14 @@ def test_store_roundtrip(spark, tmp_path):
     assert v1 != v2
     assert sorted(r.pk for r in store.read_issues(spark, root, "uptime-checker").collect()) == ["b"]
     assert store.read_issues(spark, root, "other").count() == 1  # other monitors carried over
+
+
+def test_empty_sides(spark):
+    empty_cur = current(spark, [])
+    prev = stored(spark, [("a", "1")])
+    s = sorted((r.state, r.pk) for r in iss.issue_states(MON, empty_cur, prev).collect())
+    assert s == [("fixed", "a")]
+    assert iss.next_snapshot(MON, empty_cur, prev).count() == 0
+    no_prev = spark.createDataFrame([], "monitor string, pk string, obj string")
+    s2 = sorted((r.state, r.pk) for r in iss.issue_states(MON, current(spark, [("b", "x")]), no_prev).collect())
+    assert s2 == [("raised", "b")]

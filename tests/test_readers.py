@@ -141,3 +141,33 @@ def test_landed_logs_prune_by_date(spark, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
     assert [r.request_ip for r in q.collect()] == ["1.1.1.1"]
+
+
+def test_object_and_api_log_files(spark, tmp_path):
+    d = tmp_path / "logs" / "stk" / "bucketlog"
+    d.mkdir(parents=True)
+    (d / "2019-02-06-00-00-38-ABC").write_text(OBJ_FULL + "\n" + OBJ_SHORT + "\n")
+    df = logs.read_object_access_logs(spark, str(tmp_path / "logs" / "*" / "*"))
+    rows = {r.remoteip: r for r in df.collect()}
+    assert rows["192.0.2.3"].stackResourceName == "bucketlog" and rows["192.0.2.4"].errorcode == "AccessDenied"
+    a = tmp_path / "api" / "stk" / "apilog"
+    a.mkdir(parents=True)
+    (a / "part.json").write_text(json.dumps({"timestamp": "2024-01-12T10:00:00Z", "message": "1.2.3.4,GET /x,r1"}) + "\n")
+    api = logs.read_api_logs(spark, str(tmp_path / "api" / "*" / "*")).first()
+    assert (api.stackName, api.sourceIp, api.method, api.path) == ("stk", "1.2.3.4", "GET", "/x")
+
+
+def test_template_map_explode_and_stacks_reader(spark, tmp_path):
+    from skywatch import schemas
+    from skywatch.operators import rules
+    t = spark.createDataFrame([
+        ("tpl", {"B": ("AWS::S3::Bucket", "Retain", None, "{}", {"aws:cdk:path": "tpl/B"})}),
+        ("empty", {})], schemas.TEMPLATES)
+    res = rules.explode_template(t)
+    assert [(r.template, r.logicalId, r.Type) for r in res.collect()] == [("tpl", "B", "AWS::S3::Bucket")]
+    got = sorted(r.attribute for r in rules.template_violations(res).collect())
+    assert got == ["DeletionPolicy", "SSEAlgorithm"]  # a template without resources has no checks
+    p = tmp_path / "stacks.json"
+    p.write_text(json.dumps({"accountId": "a", "StackName": "s", "StackStatus": "CREATE_COMPLETE",
+                             "EnableTerminationProtection": True, "Outputs": None}) + "\n")
+    assert reports.read_stacks(spark, str(p)).first().EnableTerminationProtection is True
