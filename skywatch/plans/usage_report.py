@@ -69,16 +69,32 @@ def detail_lines(enriched: DataFrame) -> DataFrame:
 
 
 def render(lines: DataFrame) -> str:
-    """Assemble a *small* report's text on the driver (tests, previews).
+    """Assemble a *small* report's text on the driver (tests, previews), with
+    the reference's blank lines: after the heading, after the IP list (when
+    there is one), between title blocks, an empty body line when there is
+    no usage, and one before the errors.
 
     Production writes the ordered lines with
     :func:`skywatch.sources.sinks.write_report_lines` instead.
     """
-    rows = lines.orderBy("section", "title", "kind", "line").toLocalIterator()
-    out, prev = [], None
-    for r in rows:
-        if prev is not None and (r.section != prev.section or (r.section == 2 and r.title != prev.title)):
+    by_section: dict[int, list] = {}
+    for r in lines.orderBy("section", "title", "kind", "line").toLocalIterator():
+        by_section.setdefault(r.section, []).append(r)
+    out = [r.line for r in by_section.get(0, [])] + [""]
+    ips = [r.line for r in by_section.get(1, [])]
+    if ips:
+        out += ips + [""]
+    blocks = by_section.get(2, [])
+    if not blocks:
+        out.append("")  # the empty body still takes a line
+    prev_title = None
+    for r in blocks:
+        if prev_title is not None and r.title != prev_title:
             out.append("")
         out.append(r.line)
-        prev = r
+        prev_title = r.title
+    errors = [r.line for r in by_section.get(3, [])]
+    if errors:
+        out += [""] + errors
+    out += [r.line for r in by_section.get(4, [])]
     return "\n".join(out)

@@ -93,8 +93,8 @@ def test_empty_usage_report(spark):
     info = spark.createDataFrame([], "ip string, country string, countryCode string, region string, city string, org string")
     enriched = ur.usage_enriched(u, info, [], [])
     errors = spark.createDataFrame([], "name string, source string, type string, splitReportingByUrlRoot boolean")
-    assert ur.render(ur.report_lines(enriched, errors, 7)).splitlines() == [
-        "Usage info for the past 7 days:", "", "No usage found."]
+    assert ur.render(ur.report_lines(enriched, errors, 7)).split("\n") == [
+        "Usage info for the past 7 days:", "", "", "No usage found."]
 
 
 def test_risk_class_null_country_is_medium(spark):
