@@ -65,7 +65,10 @@ def login_alerts(spark: SparkSession, records: DataFrame, ip_ranges: list[str],
     re-read, instead of scanning the trail twice. A streaming micro-batch is
     persisted by its caller, which passes ``materialize_signins=False``.
     """
-    signins = signin_events(records)
+    # only the columns the alert needs travel on (and get written)
+    used = ["userIdentity", "additionalEventData", "eventName", "eventTime", "sourceIPAddress", "userAgent",
+            "recipientAccountId", "eventSource", "eventType", "responseElements"]
+    signins = signin_events(records).select(*dict.fromkeys([*used, *(keep or [])]))
     if materialize_signins:
         from skywatch.session import materialize
         signins = materialize(signins, "signins")
