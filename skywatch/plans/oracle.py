@@ -455,3 +455,6 @@ FROM events""",
 ORACLE["login_stream"] = ORACLE["login_alerts"]
 # The device-state stream's final state must equal the batch latest state.
 ORACLE["device_stream"] = ORACLE["device_latest"]
+# The file-based variants read what the shims wrote: same expected rows.
+ORACLE["cdn_usage_files"] = ORACLE["cdn_usage"]
+ORACLE["object_usage_files"] = ORACLE["object_usage"]

@@ -4,6 +4,7 @@ a DataFrame over the whole driver tables. Oracle SQL: ``skywatch.plans.oracle``.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from skywatch.operators import logins, rules, usage
 from skywatch.plans import accounts as monitors
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
-from skywatch.session import materialize, prepare_session
+from skywatch.session import materialize, prepare_session, scratch_path
 from skywatch.sources import logs, reports
 
 PARAMS = Params(now=sh.NOW, days=sh.DAYS, high_risk_countries=sh.HIGH_RISK, home_countries=sh.HOME,
@@ -32,6 +33,19 @@ def q_cdn_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage.cdn_usage(sh.cdn_logs(spark, d), START, END)
 
 
+def q_cdn_usage_files(spark: SparkSession, d: str) -> DataFrame:
+    """A1 end to end: the CDN shim written as gzip TSV files (two header lines
+    per resource), read back with the CSV reader, counted (D1)."""
+    base = sh.write_cdn_log_files(spark, d, scratch_path(spark, f"cdn_logs/{uuid.uuid4().hex}"))
+    return usage.cdn_usage(logs.read_cdn_logs(spark, base), START, END)
+
+
+def q_object_usage_files(spark: SparkSession, d: str) -> DataFrame:
+    """A2 end to end: log lines written as gzip text files, read and parsed."""
+    base = sh.write_object_log_files(spark, d, scratch_path(spark, f"object_logs/{uuid.uuid4().hex}"))
+    return usage.object_usage(logs.read_object_access_logs(spark, base), START, END)
+
+
 def _object_log(spark, d) -> DataFrame:
     return logs.parse_object_log(sh.object_log_lines(spark, d))
 
@@ -281,6 +295,8 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cdn_usage": q_cdn_usage,
     "object_usage": q_object_usage,
+    "cdn_usage_files": q_cdn_usage_files,
+    "object_usage_files": q_object_usage_files,
     "api_usage": q_api_usage,
     "usage_all": q_usage_all,
     "ip_risk": q_ip_risk,

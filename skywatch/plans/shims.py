@@ -354,3 +354,32 @@ def event_fields(spark, d) -> DataFrame:
         f"CASE WHEN event_id % 2 = 0 THEN array({f('type', 'event_type')}, {f('user', 'user_id')}, "
         f"{f('type', 'upper(event_type)')}) ELSE array({f('type', 'event_type')}, {f('user', 'user_id')}) END "
         "AS fields")
+
+
+# ------------------------------------------------------------------ log files written from the shims
+
+CDN_HEADER = ["#Version: 1.0", "#Fields: date time x-edge-location sc-bytes c-ip cs-method ..."]
+
+
+def write_cdn_log_files(spark, d, base: str) -> str:
+    """Write the CDN shim as gzip TSV files laid out ``<base>/<stack>/<resource>/``
+    with the two ``#`` header lines per resource, as the CDN delivers them."""
+    rows = cdn_logs(spark, d)
+    cols = [f.name for f in __import__("skywatch.schemas", fromlist=["CDN_LOG"]).CDN_LOG.fields]
+    have = set(rows.columns)
+    # a NULL cell is written empty (read back as NULL); fields the shim has no
+    # value for are '-', as in delivered logs
+    cells = [f"coalesce(CAST(`{c}` AS STRING), '')" if c in have else "'-'" for c in cols]
+    lines = rows.selectExpr("stackName", "stackResourceName", f"concat_ws('\t', {', '.join(cells)}) AS value")
+    heads = (rows.select("stackName", "stackResourceName").distinct()
+             .selectExpr("stackName", "stackResourceName", f"explode(array({', '.join(repr(h) for h in CDN_HEADER)})) AS value"))
+    (heads.unionByName(lines).write.mode("overwrite").option("compression", "gzip")
+     .partitionBy("stackName", "stackResourceName").text(base))
+    return base
+
+
+def write_object_log_files(spark, d, base: str) -> str:
+    """Write the object-log shim lines as gzip text files per stack/resource."""
+    (object_log_lines(spark, d).write.mode("overwrite").option("compression", "gzip")
+     .partitionBy("stackName", "stackResourceName").text(base))
+    return base

@@ -33,10 +33,14 @@ _SEP = "\u0001"
 
 
 def path_parts(df: DataFrame) -> DataFrame:
-    """Add ``stackName`` and ``stackResourceName`` from ``.../<stack>/<resource>/<file>``."""
+    """Add ``stackName`` and ``stackResourceName`` from ``.../<stack>/<resource>/<file>``
+    (a ``key=`` prefix, as in Hive-style directories, is dropped)."""
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return (df.withColumn("stackName", F.try_element_at(parts, F.lit(-3)))
-              .withColumn("stackResourceName", F.try_element_at(parts, F.lit(-2))))
+
+    def name(i: int) -> Column:
+        return F.regexp_replace(F.try_element_at(parts, F.lit(i)), "^[^=/]*=", "")
+
+    return df.withColumn("stackName", name(-3)).withColumn("stackResourceName", name(-2))
 
 
 def read_cdn_logs(spark: SparkSession, path: str | list[str], with_path: bool = True) -> DataFrame:
@@ -48,7 +52,7 @@ def read_cdn_logs(spark: SparkSession, path: str | list[str], with_path: bool =
     """
     df = (spark.read.schema(schemas.CDN_LOG)
           .option("sep", "\t").option("comment", "#").option("header", False)
-          .option("mode", "PERMISSIVE")
+          .option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
           .csv(path))
     return path_parts(df) if with_path else df
 
@@ -98,7 +102,7 @@ def parse_object_log(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
 def read_object_access_logs(spark: SparkSession, path: str | list[str], with_path: bool = True) -> DataFrame:
     """A2 over files: ``spark.read.text`` then :func:`parse_object_log`."""
-    df = spark.read.text(path)
+    df = spark.read.option("recursiveFileLookup", True).text(path)
     if with_path:
         df = path_parts(df)
     return parse_object_log(df)
