@@ -458,3 +458,7 @@ ORACLE["device_stream"] = ORACLE["device_latest"]
 # The file-based variants read what the shims wrote: same expected rows.
 ORACLE["cdn_usage_files"] = ORACLE["cdn_usage"]
 ORACLE["object_usage_files"] = ORACLE["object_usage"]
+ORACLE["login_alerts_files"] = ORACLE["login_alerts"]
+ORACLE["cred_rules_files"] = ORACLE["cred_rules"]
+ORACLE["drift_status_files"] = ORACLE["drift_status"]
+ORACLE["device_issues_files"] = ORACLE["device_issues"]

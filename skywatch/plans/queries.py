@@ -20,7 +20,7 @@ from skywatch.plans import accounts as monitors
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
 from skywatch.session import materialize, prepare_session, scratch_path
-from skywatch.sources import logs, reports
+from skywatch.sources import logs, reports, trail
 
 PARAMS = Params(now=sh.NOW, days=sh.DAYS, high_risk_countries=sh.HIGH_RISK, home_countries=sh.HOME,
                 ip_ranges=sh.IP_RANGES, accounts=sh.ACCOUNTS, max_credential_age=sh.MAX_AGE)
@@ -46,6 +46,39 @@ def q_object_usage_files(spark: SparkSession, d: str) -> DataFrame:
     return usage.object_usage(logs.read_object_access_logs(spark, base), START, END)
 
 
+def _scratch(spark, name: str) -> str:
+    return scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+
+
+def q_login_alerts_files(spark: SparkSession, d: str) -> DataFrame:
+    """A4 end to end: trail documents written as gzip JSON, read back, alerted."""
+    base = sh.write_trail_files(spark, d, _scratch(spark, "trail"))
+    recs = trail.read_audit_trail(spark, base, multi_line=False)
+    return flatten_alerts(logins.login_alerts(spark, recs, PARAMS.ip_ranges, keep=["eventID"]))
+
+
+def q_cred_rules_files(spark: SparkSession, d: str) -> DataFrame:
+    """A5 end to end: one credential CSV per account folder, read back, checked."""
+    base = sh.write_credential_reports(spark, d, _scratch(spark, "credential_reports"), 11)
+    rep = reports.read_credential_report(spark, base)
+    out = rules.credential_issues(rep, sh.accounts(spark, d), sh.CRED_NOW, PARAMS.max_credential_age)
+    return out.withColumn("text", rules.credential_issue_text())
+
+
+def q_drift_status_files(spark: SparkSession, d: str) -> DataFrame:
+    """A7 end to end: drift summaries and resource drifts as JSON files in the
+    reader's schema (keyed by stack name), read back, evaluated."""
+    base = sh.write_drift_results(spark, d, _scratch(spark, "drift"))
+    stacks, drifts = reports.read_drift_results(spark, f"{base}/stacks", f"{base}/drifts")
+    return drf.drift_status(stacks, drifts, keys=["StackName"])
+
+
+def q_device_issues_files(spark: SparkSession, d: str) -> DataFrame:
+    """A8 end to end: device search documents, read back, checked."""
+    base = sh.write_device_searches(spark, d, _scratch(spark, "devices"))
+    return dev.disconnected_devices(reports.read_devices(spark, base))
+
+
 def _object_log(spark, d) -> DataFrame:
     return logs.parse_object_log(sh.object_log_lines(spark, d))
 
@@ -307,9 +340,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_range_guard": q_log_range_guard,
     "login_filter": q_login_filter,
     "login_alerts": q_login_alerts,
+    "login_alerts_files": q_login_alerts_files,
     "cred_rules": q_cred_rules,
+    "cred_rules_files": q_cred_rules_files,
     "drift_status": q_drift_status,
+    "drift_status_files": q_drift_status_files,
     "device_issues": q_device_issues,
+    "device_issues_files": q_device_issues_files,
     "device_latest": q_device_latest,
     "issue_states": q_issue_states,
     "issue_snapshot": q_issue_snapshot,

@@ -383,3 +383,40 @@ def write_object_log_files(spark, d, base: str) -> str:
     (object_log_lines(spark, d).write.mode("overwrite").option("compression", "gzip")
      .partitionBy("stackName", "stackResourceName").text(base))
     return base
+
+
+def write_trail_files(spark, d, base: str, records_per_file: int = 250) -> str:
+    """Trail documents (bounded groups of records) as gzip JSON lines."""
+    recs = trail_records(spark, d)
+    docs = (recs.withColumn("doc", F.floor(F.col("eventID").cast("bigint") / records_per_file))
+            .groupBy("doc").agg(F.collect_list(F.struct(*recs.columns)).alias("Records")))
+    docs.select("Records").write.mode("overwrite").option("compression", "gzip").json(base)
+    return base
+
+
+def write_credential_reports(spark, d, base: str, exclude_mod: int | None = None) -> str:
+    """One credential-report CSV (with header) per account folder."""
+    (credential_report(spark, d, exclude_mod)
+     .write.mode("overwrite").option("header", True).partitionBy("accountId").csv(base))
+    return base
+
+
+def write_drift_results(spark, d, base: str) -> str:
+    """Stack drift summaries and resource drifts as JSON lines, in the
+    reader's schema: resource drifts carry the stack *name*."""
+    drift_stacks(spark, d).drop("stackKey").write.mode("overwrite").json(f"{base}/stacks")
+    (resource_drifts(spark, d).selectExpr("concat('stack', stackKey) AS StackName", "LogicalResourceId",
+                                          "ResourceType", "StackResourceDriftStatus", "PropertyDifferences")
+     .write.mode("overwrite").json(f"{base}/drifts"))
+    return base
+
+
+def write_device_searches(spark, d, base: str, things_per_file: int = 20) -> str:
+    """Device search results ``{"things": [...]}``, one bounded document per file."""
+    dv = table(spark, d, "supplier").select(
+        F.floor(F.col("s_suppkey") / things_per_file).alias("page"), "s_suppkey")
+    docs = (devices(spark, d).join(dv.selectExpr("page", "concat('thing', s_suppkey) AS thingName"), "thingName")
+            .groupBy("page").agg(F.collect_list(F.struct("thingName", "thingId", "thingGroupNames",
+                                                         "connectivity")).alias("things")))
+    docs.write.mode("overwrite").partitionBy("page").json(base)
+    return base

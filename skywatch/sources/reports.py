@@ -15,9 +15,19 @@ from skywatch.functions.scalars import safe_table_name
 
 
 def read_credential_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A5: credential report CSV (header, all text) + ``accountId`` from ``.../<account>/<file>``."""
-    df = (spark.read.schema(schemas.CREDENTIAL_REPORT).option("header", True).csv(path))
-    return df.withColumn("accountId", F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2)))
+    """A5: credential report CSV -> all-text rows + ``accountId`` from
+    ``.../<account>/<file>`` (a ``key=`` folder prefix is dropped).
+
+    Columns are matched by the header *names* (as the reference's CSV parser
+    does), not by position: the report has more columns than the checks use,
+    and their set has grown over time. No type inference: every cell stays
+    text; columns a report lacks come back NULL.
+    """
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+    have = set(raw.columns)
+    cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in schemas.CREDENTIAL_COLUMNS]
+    folder = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
+    return raw.select(*cols, F.regexp_replace(folder, "^[^=/]*=", "").alias("accountId"))
 
 
 def read_stacks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -59,15 +69,16 @@ def route_resources(resources: DataFrame) -> DataFrame:
 
 def read_drift_results(spark: SparkSession, stack_path, resource_path) -> tuple[DataFrame, DataFrame]:
     """Stack drift summaries and MODIFIED resource drifts (JSON lines)."""
-    stacks = spark.read.schema(schemas.STACK_DRIFT).json(stack_path)
-    drifts = (spark.read.schema(schemas.RESOURCE_DRIFT).json(resource_path)
+    stacks = spark.read.schema(schemas.STACK_DRIFT).option("recursiveFileLookup", True).json(stack_path)
+    drifts = (spark.read.schema(schemas.RESOURCE_DRIFT).option("recursiveFileLookup", True).json(resource_path)
               .where(F.col("StackResourceDriftStatus") == "MODIFIED"))
     return stacks, drifts
 
 
 def read_devices(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Device search results ``{"things": [...]}`` -> one row per device."""
-    docs = spark.read.schema(schemas.DEVICE_SEARCH).option("multiLine", True).json(path)
+    docs = (spark.read.schema(schemas.DEVICE_SEARCH).option("multiLine", True)
+            .option("recursiveFileLookup", True).json(path))
     return docs.select(F.explode("things").alias("t")).select("t.*")
 
 

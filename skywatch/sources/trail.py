@@ -36,7 +36,12 @@ def explode_records(docs: DataFrame) -> DataFrame:
                     F.when(in_layout, F.concat_ws("-", part(-4), part(-3), part(-2))).alias("trailDate")))
 
 
-def read_audit_trail(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A4: read trail documents with the explicit schema and explode ``Records``."""
-    docs = spark.read.schema(schemas.TRAIL_FILE).option("multiLine", True).json(path)
+def read_audit_trail(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """A4: read trail documents with the explicit schema and explode ``Records``.
+
+    ``multi_line=True`` reads each file as one (possibly pretty-printed)
+    document, as delivered; ``False`` reads one compact document per line.
+    """
+    docs = (spark.read.schema(schemas.TRAIL_FILE).option("multiLine", multi_line)
+            .option("recursiveFileLookup", True).json(path))
     return explode_records(docs)

@@ -171,3 +171,12 @@ def test_template_map_explode_and_stacks_reader(spark, tmp_path):
     p.write_text(json.dumps({"accountId": "a", "StackName": "s", "StackStatus": "CREATE_COMPLETE",
                              "EnableTerminationProtection": True, "Outputs": None}) + "\n")
     assert reports.read_stacks(spark, str(p)).first().EnableTerminationProtection is True
+
+
+def test_credential_report_by_header_names(spark, tmp_path):
+    d = tmp_path / "r" / "accountId=111"
+    d.mkdir(parents=True)
+    (d / "a.csv").write_text("arn,user,mfa_active,cert_1_active,password_enabled\narn:x,bob,false,false,true\n")
+    r = reports.read_credential_report(spark, str(tmp_path / "r")).first()
+    assert (r.accountId, r.user, r.arn, r.mfa_active, r.password_enabled) == ("111", "bob", "arn:x", "false", "true")
+    assert r.access_key_1_active is None  # absent column -> NULL
