@@ -60,3 +60,40 @@ UPTIME = iss.Monitor(
                                                    "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("[unknown]")),
                           F.lit("'")),
     pk=lambda: F.col("thingName"))
+
+
+def run_monitor(spark, monitor: iss.Monitor, current: DataFrame, store_root: str, sink_root: str,
+                today, invocation_id: str) -> dict[str, int]:
+    """One posture-check run for any monitor.
+
+    Keys the current issues (G9), diffs them with the stored snapshot (H3),
+    writes the next snapshot as a new version only when something was
+    raised or fixed (A10: no write otherwise), writes the message lines and
+    a notification when H4 says so, and only then moves the store pointer:
+    a run that fails before the end leaves the store as it was and can be
+    repeated. The message is written as ordered lines next to the
+    notification row (subject + counts), never gathered into one string.
+    Returns the state counts (three small rows, D6).
+    """
+    from skywatch.session import materialize
+    from skywatch.sources import sinks, store
+
+    previous = store.read_issues(spark, store_root, monitor.type)
+    keyed = iss.with_keys(monitor, current)
+    states = materialize(iss.issue_states(monitor, keyed, previous), f"{monitor.type}-states")
+    counts = {r.state: r.n for r in iss.state_counts(states).collect()}
+    version = None
+    if counts["raised"] or counts["fixed"]:
+        version = store.write_snapshot(spark, store_root, iss.next_snapshot(monitor, keyed, previous),
+                                       monitors=[monitor.type], commit=False)
+    if iss.should_notify(spark.createDataFrame([(k, v) for k, v in counts.items()], "state string, n bigint"),
+                         today).first().notify:
+        out = f"{sink_root.rstrip('/')}/messages/{invocation_id}"
+        sinks.write_report_lines(iss.message_lines(monitor, states), out, ["section", "kind", "line"])
+        summary = (f"{monitor.label} issues found: {counts['raised']} raised, {counts['existing']} existing, "
+                   f"{counts['fixed']} resolved. Message: {out}")
+        sinks.write_notifications(sinks.notification(spark, f"AWS account {monitor.label} alert", summary,
+                                                     invocation_id), f"{sink_root.rstrip('/')}/notifications")
+    if version is not None:
+        store.commit_version(spark, store_root, version)
+    return counts

@@ -45,8 +45,10 @@ def read_issues(spark: SparkSession, root: str, monitor: str | None = None) -> D
     return df.where(F.col("monitor") == monitor) if monitor else df
 
 
-def write_snapshot(spark: SparkSession, root: str, snapshot: DataFrame, monitors: list[str] | None = None) -> str:
-    """A10: write ``snapshot (monitor, pk, obj)`` as a new version and move the pointer.
+def write_snapshot(spark: SparkSession, root: str, snapshot: DataFrame, monitors: list[str] | None = None,
+                   commit: bool = True) -> str:
+    """A10: write ``snapshot (monitor, pk, obj)`` as a new version and (unless
+    ``commit=False``) move the pointer to it.
 
     Monitors not in ``monitors`` are carried over from the previous version,
     so each monitor can be updated on its own.
@@ -61,6 +63,12 @@ def write_snapshot(spark: SparkSession, root: str, snapshot: DataFrame, monitors
     (snapshot.select("monitor", "pk", "obj")
      .write.mode("overwrite").partitionBy("monitor")
      .parquet(f"{root.rstrip('/')}/{version}"))
-    _write_pointer(spark, root, version)
+    if commit:
+        _write_pointer(spark, root, version)
     return version
 
+
+def commit_version(spark: SparkSession, root: str, version: str) -> None:
+    """Make a written version current (the last step of a run)."""
+    _write_pointer(spark, root, version)
+

@@ -90,3 +90,27 @@ def test_other_monitors(spark):
     got = sorted((r.state, r.text) for r in issues.issue_states(accounts.UPTIME, keyed, prev).collect())
     assert got == [("fixed", "t2 (i2) was disconnected since [unknown]'"),
                    ("raised", "t1 (i1) was disconnected since 2023-11-14T22:13:20.000Z'")]
+
+
+def test_monitor_runs_update_store_and_notify(spark, tmp_path):
+    from skywatch.sources import store
+    root, sink = str(tmp_path / "store"), str(tmp_path / "sink")
+    things = lambda rows: spark.createDataFrame(rows, "thingName string, thingId string, timestamp bigint")
+    thursday = dt.date(2024, 1, 18)
+    c1 = accounts.run_monitor(spark, accounts.UPTIME, things([("t1", "i1", 1), ("t2", "i2", None)]), root, sink,
+                              thursday, "run-1")
+    assert c1 == {"raised": 2, "existing": 0, "fixed": 0}
+    v1 = store._read_pointer(spark, root)
+    # nothing changed on the next run: no new version, no message on a Thursday
+    c2 = accounts.run_monitor(spark, accounts.UPTIME, things([("t1", "i1", 1), ("t2", "i2", None)]), root, sink,
+                              thursday, "run-2")
+    assert c2 == {"raised": 0, "existing": 2, "fixed": 0} and store._read_pointer(spark, root) == v1
+    c3 = accounts.run_monitor(spark, accounts.UPTIME, things([("t1", "i1", 1)]), root, sink, thursday, "run-3")
+    assert c3 == {"raised": 0, "existing": 1, "fixed": 1}
+    assert [r.pk for r in store.read_issues(spark, root, "uptime-checker").collect()] == ["t1"]
+    notes = {r.invocation_id: r.message for r in spark.read.json(f"{sink}/notifications").collect()}
+    assert set(notes) == {"run-1", "run-3"} and "1 resolved" in notes["run-3"]
+    msg = "".join(open(f).read() for f in sorted((tmp_path / "sink" / "messages" / "run-3").glob("part-*")))
+    assert msg.splitlines() == ["uptime issues found.", "No newly raised issues.", "previously raised issues:",
+                                "t1 (i1) was disconnected since 1970-01-01T00:00:00.001Z'", "issues resolved:",
+                                "t2 (i2) was disconnected since [unknown]'"]
