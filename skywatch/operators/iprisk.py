@@ -152,7 +152,8 @@ def _in_ranges_expr(parsed, ipn: Column, bits: Column) -> Column:
     return out
 
 
-def allowed_addresses(spark: SparkSession, addresses: DataFrame, ranges: list[str]) -> DataFrame:
+def allowed_addresses(spark: SparkSession, addresses: DataFrame, ranges: list[str],
+                      literal_limit: int = LITERAL_RANGE_LIMIT) -> DataFrame:
     """Distinct addresses (column ``ip``) that fall in at least one range.
 
     Each distinct address is normalised once: dotted IPv4 by expressions,
@@ -173,9 +174,11 @@ def allowed_addresses(spark: SparkSession, addresses: DataFrame, ranges: list[st
     ips = (ips.where(~colon).select("ip", F.col("ip").alias("v4"), F.lit(None).cast("string").alias("h"))
            .unionByName(with_colon)
            .select("ip", ipv4_to_long(F.col("v4")).alias("n"), "h"))
-    if len(parsed) <= LITERAL_RANGE_LIMIT:
+    if len(parsed) <= literal_limit:
         return ips.where(_in_ranges_expr(parsed, F.col("n"), F.col("h"))).select("ip")
     rdf = spark.createDataFrame(parsed, "version int, plen int, net string").distinct()
+    # the range table's size is the length of the driver-side list
+    rdf = F.broadcast(rdf) if len(parsed) <= 1_000_000 else rdf
     parts = []
     v4_lens = sorted({p for v, p, _ in parsed if v == 4})
     if v4_lens:
@@ -195,7 +198,8 @@ def allowed_addresses(spark: SparkSession, addresses: DataFrame, ranges: list[st
     return keyed.join(rdf, on=["version", "plen", "net"], how="left_semi").select("ip").distinct()
 
 
-def outside_ranges(spark: SparkSession, df: DataFrame, ip_col: str, ranges: list[str]) -> DataFrame:
+def outside_ranges(spark: SparkSession, df: DataFrame, ip_col: str, ranges: list[str],
+                   literal_limit: int = LITERAL_RANGE_LIMIT) -> DataFrame:
     """Keep rows whose address is in none of the ranges.
 
     Invalid text (a service host name) is in no range, so it is kept
@@ -209,11 +213,12 @@ def outside_ranges(spark: SparkSession, df: DataFrame, ip_col: str, ranges: list
         return df
     ip = F.col(ip_col)
     colon = F.coalesce(ip.contains(":"), F.lit(False))
-    if len(parsed) > LITERAL_RANGE_LIMIT:
-        allowed = allowed_addresses(spark, df.select(ip.alias("ip")), ranges).withColumnRenamed("ip", "_allowed_ip")
+    if len(parsed) > literal_limit:
+        allowed = (allowed_addresses(spark, df.select(ip.alias("ip")), ranges, literal_limit)
+                   .withColumnRenamed("ip", "_allowed_ip"))
         return df.join(allowed, on=ip == F.col("_allowed_ip"), how="left_anti")
     plain_ok = _in_ranges_expr(parsed, ipv4_to_long(ip), F.lit(None).cast("string"))
     kept = df.where(colon | ~plain_ok)
-    allowed_colon = (allowed_addresses(spark, df.where(colon).select(ip.alias("ip")), ranges)
+    allowed_colon = (allowed_addresses(spark, df.where(colon).select(ip.alias("ip")), ranges, literal_limit)
                      .withColumnRenamed("ip", "_allowed_ip"))
     return kept.join(allowed_colon, on=ip == F.col("_allowed_ip"), how="left_anti")

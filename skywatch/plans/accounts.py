@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from skywatch.operators import issues as iss
+from skywatch.operators.joins import broadcast_literal_rows
 from skywatch.operators import rules
 
 Check = Callable[[DataFrame], DataFrame]
@@ -29,7 +30,8 @@ def run_account_check(inputs: DataFrame, check: Check, summarise: Check | None =
     per-account check to all of them at once, then the summary."""
     if accounts is not None:
         spark = inputs.sparkSession
-        scope = F.broadcast(spark.createDataFrame([(a,) for a in accounts], f"{account_col} string"))
+        scope = broadcast_literal_rows(spark.createDataFrame([(a,) for a in accounts], f"{account_col} string"),
+                                       len(accounts))
         inputs = inputs.join(scope, on=account_col, how="left_semi")
     out = inputs.transform(check)
     return out.transform(summarise) if summarise else out

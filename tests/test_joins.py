@@ -1,0 +1,21 @@
+"""Join helpers: salted join equals the plain join; bounded broadcast only under its bound."""
+
+from skywatch.operators import joins
+
+
+def test_salted_join_equals_plain_join(spark):
+    big = spark.createDataFrame([("hot", i) for i in range(2000)] + [("cold", 1)], "k string, v int")
+    small = spark.createDataFrame([("hot", "H"), ("cold", "C")], "k string, name string")
+    plain = sorted(tuple(r) for r in big.join(small, "k").collect())
+    salted = sorted(tuple(r) for r in joins.salted_join(big, small, ["k"], buckets=8).collect())
+    assert plain == salted
+
+
+def test_bounded_broadcast(spark):
+    small = spark.range(10)
+    big = spark.range(1000)
+    j1 = spark.range(5).join(joins.bounded_broadcast(small, max_rows=100), "id")
+    j2 = spark.range(5).join(joins.bounded_broadcast(big, max_rows=100), "id")
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert hinted(j1) and not hinted(j2)
+    assert j1.count() == 5 and j2.count() == 5

@@ -57,3 +57,15 @@ def test_address_kinds(spark):
 def test_empty_allowlist_flags_everything(spark):
     rows = [rec(1, ip="10.0.0.5"), rec(2, ip="1.1.1.1")]
     assert ids(logins.login_alerts(spark, frame(spark, rows), [], keep=["eventID"])) == [1, 2]
+
+
+def test_long_range_list_join_path_matches_literal_path(spark):
+    from skywatch.operators.iprisk import outside_ranges
+    ips = ["10.0.0.5", "10.0.1.5", "192.168.7.9", "2001:db8::5", "2001:db8::1:5", "::ffff:10.0.0.7", "bad", None,
+           "172.16.3.4", "8.8.8.8"]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "id int, ip string")
+    ranges = ["10.0.0.0/24", "2001:db8::/112", "192.168.7.9", "172.16.0.0/12"] + [f"100.64.{i}.0/24" for i in range(40)]
+    literal = sorted(r.id for r in outside_ranges(spark, df, "ip", ranges).collect())
+    joined = sorted(r.id for r in outside_ranges(spark, df, "ip", ranges, literal_limit=5).collect())
+    # flagged: out-of-range IPv4, IPv6 outside the /112, junk, NULL, 8.8.8.8
+    assert literal == joined == [1, 4, 6, 7, 9]
