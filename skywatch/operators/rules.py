@@ -1,9 +1,9 @@
 """Declarative rule engine (B22) and the rule sets built on it.
 
 Credential rules (B15-B21) and template policies (B35-B38). A rule is a
-``Rule`` of Column expressions; :func:`assert_rules` evaluates all of them in
-one pass over the input (an array of structs, filtered and inlined), so N
-rules cost one scan and no union.
+``Rule`` of SQL expressions; :func:`assert_rules` evaluates all of them in
+one pass over the input (an array of structs, filtered and exploded), so N
+rules cost one scan, one projection and no union.
 """
 
 from __future__ import annotations
@@ -14,65 +14,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skywatch import config
-from skywatch.functions.scalars import age_in_days, parse_js_date
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Emit an issue when ``applies`` and ``fails`` are both true."""
+    """Emit an issue when ``applies`` and ``fails`` are both true.
 
-    applies: Column
-    resource: Column
+    Every part is a Spark SQL expression over the input row (text, as a user
+    writes a predicate): all rules of a set compile into ONE projection.
+    ``attribute`` is a plain name; ``fails`` defaults to "expected differs
+    from actual" (a missing actual differs).
+    """
+
+    applies: str
+    resource: str
     attribute: str
-    expected: Column
-    actual: Column
-    fails: Column | None = None  # default: expected differs from actual (NULL actual differs)
+    expected: str
+    actual: str
+    fails: str | None = None
 
-    def as_struct(self) -> Column:
-        fails = self.fails if self.fails is not None else ~self.expected.eqNullSafe(self.actual)
-        fire = F.coalesce(self.applies & fails, F.lit(False))
-        return F.named_struct(
-            F.lit("fire"), fire,
-            F.lit("resource"), self.resource.cast("string"),
-            F.lit("attribute"), F.lit(self.attribute),
-            F.lit("expected"), self.expected.cast("string"),
-            F.lit("actual"), self.actual.cast("string"))
+    def as_sql(self) -> str:
+        fails = self.fails if self.fails is not None else f"NOT (({self.expected}) <=> ({self.actual}))"
+        return ("named_struct("
+                f"'fire', coalesce(({self.applies}) AND ({fails}), false), "
+                f"'resource', CAST({self.resource} AS STRING), "
+                f"'attribute', '{self.attribute}', "
+                f"'expected', CAST({self.expected} AS STRING), "
+                f"'actual', CAST({self.actual} AS STRING))")
 
 
 def assert_rules(df: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
-    """``keep`` columns + ``resource, attribute, expected, actual`` per failed rule."""
-    arr = F.array(*[r.as_struct() for r in rules])
-    fired = F.filter(arr, lambda x: x["fire"])
-    return (df.select(*keep, F.explode(fired).alias("i"))
-              .select(*keep, "i.resource", "i.attribute", "i.expected", "i.actual"))
+    """``keep`` columns + ``resource, attribute, expected, actual`` per failed rule.
+
+    One pass: an array of one struct per rule, filtered to the failed ones
+    and exploded -- no union of per-rule scans.
+    """
+    arr = "array(" + ", ".join(r.as_sql() for r in rules) + ")"
+    kept = [f"`{k}`" for k in keep]
+    return (df.selectExpr(*kept, f"explode(filter({arr}, x -> x.fire)) AS i")
+              .selectExpr(*kept, "i.resource", "i.attribute", "i.expected", "i.actual"))
 
 
 # ------------------------------------------------------------------ credentials
 
-def _is_true(c: str) -> Column:
-    return F.col(c) == "true"
+# JavaScript-compatible parse of the report's dates and Math.round of days.
+_DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd"]
+
+
+def _age_sql(now, col: str) -> str:
+    parsed = "coalesce(" + ", ".join(f'try_to_timestamp({col}, "{f}")' for f in _DATE_FORMATS) + ")"
+    now_sql = f"TIMESTAMP '{now:%Y-%m-%d %H:%M:%S}'"
+    return f"CAST(floor((unix_micros({now_sql}) - unix_micros({parsed})) / 86400000000.0 + 0.5) AS BIGINT)"
 
 
 def credential_rules(now, max_age: int) -> list[Rule]:
     """B17-B21 over credential-report rows (B15 splits root from the rest)."""
-    root = F.col("user") == config.ROOT_USER
-    nonroot = ~root
-    arn = F.col("arn")
+    root = f"`user` = '{config.ROOT_USER}'"
+    nonroot = f"NOT ({root})"
     rules = [
-        Rule(root, arn, "access_key_1_active", F.lit("false"), F.col("access_key_1_active")),
-        Rule(root, arn, "access_key_2_active", F.lit("false"), F.col("access_key_2_active")),
-        Rule(root, arn, "mfa_active", F.lit("true"), F.col("mfa_active")),
-        Rule(nonroot & _is_true("password_enabled"), arn, "mfa_active", F.lit("true"), F.col("mfa_active")),
+        Rule(root, "arn", "access_key_1_active", "'false'", "access_key_1_active"),
+        Rule(root, "arn", "access_key_2_active", "'false'", "access_key_2_active"),
+        Rule(root, "arn", "mfa_active", "'true'", "mfa_active"),
+        Rule(f"{nonroot} AND password_enabled = 'true'", "arn", "mfa_active", "'true'", "mfa_active"),
     ]
-    now_c = F.lit(now).cast("timestamp")
-    expected = F.lit(f"less than {max_age} days ago")
+    expected = f"'less than {int(max_age)} days ago'"
     for enabled, attr in [("password_enabled", "password_last_changed"),
                           ("access_key_1_active", "access_key_1_last_rotated"),
                           ("access_key_2_active", "access_key_2_last_rotated")]:
-        age = age_in_days(now_c, parse_js_date(F.col(attr)))
-        rules.append(Rule(nonroot & _is_true(enabled), arn, attr, expected,
-                          F.coalesce(age.cast("string"), F.lit("NaN")),
-                          fails=age.isNull() | (age >= F.lit(max_age))))
+        age = _age_sql(now, attr)
+        rules.append(Rule(f"{nonroot} AND {enabled} = 'true'", "arn", attr, expected,
+                          f"coalesce(CAST({age} AS STRING), 'NaN')",
+                          fails=f"{age} IS NULL OR {age} >= {int(max_age)}"))
     return rules
 
 
@@ -111,21 +123,18 @@ _SSE = "array<struct<ServerSideEncryptionByDefault:struct<SSEAlgorithm:string>>>
 def template_rules() -> list[Rule]:
     """B35-B37 per resource row ``(template, logicalId, Type, DeletionPolicy,
     UpdateReplacePolicy, Properties)``; ``Properties`` is JSON text parsed as VARIANT."""
-    props = F.try_parse_json(F.col("Properties"))
-    desc = F.try_variant_get(props, "$.Description", "string")
-    sse = F.try_variant_get(props, "$.BucketEncryption.ServerSideEncryptionConfiguration", _SSE)
-    encrypted = F.exists(sse, lambda x: x["ServerSideEncryptionByDefault"]["SSEAlgorithm"] == "AES256")
-    lid = F.col("logicalId")
-    every = F.lit(True)
+    desc = "try_variant_get(try_parse_json(Properties), '$.Description', 'string')"
+    sse = f"try_variant_get(try_parse_json(Properties), '$.BucketEncryption.ServerSideEncryptionConfiguration', '{_SSE}')"
+    encrypted = f"exists({sse}, x -> x.ServerSideEncryptionByDefault.SSEAlgorithm = 'AES256')"
     return [
-        Rule(every, lid, "DeletionPolicy", F.lit("Delete"), F.col("DeletionPolicy"),
-             fails=~(F.col("DeletionPolicy").isNull() | (F.col("DeletionPolicy") == "Delete"))),
-        Rule(every, lid, "UpdateReplacePolicy", F.lit("Delete"), F.col("UpdateReplacePolicy"),
-             fails=~(F.col("UpdateReplacePolicy").isNull() | (F.col("UpdateReplacePolicy") == "Delete"))),
-        Rule(F.col("Type") == "AWS::IAM::ManagedPolicy", lid, "Description", F.lit(".+"), desc,
-             fails=~F.coalesce(desc.rlike(".+"), F.lit(False))),
-        Rule(F.col("Type") == "AWS::S3::Bucket", lid, "SSEAlgorithm", F.lit("AES256"),
-             F.to_json(sse), fails=~F.coalesce(encrypted, F.lit(False))),
+        Rule("true", "logicalId", "DeletionPolicy", "'Delete'", "DeletionPolicy",
+             fails="NOT (DeletionPolicy IS NULL OR DeletionPolicy = 'Delete')"),
+        Rule("true", "logicalId", "UpdateReplacePolicy", "'Delete'", "UpdateReplacePolicy",
+             fails="NOT (UpdateReplacePolicy IS NULL OR UpdateReplacePolicy = 'Delete')"),
+        Rule("Type = 'AWS::IAM::ManagedPolicy'", "logicalId", "Description", "'.+'", desc,
+             fails=f"NOT coalesce({desc} RLIKE '.+', false)"),
+        Rule("Type = 'AWS::S3::Bucket'", "logicalId", "SSEAlgorithm", "'AES256'", f"to_json({sse})",
+             fails=f"NOT coalesce({encrypted}, false)"),
     ]
 
 
