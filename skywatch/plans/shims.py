@@ -72,7 +72,7 @@ _EV_RESOURCE = [f"concat('stack', {_EV_PK} % 9) AS stackName", f"concat('r', {_E
 
 def cdn_logs(spark, d) -> DataFrame:
     """M1 rows from ``events`` (the CSV reader itself is tested on files)."""
-    return table(spark, d, "events", spread=True).selectExpr(
+    return table(spark, d, "events").selectExpr(
         "CAST(ts AS DATE) AS date",
         "date_format(ts, 'HH:mm:ss') AS time",
         f"{_ev_ip()} AS request_ip",
@@ -100,7 +100,7 @@ def object_log_lines(spark, d) -> DataFrame:
 
 def api_log_records(spark, d) -> DataFrame:
     """M3 ``(timestamp, message)`` from ``events``, with web-socket and junk lines."""
-    return table(spark, d, "events", spread=True).selectExpr(
+    return table(spark, d, "events").selectExpr(
         "ts AS timestamp",
         f"CASE WHEN event_id % 83 = 0 THEN 'junk' "
         f"WHEN event_id % 9 = 0 THEN concat({_ev_ip()}, ',MESSAGE $default,', event_id) "
@@ -259,7 +259,7 @@ def resource_drifts(spark, d) -> DataFrame:
             "'ActualValue', CASE WHEN l_partkey % 97 = 0 THEN CAST(NULL AS STRING) "
             "WHEN l_linestatus = 'F' THEN 'null' ELSE 'x' END, "
             "'DifferenceType', 'NOT_EQUAL')")
-    return table(spark, d, "lineitem", spread=True).selectExpr(
+    return table(spark, d, "lineitem").selectExpr(
         "l_orderkey AS stackKey", "concat('res', l_linenumber) AS LogicalResourceId",
         "CASE l_returnflag WHEN 'A' THEN 'AWS::Events::Rule' WHEN 'R' THEN 'AWS::ApiGatewayV2::Api' "
         "ELSE 'AWS::ApiGatewayV2::Integration' END AS ResourceType",
