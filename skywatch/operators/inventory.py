@@ -79,10 +79,12 @@ def key_tree(keys: DataFrame, col: str = "path", drop_suffix: str = "index.html"
     """H7: folders and files of a key listing with their depth.
 
     Every key expands to its folder prefixes (``sequence`` + ``explode``);
-    shared folders are de-duplicated (map-side first). Sorting by the path
-    array lists a folder right before its contents, depth first.
-    Deviation: entries are ordered by name text, where the reference keeps
-    JavaScript object key order.
+    shared folders are de-duplicated (map-side first). ``listing_order`` is
+    a sort key reproducing the reference's depth-first listing: per level,
+    integer-like names first in numeric order (JavaScript object key order),
+    then the rest in the order of the sorted keys they came from, i.e. by
+    name with a trailing ``/`` for folders. A folder sorts before its
+    contents because its key is a prefix of theirs.
     """
     k = keys.select(F.col(col).alias("key")).where(~F.endswith(F.col("key"), F.lit(drop_suffix))).distinct()
     parts = F.split(F.col("key"), "/", -1)
@@ -94,11 +96,17 @@ def key_tree(keys: DataFrame, col: str = "path", drop_suffix: str = "index.html"
                .distinct()
                .select("path_parts", F.lit("folder").alias("kind")))
     files = k.select(parts.alias("path_parts"), F.lit("file").alias("kind"))
+    order = F.expr(
+        "transform(path_parts, (x, i) -> named_struct("
+        "'text_key', CASE WHEN x RLIKE '^(0|[1-9][0-9]{0,9})$' AND CAST(x AS BIGINT) < 4294967295 THEN 0 ELSE 1 END, "
+        "'number', CASE WHEN x RLIKE '^(0|[1-9][0-9]{0,9})$' AND CAST(x AS BIGINT) < 4294967295 "
+        "THEN CAST(x AS BIGINT) ELSE 0 END, "
+        "'name', concat(x, CASE WHEN i < size(path_parts) - 1 OR kind = 'folder' THEN '/' ELSE '' END)))")
     return (folders.unionByName(files)
             .select(F.array_join("path_parts", "/").alias("path"),
-                    F.try_element_at("path_parts", F.lit(-1)).alias("name"),
+                    F.element_at("path_parts", -1).alias("name"),
                     (F.size("path_parts") - 1).alias("depth"),
-                    "kind", "path_parts"))
+                    "kind", "path_parts", order.alias("listing_order")))
 
 
 def file_links(tree: DataFrame, base_path: str, custom=None) -> DataFrame:

@@ -249,7 +249,7 @@ def q_inventory_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def q_key_tree(spark: SparkSession, d: str) -> DataFrame:
     remote = inv.strip_prefix(sh.remote_keys(spark, d), "key", sh.SITE_PREFIX)
-    return inv.key_tree(remote, "key").drop("path_parts")
+    return inv.key_tree(remote, "key").drop("path_parts", "listing_order")
 
 
 def q_template_policies(spark: SparkSession, d: str) -> DataFrame:

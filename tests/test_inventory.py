@@ -89,3 +89,11 @@ def test_fields_to_row_last_wins(spark):
     df = spark.createDataFrame([(1, [("a", "x"), ("b", "y"), ("a", "z")])], "id int, f array<struct<field:string,value:string>>")
     r = inv.fields_to_row(df, "f", ["a", "b", "c"], keep=["id"]).first()
     assert (r.a, r.b, r.c) == ("z", "y", None)
+
+
+def test_key_tree_listing_order(spark):
+    keys = ["a/100.pdf", "a/25", "a/b/x", "a/b.txt", "a/10/y", "z.pdf", "2/q", "a/index.html"]
+    t = inv.key_tree(spark.createDataFrame([(k,) for k in keys], "path string"))
+    got = [r.path for r in t.orderBy("listing_order").collect()]
+    # integer-like names first, numerically; then by name with '/' after folders ('b.txt' < 'b/')
+    assert got == ["2", "2/q", "a", "a/10", "a/10/y", "a/25", "a/100.pdf", "a/b.txt", "a/b", "a/b/x", "z.pdf"]
