@@ -42,6 +42,15 @@ def log_time_to_date(text) -> Column:
     return F.try_to_date(F.substring(col_or_lit(text), 1, 11), "dd/MMM/yyyy")
 
 
+# How a JavaScript Date prints in a template literal in a UTC runtime.
+JS_DATE_FORMAT = "EEE MMM dd yyyy HH:mm:ss 'GMT+0000 (Coordinated Universal Time)'"
+
+
+def js_date_text(millis) -> Column:
+    """Epoch millis -> the text of ``new Date(millis)`` in a template literal (UTC)."""
+    return F.date_format(F.timestamp_millis(col_or_lit(millis)), JS_DATE_FORMAT)
+
+
 def is_monday(d) -> Column:
     """Weekday test in UTC (G16); ``weekday`` is 0 for Monday."""
     return F.weekday(col_or_lit(d)) == 0

@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skywatch import config
+from skywatch.functions.scalars import js_date_text
 
 
 def disconnected_devices(devices: DataFrame, group: str = config.UPTIME_GROUP) -> DataFrame:
     """Disconnected devices of the group, as issues (pk G9, text G10).
 
     A NULL group list never matches. The text keeps the reference's stray
-    trailing quote; the time prints as ISO-8601 UTC (deviation from the
-    JavaScript date text).
+    trailing quote and prints the time as a JavaScript date does in UTC.
     """
     groups = F.col("thingGroupNames")
     member = F.coalesce(F.array_contains(groups, F.lit(group)), F.lit(False))
     down = F.col("connectivity.connected") == F.lit(False)
     ts = F.col("connectivity.timestamp")
-    since = F.coalesce(F.date_format(F.timestamp_millis(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("[unknown]"))
+    since = F.coalesce(js_date_text(ts), F.lit("[unknown]"))
     text = F.concat(F.col("thingName"), F.lit(" ("), F.col("thingId"),
                     F.lit(") was disconnected since "), since, F.lit("'"))
     return (devices.where(down & member)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from skywatch.functions.scalars import js_date_text
 from skywatch.operators import issues as iss
 from skywatch.operators.joins import broadcast_literal_rows
 from skywatch.operators import rules
@@ -58,8 +59,7 @@ UPTIME = iss.Monitor(
     type="uptime-checker", label="uptime",
     fields=_fields("thingName", "thingId", "timestamp", longs=("timestamp",)),
     text=lambda: F.concat(F.col("thingName"), F.lit(" ("), F.col("thingId"), F.lit(") was disconnected since "),
-                          F.coalesce(F.date_format(F.timestamp_millis(F.col("timestamp")),
-                                                   "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("[unknown]")),
+                          F.coalesce(js_date_text(F.col("timestamp")), F.lit("[unknown]")),
                           F.lit("'")),
     pk=lambda: F.col("thingName"))
 

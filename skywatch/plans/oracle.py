@@ -344,7 +344,8 @@ FROM ds""", DRIFT),
        concat('thing', s_suppkey) AS pk,
        concat('thing', s_suppkey, ' (id', s_suppkey, ') was disconnected since ',
               CASE WHEN s_suppkey % 7 = 0 THEN '[unknown]'
-                   ELSE strftime(epoch_ms(1700000000000 + s_suppkey * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') END, '''') AS text
+                   ELSE strftime(epoch_ms(1700000000000 + s_suppkey * 1000), '%a %b %d %Y %H:%M:%S')
+                        || ' GMT+0000 (Coordinated Universal Time)' END, '''') AS text
 FROM supplier WHERE NOT (s_acctbal > 1000) AND s_suppkey % 5 <> 0 AND s_suppkey % 2 = 0""",
 
     "device_latest": """SELECT user_id AS thing, arg_max(event_type IN ('click', 'view', 'signup'), (ts, event_id)) AS connected,

@@ -114,7 +114,7 @@ def test_devices_reader(spark, tmp_path):
     from skywatch.operators.devices import disconnected_devices
     got = disconnected_devices(df).collect()
     assert [g.pk for g in got] == ["t1"]
-    assert got[0].text == "t1 (i1) was disconnected since 2023-11-14T22:13:20.000Z'"
+    assert got[0].text == "t1 (i1) was disconnected since Tue Nov 14 2023 22:13:20 GMT+0000 (Coordinated Universal Time)'"
 
 
 def test_register_log_table(spark, tmp_path):
