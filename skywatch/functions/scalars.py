@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DAY_SECONDS = 86400
-
-
 def col_or_lit(x) -> Column:
     if isinstance(x, Column):
         return x
@@ -21,9 +18,6 @@ def col_or_lit(x) -> Column:
 
 # ---------------------------------------------------------------- dates
 
-def utc_midnight(now) -> Column:
-    """Most recent UTC midnight at or before ``now`` (a timestamp literal or column)."""
-    return F.date_trunc("day", col_or_lit(now) if not isinstance(now, str) else F.to_timestamp(F.lit(now)))
 
 
 def epoch_to_date_text(x, millis: bool = True) -> Column:
@@ -61,20 +55,8 @@ def js_round(x) -> Column:
     return F.floor(col_or_lit(x) + F.lit(0.5))
 
 
-def age_in_days(now, when) -> Column:
-    """``Math.round((now - when) / 1 day)`` with NULL for unparsable input."""
-    micros = F.unix_micros(col_or_lit(now)) - F.unix_micros(col_or_lit(when))
-    return js_round(micros / F.lit(DAY_SECONDS * 1_000_000.0)).cast("bigint")
 
 
-def parse_js_date(text) -> Column:
-    """Timestamp from the ISO texts a credential report carries; NULL if not a date."""
-    c = col_or_lit(text)
-    return F.coalesce(
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX")),
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd")),
-    )
 
 
 # ---------------------------------------------------------------- text

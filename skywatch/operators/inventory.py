@@ -4,8 +4,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -260,7 +258,3 @@ def fields_to_row(df: DataFrame, fields_col: str, names: list[str], keep: list[s
         return F.try_element_at(F.filter(arr, lambda x: x["field"] == F.lit(n)), F.lit(-1))["value"]
 
     return df.select(*keep, *[last(n).alias(n) for n in names])
-
-
-def as_date(x) -> Column:
-    return F.lit(x.date() if isinstance(x, dt.datetime) else x)

@@ -38,14 +38,6 @@ def ip_dimension(ip_info: DataFrame, high: list[str], home: list[str]) -> DataFr
         F.concat(js_text("country"), F.lit(" ("), js_text("org"), F.lit(")")).alias("shortDescription"))
 
 
-def seen_ip_dimension(usage: DataFrame, ip_info: DataFrame, high: list[str], home: list[str]) -> DataFrame:
-    """D5 + A12: dimension rows for the distinct addresses present in ``usage`` only.
-
-    Reads ``usage`` once more; use it on a materialized frame, or derive the
-    seen rows from an enriched frame (:func:`seen_from_enriched`).
-    """
-    ips = usage.select(F.col("sourceIp").alias("ip")).distinct()
-    return ip_dimension(ip_info.join(ips, on="ip", how="left_semi"), high, home)
 
 
 def seen_from_enriched(enriched: DataFrame) -> DataFrame:
