@@ -12,6 +12,8 @@ itself is a frame of ordered lines (H1, H2); only a sink turns it into text.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +95,8 @@ def render(lines: DataFrame) -> str:
             out.append("")
         out.append(r.line)
         prev_title = r.title
-    errors = [r.line for r in by_section.get(3, [])]
-    if errors:
-        out += [""] + errors
+    errors = [json.loads(r.line[len("errors: "):]) for r in by_section.get(3, [])]
+    if errors:  # one pretty-printed array, as JSON.stringify(errors, null, 2)
+        out += ["", "errors: " + json.dumps(errors, indent=2, ensure_ascii=False)]
     out += [r.line for r in by_section.get(4, [])]
     return "\n".join(out)

@@ -81,7 +81,7 @@ def test_risk_descriptor_and_report(spark):
         "1.1.1.1: Land > Reg > City (AS123 Big Org) (high risk)",
         "2.2.2.2: Home > undefined > Town (Small) (low risk)", "",
         "acc / s / r", "9.9.9.9: 5", "high risk (GeoBlocked): Land (Big Org): 3", "low risk: Home (Small): 12", "",
-        'errors: {"name":"bad","source":"src","type":"Nope"}']
+        "errors: [", "  {", '    "name": "bad",', '    "source": "src",', '    "type": "Nope"', "  }", "]"]
     detail = sorted(r.line for r in ur.detail_lines(enriched).collect())
     assert detail[0] == "acc/s/r 2024-01-12 (10): GET 200, 2.2.2.2 (low ip risk)"
     assert "acc/s/r 2024-01-12 (3): GET 200, 1.1.1.1 (high ip risk, GeoBlocked)" in detail
