@@ -8,6 +8,8 @@ Nothing is collected to the driver except a few counts.
 * credential check     -> :func:`credential_check_job`
 * drift check          -> :func:`drift_check_job`
 * uptime check         -> :func:`uptime_check_job`
+* tear-down report     -> :func:`teardown_report_job`
+* object sync plan     -> :func:`inventory_sync_job`
 * login alerts         -> :func:`skywatch.streaming.logins.start_login_alert_stream`
 """
 
@@ -83,3 +85,48 @@ def uptime_check_job(spark: SparkSession, devices_path: str, store_root: str, si
     found = devices.disconnected_devices(reports.read_devices(spark, devices_path))
     return accounts.run_monitor(spark, accounts.UPTIME, found.select("thingName", "thingId", "timestamp"),
                                 store_root, sink_root, params.now, invocation_id)
+
+
+def teardown_report_job(spark: SparkSession, stacks_path: str, results_path: str | None, out_path: str,
+                        invocation_id: str) -> dict[str, int]:
+    """Emergency tear-down report (B32, D7): which stacks are protected, and
+    the outcome of each delete request (``results_path``: JSON lines of
+    ``StackName, deleteResult``; a missing result is a rejected request).
+    Deleting stacks is not built; this reports on a tear-down run."""
+    from skywatch.operators import inventory as inv
+    prepare_session(spark)
+    stacks = reports.read_stacks(spark, stacks_path).select("StackName", "EnableTerminationProtection")
+    if results_path:
+        res = spark.read.schema("StackName string, deleteResult string").json(results_path)
+        stacks = stacks.join(res, on="StackName", how="left")
+    else:
+        stacks = stacks.withColumn("deleteResult", F.lit(None).cast("string"))
+    outcome = materialize(inv.teardown_outcome(inv.teardown_split(stacks)), "teardown")
+    outcome.write.mode("overwrite").json(f"{out_path}/outcomes")
+    counts = {r.outcome: r.n for r in inv.teardown_tally(outcome).collect()}
+    sinks.write_notifications(sinks.notification(
+        spark, "AWS Emergency Tear Down",
+        f"Attempted to destroy some stacks: skipped {counts.get('skipped', 0)}, destroyed "
+        f"{counts.get('destroyed', 0)}, failed {counts.get('failed', 0)}. Details: {out_path}/outcomes",
+        invocation_id), f"{out_path}/notifications")
+    return counts
+
+
+def inventory_sync_job(spark: SparkSession, remote_keys_path: str, local_paths_path: str, prefix: str,
+                       out_path: str, include: list[str] | None = None, exclude: list[str] | None = None,
+                       base_path: str | None = None) -> dict[str, int]:
+    """Object sync plan (B33, B34, C6, D10) and the key listing of the
+    remote side (H7 with J3 links). Inputs are key listings, one key per
+    line; copying and deleting objects is not built."""
+    from skywatch.operators import inventory as inv
+    prepare_session(spark)
+    remote = inv.strip_prefix(spark.read.text(remote_keys_path).withColumnRenamed("value", "key"), "key", prefix)
+    remote = inv.suffix_filter(remote, "key", include, exclude).withColumnRenamed("key", "path")
+    local = inv.suffix_filter(spark.read.text(local_paths_path).withColumnRenamed("value", "path"),
+                              "path", include, exclude)
+    diff = materialize(inv.inventory_diff(remote, local), "sync_plan")
+    diff.write.mode("overwrite").partitionBy("action").text(f"{out_path}/plan")
+    tree = inv.file_links(inv.key_tree(remote), base_path or prefix)
+    (tree.orderBy("listing_order").select("depth", "kind", "name", "link")
+     .write.mode("overwrite").json(f"{out_path}/listing"))
+    return {r.action: r.n for r in inv.action_counts(diff).collect()}

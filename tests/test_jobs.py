@@ -64,3 +64,22 @@ def test_check_jobs(spark, tmp_path):
     from skywatch.sources import store
     monitors = sorted(r.monitor for r in store.read_issues(spark, str(tmp_path / "store")).collect())
     assert monitors == ["cfn-drift-checker", "iam-checker", "iam-checker", "uptime-checker"]
+
+
+def test_teardown_and_sync_jobs(spark, tmp_path):
+    (tmp_path / "stacks.json").write_text("\n".join(json.dumps(x) for x in [
+        {"StackName": "CDKToolkit", "EnableTerminationProtection": False},
+        {"StackName": "keep", "EnableTerminationProtection": True},
+        {"StackName": "a", "EnableTerminationProtection": False},
+        {"StackName": "b", "EnableTerminationProtection": False}]))
+    (tmp_path / "res.json").write_text(json.dumps({"StackName": "a", "deleteResult": "DELETE_COMPLETE"}))
+    t = jobs.teardown_report_job(spark, str(tmp_path / "stacks.json"), str(tmp_path / "res.json"),
+                                 str(tmp_path / "td"), "td-1")
+    assert t == {"skipped": 2, "destroyed": 1, "failed": 1}
+    (tmp_path / "remote.txt").write_text("site/a.pdf\nsite/docs/b.pdf\nsite/index.html\nsite/old.pdf\n")
+    (tmp_path / "local.txt").write_text("a.pdf\ndocs/b.pdf\nnew.pdf\nskip.tmp\n")
+    s = jobs.inventory_sync_job(spark, str(tmp_path / "remote.txt"), str(tmp_path / "local.txt"), "site",
+                                str(tmp_path / "sync"), exclude=[".tmp"])
+    assert s == {"ignore": 2, "upload": 1, "delete": 1}
+    listing = [r.name for r in spark.read.json(str(tmp_path / "sync" / "listing")).collect()]
+    assert sorted(listing) == ["a.pdf", "b.pdf", "docs", "old.pdf"]
