@@ -114,3 +114,20 @@ def test_monitor_runs_update_store_and_notify(spark, tmp_path):
     assert msg.splitlines() == ["uptime issues found.", "No newly raised issues.", "previously raised issues:",
                                 "t1 (i1) was disconnected since Thu Jan 01 1970 00:00:00 GMT+0000 (Coordinated Universal Time)'", "issues resolved:",
                                 "t2 (i2) was disconnected since [unknown]'"]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=12), min_size=1, max_size=25))
+def test_strict_uri_encode_matches_component_encoding(spark, texts):
+    """G14 against a model of URI-component encoding (unreserved: letters,
+    digits and -_.!~*'()), with %!'()* removed afterwards."""
+    import re
+    from urllib.parse import quote
+    model = [re.sub(r"[%!'()*]", "", quote(t, safe="-_.!~*'()")) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.u for r in df.select("i", scalars.strict_uri_encode("t").alias("u")).orderBy("i").collect()]
+    assert got == model
