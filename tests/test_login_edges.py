@@ -69,3 +69,45 @@ def test_long_range_list_join_path_matches_literal_path(spark):
     joined = sorted(r.id for r in outside_ranges(spark, df, "ip", ranges, literal_limit=5).collect())
     # flagged: out-of-range IPv4, IPv6 outside the /112, junk, NULL, 8.8.8.8
     assert literal == joined == [1, 4, 6, 7, 9]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_v4 = st.integers(0, 2**32 - 1)
+_v6 = st.integers(0, 2**128 - 1)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(_v4.map(lambda n: ("v4", n)), _v6.map(lambda n: ("v6", n)),
+                          _v4.map(lambda n: ("mapped", n))), min_size=5, max_size=30),
+       st.lists(st.one_of(st.tuples(st.just(4), _v4, st.integers(0, 32)),
+                          st.tuples(st.just(6), _v6, st.integers(0, 128))), min_size=1, max_size=6))
+def test_allowlist_matches_ipaddress_model(spark, addrs, nets):
+    """C2 against Python's ipaddress: an address is allowed if any range
+    holds it; v4-mapped IPv6 is checked as its IPv4 address."""
+    import ipaddress
+
+    from skywatch.operators.iprisk import outside_ranges
+    ranges = [str((ipaddress.IPv4Network if v == 4 else ipaddress.IPv6Network)((n, p), strict=False))
+              for v, n, p in nets]
+    texts = []
+    for kind, n in addrs:
+        if kind == "v4":
+            texts.append(str(ipaddress.IPv4Address(n)))
+        elif kind == "v6":
+            texts.append(str(ipaddress.IPv6Address(n)))
+        else:
+            texts.append("::ffff:" + str(ipaddress.IPv4Address(n)))
+    parsed = [ipaddress.ip_network(r) for r in ranges]
+
+    def allowed(t):
+        a = ipaddress.ip_address(t)
+        if a.version == 6 and a.ipv4_mapped is not None:
+            a = a.ipv4_mapped
+        return any(a.version == net.version and a in net for net in parsed)
+
+    model = sorted(i for i, t in enumerate(texts) if not allowed(t))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, ip string")
+    got = sorted(r.id for r in outside_ranges(spark, df, "ip", ranges).collect())
+    assert got == model
