@@ -36,3 +36,44 @@ def test_rules(spark):
     # empty and NULL difference lists are vacuously acceptable; stacks without rows too
     assert ok == {"tags", "body", "props", "retry", "empty", "nullarr", "none", "unk"}
     assert r["mixed"].text == "a: mixed is 'DRIFTED'" and r["mixed"].pk == "a-mixed"
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_TYPES = ["AWS::ApiGatewayV2::Api", "AWS::ApiGatewayV2::Integration", "AWS::Events::Rule", "AWS::SQS::Queue"]
+_PATHS = ["/Tags", "/Body", "/IntegrationUri", "/IntegrationType", "/PayloadFormatVersion",
+          "/Targets/12/RetryPolicy", "/X", None]
+_diff = st.tuples(st.sampled_from(_PATHS), st.sampled_from(['{"MaximumRetryAttempts":3}', "{}", None]),
+                  st.sampled_from(["null", "x", None]))
+_drift = st.tuples(st.sampled_from(_TYPES), st.one_of(st.none(), st.lists(_diff, max_size=3)))
+
+
+def _model_acceptable(rtype, diffs):
+    """The four false-positive rules, as the reference states them."""
+    import re
+    ds = diffs or []
+    null = lambda d: d[2] == "null"
+    tags = all(d[0] == "/Tags" and null(d) for d in ds)
+    body = rtype == "AWS::ApiGatewayV2::Api" and all(d[0] == "/Body" and null(d) for d in ds)
+    props = (rtype == "AWS::ApiGatewayV2::Integration" and all(null(d) for d in ds)
+             and all(d[0] in ("/PayloadFormatVersion", "/IntegrationUri", "/IntegrationType") for d in ds))
+    retry = rtype == "AWS::Events::Rule" and all(
+        d[0] is not None and re.search(r"/Targets/\d+/RetryPolicy", d[0])
+        and d[1] is not None and re.search(r'\{"MaximumRetryAttempts":\d+\}', d[1]) and null(d) for d in ds)
+    return bool(tags or body or props or retry)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(_drift, max_size=3), min_size=1, max_size=12))
+def test_drift_rules_match_model(spark, stacks):
+    stack_rows = [("a", f"s{i}", "UPDATE_COMPLETE", "DRIFTED") for i in range(len(stacks))]
+    drift_rows = [(f"s{i}", t, "MODIFIED", None if ds is None else [(p, e, a, "NOT_EQUAL") for p, e, a in ds])
+                  for i, drifts in enumerate(stacks) for t, ds in drifts]
+    s = spark.createDataFrame(stack_rows, "accountId string, StackName string, StackStatus string, StackDriftStatus string")
+    r = spark.createDataFrame(drift_rows, f"StackName string, ResourceType string, StackResourceDriftStatus string, "
+                                          f"PropertyDifferences {DIFF}")
+    got = {x.stackName: x.driftStatus for x in drift.drift_status(s, r, keys=["StackName"]).collect()}
+    want = {f"s{i}": "IN_SYNC" if all(_model_acceptable(t, ds) for t, ds in drifts) else "DRIFTED"
+            for i, drifts in enumerate(stacks)}
+    assert got == want
