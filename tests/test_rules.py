@@ -87,3 +87,33 @@ def test_template_policies(spark):
     assert got == sorted([("t", "B2", "DeletionPolicy", "Retain"), ("t", "B2", "SSEAlgorithm", None),
                           ("t", "P2", "Description", ""), ("t", "S1", "UpdateReplacePolicy", "Snapshot"),
                           ("t", None, "AWS::SecretsManager::Secret", "1")], key=repr)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(st.integers(-400 * 24, 400 * 24).map(lambda h: ("h", h)),
+                          st.sampled_from([("t", "N/A"), ("t", "no_information"), ("t", "")])),
+                min_size=1, max_size=25))
+def test_age_rule_matches_js_rounding(spark, dates):
+    """Math.round((now - date) / day); an issue when not a date or >= max."""
+    import math
+    texts = [(NOW - dt.timedelta(hours=v)).strftime("%Y-%m-%dT%H:%M:%S+00:00") if k == "h" else v
+             for k, v in dates]
+    rows = [{"accountId": "A", "user": "<root_account>", "arn": "root", "mfa_active": "true",
+             "access_key_1_active": "false", "access_key_2_active": "false"}]
+    rows += [{"accountId": "A", "user": f"u{i}", "arn": f"u{i}", "password_enabled": "true", "mfa_active": "true",
+              "password_last_changed": t, "access_key_1_active": "false", "access_key_2_active": "false"}
+             for i, t in enumerate(texts)]
+    got = {(r[1], r[4]) for r in issues(spark, rows)}
+    want = set()
+    for i, (k, v) in enumerate(dates):
+        if k == "t":
+            want.add((f"u{i}", "NaN"))
+        else:
+            age = math.floor(v / 24 + 0.5)
+            if age >= 90:
+                want.add((f"u{i}", str(age)))
+    assert got == want
