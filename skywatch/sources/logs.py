@@ -165,3 +165,24 @@ def read_landed(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if schema is not None:
         r = r.schema(schema)
     return r.parquet(path)
+
+
+def window_globs(root: str, start, end, family: str, slack_days: int = 1) -> str:
+    """One path glob selecting only the log files delivered in the usage window.
+
+    Delivered file names carry their delivery date: object-store access logs
+    ``YYYY-MM-DD-HH-MM-SS-<id>``, CDN logs ``<dist>.YYYY-MM-DD-HH.<id>.gz``.
+    Listing only the window's days (plus ``slack_days`` on each side, as
+    files may be delivered late) keeps a weekly job from opening a bucket's
+    whole history; the per-line date filter still decides exactly.
+    ``root`` is the bucket prefix holding ``<stack>/<resource>/`` folders.
+    The days form one ``{a,b,...}`` alternation, so a day without files is
+    fine (Spark fails only if the whole window matches nothing).
+    """
+    import datetime as _dt
+    d0 = (start.date() if isinstance(start, _dt.datetime) else start) - _dt.timedelta(days=slack_days)
+    d1 = (end.date() if isinstance(end, _dt.datetime) else end) + _dt.timedelta(days=slack_days)
+    days = [d0 + _dt.timedelta(days=i) for i in range((d1 - d0).days + 1)]
+    alt = "{" + ",".join(day.isoformat() for day in days) + "}"
+    name = {"s3accesslogs": f"{alt}-*", "cloudfrontlogs": f"*.{alt}-*"}[family]
+    return f"{root.rstrip('/')}/*/*/{name}"

@@ -180,3 +180,20 @@ def test_credential_report_by_header_names(spark, tmp_path):
     r = reports.read_credential_report(spark, str(tmp_path / "r")).first()
     assert (r.accountId, r.user, r.arn, r.mfa_active, r.password_enabled) == ("111", "bob", "arn:x", "false", "true")
     assert r.access_key_1_active is None  # absent column -> NULL
+
+
+def test_window_globs_open_only_the_window(spark, tmp_path):
+    import datetime as dt
+
+    from skywatch.operators.usage import object_usage
+    d = tmp_path / "logs" / "stk" / "res"
+    d.mkdir(parents=True)
+    (d / "2019-02-06-00-00-38-ABC").write_text(OBJ_FULL + "\n")
+    (d / "2018-01-01-00-00-00-OLD").write_text(OBJ_FULL.replace("06/Feb/2019", "01/Jan/2018") + "\n")
+    globs = logs.window_globs(str(tmp_path / "logs"), dt.date(2019, 2, 5), dt.date(2019, 2, 6), "s3accesslogs")
+    assert globs.endswith("/*/*/{2019-02-04,2019-02-05,2019-02-06,2019-02-07}-*")
+    df = logs.read_object_access_logs(spark, globs)
+    files = {r[0].split("/")[-1] for r in df.select("_metadata.file_path").distinct().collect()}
+    assert files == {"2019-02-06-00-00-38-ABC"}  # the 2018 file is never opened
+    got = object_usage(df, dt.date(2019, 2, 5), dt.date(2019, 2, 6)).collect()
+    assert [(r.request_ip, r["count"]) for r in got] == [("192.0.2.3", 1)]
