@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skywatch.llm.chat import ORACLE_OP6, op6_chat
+from skywatch.llm.decontaminate import ORACLE_OP1, op1_decontaminate
 from skywatch.llm.embeddings import op8_embeddings
 from skywatch.llm.html_text import op3_html_text
 from skywatch.llm.jaccard import op2_jaccard
@@ -12,5 +13,5 @@ from skywatch.llm.ppm import op10_ppm
 from skywatch.llm.suffixes import op9_suffixes
 from skywatch.llm.warc import ORACLE_OP4, op4_warc
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op3_html_text, op4_warc, op5_language, op6_chat, op7_mixing, op8_embeddings, op9_suffixes, op10_ppm)}
-ORACLE = {"op4_warc": ORACLE_OP4, "op6_chat": ORACLE_OP6, "op7_mixing": ORACLE_OP7}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_html_text, op4_warc, op5_language, op6_chat, op7_mixing, op8_embeddings, op9_suffixes, op10_ppm)}
+ORACLE = {"op1_decontaminate": ORACLE_OP1, "op4_warc": ORACLE_OP4, "op6_chat": ORACLE_OP6, "op7_mixing": ORACLE_OP7}
