@@ -10,11 +10,11 @@ pairs to find which positions are still shared; a position whose name is
 unique, or that has reached the threshold, drops out. Sorting every position
 of every text once takes more than ten times the input in shuffle alone, so:
 
-* names are made by doubling within a pack (1, 2, 4, ... 16, 32, 50 bytes;
+* names are made by doubling within a pack (1, 2, 4, 8, 16, 24, 48, 50 bytes;
   a name is a 64-bit polynomial fingerprint, alike in every pack);
 * the first round sorts only *anchors*: each window of 50 bytes picks one of
-  its 35 16-byte names, the smallest by a hash (leftmost of equals), so equal
-  windows pick equal names at equal places, and one position in 18 is enough.
+  its 27 24-byte names, the smallest by a hash (leftmost of equals), so equal
+  windows pick equal names at equal places, and one position in 14 is enough.
   An anchor comes with the pair (name50 at the first window that picks it,
   name50 at the last), which names the whole stretch of its windows. Anchors
   that only one document has are done (unique); where all documents agree on
@@ -49,8 +49,8 @@ from skywatch.llm import packs as P
 from skywatch.llm.common import materialize, table
 
 LENGTH = 50
-NAME = 16
-PER_WINDOW = LENGTH - NAME + 1  # 16-byte names in a window
+NAME = 24
+PER_WINDOW = LENGTH - NAME + 1  # names in a window
 
 _M = 0x9E3779B97F4A7C15 | 1
 _T = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,14 +81,14 @@ class Stretches:
             h4 = h2[:-2] * _pow(2) + h2[2:]
             h8 = h4[:-4] * _pow(4) + h4[4:]
             h16 = h8[:-8] * _pow(8) + h8[8:]
-            h32 = h16[:-16] * _pow(16) + h16[16:]
-            h48 = h32[:-16] * _pow(16) + h16[32:]
+            name = h16[:-8] * _pow(8) + h8[16:]  # 24 bytes
+            h48 = name[:-24] * _pow(24) + name[24:]
             h50 = h48[:-2] * _pow(2) + h2[48:]
-            low = _mix(h16) & np.uint64(0xFFFFFFFF00000000)
+            low = _mix(name) & np.uint64(0xFFFFFFFF00000000)
             low |= np.arange(len(low), dtype=np.uint64)
-            for step in (1, 2, 4, 8, 16):
+            for step in (1, 2, 4, 8):
                 low = np.minimum(low[:-step], low[step:])
-            low = np.minimum(low[:-3], low[3:])  # 32 names, then 35
+            low = np.minimum(low[:-(PER_WINDOW - 16)], low[PER_WINDOW - 16:])  # 16 names, then all 27
             picked = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
             n = len(picked)
             room = np.zeros(n + 1, np.int32)  # windows that lie within one document
@@ -108,7 +108,7 @@ class Stretches:
             b = np.flatnonzero(last_of & inside)
             if not len(a):
                 continue
-            anchor.append(h16[picked[a]])
+            anchor.append(name[picked[a]])
             pair.append(_mix(h50[a]) * np.uint64(3) + _mix(h50[b] + np.uint64(0x1234567)) * np.uint64(5) + (b - a).astype(np.uint64))
             doc.append(np.searchsorted(pack.ends, a + base, "right"))
             lo.append(a + base)
