@@ -78,7 +78,7 @@ def _sets(texts: list[bytes], k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.nd
     for j in range(k):
         use = j < size
         nxt = np.zeros(len(word), np.uint64)
-        nxt[:len(word) - j] = word[j:]
+        nxt[:max(0, len(word) - j)] = word[j:]
         h = np.where(use, _mix(h * np.uint64(0x9E3779B97F4A7C15) + nxt + np.uint64(j + 1)), h)
     h, doc = h[whole], doc[whole]
     order = np.lexsort((h, doc))
