@@ -51,7 +51,9 @@ def enrich(usage: DataFrame, dim: DataFrame) -> DataFrame:
     dimension texts; ``known`` tells whether the address was found."""
     d = dim.select(F.col("ip").alias("sourceIp"), F.col("risk").alias("_risk"),
                    "description", "shortDescription", F.lit(True).alias("known"))
-    # One row per distinct address: AQE broadcasts it when its measured size
+    # One row per address, whatever the dimension repeats: else usage would be counted again.
+    d = d.groupBy("sourceIp").agg(F.max(F.struct("_risk", "description", "shortDescription", "known")).alias("_d")).select("sourceIp", "_d.*")
+    # AQE broadcasts it when its measured size
     # is under the threshold and keeps the sort-merge join otherwise.
     out = usage.join(d, on="sourceIp", how="left")
     return (out.withColumn("risk", F.coalesce(F.col("_risk"), F.lit("unknown")))

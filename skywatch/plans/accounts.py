@@ -19,7 +19,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from skywatch.functions.scalars import js_date_text
 from skywatch.operators import issues as iss
-from skywatch.operators.joins import broadcast_literal_rows
 from skywatch.operators import rules
 
 Check = Callable[[DataFrame], DataFrame]
@@ -31,8 +30,7 @@ def run_account_check(inputs: DataFrame, check: Check, summarise: Check | None =
     per-account check to all of them at once, then the summary."""
     if accounts is not None:
         spark = inputs.sparkSession
-        scope = broadcast_literal_rows(spark.createDataFrame([(a,) for a in accounts], f"{account_col} string"),
-                                       len(accounts))
+        scope = spark.createDataFrame([(a,) for a in accounts], f"{account_col} string")  # a local list: the planner knows its size
         inputs = inputs.join(scope, on=account_col, how="left_semi")
     out = inputs.transform(check)
     return out.transform(summarise) if summarise else out
@@ -81,7 +79,8 @@ def run_monitor(spark, monitor: iss.Monitor, current: DataFrame, store_root: str
     from skywatch.sources import sinks, store
 
     previous = store.read_issues(spark, store_root, monitor.type)
-    keyed = iss.with_keys(monitor, current)
+    # written once: states, snapshot and message all come from the same rows
+    keyed = materialize(iss.with_keys(monitor, current), f"{monitor.type}-issues")
     states = materialize(iss.issue_states(monitor, keyed, previous), f"{monitor.type}-states")
     counts = {r.state: r.n for r in iss.state_counts(states).collect()}
     version = None
@@ -97,5 +96,5 @@ def run_monitor(spark, monitor: iss.Monitor, current: DataFrame, store_root: str
         sinks.write_notifications(sinks.notification(spark, f"AWS account {monitor.label} alert", summary,
                                                      invocation_id), f"{sink_root.rstrip('/')}/notifications")
     if version is not None:
-        store.commit_version(spark, store_root, version)
+        store.commit_version(spark, store_root, version, [monitor.type])
     return counts

@@ -28,21 +28,17 @@ from skywatch.sources import logs, reports, sinks
 
 def usage_report_job(spark: SparkSession, params: Params, stacks_path: str, ip_info_path: str, out_path: str,
                      invocation_id: str, cdn_path: str | None = None, object_log_path: str | None = None,
-                     api_log_path: str | None = None, log_groups: DataFrame | None = None,
-                     prune_by_file_date: bool = True) -> dict[str, int]:
+                     api_log_path: str | None = None, log_groups: DataFrame | None = None) -> dict[str, int]:
     """Weekly usage report: tracked resources from the stack
     descriptions, the three log families, IP risk, roll-up; writes the short
     report and the detailed report as ordered text, and a notification.
 
-    With ``prune_by_file_date`` the CDN and object-log roots are listed only
-    for the window's delivery days (:func:`skywatch.sources.logs.window_globs`).
+    Every file under the log roots is read: a file's name does not say which
+    lines it holds (late deliveries), so only the lines' own dates decide.
+    Land logs by date (:func:`skywatch.sources.logs.land_log_family`) where
+    the history is long.
     """
     prepare_session(spark)
-    if prune_by_file_date:
-        start, end = params.window_start, params.window_end
-        cdn_path = logs.window_globs(cdn_path, start, end, "cloudfrontlogs") if cdn_path else None
-        object_log_path = (logs.window_globs(object_log_path, start, end, "s3accesslogs")
-                           if object_log_path else None)
     resources = usage.scope_accounts(reports.tracked_resources(reports.read_stacks(spark, stacks_path)),
                                      params.accounts)
     routed = reports.route_resources(resources)
@@ -83,7 +79,7 @@ def drift_check_job(spark: SparkSession, stack_path: str, drift_path: str, store
     """Daily drift check: every stack not in sync after the false-positive rules is an issue."""
     prepare_session(spark)
     stacks, drifts = reports.read_drift_results(spark, stack_path, drift_path)
-    status = drift.drift_status(stacks, drifts, keys=["StackName"], include_deleted=include_deleted)
+    status = drift.drift_status(stacks, drifts, keys=["accountId", "StackName"], include_deleted=include_deleted)
     found = status.where("is_issue").select("accountId", "stackName", "driftStatus")
     return accounts.run_monitor(spark, accounts.DRIFT, found, store_root, sink_root, params.now, invocation_id)
 

@@ -14,7 +14,7 @@ START_TS = "TIMESTAMP '2024-01-10 00:00:00'"
 END_TS = "TIMESTAMP '2024-01-17 00:00:00'"
 
 EV_IP = "concat('10.0.', user_id % 4, '.', user_id)"
-EV_PK = "(3 * (event_id % 40))"
+EV_PK = "(event_id % 120)"
 EV_RES = f"concat('stack', {EV_PK} % 9) AS stackName, concat('r', {EV_PK}) AS stackResourceName"
 
 CDN = f"""cdn AS (
@@ -63,7 +63,7 @@ RES = f"""res AS (
   SELECT concat('acct', p_partkey % 4) AS accountId, concat('stack', p_partkey % 9) AS stackName,
          concat('r', p_partkey) AS name, concat('bucket-', p_partkey % 5) AS source, {RTYPE} AS type,
          CASE WHEN p_partkey % 2 = 0 THEN true END AS split
-  FROM part WHERE p_partkey % 3 = 0 AND concat('acct', p_partkey % 4) IN ('acct0', 'acct1', 'acct2'))"""
+  FROM part WHERE concat('acct', p_partkey % 4) IN ('acct0', 'acct1', 'acct2'))"""
 
 USAGE = f"""usage AS (
   SELECT r.accountId, c.stackName, c.stackResourceName, strftime(c.date, '%Y-%m-%d') AS date, c.count,
@@ -155,19 +155,18 @@ signin AS (
 
 # ------------------------------------------------------------------ credentials
 
-def cred_cte(name: str, now: str, exclude_mod: int) -> str:
+def cred_cte(name: str, now: str, mfa_above: int) -> str:
     return f"""{name}_rep AS (
   SELECT CAST(c.c_nationkey AS VARCHAR) AS accountId, c.c_custkey AS k,
          CASE WHEN c.c_custkey % 50 = 0 THEN '<root_account>' ELSE c.c_name END AS "user",
          concat('arn:', c.c_custkey) AS arn,
          CASE WHEN c.c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS password_enabled,
-         CASE WHEN c.c_acctbal > 5000 THEN 'true' ELSE 'false' END AS mfa_active,
+         CASE WHEN c.c_acctbal > {mfa_above} THEN 'true' ELSE 'false' END AS mfa_active,
          CASE WHEN c.c_custkey % 3 = 0 THEN 'true' ELSE 'false' END AS k1,
          CASE WHEN c.c_custkey % 5 = 0 THEN 'true' ELSE 'false' END AS k2,
          CAST(floor(date_diff('second', l.latest, TIMESTAMP '{now}') / 86400.0 + 0.5) AS BIGINT) AS age
   FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS latest FROM orders GROUP BY 1) l
-       ON l.o_custkey = c.c_custkey
-  WHERE c.c_custkey % {exclude_mod} <> 0),
+       ON l.o_custkey = c.c_custkey),
 {name} AS (
   SELECT n.accountId, 'rootUsers' AS resource, 'length' AS attribute, '> 0' AS expected,
          CAST(coalesce(r.n_root, 0) AS VARCHAR) AS actual
@@ -197,8 +196,8 @@ def cred_cte(name: str, now: str, exclude_mod: int) -> str:
   FROM {name})"""
 
 
-CUR = cred_cte("cur", "2001-08-02 00:00:00", 11)
-PREV = cred_cte("prev", "2001-06-01 00:00:00", 7)
+CUR = cred_cte("cur", "2001-08-02 00:00:00", 5000)
+PREV = cred_cte("prev", "2001-06-01 00:00:00", 3000)
 STATES = """states AS (
   SELECT 'raised' AS state, pk, text, obj FROM cur_k WHERE pk NOT IN (SELECT pk FROM prev_k)
   UNION ALL SELECT 'existing', pk, text, obj FROM cur_k WHERE pk IN (SELECT pk FROM prev_k)
@@ -236,8 +235,8 @@ ds AS (
 
 PAGES = """pp AS (
   SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS path FROM pages),
-remote AS (SELECT DISTINCT path FROM pp WHERE page_id % 3 <> 0 AND NOT suffix(path, '.html')),
-localp AS (SELECT DISTINCT path FROM pp WHERE page_id % 4 <> 0 AND NOT suffix(path, '.html')),
+remote AS (SELECT DISTINCT path FROM (SELECT CASE WHEN page_id % 4 = 0 THEN concat('old/', path) ELSE path END AS path FROM pp) WHERE NOT suffix(path, '.html')),
+localp AS (SELECT DISTINCT path FROM (SELECT CASE WHEN page_id % 3 = 0 THEN concat('new/', path) ELSE path END AS path FROM pp) WHERE NOT suffix(path, '.html')),
 diff AS (
   SELECT coalesce(r.path, l.path) AS path,
          CASE WHEN r.path IS NOT NULL AND l.path IS NOT NULL THEN 'ignore'
@@ -246,7 +245,7 @@ diff AS (
   FROM remote r FULL OUTER JOIN localp l ON r.path = l.path)"""
 
 TREE = """keys AS (
-  SELECT DISTINCT path AS key FROM pp WHERE page_id % 3 <> 0 AND NOT suffix(path, 'index.html')),
+  SELECT DISTINCT path AS key FROM (SELECT CASE WHEN page_id % 4 = 0 THEN concat('old/', path) ELSE path END AS path FROM pp) WHERE NOT suffix(path, 'index.html')),
 kp AS (SELECT key, string_split(key, '/') AS p FROM keys),
 entries AS (
   SELECT DISTINCT p[1:i] AS pp2, 'folder' AS kind FROM (SELECT p, unnest(range(1, len(p))) AS i FROM kp)
@@ -405,8 +404,7 @@ LEFT JOIN (SELECT template, count(*) AS n FROM tpl
        CASE WHEN count(t.logicalId) = 1 THEN min(concat('phys-', t.k)) END AS physicalId,
        CASE WHEN count(t.logicalId) = 0 THEN format('No resource in template had aws:cdk:path matching ''{}''', l.path)
             WHEN count(t.logicalId) > 1 THEN format('Multiple logical IDs matched aws:cdk:path ''{}''', l.path) END AS error
-FROM (SELECT DISTINCT p_brand AS template, concat(p_brand, '/', p_name) AS path FROM part WHERE p_partkey % 2 = 0
-      UNION SELECT p_brand, concat(p_brand, '/', p_name, '-missing') FROM part WHERE p_partkey % 10 = 1) l
+FROM (SELECT DISTINCT p_brand AS template, concat(p_brand, '/', p_name, CASE WHEN p_partkey % 10 = 1 THEN '-missing' ELSE '' END) AS path FROM part) l
 LEFT JOIN tpl t ON t.template = l.template AND concat(t.template, '/', t.p_name) = l.path
 GROUP BY l.template, l.path""", TPL),
 

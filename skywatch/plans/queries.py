@@ -59,7 +59,7 @@ def q_login_alerts_files(spark: SparkSession, d: str) -> DataFrame:
 
 def q_cred_rules_files(spark: SparkSession, d: str) -> DataFrame:
     """A5 end to end: one credential CSV per account folder, read back, checked."""
-    base = sh.write_credential_reports(spark, d, _scratch(spark, "credential_reports"), 11)
+    base = sh.write_credential_reports(spark, d, _scratch(spark, "credential_reports"))
     rep = reports.read_credential_report(spark, base)
     out = rules.credential_issues(rep, sh.accounts(spark, d), sh.CRED_NOW, PARAMS.max_credential_age)
     return out.withColumn("text", rules.credential_issue_text())
@@ -67,10 +67,10 @@ def q_cred_rules_files(spark: SparkSession, d: str) -> DataFrame:
 
 def q_drift_status_files(spark: SparkSession, d: str) -> DataFrame:
     """A7 end to end: drift summaries and resource drifts as JSON files in the
-    reader's schema (keyed by stack name), read back, evaluated."""
+    reader's schema (keyed by account and stack name), read back, evaluated."""
     base = sh.write_drift_results(spark, d, _scratch(spark, "drift"))
     stacks, drifts = reports.read_drift_results(spark, f"{base}/stacks", f"{base}/drifts")
-    return drf.drift_status(stacks, drifts, keys=["StackName"])
+    return drf.drift_status(stacks, drifts, keys=["accountId", "StackName"])
 
 
 def q_device_issues_files(spark: SparkSession, d: str) -> DataFrame:
@@ -164,13 +164,13 @@ def q_login_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ credentials, drift, devices
 
-def cred_issues(spark, d, now, exclude_mod) -> DataFrame:
-    rep = sh.credential_report(spark, d, exclude_mod)
+def cred_issues(spark, d, now, mfa_above: int = 5000) -> DataFrame:
+    rep = sh.credential_report(spark, d, mfa_above)
     return rules.credential_issues(rep, sh.accounts(spark, d), now, PARAMS.max_credential_age)
 
 
 def q_cred_rules(spark: SparkSession, d: str) -> DataFrame:
-    return cred_issues(spark, d, sh.CRED_NOW, 11).withColumn("text", rules.credential_issue_text())
+    return cred_issues(spark, d, sh.CRED_NOW).withColumn("text", rules.credential_issue_text())
 
 
 def q_drift_status(spark: SparkSession, d: str) -> DataFrame:
@@ -192,12 +192,11 @@ IAM_MONITOR = monitors.IAM
 
 def _lifecycle_inputs(spark, d):
     """Current issues and the previous snapshot (in production a stored
-    table; here the issues of an earlier run over fewer customers). The
-    lifecycle reads each twice; both are small per-run sets here, so they
-    are recomputed (measured faster than writing them); a caller with large
-    issue sets passes materialized frames (``session.materialize``)."""
-    current = iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_NOW, 11))
-    prev_issues = iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_PREV_NOW, 7))
+    table; here the issues of an earlier date, when fewer customers were
+    without a second factor), over all customers. The lifecycle reads each
+    more than once, so both are built and written once."""
+    current = materialize(iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_NOW)), "iam_current")
+    prev_issues = materialize(iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_PREV_NOW, 3000)), "iam_previous")
     previous = prev_issues.select(F.lit(IAM_MONITOR.type).alias("monitor"), "pk", "obj")
     return current, previous
 

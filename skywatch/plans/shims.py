@@ -14,7 +14,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywatch.session import default_parallelism
 
 NOW = dt.datetime(2024, 1, 17, 0, 0, 0)
 DAYS = 7
@@ -35,26 +34,19 @@ SITE_PREFIX = "site"
 EXPECTED_ASSETS = 3
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. The scan is created once per session and path and
     reused, as a catalog table handle would be: no repeated schema inference
     or file listing, and identical scans in one plan are shared.
-
-    ``spread=True`` for inputs that feed per-row CPU work (regex parsing,
-    address checks): every driver table is a single Parquet row group, i.e.
-    one scan task, so its rows are dealt round-robin across the session's
-    cores. Real log inputs arrive as many files and need no such step.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, path)
     df = _TABLES.get(key)
     if df is None:
         df = _TABLES[key] = spark.read.parquet(path)
-    if spread:
-        df = df.repartition(default_parallelism(spark))
     return df
 
 
@@ -62,7 +54,7 @@ def _ev_ip() -> str:
     return "concat('10.0.', user_id % 4, '.', user_id)"
 
 
-_EV_PK = "(3 * (event_id % 40))"
+_EV_PK = "(event_id % 120)"
 _EV_RESOURCE = [f"concat('stack', {_EV_PK} % 9) AS stackName", f"concat('r', {_EV_PK}) AS stackResourceName"]
 
 
@@ -92,7 +84,7 @@ def object_log_lines(spark, d) -> DataFrame:
             "user_id, ' r ', event_id, ' ', event_type, ' k \"GET /k HTTP/1.1\" ', "
             "CASE WHEN event_id % 10 = 0 THEN '403' ELSE '200' END, ' - 113 - 7 - \"-\" \"UA x\" -')")
     tail = "concat(' h SigV4 C ', CASE WHEN event_id % 3 = 0 THEN 'QueryString' ELSE '-' END, ' ep TLS - -')"
-    return table(spark, d, "events", spread=True).selectExpr(
+    return table(spark, d, "events").selectExpr(
         f"CASE WHEN event_id % 89 = 0 THEN 'junk line' WHEN event_id % 4 = 1 THEN {head} "
         f"ELSE concat({head}, {tail}) END AS value",
         *_EV_RESOURCE)
@@ -114,8 +106,8 @@ _RTYPE = ("CASE WHEN p_size % 7 IN (0, 1) THEN 'CloudFront' WHEN p_size % 7 IN (
 
 
 def usage_resources(spark, d) -> DataFrame:
-    """M7 tracked resources from ``part`` (one per part key divisible by 3)."""
-    return table(spark, d, "part").where("p_partkey % 3 = 0").selectExpr(
+    """M7 tracked resources from ``part`` (one per part)."""
+    return table(spark, d, "part").selectExpr(
         "concat('acct', p_partkey % 4) AS accountId", "concat('stack', p_partkey % 9) AS stackName",
         "concat('r', p_partkey) AS name", "concat('bucket-', p_partkey % 5) AS source", f"{_RTYPE} AS type",
         "CASE WHEN p_partkey % 2 = 0 THEN true END AS splitReportingByUrlRoot")
@@ -184,7 +176,7 @@ def trail_records(spark, d) -> DataFrame:
     result = ("CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 5 = 1 THEN 'Failure' "
               "ELSE 'Success' END")
     is_switch = f"coalesce(({name}) = 'SwitchRole', false)"
-    return table(spark, d, "events", spread=True).selectExpr(
+    return table(spark, d, "events").selectExpr(
         "'1.05' AS eventVersion",
         "CASE WHEN event_id % 17 = 0 THEN NULL ELSE named_struct("
         "'type', CASE WHEN user_id % 2 = 0 THEN 'IAMUser' ELSE 'AssumedRole' END, "
@@ -213,11 +205,9 @@ def trail_records(spark, d) -> DataFrame:
 
 # ------------------------------------------------------------------ customer + orders -> credentials
 
-def credential_report(spark, d, exclude_mod: int | None = None) -> DataFrame:
+def credential_report(spark, d, mfa_above: int = 5000) -> DataFrame:
     """M5 rows from ``customer`` with the latest order date as every credential date."""
     c = table(spark, d, "customer")
-    if exclude_mod:
-        c = c.where(f"c_custkey % {int(exclude_mod)} <> 0")
     latest = (table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
               .agg(F.max("o_orderdate").alias("latest")))
     date = "coalesce(date_format(latest, \"yyyy-MM-dd'T'HH:mm:ss'+00:00'\"), 'N/A')"
@@ -227,7 +217,7 @@ def credential_report(spark, d, exclude_mod: int | None = None) -> DataFrame:
         "CASE WHEN c_custkey % 50 = 0 THEN '<root_account>' ELSE c_name END AS user",
         "concat('arn:', c_custkey) AS arn",
         f"{tf('c_custkey % 2 = 0')} AS password_enabled", f"{date} AS password_last_changed",
-        f"{tf('c_acctbal > 5000')} AS mfa_active",
+        f"{tf(f'c_acctbal > {mfa_above}')} AS mfa_active",
         f"{tf('c_custkey % 3 = 0')} AS access_key_1_active", f"{date} AS access_key_1_last_rotated",
         f"{tf('c_custkey % 5 = 0')} AS access_key_2_active", f"{date} AS access_key_2_last_rotated")
 
@@ -292,11 +282,13 @@ def page_paths(spark, d) -> DataFrame:
 
 
 def remote_keys(spark, d) -> DataFrame:
-    return page_paths(spark, d).where("page_id % 3 <> 0").selectExpr(f"concat('{SITE_PREFIX}/', path) AS key")
+    """Every page; those of an older name are not in the local tree."""
+    return page_paths(spark, d).selectExpr(f"concat('{SITE_PREFIX}/', CASE WHEN page_id % 4 = 0 THEN concat('old/', path) ELSE path END) AS key")
 
 
 def local_paths(spark, d) -> DataFrame:
-    return page_paths(spark, d).where("page_id % 4 <> 0").select("path")
+    """Every page; those of a newer name are not remote yet."""
+    return page_paths(spark, d).selectExpr("CASE WHEN page_id % 3 = 0 THEN concat('new/', path) ELSE path END AS path")
 
 
 # ------------------------------------------------------------------ part -> templates
@@ -322,11 +314,9 @@ def template_resources(spark, d) -> DataFrame:
 
 
 def template_lookups(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
-    hit = p.where("p_partkey % 2 = 0").selectExpr("p_brand AS template", "concat(p_brand, '/', p_name) AS path")
-    miss = p.where("p_partkey % 10 = 1").selectExpr("p_brand AS template",
-                                                     "concat(p_brand, '/', p_name, '-missing') AS path")
-    return hit.unionByName(miss).distinct()
+    """Every part is looked up, some under a name that does not exist."""
+    return table(spark, d, "part").selectExpr(
+        "p_brand AS template", "concat(p_brand, '/', p_name, CASE WHEN p_partkey % 10 = 1 THEN '-missing' ELSE '' END) AS path").distinct()
 
 
 # ------------------------------------------------------------------ orders -> costs; documents -> requests
@@ -394,18 +384,19 @@ def write_trail_files(spark, d, base: str, records_per_file: int = 250) -> str:
     return base
 
 
-def write_credential_reports(spark, d, base: str, exclude_mod: int | None = None) -> str:
+def write_credential_reports(spark, d, base: str) -> str:
     """One credential-report CSV (with header) per account folder."""
-    (credential_report(spark, d, exclude_mod)
+    (credential_report(spark, d)
      .write.mode("overwrite").option("header", True).partitionBy("accountId").csv(base))
     return base
 
 
 def write_drift_results(spark, d, base: str) -> str:
     """Stack drift summaries and resource drifts as JSON lines, in the
-    reader's schema: resource drifts carry the stack *name*."""
+    reader's schema: resource drifts carry the account and the stack *name*."""
     drift_stacks(spark, d).drop("stackKey").write.mode("overwrite").json(f"{base}/stacks")
-    (resource_drifts(spark, d).selectExpr("concat('stack', stackKey) AS StackName", "LogicalResourceId",
+    owner = drift_stacks(spark, d).select("stackKey", "accountId")
+    (resource_drifts(spark, d).join(owner, "stackKey").selectExpr("accountId", "concat('stack', stackKey) AS StackName", "LogicalResourceId",
                                           "ResourceType", "StackResourceDriftStatus", "PropertyDifferences")
      .write.mode("overwrite").json(f"{base}/drifts"))
     return base

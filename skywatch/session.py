@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ BASE_CONF = {
 }
 
 
-def cluster_conf(executors: int, cores_per_executor: int, input_tb: float = 100.0) -> dict[str, str]:
+def cluster_conf(executors: int, cores_per_executor: int) -> dict[str, str]:
     """Settings for a large cluster run (pass as ``extra`` to :func:`get_spark`
     or to spark-submit). Shuffle partitions start at ~3 per core and AQE
     coalesces them to ~128 MB each; many small gzip log files are packed into
@@ -103,6 +104,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (local tests) create a scratch one under /tmp."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         d = tempfile.mkdtemp(prefix="skywatch-ckpt-", dir=os.environ.get("SKYWATCH_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc = _context(spark)

@@ -28,7 +28,7 @@ API_LOG_REGEX = r"^(.*?),(.*?) (.*?),(.*)$"
 # The SerDe matches the whole line; regexp_extract searches, so anchor it.
 _OBJECT_LOG_ANCHORED = "^" + OBJECT_LOG_REGEX
 _OPTIONAL_FROM = 19  # groups 19..26 may not take part in the match
-# Separator for one-pass group extraction; log text never contains it.
+# Separator for one-pass group extraction; a line that holds it is parsed group by group.
 _SEP = "\u0001"
 
 
@@ -52,6 +52,7 @@ def read_cdn_logs(spark: SparkSession, path: str | list[str], with_path: bool =
     """
     df = (spark.read.schema(schemas.CDN_LOG)
           .option("sep", "\t").option("comment", "#").option("header", False)
+          .option("quote", "").option("escape", "")  # a quote is an ordinary character of a cell
           .option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
           .csv(path))
     return path_parts(df) if with_path else df
@@ -72,6 +73,8 @@ def _parse_lines(df: DataFrame, text: Column, anchored: str, fields: list[tuple[
     n_groups = max(g for _, g, _ in fields)
     rep = _SEP + _SEP.join(f"${i}" for i in range(1, n_groups + 1))
     groups = F.split(F.substring(F.regexp_replace(text, anchored, rep), 2, 1 << 30), _SEP, -1)
+    each = F.when(text.rlike(anchored), F.array(*[F.regexp_extract(text, anchored, i) for i in range(1, n_groups + 1)]))
+    groups = F.when(F.contains(text, F.lit(_SEP)), each).otherwise(groups)
     staged = df.select(*keep, groups.alias("_g"))
     parts = []
     for name, i, kind in fields:
@@ -117,7 +120,7 @@ def parse_api_log(df: DataFrame, message_col: str = "message") -> DataFrame:
 
 def read_api_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A3 over exported records ``(timestamp, message)`` in JSON lines."""
-    df = spark.read.schema(schemas.API_LOG).json(path)
+    df = spark.read.schema(schemas.API_LOG).option("recursiveFileLookup", True).json(path)
     return parse_api_log(path_parts(df))
 
 
@@ -166,23 +169,3 @@ def read_landed(spark: SparkSession, path: str, schema=None) -> DataFrame:
         r = r.schema(schema)
     return r.parquet(path)
 
-
-def window_globs(root: str, start, end, family: str, slack_days: int = 1) -> str:
-    """One path glob selecting only the log files delivered in the usage window.
-
-    Delivered file names carry their delivery date: object-store access logs
-    ``YYYY-MM-DD-HH-MM-SS-<id>``, CDN logs ``<dist>.YYYY-MM-DD-HH.<id>.gz``.
-    Listing only the window's days (plus ``slack_days`` on each side, as
-    files may be delivered late) keeps a weekly job from opening a bucket's
-    whole history; the per-line date filter still decides exactly.
-    ``root`` is the bucket prefix holding ``<stack>/<resource>/`` folders.
-    The days form one ``{a,b,...}`` alternation, so a day without files is
-    fine (Spark fails only if the whole window matches nothing).
-    """
-    import datetime as _dt
-    d0 = (start.date() if isinstance(start, _dt.datetime) else start) - _dt.timedelta(days=slack_days)
-    d1 = (end.date() if isinstance(end, _dt.datetime) else end) + _dt.timedelta(days=slack_days)
-    days = [d0 + _dt.timedelta(days=i) for i in range((d1 - d0).days + 1)]
-    alt = "{" + ",".join(day.isoformat() for day in days) + "}"
-    name = {"s3accesslogs": f"{alt}-*", "cloudfrontlogs": f"*.{alt}-*"}[family]
-    return f"{root.rstrip('/')}/*/*/{name}"

@@ -7,27 +7,43 @@ out of scope.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch import config, schemas
 from skywatch.functions.scalars import safe_table_name
 
 
+# Columns a credential report may have (it has 22 today).
+MAX_REPORT_COLUMNS = 64
+
+
 def read_credential_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A5: credential report CSV -> all-text rows + ``accountId`` from
     ``.../<account>/<file>`` (a ``key=`` folder prefix is dropped).
 
-    Columns are matched by the header *names* (as the reference's CSV parser
-    does), not by position: the report has more columns than the checks use,
-    and their set has grown over time. No type inference: every cell stays
-    text; columns a report lacks come back NULL.
+    Columns are matched by the *names* in each file's own header (as the
+    reference's CSV parser does), not by position: reports differ in their
+    columns and in the order of them. No type inference: every cell stays
+    text; columns a report lacks come back NULL. A report is one account's
+    users (kilobytes), so a file is read whole by one task.
     """
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
-    have = set(raw.columns)
-    cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in schemas.CREDENTIAL_COLUMNS]
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    cells = ", ".join(f"c{i} string" for i in range(MAX_REPORT_COLUMNS))
+
+    def split(line: Column) -> Column:
+        row = F.from_csv(line, cells)
+        return F.array(*[row[f"c{i}"] for i in range(MAX_REPORT_COLUMNS)])
+
     folder = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
-    return raw.select(*cols, F.regexp_replace(folder, "^[^=/]*=", "").alias("accountId"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = (raw.select(F.regexp_replace(folder, "^[^=/]*=", "").alias("accountId"), lines.alias("l")).where(F.size("l") > 1)
+            .select("accountId", split(F.get("l", F.lit(0))).alias("h"), F.explode(F.slice("l", 2, 1 << 30)).alias("line"))
+            .select("accountId", "h", split(F.col("line")).alias("v")))
+    names = F.transform("h", lambda x: F.trim(F.regexp_replace(x, "^\uFEFF", "")))
+    rows = rows.withColumn("h", names)
+    cols = [F.get("v", F.array_position("h", c).cast("int") - 1).alias(c) for c in schemas.CREDENTIAL_COLUMNS]
+    return rows.select(*cols, "accountId")
 
 
 def read_stacks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -68,10 +84,9 @@ def route_resources(resources: DataFrame) -> DataFrame:
 
 
 def read_drift_results(spark: SparkSession, stack_path, resource_path) -> tuple[DataFrame, DataFrame]:
-    """Stack drift summaries and MODIFIED resource drifts (JSON lines)."""
+    """Stack drift summaries and resource drifts of every status (JSON lines); which count is B28's choice."""
     stacks = spark.read.schema(schemas.STACK_DRIFT).option("recursiveFileLookup", True).json(stack_path)
-    drifts = (spark.read.schema(schemas.RESOURCE_DRIFT).option("recursiveFileLookup", True).json(resource_path)
-              .where(F.col("StackResourceDriftStatus") == "MODIFIED"))
+    drifts = (spark.read.schema(schemas.RESOURCE_DRIFT).option("recursiveFileLookup", True).json(resource_path))
     return stacks, drifts
 
 

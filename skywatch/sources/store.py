@@ -1,74 +1,77 @@
-"""Issue store (A9, A10): versioned Parquet snapshots plus a pointer file.
+"""Issue store (A9, A10): versioned Parquet snapshots, one pointer per monitor.
 
 The reference keeps ``(pk = '<monitor>--<key>', obj = JSON)`` in a key/value
-table. Here a snapshot is a Parquet directory partitioned by ``monitor``; a
-run writes a *new* version directory and only then moves the pointer, so a
-failed run leaves the previous snapshot intact and can simply be repeated
-(executor loss inside the write is retried by Spark; the pointer move is the
-commit). Single writer per monitor.
+table. Here a run writes the monitor's snapshot to a *new* version folder and
+then commits by writing a new pointer file ``pointers/monitor=<m>/seq=<n>``;
+nothing is ever overwritten, so readers always see a whole snapshot, a failed
+run leaves the previous one in place and can simply be repeated, and monitors
+never touch each other's rows. Two commits of one monitor for the same
+sequence number cannot both succeed: the later one fails.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch import schemas
 
-POINTER = "_CURRENT"
 
-
-def _read_pointer(spark: SparkSession, root: str) -> str | None:
-    """Version named by the pointer dataset (one tiny text row), or None."""
+def _pointers(spark: SparkSession, root: str) -> dict[str, tuple[int, str]]:
+    """Newest (sequence number, version) of each monitor; empty only where no pointer was ever written."""
     try:
-        rows = spark.read.text(f"{root.rstrip('/')}/{POINTER}").limit(1).collect()
-    except Exception:  # noqa: BLE001 - no pointer yet
-        return None
-    return json.loads(rows[0][0])["version"] if rows else None
+        rows = spark.read.option("basePath", f"{root.rstrip('/')}/pointers").text(f"{root.rstrip('/')}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    if "seq" not in rows.columns:
+        return {}
+    newest = rows.groupBy(F.col("monitor").cast("string").alias("monitor")).agg(F.max(F.struct(F.col("seq").cast("long").alias("seq"), "value")).alias("p"))
+    return {r["monitor"]: (r["p"]["seq"], r["p"]["value"]) for r in newest.collect()}  # one row per monitor
 
 
-def _write_pointer(spark: SparkSession, root: str, version: str) -> None:
-    (spark.createDataFrame([(json.dumps({"version": version}),)], "value string")
-     .coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/{POINTER}"))
+def current_version(spark: SparkSession, root: str, monitor: str) -> str | None:
+    return _pointers(spark, root).get(monitor, (0, None))[1]
 
 
 def read_issues(spark: SparkSession, root: str, monitor: str | None = None) -> DataFrame:
-    """The current snapshot (optionally one monitor, partition-pruned); empty if none yet."""
-    version = _read_pointer(spark, root) if root else None
-    if version is None:
-        df = spark.createDataFrame([], schemas.ISSUE_STORE)
-    else:
-        df = spark.read.schema(schemas.ISSUE_STORE).parquet(f"{root.rstrip('/')}/{version}")
-    return df.where(F.col("monitor") == monitor) if monitor else df
+    """The current snapshot of one monitor, or of all; empty if none yet."""
+    found = _pointers(spark, root) if root else {}
+    df = spark.createDataFrame([], schemas.ISSUE_STORE)
+    for name in sorted(found) if monitor is None else [monitor] if monitor in found else []:
+        part = spark.read.schema(schemas.ISSUE_STORE).parquet(f"{root.rstrip('/')}/versions/{found[name][1]}").where(F.col("monitor") == name)
+        df = df.unionByName(part)
+    return df
 
 
 def write_snapshot(spark: SparkSession, root: str, snapshot: DataFrame, monitors: list[str] | None = None,
                    commit: bool = True) -> str:
     """A10: write ``snapshot (monitor, pk, obj)`` as a new version and (unless
-    ``commit=False``) move the pointer to it.
-
-    Monitors not in ``monitors`` are carried over from the previous version,
-    so each monitor can be updated on its own.
-    """
-    previous = read_issues(spark, root)
-    if monitors:
-        keep = previous.where(~F.col("monitor").isin(*monitors))
-        snapshot = keep.unionByName(snapshot.select("monitor", "pk", "obj"))
+    ``commit=False``) make it current for ``monitors`` (default: those that
+    have rows in it; name a monitor whose last issue is fixed)."""
     version = f"v-{uuid.uuid4().hex}"
+    rows = snapshot.select("monitor", "pk", "obj")
+    if monitors:
+        rows = rows.where(F.col("monitor").isin(*monitors))
     # No repartition by monitor: one monitor may hold most rows, so every
     # task writes its own files into each monitor directory.
-    (snapshot.select("monitor", "pk", "obj")
-     .write.mode("overwrite").partitionBy("monitor")
-     .parquet(f"{root.rstrip('/')}/{version}"))
+    rows.write.mode("errorifexists").partitionBy("monitor").parquet(f"{root.rstrip('/')}/versions/{version}")
     if commit:
-        _write_pointer(spark, root, version)
+        commit_version(spark, root, version, monitors)
     return version
 
 
-def commit_version(spark: SparkSession, root: str, version: str) -> None:
+def commit_version(spark: SparkSession, root: str, version: str, monitors: list[str] | None = None) -> None:
     """Make a written version current (the last step of a run)."""
-    _write_pointer(spark, root, version)
-
+    if not monitors:
+        stored = spark.read.schema(schemas.ISSUE_STORE).parquet(f"{root.rstrip('/')}/versions/{version}")
+        monitors = sorted(r["monitor"] for r in stored.select("monitor").distinct().collect())  # one row per monitor
+    found = _pointers(spark, root)
+    for m in monitors:
+        seq = found.get(m, (0, None))[0] + 1
+        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("errorifexists") \
+            .text(f"{root.rstrip('/')}/pointers/monitor={m}/seq={seq}")

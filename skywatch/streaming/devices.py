@@ -18,11 +18,12 @@ from skywatch.session import scratch_path
 
 def start_device_state_stream(spark: SparkSession, events: DataFrame, out_dir: str, checkpoint: str,
                               available_now: bool = True):
-    """Latest state per device, rewritten after each micro-batch (complete mode)."""
+    """Latest state per device (complete mode): each micro-batch writes a new
+    version folder, so readers (:func:`read_device_state`) always see a whole one."""
     state = latest_state(events, tiebreak="event_id")
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(out_dir)
+        df.write.mode("overwrite").parquet(f"{out_dir}/version={batch_id}")
 
     w = (state.writeStream.outputMode("complete").foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint))
@@ -30,6 +31,13 @@ def start_device_state_stream(spark: SparkSession, events: DataFrame, out_dir: s
     return w.start()
 
 
+def read_device_state(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The newest complete version."""
+    versions = spark.read.parquet(out_dir)
+    newest = versions.agg(F.max("version")).first()[0]  # partition values only
+    return versions.where(F.col("version") == F.lit(newest)).drop("version")
+
+
 def run_device_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered query ``device_stream``: ``events`` split into four files,
     streamed one file per trigger; the final state equals the batch result."""
@@ -38,9 +46,8 @@ def run_device_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, f"device_stream/{uuid.uuid4().hex}")
     ev = shims.device_events(spark, sf_dir)
     (ev.withColumn("part", (F.col("event_id") % 4).cast("int"))
-     .repartition(4, "part").drop("part")
-     .write.mode("overwrite").parquet(f"{base}/in"))
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+     .write.mode("overwrite").partitionBy("part").parquet(f"{base}/in"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in")
     q = start_device_state_stream(spark, stream, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return read_device_state(spark, f"{base}/out")

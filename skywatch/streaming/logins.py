@@ -25,7 +25,8 @@ from skywatch.sources.trail import explode_records
 def trail_stream(spark: SparkSession, source_dir: str, multi_line: bool = True,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A4 as a stream: one row per record of every new trail file."""
-    r = spark.readStream.schema(schemas.TRAIL_FILE).option("multiLine", multi_line)
+    r = spark.readStream.schema(schemas.TRAIL_FILE).option("multiLine", multi_line) \
+        .option("recursiveFileLookup", True)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return explode_records(r.json(source_dir))
@@ -35,7 +36,7 @@ def start_login_alert_stream(spark: SparkSession, source_dir: str, ip_ranges: li
                              checkpoint: str, multi_line: bool = True, available_now: bool = True,
                              max_files_per_trigger: int | None = None):
     """Start I1 + I2: alerts to ``out_dir/alerts/batch=<id>``, one message per
-    batch to ``out_dir/notifications``. Returns the StreamingQuery."""
+    trail file to ``out_dir/notifications``. Returns the StreamingQuery."""
     stream = trail_stream(spark, source_dir, multi_line, max_files_per_trigger)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
@@ -45,7 +46,7 @@ def start_login_alert_stream(spark: SparkSession, source_dir: str, ip_ranges: li
                                          materialize_signins=False)
             alerts = alerts.persist()
             (alerts.write.mode("overwrite").parquet(f"{out_dir}/alerts/batch={batch_id}"))
-            msgs = logins.alert_messages(alerts.withColumn("batch", F.lit(batch_id)), "batch",
+            msgs = logins.alert_messages(alerts, "trailFile",
                                          invocation_id=F.lit(f"login-stream-{batch_id}"))
             sinks.write_notifications(msgs, f"{out_dir}/notifications")
             alerts.unpersist()
@@ -77,7 +78,7 @@ def run_login_stream_over_drops(spark: SparkSession, sf_dir: str, ip_ranges: lis
     for drop in (0, 1):
         (docs.where(F.col("drop") == drop).select("Records")
          .write.mode("overwrite").json(f"{base}/in/drop{drop}"))
-        q = start_login_alert_stream(spark, f"{base}/in/*", ip_ranges, f"{base}/out",
+        q = start_login_alert_stream(spark, f"{base}/in", ip_ranges, f"{base}/out",
                                      f"{base}/checkpoint", multi_line=False)
         q.awaitTermination()
     docs.unpersist()

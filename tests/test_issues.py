@@ -1,5 +1,6 @@
 """Issue lifecycle (C3-C5, H3-H5) incl. a property test, and the snapshot store."""
 
+import pytest
 import json
 
 from hypothesis import given, settings
@@ -73,7 +74,25 @@ def test_store_roundtrip(spark, tmp_path):
     v2 = store.write_snapshot(spark, root, nxt, monitors=["uptime-checker"])
     assert v1 != v2
     assert sorted(r.pk for r in store.read_issues(spark, root, "uptime-checker").collect()) == ["b"]
-    assert store.read_issues(spark, root, "other").count() == 1  # other monitors carried over
+    assert store.read_issues(spark, root, "other").count() == 1  # other monitors are untouched
+
+
+def test_store_interleaved_monitors_and_loud_failures(spark, tmp_path):
+    """Two monitors that write around the same time both keep their rows; an unreadable pointer is not an empty store."""
+    root = str(tmp_path / "store")
+    rows = lambda m, k: spark.createDataFrame([(m, k, "{}")], "monitor string, pk string, obj string")
+    a = store.write_snapshot(spark, root, rows("drift", "d1"), ["drift"], commit=False)
+    b = store.write_snapshot(spark, root, rows("iam", "i1"), ["iam"], commit=False)
+    store.commit_version(spark, root, b, ["iam"])
+    store.commit_version(spark, root, a, ["drift"])
+    assert sorted(r.pk for r in store.read_issues(spark, root).collect()) == ["d1", "i1"]
+    store.write_snapshot(spark, root, rows("drift", "x").limit(0), ["drift"])
+    assert [r.pk for r in store.read_issues(spark, root).collect()] == ["i1"]
+    assert store.read_issues(spark, str(tmp_path / "none")).count() == 0
+    for f in (tmp_path / "store" / "pointers" / "monitor=iam" / "seq=1").glob("part-*"):
+        f.write_text("v-gone")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE"):
+        store.read_issues(spark, root, "iam").collect()
 
 
 def test_empty_sides(spark):

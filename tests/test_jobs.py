@@ -49,7 +49,7 @@ def test_check_jobs(spark, tmp_path):
     assert c == {"raised": 2, "existing": 0, "fixed": 0}  # root MFA off; account 222 has no root row
     (tmp_path / "s.json").write_text(json.dumps({"accountId": "111", "StackName": "s1", "StackStatus": "UPDATE_COMPLETE",
                                                  "DetectionStatus": "DETECTION_COMPLETE", "StackDriftStatus": "DRIFTED"}))
-    (tmp_path / "d.json").write_text(json.dumps({"StackName": "s1", "LogicalResourceId": "x", "ResourceType": "AWS::SQS::Queue",
+    (tmp_path / "d.json").write_text(json.dumps({"accountId": "111", "StackName": "s1", "LogicalResourceId": "x", "ResourceType": "AWS::SQS::Queue",
                                                  "StackResourceDriftStatus": "MODIFIED", "PropertyDifferences": [
                                                      {"PropertyPath": "/Delay", "ExpectedValue": "1", "ActualValue": "2"}]}))
     dr = jobs.drift_check_job(spark, str(tmp_path / "s.json"), str(tmp_path / "d.json"), str(tmp_path / "store"),

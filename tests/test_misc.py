@@ -42,11 +42,10 @@ def test_drift_reader_and_deleted_option(spark, tmp_path):
         {"StackName": "s1", "LogicalResourceId": "t", "ResourceType": "AWS::SQS::Queue",
          "StackResourceDriftStatus": "IN_SYNC", "PropertyDifferences": []}]))
     stacks, drifts = reports.read_drift_results(spark, str(tmp_path / "stacks.json"), str(tmp_path / "drifts.json"))
-    assert drifts.count() == 0  # only MODIFIED rows are read by default
-    all_drifts = spark.read.schema(drifts.schema).json(str(tmp_path / "drifts.json"))
-    quirk = drift.drift_status(stacks, all_drifts, keys=["StackName"]).first()
+    assert drifts.count() == 2  # every status is read; which count is the rule's choice
+    quirk = drift.drift_status(stacks, drifts, keys=["StackName"]).first()
     assert quirk.driftStatus == "IN_SYNC"  # a deletion alone is not seen (reference behaviour)
-    strict = drift.drift_status(stacks, all_drifts, keys=["StackName"], include_deleted=True).first()
+    strict = drift.drift_status(stacks, drifts, keys=["StackName"], include_deleted=True).first()
     assert strict.driftStatus == "DRIFTED"
 
 
@@ -92,6 +91,26 @@ def test_other_monitors(spark):
                    ("raised", "t1 (i1) was disconnected since Tue Nov 14 2023 22:13:20 GMT+0000 (Coordinated Universal Time)'")]
 
 
+def test_drift_of_one_account_does_not_decide_another(spark, tmp_path):
+    """The same stack name in two accounts: a real drift in A, a tags-only drift in B."""
+    stacks = [{"accountId": a, "StackName": "web", "StackStatus": "UPDATE_COMPLETE", "StackDriftStatus": "DRIFTED"} for a in "AB"]
+    diff = lambda path, actual: [{"PropertyPath": path, "ExpectedValue": "1", "ActualValue": actual}]
+    drifts = [{"accountId": "A", "StackName": "web", "ResourceType": "AWS::SQS::Queue", "StackResourceDriftStatus": "MODIFIED", "PropertyDifferences": diff("/Delay", "2")},
+              {"accountId": "B", "StackName": "web", "ResourceType": "AWS::SQS::Queue", "StackResourceDriftStatus": "MODIFIED", "PropertyDifferences": diff("/Tags", "null")}]
+    for name, rows in (("s", stacks), ("d", drifts)):
+        (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
+    s, d = reports.read_drift_results(spark, str(tmp_path / "s.json"), str(tmp_path / "d.json"))
+    got = {r.accountId: r.driftStatus for r in drift.drift_status(s, d, keys=["accountId", "StackName"]).collect()}
+    assert got == {"A": "DRIFTED", "B": "IN_SYNC"}
+
+
+def test_repeated_address_does_not_multiply_usage(spark):
+    from skywatch.operators import iprisk
+    usage = spark.createDataFrame([("1.1.1.1", 5)], "sourceIp string, n int")
+    dim = spark.createDataFrame([("1.1.1.1", "low", "a", "b"), ("1.1.1.1", "high", "c", "d")], "ip string, risk string, description string, shortDescription string")
+    assert iprisk.enrich(usage, dim).count() == 1
+
+
 def test_monitor_runs_update_store_and_notify(spark, tmp_path):
     from skywatch.sources import store
     root, sink = str(tmp_path / "store"), str(tmp_path / "sink")
@@ -100,11 +119,11 @@ def test_monitor_runs_update_store_and_notify(spark, tmp_path):
     c1 = accounts.run_monitor(spark, accounts.UPTIME, things([("t1", "i1", 1), ("t2", "i2", None)]), root, sink,
                               thursday, "run-1")
     assert c1 == {"raised": 2, "existing": 0, "fixed": 0}
-    v1 = store._read_pointer(spark, root)
+    v1 = store.current_version(spark, root, "uptime-checker")
     # nothing changed on the next run: no new version, no message on a Thursday
     c2 = accounts.run_monitor(spark, accounts.UPTIME, things([("t1", "i1", 1), ("t2", "i2", None)]), root, sink,
                               thursday, "run-2")
-    assert c2 == {"raised": 0, "existing": 2, "fixed": 0} and store._read_pointer(spark, root) == v1
+    assert c2 == {"raised": 0, "existing": 2, "fixed": 0} and store.current_version(spark, root, "uptime-checker") == v1
     c3 = accounts.run_monitor(spark, accounts.UPTIME, things([("t1", "i1", 1)]), root, sink, thursday, "run-3")
     assert c3 == {"raised": 0, "existing": 1, "fixed": 1}
     assert [r.pk for r in store.read_issues(spark, root, "uptime-checker").collect()] == ["t1"]

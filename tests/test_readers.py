@@ -182,18 +182,41 @@ def test_credential_report_by_header_names(spark, tmp_path):
     assert r.access_key_1_active is None  # absent column -> NULL
 
 
-def test_window_globs_open_only_the_window(spark, tmp_path):
+def test_credential_reports_with_other_column_order(spark, tmp_path):
+    """Each file's own header names its columns; quoted cells and blank lines are fine."""
+    for account, text in (("1", "user,mfa_active,password_enabled\nann,true,false\n"), ("2", "password_enabled,user,x,mfa_active\r\ntrue,\"b, c\",y,false\r\n\r\n"), ("3", "user,mfa_active\n")):
+        d = tmp_path / "r" / account
+        d.mkdir(parents=True)
+        (d / "report.csv").write_text(text)
+    got = sorted((r.accountId, r.user, r.mfa_active, r.password_enabled) for r in reports.read_credential_report(spark, str(tmp_path / "r")).collect())
+    assert got == [("1", "ann", "true", "false"), ("2", "b, c", "false", "true")]
+
+
+def test_late_files_and_odd_cells_are_read(spark, tmp_path):
+    """A file delivered after the window counts by its lines; a cell may begin with a quote; a line may hold the separator."""
     import datetime as dt
 
     from skywatch.operators.usage import object_usage
     d = tmp_path / "logs" / "stk" / "res"
     d.mkdir(parents=True)
-    (d / "2019-02-06-00-00-38-ABC").write_text(OBJ_FULL + "\n")
-    (d / "2018-01-01-00-00-00-OLD").write_text(OBJ_FULL.replace("06/Feb/2019", "01/Jan/2018") + "\n")
-    globs = logs.window_globs(str(tmp_path / "logs"), dt.date(2019, 2, 5), dt.date(2019, 2, 6), "s3accesslogs")
-    assert globs.endswith("/*/*/{2019-02-04,2019-02-05,2019-02-06,2019-02-07}-*")
-    df = logs.read_object_access_logs(spark, globs)
-    files = {r[0].split("/")[-1] for r in df.select("_metadata.file_path").distinct().collect()}
-    assert files == {"2019-02-06-00-00-38-ABC"}  # the 2018 file is never opened
-    got = object_usage(df, dt.date(2019, 2, 5), dt.date(2019, 2, 6)).collect()
-    assert [(r.request_ip, r["count"]) for r in got] == [("192.0.2.3", 1)]
+    (d / "2019-02-09-00-00-00-LATE").write_text(OBJ_FULL + "\n")
+    (d / "no-date").write_text(OBJ_FULL.replace("192.0.2.3", "192.0.2.\x013") + "\n")
+    df = logs.read_object_access_logs(spark, str(tmp_path / "logs"))
+    got = sorted((r.request_ip, r["count"]) for r in object_usage(df, dt.date(2019, 2, 5), dt.date(2019, 2, 6)).collect())
+    assert got == [("192.0.2.\x013", 1), ("192.0.2.3", 1)]
+    c = tmp_path / "cdn" / "stk" / "res"
+    c.mkdir(parents=True)
+    from skywatch import schemas
+    cells = ["-"] * len(schemas.CDN_LOG.fields)
+    text = [i for i, f in enumerate(schemas.CDN_LOG.fields) if f.dataType.simpleString() == "string"]
+    cells[text[0]], cells[text[-1]] = '"open', "end"
+    (c / "f").write_text("\t".join(cells) + "\n")
+    row = logs.read_cdn_logs(spark, str(tmp_path / "cdn"), with_path=False).first()
+    assert (row[text[0]], row[text[-1]]) == ('"open', "end")
+
+
+def test_delivered_folder_layouts(spark, tmp_path):
+    a = tmp_path / "api" / "stk" / "res"
+    a.mkdir(parents=True)
+    (a / "a.json").write_text(json.dumps({"timestamp": "2024-01-12T10:00:00Z", "message": "1.2.3.4,GET /x,r1"}) + "\n")
+    assert logs.read_api_logs(spark, str(tmp_path / "api")).count() == 1

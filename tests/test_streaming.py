@@ -39,13 +39,13 @@ def test_stream_over_gzipped_multiline_documents(spark, tmp_path):
     import gzip
     import json
 
-    from tests.test_golden_login import GOLDEN_INPUT
+    from tests.test_golden_login import TRAIL
     src = tmp_path / "trail"
     src.mkdir()
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     for i in range(2):  # two drops, one pretty-printed gzip document each
         with gzip.open(src / f"f{i}.json.gz", "wt") as f:
-            json.dump(GOLDEN_INPUT, f, indent=2)
+            json.dump(TRAIL, f, indent=2)
         sl.start_login_alert_stream(spark, str(src), [], out, ck, multi_line=True).awaitTermination()
     alerts = spark.read.parquet(f"{out}/alerts")
     assert alerts.count() == 4  # 2 records per file, each file processed once
