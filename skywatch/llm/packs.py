@@ -36,6 +36,7 @@ from skywatch.session import default_parallelism, scratch_path
 
 PACK = "pack long, n_docs long, n_bytes long, body binary"
 RANGE_BYTES = 24 << 20  # bytes of text whose questions meet in one range
+BUCKET_BYTES = 24 << 20  # bytes of text whose packs one task reads
 NO_ID = np.iinfo(np.int64).max  # a null id: after all others
 
 
@@ -105,9 +106,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = 4 << 20,
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep])) if keep else F.lit("")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), rest.alias("rest"))
-    # Files are some compressed megabytes; a bucket is what one task reads.
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n = max(default_parallelism(spark), min(1 << 16, math.ceil(size / (8 << 20))))
+    # A bucket is what one task reads; plans' size estimates can be off by any factor, so the bytes are counted.
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    n = max(default_parallelism(spark), min(1 << 16, math.ceil(size / BUCKET_BYTES)))
     table, path = f"packs_{uuid.uuid4().hex}", scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     rows.mapInPandas(packed, PACK).write.bucketBy(n, "pack").option("path", path).option("compression", "none").format("parquet").saveAsTable(table)
     packs = spark.table(table)
