@@ -38,11 +38,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarity 0.8 or more the one of the smallest id stays."""
-    own = fresh("id")
-    found = jaccard.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("id").alias(own)).distinct()
-    found = materialize(found, "pipeline-duplicates")
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_anti")
+    """Of each group of documents linked by similarity 0.8 or more one row stays: that of the smallest id, null ids last.
+    Decided row by row, whatever ids repeat or are null; a row without words is linked with nothing and stays."""
+    row, gone, own, least = fresh("row"), fresh("gone"), fresh("own"), fresh("least")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    linked = jaccard.near_duplicates(rows.select(row, "text"), row).where("n_links > 0").select(F.col("id").alias(gone), "class_id")
+    linked = materialize(linked, "pipeline-linked")
+    # Rows of equal id are told apart by content, equal rows by their number.
+    content = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), content.alias("content"), F.col(row).alias("row"))
+    first = linked.join(rows.select(F.col(row).alias(own), order.alias("o")), F.col(gone) == F.col(own)) \
+        .groupBy("class_id").agg(F.min("o").alias("o")).select(F.col("o.row").alias(least))
+    others = materialize(linked.join(first, F.col(gone) == F.col(least), "left_anti").select(gone), "pipeline-duplicates")
+    return rows.join(others, F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

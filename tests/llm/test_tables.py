@@ -133,6 +133,24 @@ def test_pipeline_stages(spark, sf_small):
         docs = spark.createDataFrame(rows, out.schema)
 
 
+def test_near_duplicate_stage_decides_by_row(spark):
+    """Null ids and repeated ids are many documents, each judged by its own text."""
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    a, b, c, d, e, f, g, h = words
+    rows = [(1, a), (None, a + " x"), (None, b), (None, c),  # one null id copies 1, the others are clean
+            (2, d), (3, d + " x"), (3, e),  # id 3: a copy of 2, and another text
+            (4, f), (4, f), (4, f + " x"),  # an id's own copies
+            (None, g), (None, g), (None, g + " x"),  # copies without any id
+            (6, h), (5, h + " x"), (None, None), (None, None), (None, " "), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, (r.text or "").removesuffix(" x")) for r in out.collect())
+    assert got == Counter([(1, a), (None, b), (None, c), (2, d), (3, e), (4, f), (None, g), (5, h), (None, ""), (None, ""), (None, " "), (8, ""), (8, "")])
+    again = corpus_pipeline.near_duplicate_stage(spark, docs.repartition(5), "")
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, out.collect()))
+
+
 def test_pipeline_runs_and_is_stable(spark, sf_small):
     a = Counter(map(tuple, corpus_pipeline.run(spark, sf_small).collect()))
     assert a and a == Counter(map(tuple, corpus_pipeline.run(spark, sf_small).collect()))
