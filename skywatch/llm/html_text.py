@@ -3,8 +3,9 @@
 A page is cut into blocks (the text between two block-level tags). Each block
 earns points for length and commas; the points go to the containers above it,
 halved for the grandparent and thinned further up, and a container's sum is
-discounted by its link density. The best container is kept, with those
-siblings that look like part of the same article; what its tags, roles or
+discounted by its link density. The best container is kept, or the outermost
+article or main that holds it, and beside it and what holds it everything that
+is not mostly links, however short; what its tags, roles or
 class names mark as menu, header, footer, sidebar, notice, advert, form,
 script, style or reader comments is left out everywhere.
 
@@ -53,6 +54,8 @@ _CONTAINER = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 _SCOPE = frozenset("table ul ol dl article section div main body html nav aside footer header form blockquote".split())
+# Beside the best container, what has this share of its characters in links is taken for a menu.
+_LINKS = 0.5
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[\s_\-:.]+")
 
@@ -99,7 +102,7 @@ def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    tags, parents, weights = ["#root"], [-1], [0.0]  # the tree: block-level elements only
+    tags, parents, weights, mains = ["#root"], [-1], [0.0], [False]  # the tree: block-level elements only
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their node (inline ones share their parent's)
     blocks: list[tuple[int, str, int]] = []  # (node, text, characters within links)
     left_out = links = 0  # open elements of the kinds
@@ -193,6 +196,7 @@ def main_text(page: str | None) -> str:
             tags.append(tag)
             parents.append(stack[-1][1])
             weights.append(_CONTAINER.get(tag, 0.0) + 25.0 * main)
+            mains.append(main or tag in ("article", "main"))
             stack.append((tag, len(tags) - 1))
         else:
             stack.append((tag, stack[-1][1]))
@@ -227,22 +231,20 @@ def main_text(page: str | None) -> str:
     best = max(range(n), key=lambda k: (final[k], -k))
     if final[best] <= 0:
         best = 0
-    kept = {best}
-    if best:
-        enough = max(10.0, 0.2 * final[best])
-        for k in range(1, n):
-            if parents[k] == parents[best] and k != best and chars[k]:
-                density = link_chars[k] / chars[k]
-                if tags[k] in _CONTAINER:
-                    part = tags[k] == tags[best] and final[k] >= enough and density < 0.3
-                else:
-                    part = tags[k] == "p" and tags[best] not in ("article", "main") and (chars[k] > 80 and density < 0.25 or chars[k] <= 80 and density == 0)
-                if part:
-                    kept.add(k)
+    k = best
+    while k >= 0:
+        if mains[k]:
+            best = k
+        k = parents[k]
+    above, k = set(), parents[best]
+    while k >= 0:
+        above.add(k)
+        k = parents[k]
     inside = [False] * n
     for k in range(n):
-        inside[k] = k in kept or k > 0 and inside[parents[k]]
-    return "\n".join(text for node, text, _ in blocks if inside[node])
+        part = parents[k] in above and k not in above and link_chars[k] < _LINKS * chars[k]
+        inside[k] = k == best or k > 0 and inside[parents[k]] or part
+    return "\n".join(text for node, text, in_links in blocks if inside[node] or node in above and in_links < _LINKS * len(text))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

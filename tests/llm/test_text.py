@@ -29,6 +29,21 @@ def test_main_text_edge_cases():
         assert html_text.main_text(page) == text
 
 
+def test_main_text_keeps_what_stands_beside_the_best_container():
+    def words(page):
+        return html_text.main_text(page).split("\n")
+
+    for n in (1, 5, 40):  # the same page, however long
+        paras = ["One, two, three, and so on, a sentence of an ordinary length, with commas, as they come."] * n
+        body = "".join(f"<p>{x}</p>" for x in paras)
+        assert words(f"<article><h1>T</h1><div class=content>{body}</div><ul><li>a<li>b</ul></article>") == ["T", *paras, "a", "b"]
+        assert words(f"<main><h1>T</h1><div><div>{body}</div><pre>x</pre></div><table><tr><td>c</table></main>") == ["T", *paras, "x", "c"]
+        assert words(f"<div><section>{body}</section><section><h2>Conclusion</h2><p>short</p></section></div>") == [*paras, "Conclusion", "short"]
+        blocks = "<h2>H</h2><ul><li>a</ul><ol><li>b</ol><table><tr><td>c</table><pre>d</pre><blockquote>e</blockquote><figure><figcaption>f</figure>"
+        links = "<ul><li><a href=/x>Menu</a><li><a href=/y>Entry</a></ul><p><a href=/z>More</a>"
+        assert words(f"<body>{links}<h1>T</h1><div>loose<div>{body}</div>{blocks}</div>{links}</body>") == ["T", "loose", *paras, "H", *"abcdef"]
+
+
 def test_extract_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     out = html_text.extract(df).collect()
