@@ -9,6 +9,16 @@ is not mostly links, however short; what its tags, roles or
 class names mark as menu, header, footer, sidebar, notice, advert, form,
 script, style or reader comments is left out everywhere.
 
+A name marks by all its words ("cookie-notice", "post-comments"), not by one of
+them ("search-results", "form-of-government"; these lower the score only).
+Headings are never left out by name. An id, which may come from a title, marks
+only divisions, lists and tables outside article and main, and only if it is
+no word that titles use ("related"); inside, such words do not mark as class
+names either. A form, header or fieldset is the page itself if it holds an
+article or main or, where there is none outside it, most of the page's
+paragraphs (of the article's, inside one): only its labels and controls are
+left out.
+
 The text is the kept blocks in page order joined by one line feed; within a
 block, character references are decoded, white space (of any kind, and line
 breaks by tag) becomes one space, and ends are trimmed. Nothing else is
@@ -25,6 +35,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +51,11 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROP = frozenset("head nav header footer aside form menu dialog fieldset".split())
+_DROP = frozenset("head nav footer aside menu dialog".split())
+_FRAME = frozenset("form header fieldset".split())  # left out unless they hold the page
+_CONTROLS = frozenset("label legend datalist optgroup option output meter progress".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BY_ID = frozenset("div center ul ol dl table td".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar note".split())
 _NEVER_DROP = frozenset("html body article main".split())
 _NEGATIVE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion sidebar side aside menu nav navbar navigation "
@@ -48,6 +63,12 @@ _NEGATIVE = frozenset("ad ads adv advert adverts advertisement advertising spons
                       "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget "
                       "widgets pager pagination skip hidden form search copyright legal disclaimer".split())
 _POSITIVE = frozenset("content article main body post entry story text page".split())
+# Negative words that titles, and so ids and the names of an article's parts, use as well.
+_TOPICS = frozenset("legal discussion social related recommended recommendations search form alert consent copyright disclaimer notice notices side foot header reply "
+                    "replies respond promotion subscribe subscription signup login skip cookie cookies widget widgets".split())
+# Words of layout that do not change what a name marks.
+_LAYOUT = _POSITIVE | frozenset("area bar block bottom box btn button buttons center col column container first global group icons inner item items last left links list outer panel "
+                                "posts primary region right row secondary section site sticky the top wrap wrapper".split())
 _ABOUT = frozenset("with has no without".split())
 _CONTAINER = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "body": 0.0, "html": 0.0, "#root": 0.0}
 # A start tag of the key closes open elements of the values, up to the nearest of the scope.
@@ -60,37 +81,49 @@ _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[\s_\-:.]+")
 
 
-def _marked(name: str) -> bool:
-    """Whether a class name or id marks something beside the article."""
+@lru_cache(4096)
+def _mark(name: str) -> int:
+    """What a class name or id says: 0 nothing, 1 some word of boilerplate, 2 boilerplate by all its words, 3 several such words or a notice, 4 boilerplate by a word that is no topic."""
     parts = [x for x in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
-    parts = [re.sub(r"\d+$", "", x) for x in parts]
-    bad = [x in _NEGATIVE for x in parts]
-    if not any(bad) or any(x in _ABOUT for x in parts):
-        return False
-    return bad[-1] or not any(x in _POSITIVE for x in parts)
+    parts = [x for x in (re.sub(r"\d+$", "", x) for x in parts) if x]
+    bad = [x for x in parts if x in _NEGATIVE]
+    if not bad or any(x in _ABOUT for x in parts):
+        return 0
+    if not all(x in _NEGATIVE or x in _LAYOUT for x in parts) or parts[-1] not in _NEGATIVE and any(x in _POSITIVE for x in parts):
+        return 1
+    if any(x not in _TOPICS for x in bad):
+        return 4
+    return 3 if len(bad) > 1 or bad[0].startswith("notice") else 2
 
 
-def _beside(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(left out, is the main container by role) from a start tag."""
+def _beside(tag: str, attrs: str, within: bool) -> tuple[bool, bool, bool]:
+    """(left out, is the main container by role, named a little like boilerplate) from a start tag, ``within`` an article or main or not."""
     if tag in _DROP:
-        return True, False
+        return True, False, False
     if not attrs or attrs.isspace():
-        return False, False
-    main = False
+        return False, False, False
+    main = doubt = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, False
         if name == "role":
-            if value.lower() in _DROP_ROLES and tag not in _NEVER_DROP:
-                return True, False
+            if value.lower() in _DROP_ROLES and tag not in _NEVER_DROP and (value.lower() != "form" or tag != "form"):
+                return True, False, False
             main |= value.lower() in ("main", "article")
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
-        elif name in ("class", "id") and tag not in _NEVER_DROP and any(map(_marked, value.split())):
-            return True, False
-    return False, main
+                return True, False, False
+        elif name in ("class", "id") and tag not in _NEVER_DROP and tag not in _HEADINGS:
+            mark = max(map(_mark, value.split()), default=0)
+            doubt |= mark > 0
+            if name == "id":
+                out = mark == 4 and tag in _BY_ID and not within
+            else:
+                out = mark >= (4 if tag in _FRAME else 3 if within else 2)
+            if out:
+                return True, False, False
+    return False, main, doubt
 
 
 def _points(text: str) -> float:
@@ -98,6 +131,29 @@ def _points(text: str) -> float:
     return min(n / 100, 3.0) + text.count(",") + text.count("、") + text.count("，") + (1.0 if n >= 25 else n / 25)
 
 
+def _without_frames(tags: list[str], parents: list[int], mains: list[bool], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The blocks but those in a form, header or fieldset that holds neither an article or main nor, of it or else of the page, most of the paragraphs."""
+    n = len(tags)
+    chars, main_chars, within = [0] * n, [0] * n, [False] * n  # of paragraphs; of those in an article or main
+    for k in range(n):
+        within[k] = mains[k] or k > 0 and within[parents[k]]
+    for node, text, in_links in blocks:
+        if tags[node] not in _HEADINGS and in_links < _LINKS * len(text):
+            chars[node] += len(text)
+            main_chars[node] += len(text) * within[node]
+    for k in range(n - 1, 0, -1):
+        chars[parents[k]] += chars[k]
+        main_chars[parents[k]] += main_chars[k]
+    out = [False] * n
+    for k in range(1, n):
+        if main_chars[0]:
+            small = 2 * main_chars[k] <= main_chars[0] if within[k] else not main_chars[k]
+        else:
+            small = 2 * chars[k] <= chars[0]
+        out[k] = out[parents[k]] or tags[k] in _FRAME and small
+    return [b for b in blocks if not out[b[0]]]
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -105,8 +161,9 @@ def main_text(page: str | None) -> str:
     tags, parents, weights, mains = ["#root"], [-1], [0.0], [False]  # the tree: block-level elements only
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their node (inline ones share their parent's)
     blocks: list[tuple[int, str, int]] = []  # (node, text, characters within links)
-    left_out = links = 0  # open elements of the kinds
-    kinds: list[tuple[bool, bool]] = [(False, False)]
+    left_out = links = articles = frames = 0  # open elements of the kinds
+    kinds: list[tuple[bool, bool, bool, bool]] = [(False, False, False, False)]
+    doubts: list[int] = []  # nodes named a little like boilerplate
     chunks: list[str] = []
     linked: list[str] = []
 
@@ -127,14 +184,16 @@ def main_text(page: str | None) -> str:
                 linked.append(raw)
 
     def pop_to(depth: int) -> None:
-        nonlocal left_out, links
+        nonlocal left_out, links, articles, frames
         while len(stack) > depth:
             if stack[-1][0] in _BLOCK:
                 flush()
             stack.pop()
-            out, link = kinds.pop()
+            out, link, article, frame = kinds.pop()
             left_out -= out
             links -= link
+            articles -= article
+            frames -= frame
 
     at, end = 0, len(page)
     while at < end:
@@ -191,24 +250,32 @@ def main_text(page: str | None) -> str:
                 else:
                     break
             flush()
-        out, main = _beside(tag, m[3])
+        out, role, doubt = _beside(tag, m[3], articles > 0)
+        out |= frames > 0 and tag in _CONTROLS
+        main = role or tag in ("article", "main")
         if tag in _BLOCK:
+            if doubt:
+                doubts.append(len(tags))
             tags.append(tag)
             parents.append(stack[-1][1])
-            weights.append(_CONTAINER.get(tag, 0.0) + 25.0 * main)
-            mains.append(main or tag in ("article", "main"))
+            weights.append(_CONTAINER.get(tag, 0.0) + 25.0 * role)
+            mains.append(main)
             stack.append((tag, len(tags) - 1))
         else:
             stack.append((tag, stack[-1][1]))
-        kinds.append((out, tag == "a"))
+        kinds.append((out, tag == "a", main, tag in _FRAME))
         left_out += out
         links += tag == "a"
+        articles += main
+        frames += tag in _FRAME
     pop_to(1)
     flush()
+    n = len(tags)
+    if not _FRAME.isdisjoint(tags):
+        blocks = _without_frames(tags, parents, mains, blocks)
     if not blocks:
         return ""
 
-    n = len(tags)
     score, chars, link_chars = [0.0] * n, [0] * n, [0] * n
     for node, text, in_links in blocks:
         points, level, k = _points(text) * (1 - in_links / len(text) if in_links < len(text) else 0.0), 0, node
@@ -228,6 +295,8 @@ def main_text(page: str | None) -> str:
     for k in range(n):
         if tags[k] in _CONTAINER and chars[k]:
             final[k] = (score[k] + weights[k]) * (1 - min(1.0, link_chars[k] / chars[k]))
+    for k in doubts:
+        final[k] /= 2
     best = max(range(n), key=lambda k: (final[k], -k))
     if final[best] <= 0:
         best = 0

@@ -44,6 +44,29 @@ def test_main_text_keeps_what_stands_beside_the_best_container():
         assert words(f"<body>{links}<h1>T</h1><div>loose<div>{body}</div>{blocks}</div>{links}</body>") == ["T", "loose", *paras, "H", *"abcdef"]
 
 
+def test_main_text_keeps_what_a_title_names():
+    para = "One, two, three, and so on, a sentence of an ordinary length, with commas, as they come."
+    parts = ["<h2 id=related-work>a</h2>", "<section id=legal-framework><p>b</section>", "<div class=search-results><p>c</div>", "<h2 id=social-life>d</h2>", "<p class=form-of-government>e</p>",
+             "<h2 id=discussion class=page-header>f</h2>", "<section id=pagination><p>g</section>", "<p id=copyright>h</p>", "<div id=recommendations><p>i</div>"]
+    beside = ["<div class=ad>x</div>", "<div class='cookie-notice'>x</div>", "<ul class=share-buttons><li>x</ul>", "<div id=c class='comments-area'><p>x</div>", "<p class=notice>x</p>", "<h3 hidden>x</h3>"]
+    for around in ("<article>%s</article>", "<main><div>%s</div></main>", "<body><div>%s</div></body>"):
+        assert html_text.main_text(around % (f"<p>{para}</p>" + "".join(parts + beside))) == "\n".join([para, *"abcdefghi"])
+    for name in ("id=sidebar", "id=comments", "class=legal", "class=related-posts", "id=site-footer", "class=post-comments2"):
+        assert html_text.main_text(f"<body><div><p>{para}</p></div><div {name}><p>x</div></body>") == para
+
+
+def test_main_text_of_a_page_in_a_form():
+    para = "One, two, three, and so on, a sentence of an ordinary length, with commas, as they come."
+    small = "<form><label>User</label><p>Join us.</p><select><option>x</select></form>"
+    page = f"<header><h1>Site</h1></header><div><h1>T</h1><p>{para}</p><fieldset><legend>L</legend><label>Search <input name=q></label>Hint</fieldset><p>{para}</p></div>{small}"
+    for around in ("%s", "<form id=form1 role=form class=form>%s</form>", "<fieldset>%s</fieldset>", "<form><header>%s</header></form>"):
+        got = html_text.main_text("<body>" + around % page + "<footer>f</footer></body>")
+        assert got == f"T\n{para}\n{para}"
+    assert html_text.main_text(f"<main><p>Be.</main><form><p>{para}</form>") == "Be."
+    assert html_text.main_text(f"<form><main><p>Be.</main><nav>n</nav></form><header><p>{para}</header>") == "Be."
+    assert html_text.main_text(f"<form class=search-form><input></form><p>{para}</p><label>kept</label>") == f"{para}\nkept"
+
+
 def test_extract_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     out = html_text.extract(df).collect()
