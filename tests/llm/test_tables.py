@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from skywatch.llm import chat, decontaminate, jaccard, mixing, suffixes
+from skywatch.llm import chat, decontaminate, jaccard, language, mixing, suffixes
 from skywatch.llm.queries import ORACLE, QUERIES
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -133,6 +133,18 @@ def test_pipeline_stages(spark, sf_small):
         docs = spark.createDataFrame(rows, out.schema)
 
 
+def test_language_stage_finds_wrong_labels(spark):
+    """Rows not learned from, every second of them with a wrong label: nearly all of these go, the others stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    unseen = F.coalesce(language.bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    wrong = unseen & (F.col("doc_id") % 2 == 0) & F.col("lang").isNotNull()
+    planted = docs.withColumn("lang", F.when(wrong, F.when(F.col("lang") == "en", "fr").otherwise("en")).otherwise(F.col("lang")))
+    left = {r.doc_id for r in corpus_pipeline.language_stage(spark, planted, "").select("doc_id").collect()}
+    bad = {r.doc_id for r in docs.where(wrong).collect()}
+    good = {r.doc_id for r in docs.where(unseen & ~wrong).collect()}
+    assert len(bad) > 100 and len(bad - left) >= 0.9 * len(bad) and len(good & left) >= 0.99 * len(good)
+
+
 def test_near_duplicate_stage_decides_by_row(spark):
     """Null ids and repeated ids are many documents, each judged by its own text."""
     words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
