@@ -1,4 +1,4 @@
-"""Operator 9: removal of repeated byte strings, by distributed prefix doubling.
+"""Operator 9: removal of repeated byte strings, by winnowed fingerprints in place of distributed prefix doubling.
 
 A byte goes if a string of ``LENGTH`` (50) bytes that covers it also starts in
 a document with a smaller id. Texts are UTF-8 bytes; strings never cross
@@ -7,19 +7,19 @@ documents, overlap freely, and are judged on the input.
 Prefix doubling names every position by its first k bytes, makes the name of
 2k bytes from the pair (name at p, name at p + k), and lets Spark sort the
 pairs to find which positions are still shared; a position whose name is
-unique, or that has reached the threshold, drops out. Sorting every position
-of every text once takes more than ten times the input in shuffle alone, so:
+unique, or that has reached the threshold, drops out. That is not done here
+(its cost has not been measured); the same result comes from fingerprints:
 
 * names are made by doubling within a pack (1, 2, 4, 8, 16, 24, 48, 50 bytes;
   a name is a 64-bit polynomial fingerprint, alike in every pack);
-* the first round sorts only *anchors*: each window of 50 bytes picks one of
+* the first round compares only *anchors*: each window of 50 bytes picks one of
   its 27 24-byte names, the smallest by a hash (leftmost of equals), so equal
   windows pick equal names at equal places, and one position in 14 is enough.
   An anchor comes with the pair (name50 at the first window that picks it,
   name50 at the last), which names the whole stretch of its windows. Anchors
   that only one document has are done (unique); where all documents agree on
   the stretch, all its windows are settled at once (past the threshold);
-* the second round sorts the windows of the remaining stretches, by the pair
+* the second round compares the windows of the remaining stretches, by the pair
   that names 50 bytes, and settles each.
 
 Both rounds are exact up to equal fingerprints of unequal strings (more than
@@ -50,6 +50,7 @@ from skywatch.llm.common import materialize, table
 
 LENGTH = 50
 NAME = 24
+MANY = np.uint64(2)
 PER_WINDOW = LENGTH - NAME + 1  # names in a window
 
 _M = 0x9E3779B97F4A7C15 | 1
@@ -154,7 +155,8 @@ def _read(v: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _compare(parts: list[bytes]) -> list[bytes]:
     """Two bits per entry: another document with a smaller id has the same key and second name; another document
-    has the key but they are not all of one second name (0 marks entries that are several by themselves)."""
+    has the key but they are not all of one second name (even names mark entries that are several by themselves,
+    MANY those of more than one id)."""
     read = [_read(v) for v in parts]
     sizes = [len(k) for k, _, _ in read]
     key, second, ids = (np.concatenate([r[i] for r in read]) for i in range(3))
@@ -165,11 +167,13 @@ def _compare(parts: list[bytes]) -> list[bytes]:
     new_name = new_key | np.concatenate(([True], s[1:] != s[:-1]))
     heads = np.flatnonzero(new_name)
     least = np.repeat(np.minimum.reduceat(d, heads), np.diff(np.append(heads, n)))
-    repeated = (d > least) & (s != 0)
+    one = (s & np.uint64(1)) == 1
+    repeated = (d > least) & one
     heads = np.flatnonzero(new_key)
     width = np.diff(np.append(heads, n))
-    mixed = (np.minimum.reduceat(s, heads) != np.maximum.reduceat(s, heads)) | (np.minimum.reduceat(s, heads) == 0)
-    several = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
+    mixed = (np.minimum.reduceat(s, heads) != np.maximum.reduceat(s, heads)) | ~np.logical_and.reduceat(one, heads)
+    # an entry of one second name settles its larger ids by itself, one of MANY has them compared
+    several = (np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)) | np.logical_or.reduceat(s == MANY, heads)
     bits = np.zeros((n, 2), bool)
     bits[order, 0] = repeated
     bits[order, 1] = np.repeat(mixed & several, width) & ~repeated
@@ -224,7 +228,7 @@ class Windows:
 def _ask_stretches(n_ranges: int):
     def fn(k: int, pack: P.Pack) -> Iterator[pd.DataFrame]:
         s = Stretches(pack)
-        second = np.where(s.agree, s.first_pair | np.uint64(1), np.uint64(0))
+        second = np.where(s.agree, s.first_pair | np.uint64(1), np.where(s.first_id != s.last_id, MANY, np.uint64(0)))
         yield P.dealt(k, P.deal(s.keys, n_ranges), n_ranges, lambda i: _entries(s.keys[i], second[i], s.first_id[i]))
     return fn
 

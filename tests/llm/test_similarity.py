@@ -123,6 +123,16 @@ def test_suffixes_against_brute_force(spark, pack_bytes):
     assert {r.rest for r in got.select("rest").collect()} == {'{"cls":"x","part":1}'}
 
 
+def test_suffixes_of_one_id_in_two_packs(spark):
+    """An id's texts in two packs share an anchor; the repeat of one stands beside the other."""
+    for seed in (50, 60, 70):
+        x, filler = " ".join(prose(seed, 60))[:50], " ".join(prose(seed + 1, 60))[:60]
+        rows = [(3, x), (100, filler), (3, x[:-1] + "!"), (9, x)]
+        got = suffixes.without_repeats(frame(spark, rows).coalesce(1), pack_bytes=150)
+        cols = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == Counter(brute_suffixes(rows))
+
+
 def test_suffixes_query_on_table(spark, sf_small):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(map(tuple, suffixes.op9_suffixes(spark, sf_small).collect())) == Counter(brute_suffixes(rows))
