@@ -228,8 +228,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(sorted({lang for lang, _ in got}), got)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def prediction(model: Model, text: Column) -> Column:
+    """Struct (lang_pred, score) of a text; only the text goes to Python."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -237,9 +237,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             langs, scores = model.predict(s.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    return predicted(text)
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score."""
     work = fresh("language")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select("*", predicted(F.col(text_col)).alias(work)).select(*kept, f"{work}.lang_pred", f"{work}.score")
+    return docs.select("*", prediction(model, F.col(text_col)).alias(work)).select(*kept, f"{work}.lang_pred", f"{work}.score")
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
