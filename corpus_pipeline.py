@@ -29,13 +29,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rejects documents without any letter and those whose declared language the text surely contradicts;
     a null declared language contradicts nothing."""
     model = language.fit(language.learnable(docs))
-    work = fresh("lang")
-    known = language.identify(docs.select("*", F.struct("*").alias(work)), model)
-    wrong = F.col("lang").isNotNull() & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE)
-    keep = (F.col("lang_pred") != language.UNDETERMINED) & ~wrong
     if not model.languages:  # nothing learned: nothing to reject but texts without a letter
-        keep = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return known.where(keep).select(f"{work}.*")
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    work = fresh("lang")
+    pred, score = F.col(f"{work}.lang_pred"), F.col(f"{work}.score")
+    wrong = F.col("lang").isNotNull() & (pred != F.col("lang")) & (score >= SURE)
+    return docs.withColumn(work, language.prediction(model, F.col("text"))).where((pred != language.UNDETERMINED) & ~wrong).drop(work)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
