@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from skywatch.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACES", "SHINGLE_WORDS", "SIMILARITY", "table", "n_words", "fresh", "materialize"]
+__all__ = ["WORD", "SPACES", "SHINGLE_WORDS", "SIMILARITY", "table", "n_words", "fresh", "materialize", "release"]
 
 # Word shingles and near-duplicate similarity of the package, unless a caller says otherwise.
 SHINGLE_WORDS = 5
@@ -33,3 +35,12 @@ def n_words(text: str | Column) -> Column:
 def fresh(name: str) -> str:
     """A column name that no input column can have, for work columns beside unknown extra ones."""
     return f"__{name}_{uuid.uuid4().hex[:12]}"
+
+
+def release() -> None:
+    """Gives freed memory back to the system. Python workers live on between tasks, and what an allocator
+    keeps of a past peak counts against the executor's memory in every later stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skywatch.llm.common import materialize
+from skywatch.llm.common import materialize, release
 
 
 def tiled(members: DataFrame, keys: list[str], by: str, tiles: Column) -> DataFrame:
@@ -61,6 +61,7 @@ def each_group(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], It
                 out.append(got)
         if out:
             yield pd.concat(out, ignore_index=True)
+        release()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywatch.llm.common import SHINGLE_WORDS, SIMILARITY, materialize, table
+from skywatch.llm.common import SHINGLE_WORDS, SIMILARITY, materialize, release, table
 from skywatch.llm.groups import components, each_group, forest, tiled
 from skywatch.llm.packs import NO_ID
 from skywatch.llm.ppm import _mix, _words
@@ -119,6 +119,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     out.loc[some, "k1"], out.loc[some, "k2"] = k1.view(np.int64), k2.view(np.int64)
                     out.loc[some, "bands"] = [x.tobytes() for x in bands]
                 yield out
+            release()
 
     return _texts(docs, id_col, text_col).mapInPandas(run, _SIG)
 
@@ -240,6 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 at += len(cls)
                 rows = [(c, h[a:a + m].tobytes()) for c, a, m, r in zip(cls, cut.tolist(), n.tolist(), right.tolist(), strict=True) if r]
                 yield pd.DataFrame(rows, columns=["g_cls", "grams"])
+            release()
 
     grams = grams.mapInPandas(full_sets, "g_cls long, grams binary").dropDuplicates(["g_cls"])
     rows = needed.join(grams, F.col("cls") == F.col("g_cls")).drop("g_cls")

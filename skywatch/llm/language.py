@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skywatch.llm.common import fresh, table
+from skywatch.llm.common import fresh, release, table
 
 UNDETERMINED = "und"
 DIMS_BITS = 15
@@ -223,6 +223,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for pdf in batches:
             out = pd.DataFrame({"lang": pdf["lang"], "v": _vectors(pdf["text"].tolist())})
             yield out[out["v"].notna()]
+            release()
 
     got = sorted((r["lang"], bytes(r["v"])) for r in chosen.mapInPandas(vectors, "lang string, v binary").collect())
     return Model(sorted({lang for lang, _ in got}), got)
@@ -236,6 +237,7 @@ def prediction(model: Model, text: Column) -> Column:
         for s in batches:
             langs, scores = model.predict(s.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            release()
 
     return predicted(text)
 

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skywatch.llm.common import release
 from skywatch.session import default_parallelism, scratch_path
 
 PACK = "pack long, n_docs long, n_bytes long, body binary"
@@ -102,6 +103,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = 4 << 20,
                 size += len(text)
         if ids:
             yield out()
+        release()
 
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep])) if keep else F.lit("")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"),
@@ -146,6 +148,7 @@ def ask(packs: DataFrame, fn: Callable[[int, Pack], Iterator[pd.DataFrame]]) ->
         for pdf in batches:
             for k, body in zip(pdf["pack"], pdf["body"], strict=True):
                 yield from fn(int(k), Pack(bytes(body)))
+                release()
 
     return packs.select("pack", "body").mapInPandas(asked, ASK)
 
@@ -155,6 +158,7 @@ def answer(asked: DataFrame, fn: Callable[[list[bytes]], list[bytes]]) -> DataFr
 
     def answered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = fn([bytes(v) for v in pdf["v"]])
+        release()
         return pd.DataFrame({"pack": pdf["pack"], "part": pdf["part"], "v": got})
 
     return asked.groupBy("part").applyInPandas(answered, ANSWER)
@@ -165,6 +169,8 @@ def settle(packs: DataFrame, answers: DataFrame, fn: Callable[[int, Pack, dict[i
 
     def settled(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got = dict(zip(right["part"].tolist(), map(bytes, right["v"]), strict=True))
-        return fn(int(key[0]), Pack(bytes(left["body"].iloc[0])), got)
+        out = fn(int(key[0]), Pack(bytes(left["body"].iloc[0])), got)
+        release()
+        return out
 
     return packs.select("pack", "body").groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(settled, schema)

@@ -39,7 +39,6 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import sentencepiece
@@ -49,8 +48,11 @@ from pyspark.sql import functions as F
 from skywatch.llm.common import fresh, table
 
 MARK = "▁"  # a space within a piece
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 CACHED_LENGTH = 40  # longer stretches are not kept
+MAX_PAIRS = 1 << 19  # answers about pairs of tokens that are kept
+MAX_STEPS = 1 << 20  # steps of the automaton that are kept besides the tree's
+START = -(1 << 30)  # the token before a stretch
 MODEL = "piece_bpe_32k.model"
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -86,15 +88,50 @@ class Codec:
             self.split[i] = last
             if all(x in self.simple and (len(pieces[x]) == 1 or scores[x] > scores[i]) for x in last if x >= 0) and min(last) >= 0:
                 self.simple.add(i)
-        self.automaton = ahocorasick.Automaton()
+        self._build(tokens)
+        self._words: dict[str, list[int]] = {}
+
+    def _build(self, tokens: list[int]) -> None:
+        """The automaton of the tokens: per state the next states by character (completed while it runs), the state of
+        the longest proper suffix, and the tokens that end there, longest first, each with the answers known so far
+        to whether it may follow another one."""
+        self.follows: dict[int, dict[int, bool]] = {i: {START: True} for i in tokens}
+        go, ends = [{}], [()]
         for i in tokens:
-            self.automaton.add_word(pieces[i], (i, len(pieces[i])))
-        self.automaton.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+            state = 0
+            for ch in self.pieces[i]:
+                nxt = go[state].get(ch)
+                if nxt is None:
+                    nxt = go[state][ch] = len(go)
+                    go.append({})
+                    ends.append(())
+                state = nxt
+            ends[state] = ((i, len(self.pieces[i]), self.follows[i]),)
+        fail, queue = [0] * len(go), [*go[0].values()]
+        for state in queue:  # by depth
+            for ch, nxt in go[state].items():
+                f = fail[state]
+                while f and ch not in go[f]:
+                    f = fail[f]
+                fail[nxt] = go[f].get(ch, 0)
+                ends[nxt] += ends[fail[nxt]]
+                queue.append(nxt)
+        self.go, self.fail, self.ends = go, fail, ends
+        self.n_pairs = self.n_steps = 0
+
+    def _step(self, state: int, ch: str) -> int:
+        """The next state where it is not the tree's: found by suffixes, and kept."""
+        f = state
+        while f and ch not in self.go[f]:
+            f = self.fail[f]
+        nxt = self.go[f].get(ch, 0)
+        if self.n_steps < MAX_STEPS:
+            self.n_steps += 1
+            self.go[state][ch] = nxt
+        return nxt
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_pairs": {}, "_words": {}}
+        return self.__dict__ | {"_words": {}}
 
     @staticmethod
     def _plain(piece: str, kind: str) -> bytes:
@@ -132,12 +169,18 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the two tokens stay as they are when their texts are encoded together."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= 1 << 20:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._undone(a, b) if a in self.simple and b in self.simple else self._run(a, b)
-        return known
+        return self._undone(a, b) if a in self.simple and b in self.simple else self._run(a, b)
+
+    def _learn(self, a: int, b: int) -> bool:
+        """:meth:`compatible`, kept."""
+        self.n_pairs += 1
+        if self.n_pairs > MAX_PAIRS:
+            for known in self.follows.values():
+                known.clear()
+                known[START] = True
+            self.n_pairs = 1
+        ok = self.follows[b][a] = self.compatible(a, b)
+        return ok
 
     def _run(self, a: int, b: int) -> bool:
         x, y = self._text(a), self._text(b)
@@ -167,36 +210,26 @@ class Codec:
         n = len(s)
         if n == 1:
             return [self._symbol(s)]
-        last, back = [0] * (n + 1), [0] * (n + 1)
-        pairs, compatible, done = self._pairs, self.compatible, 0
-
-        def alone(end: int) -> None:
-            """No token of the vocabulary ends there: the character by itself."""
-            last[end], back[end] = self._symbol(s[end - 1]), end - 1
-
-        for end, (i, k) in self.automaton.iter(s):
+        last, back = [START] * (n + 1), [0] * (n + 1)
+        go, ends, state, end = self.go, self.ends, 0, 0
+        for ch in s:
             end += 1
-            if end <= done:
-                continue
-            while done + 1 < end:
-                done += 1
-                alone(done)
-            start = end - k
-            if start:
-                before = last[start]
-                ok = pairs.get((before, i))
+            nxt = go[state].get(ch)
+            state = self._step(state, ch) if nxt is None else nxt
+            for i, k, known in ends[state]:
+                before = last[end - k]
+                ok = known.get(before)
                 if ok is None:
-                    ok = compatible(before, i)
-                if not ok:
-                    continue
-            last[end], back[end], done = i, start, end
-        while done < n:
-            done += 1
-            alone(done)
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = back[at]
+                    ok = self._learn(before, i)
+                if ok:
+                    last[end], back[end] = i, k
+                    break
+            else:  # no token of the vocabulary ends there: the character by itself
+                last[end], back[end] = -1 - ord(ch), 1
+        out = []
+        while end:
+            out.append(last[end])
+            end -= back[end]
         out.reverse()
         return out
 

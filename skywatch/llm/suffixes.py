@@ -72,7 +72,7 @@ class Stretches:
 
     def __init__(self, pack: P.Pack) -> None:
         lo, hi, doc, anchor, pair = [], [], [], [], []
-        for first, last in pack.chunks():
+        for first, last in pack.chunks(1 << 18):
             base, end = int(pack.starts[first]), int(pack.ends[last - 1])
             if end - base < LENGTH:
                 continue
