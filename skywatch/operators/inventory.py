@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skywatch import config
 from skywatch.functions.scalars import strict_uri_encode
+from skywatch.operators.constraints import guarded, matches
 
 # ------------------------------------------------------------------ B33, B34, C6, D10
 
@@ -31,11 +32,6 @@ def suffix_filter(df: DataFrame, col: str, include: list[str] | None, exclude: l
     return df.where(cond)
 
 
-def outside_prefix(keys: DataFrame, col: str, prefix: str) -> DataFrame:
-    """B34 check: keys that do not start with the prefix (should be none)."""
-    return keys.where(~F.startswith(F.col(col), F.lit(prefix)))
-
-
 def strip_prefix(keys: DataFrame, col: str, prefix: str, fail_outside: bool = True) -> DataFrame:
     """Fail if any key lies outside ``prefix``; drop ``prefix`` and one more char.
 
@@ -43,8 +39,8 @@ def strip_prefix(keys: DataFrame, col: str, prefix: str, fail_outside: bool = Tr
     """
     rest = F.substring(F.col(col), len(prefix) + 2, 1 << 30)
     if fail_outside:
-        said = F.concat(F.lit("keys returned that weren't within prefix path specified: "), F.col(col))
-        rest = F.when(F.startswith(F.col(col), F.lit(prefix)) | F.col(col).isNull(), rest).otherwise(F.raise_error(said))
+        said = F.concat(F.lit(f"key outside '{prefix}': "), F.col(col))
+        rest = guarded(rest, F.startswith(F.col(col), F.lit(prefix)) | F.col(col).isNull(), said)
     return keys.withColumn(col, rest)
 
 
@@ -125,26 +121,19 @@ def unique_lookup(resources: DataFrame, lookups: DataFrame) -> DataFrame:
     """For each wanted metadata path, the one logical id carrying it.
 
     ``resources (template, logicalId, path, physicalId)``, ``lookups
-    (template, path)``. Zero or several matches give an ``error`` instead.
+    (template, path)``. Zero or several matches give an ``error`` instead, and so does one without a physical id.
     """
-    # Resources are reduced to one row per (template, path) first: a path
-    # carried by a third of all resources is collapsed map-side, so the join
-    # has unique keys on both sides.
-    per_path = (resources.groupBy("template", "path")
-                .agg(F.count("logicalId").alias("_n"),
-                     F.min("logicalId").alias("_lid"), F.min("physicalId").alias("_pid")))
-    matches = (lookups.select("template", "path").distinct()
-               .join(per_path, on=["template", "path"], how="left")
-               .select("template", "path", F.coalesce(F.col("_n"), F.lit(0)).alias("n_matches"), "_lid", "_pid"))
-    return matches.select(
-        "template", "path", "n_matches",
-        F.when(F.col("n_matches") == 1, F.col("_lid")).alias("logicalId"),
-        F.when(F.col("n_matches") == 1, F.col("_pid")).alias("physicalId"),
-        F.when(F.col("n_matches") == 0,
-               F.format_string("No resource in template had aws:cdk:path matching '%s'", F.col("path")))
-         .when(F.col("n_matches") > 1,
-               F.format_string("Multiple logical IDs matched aws:cdk:path '%s'", F.col("path")))
-         .alias("error"))
+    named = resources.where("logicalId IS NOT NULL").select("template", "path", "logicalId", "physicalId")
+    found = matches(lookups.select("template", "path").distinct(), named, ["template", "path"],
+                    F.min("logicalId").alias("_lid"), F.min("physicalId").alias("_pid"))
+    one, path = F.col("n_matches") == 1, F.col("path")
+    no_id = F.coalesce(F.col("_pid"), F.lit("")) == ""
+    return found.select(
+        "template", "path", "n_matches", F.when(one, F.col("_lid")).alias("logicalId"),
+        F.when(one & ~no_id, F.col("_pid")).alias("physicalId"),
+        F.when(F.col("n_matches") == 0, F.format_string("Nothing in the template has the path '%s'", path))
+         .when(~one, F.format_string("%d logical ids have the path '%s'", F.col("n_matches"), path))
+         .when(no_id, F.format_string("Logical id '%s' has no physical id", F.col("_lid"))).alias("error"))
 
 
 # ------------------------------------------------------------------ B39, B32, D7

@@ -14,8 +14,7 @@ START_TS = "TIMESTAMP '2024-01-10 00:00:00'"
 END_TS = "TIMESTAMP '2024-01-17 00:00:00'"
 
 EV_IP = "concat('10.0.', user_id % 4, '.', user_id)"
-EV_PK = "(event_id % 120)"
-EV_RES = f"concat('stack', {EV_PK} % 9) AS stackName, concat('r', {EV_PK}) AS stackResourceName"
+EV_RES = "concat('stack', (user_id // 10) % 9) AS stackName, concat('r', user_id // 10) AS stackResourceName, concat('bucket-', event_id % 3) AS source"
 
 CDN = f"""cdn AS (
   SELECT CAST(ts AS DATE) AS date, {EV_IP} AS request_ip, event_type AS method,
@@ -28,7 +27,7 @@ CDN = f"""cdn AS (
   FROM events)"""
 
 CDN_AGG = f"""cdn_agg AS (
-  SELECT stackName, stackResourceName, status, date, request_ip, geoBlocked, method,
+  SELECT stackName, stackResourceName, source, status, date, request_ip, geoBlocked, method,
          NULLIF(regexp_extract(uri, '^/?([^/]+)/', 1), '') AS uriRoot, count(*) AS count
   FROM cdn WHERE date BETWEEN {START} AND {END} AND uri <> '/favicon.ico'
   GROUP BY ALL)"""
@@ -40,18 +39,19 @@ OBJ = f"""obj AS (
   FROM events WHERE event_id % 3 = 0 AND event_id % 4 <> 1 AND event_id % 89 <> 0)"""
 
 OBJ_AGG = f"""obj_agg AS (
-  SELECT stackName, stackResourceName, status, date, request_ip, method, count(*) AS count
+  SELECT stackName, stackResourceName, source, status, date, request_ip, method, count(*) AS count
   FROM obj WHERE date BETWEEN {START} AND {END} GROUP BY ALL)"""
 
 API = f"""api AS (
   SELECT ts AS timestamp, {EV_IP} AS sourceIp,
          CASE WHEN event_id % 9 = 0 THEN 'MESSAGE' WHEN event_type = 'signup' THEN 'CONNECTION_API'
               ELSE 'GET' END AS method,
-         CASE WHEN event_id % 9 = 0 THEN '$default' ELSE concat('/', event_type) END AS path, {EV_RES}
+         CASE WHEN event_id % 9 = 0 THEN '$default' ELSE concat('/', event_type) END AS path,
+         concat('acct', event_id % 4) AS accountId, concat('/http/', user_id // 10, '/access') AS source
   FROM events WHERE event_id % 83 <> 0)"""
 
 API_AGG = f"""api_agg AS (
-  SELECT stackName, stackResourceName, sourceIp, method, path, strftime(timestamp, '%Y-%m-%d') AS date,
+  SELECT accountId, source, sourceIp, method, path, strftime(timestamp, '%Y-%m-%d') AS date,
          count(*) AS count
   FROM api WHERE timestamp >= {START_TS} AND timestamp <= {END_TS} AND method <> 'CONNECTION_API'
   GROUP BY ALL)"""
@@ -60,24 +60,34 @@ RTYPE = ("CASE WHEN p_size % 7 IN (0, 1) THEN 'CloudFront' WHEN p_size % 7 IN (2
          "WHEN p_size % 7 IN (4, 5) THEN 'LogGroup' ELSE 'Unknown' END")
 
 RES = f"""res AS (
-  SELECT concat('acct', p_partkey % 4) AS accountId, concat('stack', p_partkey % 9) AS stackName,
-         concat('r', p_partkey) AS name, concat('bucket-', p_partkey % 5) AS source, {RTYPE} AS type,
-         CASE WHEN p_partkey % 2 = 0 THEN true END AS split
+  SELECT p_partkey, concat('acct', p_partkey % 4) AS accountId, concat('stack', (p_partkey // 2) % 9) AS stackName,
+         concat('r', p_partkey // 2) AS name,
+         CASE WHEN p_size % 7 IN (4, 5) THEN concat('/http/', p_partkey // 2, '/access') ELSE concat('bucket-', p_partkey % 3) END AS source,
+         {RTYPE} AS type, CASE WHEN p_partkey % 2 = 0 THEN true END AS split
   FROM part WHERE concat('acct', p_partkey % 4) IN ('acct0', 'acct1', 'acct2'))"""
 
+# Log groups not younger than the window's end; their retention always reaches it.
+OPEN_GROUP = f"(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(p_partkey % 23 AS INTEGER)) <= {END_TS})"
+
 USAGE = f"""usage AS (
   SELECT r.accountId, c.stackName, c.stackResourceName, strftime(c.date, '%Y-%m-%d') AS date, c.count,
          concat(c.method, ' ', c.status) AS event, c.request_ip AS sourceIp, c.geoBlocked,
          CASE WHEN coalesce(r.split, false) THEN coalesce(c.uriRoot, '') END AS uriRoot
-  FROM cdn_agg c JOIN res r ON r.stackName = c.stackName AND r.name = c.stackResourceName AND r.type = 'CloudFront'
+  FROM cdn_agg c JOIN res r ON r.stackName = c.stackName AND r.name = c.stackResourceName AND r.source = c.source AND r.type = 'CloudFront'
   UNION ALL
   SELECT r.accountId, o.stackName, o.stackResourceName, strftime(o.date, '%Y-%m-%d'), o.count,
          concat(o.method, ' ', o.status), o.request_ip, NULL, NULL
-  FROM obj_agg o JOIN res r ON r.stackName = o.stackName AND r.name = o.stackResourceName AND r.type = 'S3AccessLogs'
+  FROM obj_agg o JOIN res r ON r.stackName = o.stackName AND r.name = o.stackResourceName AND r.source = o.source AND r.type = 'S3AccessLogs'
   UNION ALL
-  SELECT r.accountId, a.stackName, a.stackResourceName, a.date, a.count,
+  SELECT r.accountId, r.stackName, r.name, a.date, a.count,
          concat(a.method, ' ', a.path), a.sourceIp, NULL, NULL
-  FROM api_agg a JOIN res r ON r.stackName = a.stackName AND r.name = a.stackResourceName AND r.type = 'LogGroup')"""
+  FROM api_agg a JOIN res r ON r.accountId = a.accountId AND r.source = a.source AND r.type = 'LogGroup' AND {OPEN_GROUP})"""
+
+USAGE_C = """usage_c AS (
+  SELECT r.accountId, c.stackName, c.stackResourceName, strftime(c.date, '%Y-%m-%d') AS date, c.count,
+         concat(c.method, ' ', c.status) AS event, c.request_ip AS sourceIp, c.geoBlocked,
+         CASE WHEN coalesce(r.split, false) THEN coalesce(c.uriRoot, '') END AS uriRoot
+  FROM cdn_agg c JOIN res r ON r.stackName = c.stackName AND r.name = c.stackResourceName AND r.source = c.source AND r.type = 'CloudFront')"""
 
 IPINFO = f"""ipinfo AS (
   SELECT DISTINCT {EV_IP} AS ip, n.n_name AS country,
@@ -319,6 +329,20 @@ FROM (SELECT CASE WHEN o_orderkey % 50 = 1 THEN concat('lg', o_orderkey - 1) ELS
              CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 1000 END AS retention FROM orders)
 GROUP BY 1""",
 
+    "usage_by_source": _q("""SELECT accountId, stackName, stackResourceName, date, count, event, sourceIp, geoBlocked, uriRoot FROM usage_c""",
+                          CDN, CDN_AGG, RES, USAGE_C),
+
+    "log_group_errors": f"""WITH wanted AS (SELECT DISTINCT concat('acct', p_partkey % 4) AS accountId, p_partkey // 2 AS k
+  FROM part WHERE {RTYPE} = 'LogGroup')
+SELECT accountId, concat('/http/', k, '/access') AS source, n::BIGINT AS n_groups,
+       format('{{}} log groups named ''/http/{{}}/access'' in account {{}}, one expected', n, k, accountId) AS error
+FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 0 WHEN k % 13 = 0 THEN 2 ELSE 1 END AS n FROM wanted) WHERE n <> 1""",
+
+    "location_errors": f"""SELECT type, location, n_resources, format('{{}} resources keep their logs at ''{{}}''', n_resources, location) AS error
+FROM (SELECT {RTYPE} AS type, concat('bucket-', p_partkey % 2, '/stack', p_partkey % 9, '/r', p_partkey // 90) AS location,
+             count(*) AS n_resources FROM part WHERE {RTYPE} IN ('CloudFront', 'S3AccessLogs') GROUP BY ALL)
+WHERE n_resources > 1""",
+
     "login_filter": _q("""SELECT eventID, eventName, sourceIPAddress, eventSource, eventType, consoleLogin, switchRole
 FROM signin""", TRAIL),
 
@@ -401,9 +425,10 @@ LEFT JOIN (SELECT template, count(*) AS n FROM tpl
 
     "unique_lookup": _q("""SELECT l.template, l.path, CAST(count(t.logicalId) AS BIGINT) AS n_matches,
        CASE WHEN count(t.logicalId) = 1 THEN min(t.logicalId) END AS logicalId,
-       CASE WHEN count(t.logicalId) = 1 THEN min(concat('phys-', t.k)) END AS physicalId,
-       CASE WHEN count(t.logicalId) = 0 THEN format('No resource in template had aws:cdk:path matching ''{}''', l.path)
-            WHEN count(t.logicalId) > 1 THEN format('Multiple logical IDs matched aws:cdk:path ''{}''', l.path) END AS error
+       CASE WHEN count(t.logicalId) = 1 AND min(t.k) % 7 <> 0 THEN min(concat('phys-', t.k)) END AS physicalId,
+       CASE WHEN count(t.logicalId) = 0 THEN format('Nothing in the template has the path ''{}''', l.path)
+            WHEN count(t.logicalId) > 1 THEN format('{} logical ids have the path ''{}''', count(t.logicalId), l.path)
+            WHEN min(t.k) % 7 = 0 THEN format('Logical id ''{}'' has no physical id', min(t.logicalId)) END AS error
 FROM (SELECT DISTINCT p_brand AS template, concat(p_brand, '/', p_name, CASE WHEN p_partkey % 10 = 1 THEN '-missing' ELSE '' END) AS path FROM part) l
 LEFT JOIN tpl t ON t.template = l.template AND concat(t.template, '/', t.p_name) = l.path
 GROUP BY l.template, l.path""", TPL),

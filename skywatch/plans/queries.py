@@ -15,7 +15,7 @@ from skywatch.operators import devices as dev
 from skywatch.operators import drift as drf
 from skywatch.operators import inventory as inv
 from skywatch.operators import issues as iss
-from skywatch.operators import logins, rules, usage
+from skywatch.operators import attribution, logins, rules, usage
 from skywatch.plans import accounts as monitors
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
@@ -101,7 +101,25 @@ def _resources(spark, d) -> DataFrame:
 
 def q_usage_all(spark: SparkSession, d: str) -> DataFrame:
     return usage.usage_rows(_resources(spark, d), START, END,
-                            cdn=sh.cdn_logs(spark, d), objlog=_object_log(spark, d), api=_api_log(spark, d))
+                            cdn=sh.cdn_logs(spark, d), objlog=_object_log(spark, d), api=_api_log(spark, d),
+                            log_groups=sh.api_log_groups(spark, d))
+
+
+def q_usage_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """C9 over files: CDN logs under several buckets, with equal stack and resource names in two accounts, some a
+    folder deeper; each line belongs to the resource with the longest registered location around it."""
+    base = sh.write_cdn_log_files(spark, d, _scratch(spark, "cdn_by_source"))
+    return usage.usage_rows(_resources(spark, d), START, END, cdn=logs.read_cdn_logs(spark, base))
+
+
+def q_log_group_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Watched log groups that are missing or not the only one of their name, as rows."""
+    state = usage.log_group_state(sh.usage_resources(spark, d), sh.broken_log_groups(spark, d), END, PARAMS.now)
+    return state.where("error IS NOT NULL").select("accountId", "source", "n_groups", "error")
+
+
+def q_location_errors(spark: SparkSession, d: str) -> DataFrame:
+    return attribution.location_errors(sh.crowded_resources(spark, d))
 
 
 def _enriched(spark, d):
@@ -331,6 +349,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "object_usage_files": q_object_usage_files,
     "api_usage": q_api_usage,
     "usage_all": q_usage_all,
+    "usage_by_source": q_usage_by_source,
+    "log_group_errors": q_log_group_errors,
+    "location_errors": q_location_errors,
     "ip_risk": q_ip_risk,
     "usage_rollup": q_usage_rollup,
     "usage_report": q_usage_report,

@@ -54,8 +54,11 @@ def _ev_ip() -> str:
     return "concat('10.0.', user_id % 4, '.', user_id)"
 
 
-_EV_PK = "(event_id % 120)"
-_EV_RESOURCE = [f"concat('stack', {_EV_PK} % 9) AS stackName", f"concat('r', {_EV_PK}) AS stackResourceName"]
+# Where an event's log line lies: stack and resource follow the user (ten to a resource), so their number grows with
+# the table, and the same names occur in three buckets; some lines lie a folder deeper.
+_EV_FOLDER = ("concat('bucket-', event_id % 3, '/stack', user_id DIV 10 % 9, '/r', user_id DIV 10, "
+              "CASE WHEN event_id % 4 = 0 THEN '/2024' ELSE '' END) AS logFolder")
+_EV_GROUP = "concat('acct', event_id % 4, '/http/', user_id DIV 10, '/access') AS logFolder"
 
 
 # Each derivation is one SQL projection (``selectExpr``): the expression
@@ -73,7 +76,7 @@ def cdn_logs(spark, d) -> DataFrame:
         "CASE WHEN event_id % 10 = 0 THEN 'ClientGeoBlocked' ELSE 'Hit' END AS x_edge_detailed_result_type",
         "CASE WHEN event_id % 101 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 7 = 0 THEN '/favicon.ico' "
         "WHEN event_id % 5 = 0 THEN '/index.html' ELSE concat('/', event_type, '/', event_id % 3) END AS uri",
-        *_EV_RESOURCE)
+        _EV_FOLDER)
 
 
 def object_log_lines(spark, d) -> DataFrame:
@@ -87,7 +90,7 @@ def object_log_lines(spark, d) -> DataFrame:
     return table(spark, d, "events").selectExpr(
         f"CASE WHEN event_id % 89 = 0 THEN 'junk line' WHEN event_id % 4 = 1 THEN {head} "
         f"ELSE concat({head}, {tail}) END AS value",
-        *_EV_RESOURCE)
+        _EV_FOLDER)
 
 
 def api_log_records(spark, d) -> DataFrame:
@@ -98,21 +101,48 @@ def api_log_records(spark, d) -> DataFrame:
         f"WHEN event_id % 9 = 0 THEN concat({_ev_ip()}, ',MESSAGE $default,', event_id) "
         f"ELSE concat({_ev_ip()}, ',', CASE WHEN event_type = 'signup' THEN 'CONNECTION_API' ELSE 'GET' END, "
         f"' /', event_type, ',', event_id) END AS message",
-        *_EV_RESOURCE)
+        _EV_GROUP)
 
 
 _RTYPE = ("CASE WHEN p_size % 7 IN (0, 1) THEN 'CloudFront' WHEN p_size % 7 IN (2, 3) THEN 'S3AccessLogs' "
           "WHEN p_size % 7 IN (4, 5) THEN 'LogGroup' ELSE 'Unknown' END")
 
 
+# Parts 2k and 2k + 1 register the same stack and resource name, in two accounts and two buckets.
+_PK = "(p_partkey DIV 2)"
+_GROUP = f"concat('/http/', {_PK}, '/access')"
+
+
 def usage_resources(spark, d) -> DataFrame:
     """M7 tracked resources from ``part`` (one per part)."""
     return table(spark, d, "part").selectExpr(
-        "concat('acct', p_partkey % 4) AS accountId", "concat('stack', p_partkey % 9) AS stackName",
-        "concat('r', p_partkey) AS name", "concat('bucket-', p_partkey % 5) AS source", f"{_RTYPE} AS type",
+        "concat('acct', p_partkey % 4) AS accountId", f"concat('stack', {_PK} % 9) AS stackName", f"concat('r', {_PK}) AS name",
+        f"CASE WHEN p_size % 7 IN (4, 5) THEN {_GROUP} ELSE concat('bucket-', p_partkey % 3) END AS source", f"{_RTYPE} AS type",
         "CASE WHEN p_partkey % 2 = 0 THEN true END AS splitReportingByUrlRoot")
 
 
+def api_log_groups(spark, d) -> DataFrame:
+    """One log group per part, as :func:`usage_resources` names them; some are younger than the window's end."""
+    return table(spark, d, "part").selectExpr(
+        "concat('acct', p_partkey % 4) AS accountId", f"{_GROUP} AS logGroupName",
+        "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(p_partkey % 23) AS creationTime",
+        "CAST(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 5 END AS INT) AS retentionInDays")
+
+
+def broken_log_groups(spark, d) -> DataFrame:
+    """:func:`api_log_groups` with every 11th missing and every 13th beside another one whose name it begins."""
+    whole = api_log_groups(spark, d).withColumn("k", F.split("logGroupName", "/")[2].cast("long"))
+    kept = whole.where("k % 11 <> 0")
+    return kept.unionByName(kept.where("k % 13 = 0").withColumn("logGroupName", F.concat("logGroupName", F.lit("-old")))).drop("k")
+
+
+def crowded_resources(spark, d) -> DataFrame:
+    """Resources of which several of one type keep their logs at one location: ten parts share stack and name, in two buckets."""
+    return table(spark, d, "part").selectExpr(
+        "concat('acct', p_partkey % 4) AS accountId", "concat('stack', p_partkey % 9) AS stackName", "concat('r', p_partkey DIV 90) AS name",
+        "concat('bucket-', p_partkey % 2) AS source", f"{_RTYPE} AS type", "true AS splitReportingByUrlRoot")
+
+
 def ip_info(spark, d) -> DataFrame:
     """M12 from ``events`` + ``nation`` + ``region``; some addresses unknown."""
     users = (table(spark, d, "events").where("user_id % 30 < 25")
@@ -310,7 +340,8 @@ def template_resources(spark, d) -> DataFrame:
         "CASE p_size % 4 WHEN 1 THEN 'Delete' WHEN 2 THEN 'Snapshot' END AS UpdateReplacePolicy",
         f"CASE p_partkey % 4 WHEN 0 THEN {bucket} WHEN 1 THEN {policy} WHEN 2 THEN '{{}}' "
         f"ELSE {function} END AS Properties",
-        "concat(p_brand, '/', p_name) AS path", "concat('phys-', p_partkey) AS physicalId")
+        "concat(p_brand, '/', p_name) AS path",
+        "CASE WHEN p_partkey % 7 <> 0 THEN concat('phys-', p_partkey) END AS physicalId")
 
 
 def template_lookups(spark, d) -> DataFrame:
@@ -351,27 +382,36 @@ def event_fields(spark, d) -> DataFrame:
 CDN_HEADER = ["#Version: 1.0", "#Fields: date time x-edge-location sc-bytes c-ip cs-method ..."]
 
 
+_FOLDERS = ["bucket", "stack", "resource", "year"]
+
+
+def _by_folder(rows: DataFrame) -> DataFrame:
+    """``logFolder`` as columns to partition by; the last is empty where the file lies a folder higher."""
+    steps = F.split("logFolder", "/")
+    return rows.select("*", *[F.coalesce(F.get(steps, F.lit(i)), F.lit("-")).alias(c) for i, c in enumerate(_FOLDERS)]).drop("logFolder")
+
+
 def write_cdn_log_files(spark, d, base: str) -> str:
-    """Write the CDN shim as gzip TSV files laid out ``<base>/<stack>/<resource>/``
-    with the two ``#`` header lines per resource, as the CDN delivers them."""
+    """Write the CDN shim as gzip TSV files laid out ``<base>/<bucket>/<stack>/<resource>/[<year>/]``
+    with the two ``#`` header lines per folder, as the CDN delivers them."""
     rows = cdn_logs(spark, d)
     cols = [f.name for f in __import__("skywatch.schemas", fromlist=["CDN_LOG"]).CDN_LOG.fields]
     have = set(rows.columns)
     # a NULL cell is written empty (read back as NULL); fields the shim has no
     # value for are '-', as in delivered logs
     cells = [f"coalesce(CAST(`{c}` AS STRING), '')" if c in have else "'-'" for c in cols]
-    lines = rows.selectExpr("stackName", "stackResourceName", f"concat_ws('\t', {', '.join(cells)}) AS value")
-    heads = (rows.select("stackName", "stackResourceName").distinct()
-             .selectExpr("stackName", "stackResourceName", f"explode(array({', '.join(repr(h) for h in CDN_HEADER)})) AS value"))
-    (heads.unionByName(lines).write.mode("overwrite").option("compression", "gzip")
-     .partitionBy("stackName", "stackResourceName").text(base))
+    lines = rows.selectExpr("logFolder", f"concat_ws('\t', {', '.join(cells)}) AS value")
+    heads = (rows.select("logFolder").distinct()
+             .selectExpr("logFolder", f"explode(array({', '.join(repr(h) for h in CDN_HEADER)})) AS value"))
+    (_by_folder(heads.unionByName(lines)).repartition(*_FOLDERS).sortWithinPartitions(*_FOLDERS, F.expr("CASE WHEN startswith(value, '#') THEN 0 ELSE 1 END"))
+     .write.mode("overwrite").option("compression", "gzip").partitionBy(*_FOLDERS).text(base))
     return base
 
 
 def write_object_log_files(spark, d, base: str) -> str:
-    """Write the object-log shim lines as gzip text files per stack/resource."""
-    (object_log_lines(spark, d).write.mode("overwrite").option("compression", "gzip")
-     .partitionBy("stackName", "stackResourceName").text(base))
+    """Write the object-log shim lines as gzip text files per folder."""
+    (_by_folder(object_log_lines(spark, d)).repartition(*_FOLDERS).write.mode("overwrite").option("compression", "gzip")
+     .partitionBy(*_FOLDERS).text(base))
     return base
 
 

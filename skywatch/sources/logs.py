@@ -1,17 +1,20 @@
 """Access-log readers.
 
-One DataFrame per log *family*, with ``stackName`` / ``stackResourceName``
-columns taken from the object path ``<bucket>/<stack>/<resource>/<file>``, so
-all resources of a family are read in one scan and joined once to the
-tracked-resource table (C9) instead of one query per resource.
+One DataFrame per log *family*, with the folder each row was delivered to
+(``<bucket>/<stack>/<resource>`` for file logs, ``<account>/<log group>`` for
+exported API logs), so all resources of a family are read in one scan and
+joined once to the tracked-resource table (C9) instead of one query per resource.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch import schemas
+from skywatch.sources.files import qualified
 
 # ---- fixed value that must equal the reference's for the same parse ----
 # Object-store access-log line pattern (26 groups; the last eight optional as
@@ -32,15 +35,19 @@ _OPTIONAL_FROM = 19  # groups 19..26 may not take part in the match
 _SEP = "\u0001"
 
 
-def path_parts(df: DataFrame) -> DataFrame:
-    """Add ``stackName`` and ``stackResourceName`` from ``.../<stack>/<resource>/<file>``
-    (a ``key=`` prefix, as in Hive-style directories, is dropped)."""
-    parts = F.split(F.col("_metadata.file_path"), "/")
-
-    def name(i: int) -> Column:
-        return F.regexp_replace(F.try_element_at(parts, F.lit(i)), "^[^=/]*=", "")
+def with_folder(df: DataFrame, root: str | list[str] | None = None) -> DataFrame:
+    """Add ``logFolder``: the folder of each row's file, which says whose logs they are.
 
-    return df.withColumn("stackName", name(-3)).withColumn("stackResourceName", name(-2))
+    The scheme is left out, so on an object store the bucket comes first. With one ``root`` (a folder that
+    holds a copy of the buckets) the part below it is taken. A ``key=`` before a folder's name, as in Hive-style
+    directories, is dropped."""
+    folder = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:/*", ""), "/[^/]*$", "")
+    folder = F.ltrim(folder, F.lit("/"))
+    if isinstance(root, str):
+        root = re.sub(r"/[^/]*[*?\[{].*$", "", root)  # the folder above a pattern
+        base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", qualified(df.sparkSession, root)).strip("/") + "/"
+        folder = F.when(F.startswith(folder, F.lit(base)), F.substring(folder, len(base) + 1, 1 << 30)).otherwise(folder)
+    return df.withColumn("logFolder", F.regexp_replace(folder, "(^|/)[^/=]*=", "$1"))
 
 
 def read_cdn_logs(spark: SparkSession, path: str | list[str], with_path: bool = True) -> DataFrame:
@@ -55,7 +62,7 @@ def read_cdn_logs(spark: SparkSession, path: str | list[str], with_path: bool =
           .option("quote", "").option("escape", "")  # a quote is an ordinary character of a cell
           .option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
           .csv(path))
-    return path_parts(df) if with_path else df
+    return with_folder(df, path) if with_path else df
 
 
 def _parse_lines(df: DataFrame, text: Column, anchored: str, fields: list[tuple[str, int, str]],
@@ -107,7 +114,7 @@ def read_object_access_logs(spark: SparkSession, path: str | list[str], with_pat
     """A2 over files: ``spark.read.text`` then :func:`parse_object_log`."""
     df = spark.read.option("recursiveFileLookup", True).text(path)
     if with_path:
-        df = path_parts(df)
+        df = with_folder(df, path)
     return parse_object_log(df)
 
 
@@ -121,7 +128,7 @@ def parse_api_log(df: DataFrame, message_col: str = "message") -> DataFrame:
 def read_api_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A3 over exported records ``(timestamp, message)`` in JSON lines."""
     df = spark.read.schema(schemas.API_LOG).option("recursiveFileLookup", True).json(path)
-    return parse_api_log(path_parts(df))
+    return parse_api_log(with_folder(df, path))
 
 
 def log_table_name(family: str, stack: str, resource: str) -> str:
@@ -148,21 +155,21 @@ def register_log_table(spark: SparkSession, family: str, stack: str, resource: s
 
 
 def land_log_family(df: DataFrame, path: str, date_col: str = "date") -> None:
-    """Write a parsed log family as Parquet partitioned by stack, resource and
+    """Write a parsed log family as Parquet partitioned by log folder and
     date (SURVEY §4: land raw logs when they are read more than once).
 
-    Partitioned writes append per (stack, resource, date) directory without a
+    Partitioned writes append per (folder, date) directory without a
     shuffle: every task writes its own files, so a resource holding a third of
     the logs is still written by all tasks. Dynamic overwrite replaces only
     the partitions present in ``df`` (re-landing a day is idempotent).
     """
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("stackName", "stackResourceName", date_col)
+     .partitionBy("logFolder", date_col)
      .parquet(path))
 
 
 def read_landed(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a landed family; a predicate on ``date`` / stack / resource prunes
+    """Read a landed family; a predicate on ``date`` or ``logFolder`` prunes
     directories before any file is opened."""
     r = spark.read
     if schema is not None:

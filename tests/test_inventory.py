@@ -30,7 +30,7 @@ def test_suffixes_and_prefix(spark):
     assert sorted(r.key for r in stripped.collect()) == ["a.pdf", "b.txt", "c.tmp.pdf"]
     only_pdf = inv.suffix_filter(stripped, "key", [".pdf"], [".tmp.pdf"])
     assert [r.key for r in only_pdf.collect()] == ["a.pdf"]
-    with pytest.raises(Exception, match="weren't within prefix path"):
+    with pytest.raises(Exception, match="key outside"):
         inv.strip_prefix(keys(spark, ["site/a", "other/b"], "key"), "key", "site").collect()
 
 
@@ -42,11 +42,11 @@ def test_key_tree(spark):
 
 
 def test_unique_lookup(spark):
-    res = spark.createDataFrame([("t", "L1", "t/x", "p1"), ("t", "L2", "t/y", "p2"), ("t", "L3", "t/y", "p3")],
+    res = spark.createDataFrame([("t", "L1", "t/x", "p1"), ("t", "L2", "t/y", "p2"), ("t", "L3", "t/y", "p3"), ("t", "L4", "t/w", None), (None, "L5", "t/x", "p5")],
                                 "template string, logicalId string, path string, physicalId string")
-    look = spark.createDataFrame([("t", "t/x"), ("t", "t/y"), ("t", "t/z")], "template string, path string")
+    look = spark.createDataFrame([("t", "t/x"), ("t", "t/y"), ("t", "t/z"), ("t", "t/w")], "template string, path string")
     got = {r.path: (r.n_matches, r.physicalId, r.error is not None) for r in inv.unique_lookup(res, look).collect()}
-    assert got == {"t/x": (1, "p1", False), "t/y": (2, None, True), "t/z": (0, None, True)}
+    assert got == {"t/x": (1, "p1", False), "t/y": (2, None, True), "t/z": (0, None, True), "t/w": (1, None, True)}
 
 
 def test_stack_lists(spark):

@@ -17,7 +17,7 @@ def test_usage_report_job(spark, tmp_path):
                                                                          "splitReportingByUrlRoot": True})},
             {"OutputKey": "USAGETRACKINGq", "OutputValue": json.dumps({"name": "q", "source": "b", "type": "Queue"})}]},
         {"accountId": "999", "StackName": "other", "StackStatus": "UPDATE_COMPLETE", "Outputs": None}]))
-    d = tmp_path / "cdn" / "web" / "site"
+    d = tmp_path / "cdn" / "b" / "web" / "site"
     d.mkdir(parents=True)
     with gzip.open(d / "E1.2024-01-13-00.abc.gz", "wt") as f:
         f.write(CDN_HEADER + cdn_line("2024-01-12", "1.1.1.1", "GET", "/app/x", "200")

@@ -28,7 +28,7 @@ def test_cdn_reader_gzip_headers_and_dashes(spark, tmp_path):
     df = logs.read_cdn_logs(spark, str(tmp_path / "bucket" / "*" / "*"))
     rows = df.orderBy("date").collect()
     assert len(rows) == 2
-    assert rows[0].stackName == "stackA" and rows[0].stackResourceName == "siteB"
+    assert rows[0].logFolder == "stackA/siteB"
     assert rows[0].status == 200 and rows[0].c_port == 443
     assert rows[1].c_port is None  # '-' in an INT column
     assert rows[1].sc_range_start is None and rows[1].referrer == "-"  # '-' in text stays '-'
@@ -149,12 +149,12 @@ def test_object_and_api_log_files(spark, tmp_path):
     (d / "2019-02-06-00-00-38-ABC").write_text(OBJ_FULL + "\n" + OBJ_SHORT + "\n")
     df = logs.read_object_access_logs(spark, str(tmp_path / "logs" / "*" / "*"))
     rows = {r.remoteip: r for r in df.collect()}
-    assert rows["192.0.2.3"].stackResourceName == "bucketlog" and rows["192.0.2.4"].errorcode == "AccessDenied"
+    assert rows["192.0.2.3"].logFolder == "stk/bucketlog" and rows["192.0.2.4"].errorcode == "AccessDenied"
     a = tmp_path / "api" / "stk" / "apilog"
     a.mkdir(parents=True)
     (a / "part.json").write_text(json.dumps({"timestamp": "2024-01-12T10:00:00Z", "message": "1.2.3.4,GET /x,r1"}) + "\n")
     api = logs.read_api_logs(spark, str(tmp_path / "api" / "*" / "*")).first()
-    assert (api.stackName, api.sourceIp, api.method, api.path) == ("stk", "1.2.3.4", "GET", "/x")
+    assert (api.logFolder, api.sourceIp, api.method, api.path) == ("stk/apilog", "1.2.3.4", "GET", "/x")
 
 
 def test_template_map_explode_and_stacks_reader(spark, tmp_path):
