@@ -23,7 +23,7 @@ from skywatch.session import get_spark  # noqa: E402
 
 # Headline set: the batch queries. Streams and the *_files round trips
 # (which write their inputs first) run on request via BENCH_QUERIES.
-STREAMING = {"login_stream", "device_stream"}
+STREAMING = {"login_stream", "login_messages", "device_stream", "usage_by_source"}
 
 
 def main() -> None:

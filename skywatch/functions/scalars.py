@@ -107,8 +107,3 @@ def ipv4_to_long(ip) -> Column:
     num = F.aggregate(parts, F.lit(0).cast("bigint"),
                       lambda acc, x: acc * F.lit(256) + x.cast("bigint"))
     return F.when(c.rlike(_IPV4), num)
-
-
-def ipv4_network(ipn, prefix_len: int) -> Column:
-    """Network number of an address for a (literal) prefix length: ``ip >> (32 - len)``."""
-    return F.shiftright(col_or_lit(ipn), 32 - prefix_len)

@@ -1,21 +1,21 @@
-"""IP risk enrichment and address allowlists.
+"""IP risk enrichment.
 
-Dimension rows are reduced to the distinct addresses actually seen (D5)
-before any join, so the enrichment join is as large as the number of
-distinct addresses, not the size of the IP database. It is broadcast only
-when that count is under the checked bound, and shuffled otherwise.
+The address dimension may be far larger than the addresses a report sees. Its
+rows are tested at the scan against a bit map of the hashes of the seen
+addresses (at most :data:`MAP_BITS` bits, 4 KB a bucket, so its broadcast is
+bounded at 8 MB however many addresses there are), and only what passes is
+shuffled to the exact join.
 """
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skywatch.functions.scalars import ipv4_network, ipv4_to_long, js_text, strip_network_number
+from skywatch.functions.scalars import js_text, strip_network_number
+
+MAP_BITS = 1 << 26
+_BUCKET_BITS = 1 << 15
 
 
 def risk_class(country_code: Column, high: list[str], home: list[str]) -> Column:
@@ -38,6 +38,21 @@ def ip_dimension(ip_info: DataFrame, high: list[str], home: list[str]) -> DataFr
         F.concat(js_text("country"), F.lit(" ("), js_text("org"), F.lit(")")).alias("shortDescription"))
 
 
+def _slot(ip: Column) -> Column:
+    return F.pmod(F.xxhash64(ip), F.lit(MAP_BITS)) + 1  # bit numbers begin at 1
+
+
+def seen_only(dim: DataFrame, addresses: DataFrame, ip_col: str = "ip") -> DataFrame:
+    """Rows of ``dim`` whose address may be among ``addresses`` (column ``ip``): all that are, and few others (one in
+    67 for a million addresses)."""
+    slot = _slot(F.col("ip"))
+    seen = addresses.where("ip IS NOT NULL").select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    maps = seen.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # A map has at most MAP_BITS / 2^15 rows of 4 KB, whatever is seen.
+    own, position = F.bitmap_bucket_number(_slot(F.col(ip_col))), F.bitmap_bit_position(_slot(F.col(ip_col)))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1
+    return dim.join(F.broadcast(maps), own == F.col("bucket")).where(hit).select(*dim.columns)
 
 
 def seen_from_enriched(enriched: DataFrame) -> DataFrame:
@@ -48,7 +63,9 @@ def seen_from_enriched(enriched: DataFrame) -> DataFrame:
 
 def enrich(usage: DataFrame, dim: DataFrame) -> DataFrame:
     """Every usage row gets ``risk`` (``unknown`` without a match) and the
-    dimension texts; ``known`` tells whether the address was found."""
+    dimension texts; ``known`` tells whether the address was found. ``usage`` is
+    read twice: for the addresses it holds, and for the join."""
+    dim = seen_only(dim, usage.select(F.col("sourceIp").alias("ip")).distinct())
     d = dim.select(F.col("ip").alias("sourceIp"), F.col("risk").alias("_risk"),
                    "description", "shortDescription", F.lit(True).alias("known"))
     # One row per address, whatever the dimension repeats: else usage would be counted again.
@@ -68,151 +85,3 @@ def ip_descriptor(enriched: DataFrame) -> DataFrame:
     desc = F.concat(F.col("risk"), F.lit(" risk"), geo, F.lit(": "),
                     strip_network_number("shortDescription"))
     return enriched.withColumn("descriptor", F.when(F.col("known"), desc).otherwise(F.col("sourceIp")))
-
-
-# ------------------------------------------------------------------ C2 allowlist
-
-def parse_ranges(ranges: list[str]) -> list[tuple[int, int, str]]:
-    """CIDR texts or bare addresses -> ``(version, prefix_len, network)``.
-
-    Parsed once on the driver from the (config-sized) list. IPv4 and IPv6
-    are kept apart; a bare address is a full-length prefix.
-    """
-    out = []
-    for r in ranges:
-        net = ipaddress.ip_network(r.strip(), strict=False)
-        bits = net.max_prefixlen
-        top = int(net.network_address) >> (bits - net.prefixlen)
-        # IPv4 networks are keyed by their number, IPv6 ones by their leading bits.
-        key = str(top) if net.version == 4 else (format(top, f"0{net.prefixlen}b") if net.prefixlen else "")
-        out.append((net.version, net.prefixlen, key))
-    return out
-
-
-def _normalise_colon_address(ip: Column) -> Column:
-    """Addresses containing ``:`` -> ``struct(v4, v6)``: a v4-mapped IPv6 address
-    is treated as its IPv4 address (as the range check of the reference
-    does); any other IPv6 address becomes its 128 bits as text; junk gives NULLs.
-
-    Arrow-batched, and only ever applied to *distinct* addresses with a colon.
-    """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("v4 string, v6 string")
-    def norm(s: pd.Series) -> pd.DataFrame:
-        v4, v6 = [], []
-        for x in s:
-            a = b = None
-            try:
-                addr = ipaddress.IPv6Address(x)
-                if addr.ipv4_mapped is not None:
-                    a = str(addr.ipv4_mapped)
-                else:
-                    b = format(int(addr), "0128b")
-            except (ValueError, TypeError):
-                pass
-            v4.append(a)
-            v6.append(b)
-        return pd.DataFrame({"v4": v4, "v6": v6})
-
-    return norm(ip)
-
-
-# Up to this many ranges the check is a per-row expression over literal sets
-# (InSet, inside whole-stage codegen); beyond it, an equi-join on
-# (version, prefix length, network) against the range table.
-LITERAL_RANGE_LIMIT = 50_000
-
-
-def _in_ranges_expr(parsed, ipn: Column, bits: Column) -> Column:
-    """Per-row membership test: for each distinct prefix length, is the
-    address's network number in that length's literal set? ``ipn`` is the
-    IPv4 number (or NULL), ``bits`` the IPv6 bit text (or NULL)."""
-    conds = []
-    for version in (4, 6):
-        by_len: dict[int, list[str]] = {}
-        for v, plen, key in parsed:
-            if v == version:
-                by_len.setdefault(plen, []).append(key)
-        for plen, keys in sorted(by_len.items()):
-            if version == 4:
-                net = ipv4_network(ipn, plen)
-                conds.append(net.isin(*[int(k) for k in sorted(set(keys))]))
-            else:
-                conds.append(F.substring(bits, 1, plen).isin(*sorted(set(keys))))
-    out = F.lit(False)
-    for c in conds:
-        out = out | F.coalesce(c, F.lit(False))
-    return out
-
-
-def allowed_addresses(spark: SparkSession, addresses: DataFrame, ranges: list[str],
-                      literal_limit: int = LITERAL_RANGE_LIMIT) -> DataFrame:
-    """Distinct addresses (column ``ip``) that fall in at least one range.
-
-    Each distinct address is normalised once: dotted IPv4 by expressions,
-    anything with a colon by an Arrow-batched Python step (v4-mapped IPv6
-    becomes its IPv4 address, as the reference's range check does). Short
-    lists are tested with literal sets; long ones by an equi-join on
-    ``(version, prefix_len, network)``, one probe per distinct prefix length
-    (at most 33 for IPv4, 129 for IPv6), never one per range.
-    """
-    parsed = parse_ranges(ranges)
-    if not parsed:
-        return addresses.select("ip").where(F.lit(False))
-    ips = addresses.select("ip").distinct()
-    colon = F.coalesce(F.col("ip").contains(":"), F.lit(False))
-    # The Python step sees only the distinct addresses that contain a colon.
-    with_colon = (ips.where(colon).select("ip", _normalise_colon_address(F.col("ip")).alias("_n"))
-                  .select("ip", F.col("_n.v4").alias("v4"), F.col("_n.v6").alias("h")))
-    ips = (ips.where(~colon).select("ip", F.col("ip").alias("v4"), F.lit(None).cast("string").alias("h"))
-           .unionByName(with_colon)
-           .select("ip", ipv4_to_long(F.col("v4")).alias("n"), "h"))
-    if len(parsed) <= literal_limit:
-        return ips.where(_in_ranges_expr(parsed, F.col("n"), F.col("h"))).select("ip")
-    rdf = spark.createDataFrame(parsed, "version int, plen int, net string").distinct()
-    # the range table's size is the length of the driver-side list
-    rdf = F.broadcast(rdf) if len(parsed) <= 1_000_000 else rdf
-    parts = []
-    v4_lens = sorted({p for v, p, _ in parsed if v == 4})
-    if v4_lens:
-        keys = F.array(*[F.struct(F.lit(x).alias("plen"), ipv4_network(F.col("n"), x).cast("string").alias("net"))
-                         for x in v4_lens])
-        parts.append(ips.where(F.col("n").isNotNull()).select("ip", F.explode(keys).alias("k"))
-                     .select("ip", F.lit(4).alias("version"), "k.plen", "k.net"))
-    v6_lens = sorted({p for v, p, _ in parsed if v == 6})
-    if v6_lens:
-        keys = F.array(*[F.struct(F.lit(x).alias("plen"), F.substring(F.col("h"), 1, x).alias("net"))
-                         for x in v6_lens])
-        parts.append(ips.where(F.col("h").isNotNull()).select("ip", F.explode(keys).alias("k"))
-                     .select("ip", F.lit(6).alias("version"), "k.plen", "k.net"))
-    keyed = parts[0]
-    for p in parts[1:]:
-        keyed = keyed.unionByName(p)
-    return keyed.join(rdf, on=["version", "plen", "net"], how="left_semi").select("ip").distinct()
-
-
-def outside_ranges(spark: SparkSession, df: DataFrame, ip_col: str, ranges: list[str],
-                   literal_limit: int = LITERAL_RANGE_LIMIT) -> DataFrame:
-    """Keep rows whose address is in none of the ranges.
-
-    Invalid text (a service host name) is in no range, so it is kept
-    (flagged); an empty list keeps everything. Dotted IPv4 addresses are
-    decided row by row with literal sets (one pass, no join); addresses with
-    a colon are normalised once per distinct value and removed with an
-    anti-join against the (small) set of allowed ones.
-    """
-    parsed = parse_ranges(ranges)
-    if not parsed:
-        return df
-    ip = F.col(ip_col)
-    colon = F.coalesce(ip.contains(":"), F.lit(False))
-    if len(parsed) > literal_limit:
-        allowed = (allowed_addresses(spark, df.select(ip.alias("ip")), ranges, literal_limit)
-                   .withColumnRenamed("ip", "_allowed_ip"))
-        return df.join(allowed, on=ip == F.col("_allowed_ip"), how="left_anti")
-    plain_ok = _in_ranges_expr(parsed, ipv4_to_long(ip), F.lit(None).cast("string"))
-    kept = df.where(colon | ~plain_ok)
-    allowed_colon = (allowed_addresses(spark, df.where(colon).select(ip.alias("ip")), ranges, literal_limit)
-                     .withColumnRenamed("ip", "_allowed_ip"))
-    return kept.join(allowed_colon, on=ip == F.col("_allowed_ip"), how="left_anti")

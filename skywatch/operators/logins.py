@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skywatch import config
 from skywatch.functions.scalars import js_text
-from skywatch.operators.iprisk import outside_ranges
+from skywatch.operators.allowlist import outside_ranges
 
 ALERT_INTRO = "The following cloudtrail records originated from IPs that weren't in expected ranges:\n\n"
 ALERT_SUBJECT = "AWS account login alert"
@@ -56,24 +56,12 @@ def alert_projection(records: DataFrame, keep: list[str] | None = None) -> DataF
 
 
 def login_alerts(spark: SparkSession, records: DataFrame, ip_ranges: list[str],
-                 keep: list[str] | None = None, materialize_signins: bool = True) -> DataFrame:
+                 keep: list[str] | None = None) -> DataFrame:
     """Alert rows for sign-ins from outside the allowed ranges.
 
-    Dotted IPv4 addresses are decided in the same pass as the filters;
-    addresses with a colon need a second look at the sign-ins, so by default
-    the sign-ins (a tiny share of all trail records) are written once and
-    re-read, instead of scanning the trail twice. A streaming micro-batch is
-    persisted by its caller, which passes ``materialize_signins=False``.
+    Filters, allowlist and projection are one pass over the records, in batch and in a stream alike.
     """
-    # only the columns the alert needs travel on (and get written)
-    used = ["userIdentity", "additionalEventData", "eventName", "eventTime", "sourceIPAddress", "userAgent",
-            "recipientAccountId", "eventSource", "eventType", "responseElements"]
-    signins = signin_events(records).select(*dict.fromkeys([*used, *(keep or [])]))
-    if materialize_signins:
-        from skywatch.session import materialize
-        signins = materialize(signins, "signins")
-    hits = outside_ranges(spark, signins, "sourceIPAddress", ip_ranges)
-    return alert_projection(hits, keep)
+    return alert_projection(outside_ranges(signin_events(records), "sourceIPAddress", ip_ranges), keep)
 
 
 def alert_messages(alerts: DataFrame, group_col: str, invocation_id: Column | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ UPTIME = iss.Monitor(
 
 
 def run_monitor(spark, monitor: iss.Monitor, current: DataFrame, store_root: str, sink_root: str,
-                today, invocation_id: str) -> dict[str, int]:
+                today, invocation_id: str, attempts: int = 5) -> dict[str, int]:
     """One posture-check run for any monitor.
 
     Keys the current issues (G9), diffs them with the stored snapshot (H3),
@@ -71,16 +71,31 @@ def run_monitor(spark, monitor: iss.Monitor, current: DataFrame, store_root: str
     raised or fixed (A10: no write otherwise), writes the message lines and
     a notification when H4 says so, and only then moves the store pointer:
     a run that fails before the end leaves the store as it was and can be
-    repeated. The message is written as ordered lines next to the
+    repeated, and one that another run overtook is repeated here from the
+    snapshot that won (its message replaces its own earlier one). The message is written as ordered lines next to the
     notification row (subject + counts), never gathered into one string.
     Returns the state counts (three small rows, D6).
     """
     from skywatch.session import materialize
-    from skywatch.sources import sinks, store
+    from skywatch.sources import store
 
-    previous = store.read_issues(spark, store_root, monitor.type)
     # written once: states, snapshot and message all come from the same rows
     keyed = materialize(iss.with_keys(monitor, current), f"{monitor.type}-issues")
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return _run_once(spark, monitor, keyed, store_root, sink_root, today, invocation_id)
+        except store.CommitConflict:
+            if not left:
+                raise
+    raise ValueError("attempts must be at least 1")
+
+
+def _run_once(spark, monitor: iss.Monitor, keyed: DataFrame, store_root: str, sink_root: str, today, invocation_id: str) -> dict[str, int]:
+    from skywatch.session import materialize
+    from skywatch.sources import sinks, store
+
+    seq = store.next_seq(spark, store_root, monitor.type)
+    previous = store.read_issues(spark, store_root, monitor.type)
     states = materialize(iss.issue_states(monitor, keyed, previous), f"{monitor.type}-states")
     counts = {r.state: r.n for r in iss.state_counts(states).collect()}
     version = None
@@ -96,5 +111,5 @@ def run_monitor(spark, monitor: iss.Monitor, current: DataFrame, store_root: str
         sinks.write_notifications(sinks.notification(spark, f"AWS account {monitor.label} alert", summary,
                                                      invocation_id), f"{sink_root.rstrip('/')}/notifications")
     if version is not None:
-        store.commit_version(spark, store_root, version, [monitor.type])
+        store.commit_version(spark, store_root, version, [monitor.type], seq)
     return counts

@@ -2,7 +2,8 @@
 
 Each job reads its inputs from storage with the library readers, runs the
 same operators the registered queries use, and writes results to sinks.
-Nothing is collected to the driver except a few counts.
+Nothing is collected to the driver except a few counts. A job that fails
+leaves one error notification next to its own (H8) and raises the error again.
 
 * weekly usage report  -> :func:`usage_report_job`
 * credential check     -> :func:`credential_check_job`
@@ -15,6 +16,10 @@ Nothing is collected to the driver except a few counts.
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,24 @@ from skywatch.session import materialize, prepare_session
 from skywatch.sources import logs, reports, sinks
 
 
+def notices(workload: str, sink: str = "out_path") -> Callable:
+    """H8 around a job: the argument named ``sink`` is the folder its ``notifications`` go to."""
+    def around(job: Callable) -> Callable:
+        signature = inspect.signature(job)
+
+        @functools.wraps(job)
+        def run(*args, **kwargs):
+            given = signature.bind(*args, **kwargs)
+            given.apply_defaults()
+            a = given.arguments
+            prepare_session(a["spark"])
+            with sinks.notify_on_failure(a["spark"], f"{a[sink].rstrip('/')}/notifications", workload, a["invocation_id"]):
+                return job(*args, **kwargs)
+        return run
+    return around
+
+
+@notices("usage report")
 def usage_report_job(spark: SparkSession, params: Params, stacks_path: str, ip_info_path: str, out_path: str,
                      invocation_id: str, cdn_path: str | None = None, object_log_path: str | None = None,
                      api_log_path: str | None = None, log_groups: DataFrame | None = None) -> dict[str, int]:
@@ -38,7 +61,6 @@ def usage_report_job(spark: SparkSession, params: Params, stacks_path: str, ip_i
     Land logs by date (:func:`skywatch.sources.logs.land_log_family`) where
     the history is long.
     """
-    prepare_session(spark)
     resources = usage.scope_accounts(reports.tracked_resources(reports.read_stacks(spark, stacks_path)),
                                      params.accounts)
     routed = reports.route_resources(resources)
@@ -62,10 +84,10 @@ def usage_report_job(spark: SparkSession, params: Params, stacks_path: str, ip_i
     return {"usage_rows": n_rows}
 
 
+@notices("credential check", "sink_root")
 def credential_check_job(spark: SparkSession, report_path: str, account_ids: list[str], store_root: str,
                          sink_root: str, params: Params, invocation_id: str) -> dict[str, int]:
     """Daily credential check: reports -> rules -> lifecycle -> notification."""
-    prepare_session(spark)
     rep = reports.read_credential_report(spark, report_path)
     accts = spark.createDataFrame([(a,) for a in account_ids], "accountId string")
     found = accounts.run_account_check(
@@ -74,25 +96,26 @@ def credential_check_job(spark: SparkSession, report_path: str, account_ids: lis
     return accounts.run_monitor(spark, accounts.IAM, found, store_root, sink_root, params.now, invocation_id)
 
 
+@notices("drift check", "sink_root")
 def drift_check_job(spark: SparkSession, stack_path: str, drift_path: str, store_root: str, sink_root: str,
                     params: Params, invocation_id: str, include_deleted: bool = False) -> dict[str, int]:
     """Daily drift check: every stack not in sync after the false-positive rules is an issue."""
-    prepare_session(spark)
     stacks, drifts = reports.read_drift_results(spark, stack_path, drift_path)
     status = drift.drift_status(stacks, drifts, keys=["accountId", "StackName"], include_deleted=include_deleted)
     found = status.where("is_issue").select("accountId", "stackName", "driftStatus")
     return accounts.run_monitor(spark, accounts.DRIFT, found, store_root, sink_root, params.now, invocation_id)
 
 
+@notices("uptime check", "sink_root")
 def uptime_check_job(spark: SparkSession, devices_path: str, store_root: str, sink_root: str,
                      params: Params, invocation_id: str) -> dict[str, int]:
     """Six-hourly uptime check over a device search export."""
-    prepare_session(spark)
     found = devices.disconnected_devices(reports.read_devices(spark, devices_path))
     return accounts.run_monitor(spark, accounts.UPTIME, found.select("thingName", "thingId", "timestamp"),
                                 store_root, sink_root, params.now, invocation_id)
 
 
+@notices("tear-down report")
 def teardown_report_job(spark: SparkSession, stacks_path: str, results_path: str | None, out_path: str,
                         invocation_id: str) -> dict[str, int]:
     """Emergency tear-down report (B32, D7): which stacks are protected, and
@@ -100,7 +123,6 @@ def teardown_report_job(spark: SparkSession, stacks_path: str, results_path: str
     ``StackName, deleteResult``; a missing result is a rejected request).
     Deleting stacks is not built; this reports on a tear-down run."""
     from skywatch.operators import inventory as inv
-    prepare_session(spark)
     stacks = reports.read_stacks(spark, stacks_path).select("StackName", "EnableTerminationProtection")
     if results_path:
         res = spark.read.schema("StackName string, deleteResult string").json(results_path)
@@ -118,14 +140,14 @@ def teardown_report_job(spark: SparkSession, stacks_path: str, results_path: str
     return counts
 
 
+@notices("object sync plan")
 def inventory_sync_job(spark: SparkSession, remote_keys_path: str, local_paths_path: str, prefix: str,
                        out_path: str, include: list[str] | None = None, exclude: list[str] | None = None,
-                       base_path: str | None = None) -> dict[str, int]:
+                       base_path: str | None = None, invocation_id: str = "object-sync") -> dict[str, int]:
     """Object sync plan (B33, B34, C6, D10) and the key listing of the
     remote side (H7 with J3 links). Inputs are key listings, one key per
     line; copying and deleting objects is not built."""
     from skywatch.operators import inventory as inv
-    prepare_session(spark)
     remote = inv.strip_prefix(spark.read.text(remote_keys_path).withColumnRenamed("value", "key"), "key", prefix)
     remote = inv.suffix_filter(remote, "key", include, exclude).withColumnRenamed("key", "path")
     local = inv.suffix_filter(spark.read.text(local_paths_path).withColumnRenamed("value", "path"),

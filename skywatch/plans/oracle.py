@@ -480,6 +480,10 @@ ORACLE["login_stream"] = ORACLE["login_alerts"]
 # The device-state stream's final state must equal the batch latest state.
 ORACLE["device_stream"] = ORACLE["device_latest"]
 # The file-based variants read what the shims wrote: same expected rows.
+ORACLE["issue_lifecycle_stored"] = ORACLE["issue_states"]
+ORACLE["store_round_trip"] = ORACLE["issue_snapshot"]
+ORACLE["login_messages"] = _q("""SELECT event_id // 250 AS doc, 'AWS account login alert' AS subject, count(*) AS n_alerts
+FROM signin WHERE NOT allowed GROUP BY ALL""", TRAIL)
 ORACLE["cdn_usage_files"] = ORACLE["cdn_usage"]
 ORACLE["object_usage_files"] = ORACLE["object_usage"]
 ORACLE["login_alerts_files"] = ORACLE["login_alerts"]

@@ -20,7 +20,7 @@ from skywatch.plans import accounts as monitors
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
 from skywatch.session import materialize, prepare_session, scratch_path
-from skywatch.sources import logs, reports, trail
+from skywatch.sources import logs, reports, store, trail
 
 PARAMS = Params(now=sh.NOW, days=sh.DAYS, high_risk_countries=sh.HIGH_RISK, home_countries=sh.HOME,
                 ip_ranges=sh.IP_RANGES, accounts=sh.ACCOUNTS, max_credential_age=sh.MAX_AGE)
@@ -242,6 +242,27 @@ def q_issue_notify(spark: SparkSession, d: str) -> DataFrame:
     return iss.should_notify(counts, sh.CRED_NOW)
 
 
+def _stored(spark, previous: DataFrame) -> tuple[str, DataFrame]:
+    """``previous`` written to an issue store and read back with its buckets."""
+    root = _scratch(spark, "issue_store")
+    store.write_snapshot(spark, root, previous, [IAM_MONITOR.type])
+    return root, store.read_issues(spark, root, IAM_MONITOR.type)
+
+
+def q_issue_lifecycle_stored(spark: SparkSession, d: str) -> DataFrame:
+    """H3 against a snapshot in the store: its side of the joins comes bucketed by key."""
+    current, previous = _lifecycle_inputs(spark, d)
+    return iss.issue_states(IAM_MONITOR, current, _stored(spark, previous)[1]).select("state", "pk", "text")
+
+
+def q_store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs commit one after the other; the store then holds the second one's snapshot."""
+    current, previous = _lifecycle_inputs(spark, d)
+    root, _ = _stored(spark, previous)
+    store.update(spark, root, IAM_MONITOR.type, lambda before: iss.next_snapshot(IAM_MONITOR, current, before))
+    return store.read_issues(spark, root, IAM_MONITOR.type)
+
+
 # ------------------------------------------------------------------ inventory and templates
 
 EXCLUDE_SUFFIXES = [".html"]
@@ -329,6 +350,11 @@ def q_login_stream(spark: SparkSession, d: str) -> DataFrame:
     return flatten_alerts(run_login_stream_over_drops(spark, d, PARAMS.ip_ranges))
 
 
+def q_login_messages(spark: SparkSession, d: str) -> DataFrame:
+    from skywatch.streaming.logins import run_login_messages
+    return run_login_messages(spark, d, PARAMS.ip_ranges)
+
+
 def q_device_stream(spark: SparkSession, d: str) -> DataFrame:
     from skywatch.streaming.devices import run_device_state_stream
     return run_device_state_stream(spark, d)
@@ -372,6 +398,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_snapshot": q_issue_snapshot,
     "issue_message": q_issue_message,
     "issue_notify": q_issue_notify,
+    "issue_lifecycle_stored": q_issue_lifecycle_stored,
+    "store_round_trip": q_store_round_trip,
     "inventory_diff": q_inventory_diff,
     "inventory_counts": q_inventory_counts,
     "key_tree": q_key_tree,
@@ -385,6 +413,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upload_manifest": q_upload_manifest,
     "field_rows": q_field_rows,
     "login_stream": q_login_stream,
+    "login_messages": q_login_messages,
     "device_stream": q_device_stream,
 }
 QUERIES = {name: _prepared(fn) for name, fn in QUERIES.items()}

@@ -37,12 +37,15 @@ def notification(spark, subject: str, message: str, invocation_id: str) -> DataF
     return spark.createDataFrame([(invocation_id, subject, message)], "invocation_id string, subject string, message string")
 
 
+def failure_notice(spark, workload: str, invocation_id: str, error: str) -> DataFrame:
+    return notification(spark, f"AWS account {workload} alert", f"Error occurred running {workload}: \n{error}", invocation_id)
+
+
 @contextmanager
 def notify_on_failure(spark, sink_path: str, workload: str, invocation_id: str):
     """H8: an exception writes an error notification, then propagates."""
     try:
         yield
     except Exception as e:  # noqa: BLE001 - re-raised below
-        msg = f"Error occurred running {workload}: \n{''.join(traceback.format_exception(e))}"
-        write_notifications(notification(spark, f"AWS account {workload} alert", msg, invocation_id), sink_path)
+        write_notifications(failure_notice(spark, workload, invocation_id, "".join(traceback.format_exception(e))), sink_path)
         raise

@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 from skywatch import schemas
 
 
+def with_file(docs: DataFrame) -> DataFrame:
+    """Documents (``Records``) and the file each came in (``_file``)."""
+    return docs.select("Records", F.col("_metadata.file_path").alias("_file"))
+
+
 def explode_records(docs: DataFrame) -> DataFrame:
-    """One row per record plus the path-derived fields (NULL when the file
+    """One row per record of :func:`with_file` plus the path-derived fields (NULL when the file
     does not sit in the ``.../<org>/<account>/CloudTrail/<region>/<y>/<m>/<d>/``
     layout)."""
     parts = F.split(F.col("_file"), "/")
@@ -29,7 +34,7 @@ def explode_records(docs: DataFrame) -> DataFrame:
         return F.when(in_layout, part(i))
 
     return (docs
-            .select(F.col("_metadata.file_path").alias("_file"), F.explode("Records").alias("r"))
+            .select("_file", F.explode("Records").alias("r"))
             .select("r.*", F.col("_file").alias("trailFile"),
                     field(-8).alias("trailOrgId"), field(-7).alias("trailAccountId"),
                     field(-5).alias("trailRegion"),
@@ -44,4 +49,4 @@ def read_audit_trail(spark: SparkSession, path: str | list[str], multi_line: boo
     """
     docs = (spark.read.schema(schemas.TRAIL_FILE).option("multiLine", multi_line)
             .option("recursiveFileLookup", True).json(path))
-    return explode_records(docs)
+    return explode_records(with_file(docs))

@@ -42,7 +42,7 @@ def test_every_query_has_oracle():
     assert set(QUERIES) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-BATCH = [k for k in QUERIES if k not in ("login_stream", "device_stream")]
+BATCH = [k for k in QUERIES if k not in ("login_stream", "device_stream")]  # streams: test_streaming.py
 
 
 @pytest.mark.parametrize("name", BATCH)

@@ -89,9 +89,9 @@ def test_store_interleaved_monitors_and_loud_failures(spark, tmp_path):
     store.write_snapshot(spark, root, rows("drift", "x").limit(0), ["drift"])
     assert [r.pk for r in store.read_issues(spark, root).collect()] == ["i1"]
     assert store.read_issues(spark, str(tmp_path / "none")).count() == 0
-    for f in (tmp_path / "store" / "pointers" / "monitor=iam" / "seq=1").glob("part-*"):
-        f.write_text("v-gone")
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE"):
+    for f in (tmp_path / "store" / "pointers" / "monitor=iam" / "seq=1").glob("pointer"):
+        f.write_text("v-gone 32")
+    with pytest.raises(Exception, match="is not whole"):
         store.read_issues(spark, root, "iam").collect()
 
 
@@ -104,3 +104,55 @@ def test_empty_sides(spark):
     no_prev = spark.createDataFrame([], "monitor string, pk string, obj string")
     s2 = sorted((r.state, r.pk) for r in iss.issue_states(MON, current(spark, [("b", "x")]), no_prev).collect())
     assert s2 == [("raised", "b")]
+
+
+def test_of_two_runs_one_commits_and_the_other_repeats(spark, tmp_path):
+    import pytest
+    root = str(tmp_path / "store")
+    rows = lambda *ks: spark.createDataFrame([("m", k, "{}") for k in ks], "monitor string, pk string, obj string")
+    store.write_snapshot(spark, root, rows("a"), ["m"])
+    seq, late = store.next_seq(spark, root, "m"), store.write_snapshot(spark, root, rows("a", "late"), ["m"], commit=False)
+    builds = []
+
+    def build(before):
+        builds.append(sorted(r.pk for r in before.collect()))
+        if len(builds) == 1:  # another run commits meanwhile
+            store.commit_version(spark, root, late, ["m"], seq)
+        return before.unionByName(rows("mine"))
+
+    assert store.update(spark, root, "m", build) == seq + 1
+    assert builds == [["a"], ["a", "late"]]
+    assert sorted(r.pk for r in store.read_issues(spark, root, "m").collect()) == ["a", "late", "mine"]
+    with pytest.raises(store.CommitConflict):
+        store.commit_version(spark, root, late, ["m"], seq)
+
+
+def test_stored_side_of_the_diff_is_not_shuffled(spark, tmp_path):
+    import re
+    root = str(tmp_path / "store")
+    store.write_snapshot(spark, root, stored(spark, [(f"k{i}", "x") for i in range(100)]), [MON.type])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cur = current(spark, [(f"k{i}", "y") for i in range(50, 150)])
+        states = iss.issue_states(MON, cur, store.read_issues(spark, root, MON.type))
+        plan = states._jdf.queryExecution().executedPlan().toString()
+        assert {r.state: r["count"] for r in states.groupBy("state").count().collect()} == {"raised": 50, "existing": 50, "fixed": 50}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "SelectedBucketsCount: 32 out of 32" in plan
+    # no exchange stands above a scan of the store
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "FileScan parquet" in line:
+            depth = re.search(r"[A-Za-z*(]", line).start()
+            for above in reversed(lines[:i]):
+                at = re.search(r"[A-Za-z*(]", above).start()
+                if at < depth:
+                    depth = at
+                    if "Join" in above:
+                        break
+                    assert "Exchange" not in above, plan

@@ -83,3 +83,12 @@ def test_teardown_and_sync_jobs(spark, tmp_path):
     assert s == {"ignore": 2, "upload": 1, "delete": 1}
     listing = [r.name for r in spark.read.json(str(tmp_path / "sync" / "listing")).collect()]
     assert sorted(listing) == ["a.pdf", "b.pdf", "docs", "old.pdf"]
+
+
+def test_failing_job_leaves_one_notice_and_raises(spark, tmp_path):
+    import pytest
+    params = Params(now=dt.datetime(2024, 3, 1), max_credential_age=90)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        jobs.credential_check_job(spark, str(tmp_path / "none"), ["111"], str(tmp_path / "store"), str(tmp_path / "sink"), params, "cred-9")
+    got = spark.read.json(str(tmp_path / "sink" / "notifications")).collect()
+    assert [(r.invocation_id, r.subject) for r in got] == [("cred-9", "AWS account credential check alert")] and "PATH_NOT_FOUND" in got[0].message

@@ -59,16 +59,20 @@ def test_empty_allowlist_flags_everything(spark):
     assert ids(logins.login_alerts(spark, frame(spark, rows), [], keep=["eventID"])) == [1, 2]
 
 
-def test_long_range_list_join_path_matches_literal_path(spark):
-    from skywatch.operators.iprisk import outside_ranges
+def test_any_length_of_list_in_one_pass(spark):
+    from skywatch.operators.allowlist import intervals, outside_ranges
     ips = ["10.0.0.5", "10.0.1.5", "192.168.7.9", "2001:db8::5", "2001:db8::1:5", "::ffff:10.0.0.7", "bad", None,
-           "172.16.3.4", "8.8.8.8"]
+           "172.16.3.4", "8.8.8.8", "2001:DB8::5%eth0", "2001:db8::0.0.0.9", "1:2:3:4:5:6:7::", ":::", "1::2::3", "::1.2.3.999"]
     df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "id int, ip string")
-    ranges = ["10.0.0.0/24", "2001:db8::/112", "192.168.7.9", "172.16.0.0/12"] + [f"100.64.{i}.0/24" for i in range(40)]
-    literal = sorted(r.id for r in outside_ranges(spark, df, "ip", ranges).collect())
-    joined = sorted(r.id for r in outside_ranges(spark, df, "ip", ranges, literal_limit=5).collect())
-    # flagged: out-of-range IPv4, IPv6 outside the /112, junk, NULL, 8.8.8.8
-    assert literal == joined == [1, 4, 6, 7, 9]
+    ranges = ["10.0.0.0/24", "2001:db8::/112", "192.168.7.9", "172.16.0.0/12"]
+    long = ranges + [f"100.64.{i}.0/25" for i in range(200)] + [f"2001:db9:{i:x}::/48" for i in range(0, 400, 2)]
+    assert intervals(["10.0.0.0/25", "10.0.0.128/25", "10.0.1.0", "::/1", "8000::/1"]) == [(4, 10 << 24, (10 << 24) + 256), (6, 0, 2**128 - 1)]
+    for some in (ranges, long):
+        out = outside_ranges(df, "ip", some)
+        # flagged: out-of-range IPv4, IPv6 outside the /112, junk, NULL, 8.8.8.8
+        assert sorted(r.id for r in out.collect()) == [1, 4, 6, 7, 9, 12, 13, 14, 15]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Exchange", "Python"))
 
 
 from hypothesis import given, settings  # noqa: E402
@@ -88,7 +92,7 @@ def test_allowlist_matches_ipaddress_model(spark, addrs, nets):
     holds it; v4-mapped IPv6 is checked as its IPv4 address."""
     import ipaddress
 
-    from skywatch.operators.iprisk import outside_ranges
+    from skywatch.operators.allowlist import outside_ranges
     ranges = [str((ipaddress.IPv4Network if v == 4 else ipaddress.IPv6Network)((n, p), strict=False))
               for v, n, p in nets]
     texts = []
@@ -109,5 +113,5 @@ def test_allowlist_matches_ipaddress_model(spark, addrs, nets):
 
     model = sorted(i for i, t in enumerate(texts) if not allowed(t))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, ip string")
-    got = sorted(r.id for r in outside_ranges(spark, df, "ip", ranges).collect())
+    got = sorted(r.id for r in outside_ranges(df, "ip", ranges).collect())
     assert got == model

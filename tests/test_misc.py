@@ -111,6 +111,17 @@ def test_repeated_address_does_not_multiply_usage(spark):
     assert iprisk.enrich(usage, dim).count() == 1
 
 
+def test_dimension_is_reduced_before_its_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from skywatch.operators import iprisk
+    dim = spark.range(200_000).select(F.concat(F.lit("10."), F.col("id").cast("string")).alias("ip"), F.lit("low").alias("risk"))
+    seen = spark.createDataFrame([(f"10.{i * 7}",) for i in range(300)] + [("elsewhere",), (None,)], "ip string")
+    kept = {r.ip for r in iprisk.seen_only(dim, seen).collect()}
+    assert {f"10.{i * 7}" for i in range(300)} <= kept and len(kept) < 310
+    assert iprisk.seen_only(dim, seen.limit(0)).count() == 0
+
+
 def test_monitor_runs_update_store_and_notify(spark, tmp_path):
     from skywatch.sources import store
     root, sink = str(tmp_path / "store"), str(tmp_path / "sink")
