@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skywatch import config
 from skywatch.functions.scalars import strict_uri_encode
 from skywatch.operators.constraints import guarded, matches
+from skywatch.operators.ordering import numbered
 
 # ------------------------------------------------------------------ B33, B34, C6, D10
 
@@ -103,6 +104,22 @@ def key_tree(keys: DataFrame, col: str = "path", drop_suffix: str = "index.html"
                     "kind", "path_parts", order.alias("listing_order")))
 
 
+def key_listing(keys: DataFrame, col: str = "path", drop_suffix: str = "index.html") -> DataFrame:
+    """H7 + E3: :func:`key_tree` as the listing prints it: ``position`` (from 1, depth first) and, per folder, ``n_files``,
+    the files below it at any depth (1 for a file).
+
+    The order key of an entry begins with those of its folders, so a global order of the keys is the preorder; sizes
+    are sums over each file's folders (partial sums first, so a folder that holds a third of all files is no hot key)."""
+    tree = key_tree(keys, col, drop_suffix)
+    parts = F.split("path", "/", -1)
+    above = tree.where("kind = 'file'").select(F.explode(F.when(F.size(parts) > 1, F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))).alias("_folder"))
+    sizes = above.groupBy("_folder").agg(F.count(F.lit(1)).alias("_size"))
+    sized = tree.drop("path_parts").join(sizes, (F.col("path") == F.col("_folder")) & (F.col("kind") == "folder"), "left")
+    sized = sized.withColumn("n_files", F.coalesce(F.col("_size"), F.lit(1))).drop("_folder", "_size")
+    return numbered(sized, ["listing_order", "kind"], "position").drop("listing_order")
+
+
 def file_links(tree: DataFrame, base_path: str, custom=None) -> DataFrame:
     """A link per file of :func:`key_tree`; ``custom(file_path, name)`` may
     return a Column that is NULL where it has no opinion, and the default

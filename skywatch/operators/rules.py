@@ -88,27 +88,38 @@ def credential_rules(now, max_age: int) -> list[Rule]:
     return rules
 
 
-def missing_root_issues(report: DataFrame, accounts: DataFrame) -> DataFrame:
+ROOT_MARK = "rootUsers"  # a finding that is no issue: the account has a root row
+
+
+def credential_findings(report: DataFrame, now, max_age: int) -> DataFrame:
+    """One pass over the report: the issues of its rows (B17-B21), and a mark for each root row, from which B16 follows."""
+    mark = Rule(f"`user` = '{config.ROOT_USER}'", f"'{ROOT_MARK}'", "length", "'> 0'", "'1'", fails="true")
+    return assert_rules(report, [*credential_rules(now, max_age), mark], keep=["accountId"])
+
+
+def missing_root_issues(findings: DataFrame, accounts: DataFrame) -> DataFrame:
     """One issue per listed account whose report has no root row (an empty
-    report counts too, hence the left join from the account list)."""
-    roots = (report.groupBy("accountId")
-             .agg(F.count_if(F.col("user") == config.ROOT_USER).alias("n_root")))
-    return (accounts.select("accountId").distinct()
-            .join(roots, on="accountId", how="left")
-            .where(F.coalesce(F.col("n_root"), F.lit(0)) <= 0)
+    report counts too, hence from the account list)."""
+    have = findings.where(F.col("resource") == ROOT_MARK).select("accountId").distinct()
+    return (accounts.select("accountId").distinct().join(have, on="accountId", how="left_anti")
             .select("accountId",
-                    F.lit("rootUsers").alias("resource"), F.lit("length").alias("attribute"),
-                    F.lit("> 0").alias("expected"),
-                    F.coalesce(F.col("n_root"), F.lit(0)).cast("string").alias("actual")))
+                    F.lit(ROOT_MARK).alias("resource"), F.lit("length").alias("attribute"),
+                    F.lit("> 0").alias("expected"), F.lit("0").alias("actual")))
 
 
-def credential_issues(report: DataFrame, accounts: DataFrame, now, max_age: int) -> DataFrame:
-    """All credential issues ``(accountId, resource, attribute, expected, actual, pk)``."""
-    per_row = assert_rules(report, credential_rules(now, max_age), keep=["accountId"])
-    out = missing_root_issues(report, accounts).unionByName(per_row)
+def issues_of_findings(findings: DataFrame, accounts: DataFrame) -> DataFrame:
+    """All credential issues ``(accountId, resource, attribute, expected, actual, pk)``. Reads the findings twice: write
+    them first (:func:`skywatch.session.materialize`) where the report is large."""
+    rows = findings.where(F.coalesce(F.col("resource") != ROOT_MARK, F.lit(True)))
+    out = missing_root_issues(findings, accounts).unionByName(rows)
     return out.withColumn("pk", F.concat_ws("-", "accountId", "resource", "attribute", "expected"))
 
 
+def credential_issues(report: DataFrame, accounts: DataFrame, now, max_age: int) -> DataFrame:
+    """:func:`issues_of_findings` of a report."""
+    return issues_of_findings(credential_findings(report, now, max_age), accounts)
+
+
 def credential_issue_text() -> Column:
     """G10 for credential issues."""
     return F.format_string("%s: %s.%s should be '%s' but was '%s'",

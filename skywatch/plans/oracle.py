@@ -480,6 +480,20 @@ ORACLE["login_stream"] = ORACLE["login_alerts"]
 # The device-state stream's final state must equal the batch latest state.
 ORACLE["device_stream"] = ORACLE["device_latest"]
 # The file-based variants read what the shims wrote: same expected rows.
+ORACLE["report_ordered"] = f"""SELECT *, row_number() OVER (ORDER BY section, title, kind, line) AS line_number FROM ({ORACLE["usage_report"]})"""
+ORACLE["report_written"] = f"""SELECT line FROM ({ORACLE["usage_report"]})"""
+ORACLE["api_usage_files"] = ORACLE["api_usage"]
+ORACLE["account_check"] = f"""SELECT accountId, attribute, count(*) AS n FROM ({ORACLE["cred_rules"]})
+WHERE CAST(accountId AS INTEGER) % 2 = 0 GROUP BY ALL"""
+# Entries by level: names that read as array indices first, by number, then the others, folders with a slash.
+ORACLE["key_listing"] = _q("""SELECT row_number() OVER (ORDER BY ord, kind) AS position, array_to_string(pp2, '/') AS path, pp2[len(pp2)] AS name,
+       len(pp2) - 1 AS depth, kind,
+       CASE WHEN kind = 'file' THEN 1 ELSE (SELECT count(*) FROM kp WHERE len(p) > len(pp2) AND p[1:len(pp2)] = pp2) END AS n_files,
+       CASE WHEN kind = 'file' THEN concat('<a href="/site/', array_to_string(pp2, '/'), '">', pp2[len(pp2)], '</a>') END AS link
+FROM (SELECT *, list_transform(pp2, lambda x, i: {
+        'a': CASE WHEN regexp_full_match(x, '(0|[1-9][0-9]{0,9})') AND TRY_CAST(x AS BIGINT) < 4294967295 THEN 0 ELSE 1 END,
+        'b': CASE WHEN regexp_full_match(x, '(0|[1-9][0-9]{0,9})') AND TRY_CAST(x AS BIGINT) < 4294967295 THEN TRY_CAST(x AS BIGINT) ELSE 0 END,
+        'c': concat(x, CASE WHEN i < len(pp2) OR kind = 'folder' THEN '/' ELSE '' END)}) AS ord FROM entries)""", PAGES, TREE)
 ORACLE["issue_lifecycle_stored"] = ORACLE["issue_states"]
 ORACLE["store_round_trip"] = ORACLE["issue_snapshot"]
 ORACLE["login_messages"] = _q("""SELECT event_id // 250 AS doc, 'AWS account login alert' AS subject, count(*) AS n_alerts

@@ -20,7 +20,7 @@ from skywatch.plans import accounts as monitors
 from skywatch.plans import shims as sh
 from skywatch.plans import usage_report as ur
 from skywatch.session import materialize, prepare_session, scratch_path
-from skywatch.sources import logs, reports, store, trail
+from skywatch.sources import logs, reports, sinks, store, trail
 
 PARAMS = Params(now=sh.NOW, days=sh.DAYS, high_risk_countries=sh.HIGH_RISK, home_countries=sh.HOME,
                 ip_ranges=sh.IP_RANGES, accounts=sh.ACCOUNTS, max_credential_age=sh.MAX_AGE)
@@ -65,6 +65,21 @@ def q_cred_rules_files(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("text", rules.credential_issue_text())
 
 
+def q_api_usage_files(spark: SparkSession, d: str) -> DataFrame:
+    """A3 end to end: API log records as gzip JSON lines per account and log group, read back, counted."""
+    base = sh.write_api_log_files(spark, d, _scratch(spark, "api_logs"))
+    return usage.api_usage(logs.read_api_logs(spark, base), START, END)
+
+
+def q_account_check(spark: SparkSession, d: str) -> DataFrame:
+    """The credential check as a plug-in over the listed accounts, summed up by account."""
+    listed = [str(k) for k in range(0, 25, 2)]
+    names = sh.accounts(spark, d).where(F.col("accountId").isin(*listed))
+    return monitors.run_account_check(
+        sh.credential_report(spark, d), lambda rep: rules.credential_issues(rep, names, sh.CRED_NOW, PARAMS.max_credential_age),
+        summarise=lambda found: found.groupBy("accountId", "attribute").agg(F.count(F.lit(1)).alias("n")), accounts=listed)
+
+
 def q_drift_status_files(spark: SparkSession, d: str) -> DataFrame:
     """A7 end to end: drift summaries and resource drifts as JSON files in the
     reader's schema (keyed by account and stack name), read back, evaluated."""
@@ -149,6 +164,19 @@ def q_usage_detail(spark: SparkSession, d: str) -> DataFrame:
     return ur.detail_lines(_enriched(spark, d))
 
 
+def q_report_ordered(spark: SparkSession, d: str) -> DataFrame:
+    enriched = materialize(_enriched(spark, d), "usage_enriched")
+    errors = reports.route_resources(_resources(spark, d)).where(F.col("route") == "error")
+    return ur.ordered_lines(ur.report_lines(enriched, errors, PARAMS.days))
+
+
+def q_report_written(spark: SparkSession, d: str) -> DataFrame:
+    """The report as the sink writes it, read back."""
+    out = _scratch(spark, "report")
+    sinks.write_report_lines(q_usage_report(spark, d), out, ["section", "title", "kind", "line"])
+    return spark.read.text(out).withColumnRenamed("value", "line")
+
+
 def q_tracked_resources(spark: SparkSession, d: str) -> DataFrame:
     return reports.route_resources(reports.tracked_resources(sh.stacks_with_outputs(spark, d)))
 
@@ -211,10 +239,15 @@ IAM_MONITOR = monitors.IAM
 def _lifecycle_inputs(spark, d):
     """Current issues and the previous snapshot (in production a stored
     table; here the issues of an earlier date, when fewer customers were
-    without a second factor), over all customers. The lifecycle reads each
-    more than once, so both are built and written once."""
-    current = materialize(iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_NOW)), "iam_current")
-    prev_issues = materialize(iss.with_keys(IAM_MONITOR, cred_issues(spark, d, sh.CRED_PREV_NOW, 3000)), "iam_previous")
+    without a second factor), over all customers. One pass over a report
+    finds its issues and its root rows; what it finds is written, the rest
+    are projections of that."""
+    def keyed(now, mfa_above: int, name: str) -> DataFrame:
+        findings = rules.credential_findings(sh.credential_report(spark, d, mfa_above), now, PARAMS.max_credential_age)
+        return iss.with_keys(IAM_MONITOR, rules.issues_of_findings(materialize(findings, name), sh.accounts(spark, d)))
+
+    current = keyed(sh.CRED_NOW, 5000, "iam_current")
+    prev_issues = keyed(sh.CRED_PREV_NOW, 3000, "iam_previous")
     previous = prev_issues.select(F.lit(IAM_MONITOR.type).alias("monitor"), "pk", "obj")
     return current, previous
 
@@ -290,6 +323,11 @@ def q_key_tree(spark: SparkSession, d: str) -> DataFrame:
     return inv.key_tree(remote, "key").drop("path_parts", "listing_order")
 
 
+def q_key_listing(spark: SparkSession, d: str) -> DataFrame:
+    remote = inv.strip_prefix(sh.remote_keys(spark, d), "key", sh.SITE_PREFIX)
+    return inv.file_links(inv.key_listing(remote, "key"), sh.SITE_PREFIX)
+
+
 def q_template_policies(spark: SparkSession, d: str) -> DataFrame:
     return rules.template_violations(sh.template_resources(spark, d))
 
@@ -374,6 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cdn_usage_files": q_cdn_usage_files,
     "object_usage_files": q_object_usage_files,
     "api_usage": q_api_usage,
+    "api_usage_files": q_api_usage_files,
     "usage_all": q_usage_all,
     "usage_by_source": q_usage_by_source,
     "log_group_errors": q_log_group_errors,
@@ -382,6 +421,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_rollup": q_usage_rollup,
     "usage_report": q_usage_report,
     "usage_detail": q_usage_detail,
+    "report_ordered": q_report_ordered,
+    "report_written": q_report_written,
     "tracked_resources": q_tracked_resources,
     "log_range_guard": q_log_range_guard,
     "login_filter": q_login_filter,
@@ -389,6 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "login_alerts_files": q_login_alerts_files,
     "cred_rules": q_cred_rules,
     "cred_rules_files": q_cred_rules_files,
+    "account_check": q_account_check,
     "drift_status": q_drift_status,
     "drift_status_files": q_drift_status_files,
     "device_issues": q_device_issues,
@@ -403,6 +445,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inventory_diff": q_inventory_diff,
     "inventory_counts": q_inventory_counts,
     "key_tree": q_key_tree,
+    "key_listing": q_key_listing,
     "template_policies": q_template_policies,
     "asset_counts": q_asset_counts,
     "unique_lookup": q_unique_lookup,

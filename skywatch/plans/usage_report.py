@@ -3,7 +3,7 @@
 Stages 3-11 of the reference are one lazy lineage here. Physical plan at
 scale: one scan per log family with the date filter pushed down, a
 partial+final aggregate per family (the big shuffle, already reduced
-map-side), a broadcast of the small tracked-resource table, one join of the
+map-side), one join with the tracked resources by log folder, one join of the
 aggregated rows to the IP dimension (broadcast when its measured size
 allows), and a second small aggregate for the roll-up. The report has several
 consumers of the enriched rows, so it reads a materialized copy; the report
@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skywatch.operators import iprisk, usage
+from skywatch.operators.ordering import numbered
+from skywatch.session import materialize
 
 
 def usage_enriched(usage_df: DataFrame, ip_info: DataFrame, high: list[str], home: list[str]) -> DataFrame:
     """C1 + G6 on usage rows: risk, dimension texts and the report descriptor.
 
-    ``usage_df`` is read once: the dimension is joined whole on ``ip`` (a
-    shuffle join, or a broadcast when its measured size allows).
+    The aggregated rows are written once, because the dimension is first reduced to the addresses in them; what is
+    left of it joins on ``ip`` (a shuffle join, or a broadcast when its measured size allows).
     """
+    usage_df = materialize(usage_df, "usage_rows")
     return iprisk.ip_descriptor(iprisk.enrich(usage_df, iprisk.ip_dimension(ip_info, high, home)))
 
 
@@ -59,6 +62,11 @@ def report_lines(enriched: DataFrame, errors: DataFrame, days: int) -> DataFrame
     return head.unionByName(ips).unionByName(titles).unionByName(items).unionByName(err).unionByName(empty)
 
 
+def ordered_lines(lines: DataFrame) -> DataFrame:
+    """The report's lines with their ``line_number``."""
+    return numbered(lines, ["section", "title", "kind", "line"])
+
+
 def detail_lines(enriched: DataFrame) -> DataFrame:
     """H2: one line per usage row, with risk and the geo-block text; no URL root."""
     block = F.when(F.coalesce(F.col("geoBlocked"), F.lit("")) != "",

@@ -14,8 +14,21 @@ from skywatch import config, schemas
 from skywatch.functions.scalars import safe_table_name
 
 
-# Columns a credential report may have (it has 22 today).
-MAX_REPORT_COLUMNS = 64
+# A cell is quoted (a quote inside is doubled; line breaks and commas may stand there) or runs to the next comma or line end.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^,\r\n"][^,\r\n]*+|)'
+_RECORD = rf"({_CELL}(?:,{_CELL})*+)(?:\r\n|\n|\r|$)"
+
+
+def csv_records(text: Column) -> Column:
+    """The non-blank records of a CSV text, quoted line breaks within them."""
+    found = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
+    return F.filter(found, lambda x: F.trim(x) != "")
+
+
+def csv_cells(record: Column) -> Column:
+    """The cells of a record, however many, without their quotes."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_CELL})"), F.lit(1))
+    return F.transform(cells, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
 def read_credential_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -24,25 +37,19 @@ def read_credential_report(spark: SparkSession, path: str | list[str]) -> DataFr
 
     Columns are matched by the *names* in each file's own header (as the
     reference's CSV parser does), not by position: reports differ in their
-    columns and in the order of them. No type inference: every cell stays
-    text; columns a report lacks come back NULL. A report is one account's
-    users (kilobytes), so a file is read whole by one task.
+    columns, their number and their order; of equal names the last one counts.
+    No type inference: every cell stays text; columns a report lacks come back
+    NULL, and so do empty unquoted cells. A report is one account's users
+    (kilobytes), so a file is read whole by one task.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    cells = ", ".join(f"c{i} string" for i in range(MAX_REPORT_COLUMNS))
-
-    def split(line: Column) -> Column:
-        row = F.from_csv(line, cells)
-        return F.array(*[row[f"c{i}"] for i in range(MAX_REPORT_COLUMNS)])
-
     folder = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    rows = (raw.select(F.regexp_replace(folder, "^[^=/]*=", "").alias("accountId"), lines.alias("l")).where(F.size("l") > 1)
-            .select("accountId", split(F.get("l", F.lit(0))).alias("h"), F.explode(F.slice("l", 2, 1 << 30)).alias("line"))
-            .select("accountId", "h", split(F.col("line")).alias("v")))
-    names = F.transform("h", lambda x: F.trim(F.regexp_replace(x, "^\uFEFF", "")))
-    rows = rows.withColumn("h", names)
-    cols = [F.get("v", F.array_position("h", c).cast("int") - 1).alias(c) for c in schemas.CREDENTIAL_COLUMNS]
+    text = F.regexp_replace("value", "^\uFEFF", "")
+    rows = (raw.select(F.regexp_replace(folder, "^[^=/]*=", "").alias("accountId"), csv_records(text).alias("l")).where(F.size("l") > 1)
+            .select("accountId", F.transform(csv_cells(F.get("l", F.lit(0))), lambda x: F.trim(x)).alias("h"), F.explode(F.slice("l", 2, 1 << 30)).alias("line"))
+            .select("accountId", "h", csv_cells(F.col("line")).alias("v")))
+    last = lambda c: F.size("h") - F.nullif(F.array_position(F.reverse("h"), c), F.lit(0))  # noqa: E731 - NULL without such a column
+    cols = [F.nullif(F.get("v", last(c).cast("int")), F.lit("")).alias(c) for c in schemas.CREDENTIAL_COLUMNS]
     return rows.select(*cols, "accountId")
 
 
