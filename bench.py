@@ -21,9 +21,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from skywatch.plans.queries import QUERIES  # noqa: E402
 from skywatch.session import get_spark  # noqa: E402
 
-# Headline set: the batch queries. Streams and the *_files round trips
+# Headline set: the batch queries. Streams and the round trips over files
 # (which write their inputs first) run on request via BENCH_QUERIES.
-STREAMING = {"login_stream", "login_messages", "device_stream", "usage_by_source"}
+STREAMING = {"login_stream", "login_messages", "device_stream", "usage_by_source", "usage_landed", "report_written", "store_round_trip", "issue_lifecycle_stored"}
 
 
 def main() -> None:

@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from skywatch.plans.queries import QUERIES  # noqa: E402
 from skywatch.session import get_spark  # noqa: E402
 
-STREAMING = {"login_stream", "device_stream"}
+STREAMING = {"login_stream", "login_messages", "device_stream"}
 JOINS = ["BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct"]
 
 

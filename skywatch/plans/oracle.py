@@ -480,6 +480,7 @@ ORACLE["login_stream"] = ORACLE["login_alerts"]
 # The device-state stream's final state must equal the batch latest state.
 ORACLE["device_stream"] = ORACLE["device_latest"]
 # The file-based variants read what the shims wrote: same expected rows.
+ORACLE["usage_landed"] = ORACLE["usage_by_source"]
 ORACLE["report_ordered"] = f"""SELECT *, row_number() OVER (ORDER BY section, title, kind, line) AS line_number FROM ({ORACLE["usage_report"]})"""
 ORACLE["report_written"] = f"""SELECT line FROM ({ORACLE["usage_report"]})"""
 ORACLE["api_usage_files"] = ORACLE["api_usage"]

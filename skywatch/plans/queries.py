@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skywatch import config
 from skywatch.config import Params
 from skywatch.operators import devices as dev
 from skywatch.operators import drift as drf
@@ -127,6 +128,13 @@ def q_usage_by_source(spark: SparkSession, d: str) -> DataFrame:
     return usage.usage_rows(_resources(spark, d), START, END, cdn=logs.read_cdn_logs(spark, base))
 
 
+def q_usage_landed(spark: SparkSession, d: str) -> DataFrame:
+    """CDN logs landed by folder; the usage run reads the tracked resources' folders only."""
+    base, resources = _scratch(spark, "cdn_landed"), _resources(spark, d)
+    logs.land_log_family(sh.cdn_logs(spark, d).repartition("logFolder"), base, date_col=None)
+    return usage.usage_rows(resources, START, END, cdn=logs.read_tracked(spark, base, resources, config.TYPE_CLOUDFRONT))
+
+
 def q_log_group_errors(spark: SparkSession, d: str) -> DataFrame:
     """Watched log groups that are missing or not the only one of their name, as rows."""
     state = usage.log_group_state(sh.usage_resources(spark, d), sh.broken_log_groups(spark, d), END, PARAMS.now)
@@ -415,6 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "api_usage_files": q_api_usage_files,
     "usage_all": q_usage_all,
     "usage_by_source": q_usage_by_source,
+    "usage_landed": q_usage_landed,
     "log_group_errors": q_log_group_errors,
     "location_errors": q_location_errors,
     "ip_risk": q_ip_risk,

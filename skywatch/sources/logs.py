@@ -9,11 +9,14 @@ joined once to the tracked-resource table (C9) instead of one query per resource
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch import schemas
+from skywatch.operators.attribution import longest_prefix, resource_location
+from skywatch.sources import files
 from skywatch.sources.files import qualified
 
 # ---- fixed value that must equal the reference's for the same parse ----
@@ -154,17 +157,18 @@ def register_log_table(spark: SparkSession, family: str, stack: str, resource: s
     return name
 
 
-def land_log_family(df: DataFrame, path: str, date_col: str = "date") -> None:
+def land_log_family(df: DataFrame, path: str, date_col: str | None = "date") -> None:
     """Write a parsed log family as Parquet partitioned by log folder and
     date (SURVEY §4: land raw logs when they are read more than once).
 
     Partitioned writes append per (folder, date) directory without a
     shuffle: every task writes its own files, so a resource holding a third of
     the logs is still written by all tasks. Dynamic overwrite replaces only
-    the partitions present in ``df`` (re-landing a day is idempotent).
+    the partitions present in ``df`` (re-landing a day is idempotent; without
+    ``date_col``, re-landing a folder).
     """
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("logFolder", date_col)
+     .partitionBy("logFolder", *([date_col] if date_col else []))
      .parquet(path))
 
 
@@ -176,3 +180,14 @@ def read_landed(spark: SparkSession, path: str, schema=None) -> DataFrame:
         r = r.schema(schema)
     return r.parquet(path)
 
+
+def read_tracked(spark: SparkSession, path: str, resources: DataFrame, rtype: str, schema=None) -> DataFrame:
+    """The rows of a landed family that lie at or under a location registered by a resource of ``rtype``.
+
+    The folders come from a listing of the landed partitions; their longest registered prefixes are found as a table,
+    and the join with it prunes the other folders' partitions when it runs (dynamic partition pruning)."""
+    landed = [unquote(n.partition("=")[2]) for n in files.names(spark, path) if n.startswith("logFolder=")]
+    folders = spark.createDataFrame([(f,) for f in landed], "logFolder string")
+    locations = resources.where(F.col("type") == rtype).select(resource_location().alias("location"))
+    wanted = longest_prefix(folders, ["logFolder"], "logFolder", locations).select("logFolder")
+    return read_landed(spark, path, schema).join(wanted, on="logFolder", how="left_semi")

@@ -142,3 +142,24 @@ def test_key_tree_order_matches_model(spark, keys):
     t = inv.key_tree(spark.createDataFrame([(k,) for k in keys], "path string"))
     got = [(r.path, r.depth, r.kind) for r in t.orderBy("listing_order").collect()]
     assert got == _model_listing(keys)
+
+
+def test_key_listing_positions_and_sizes(spark):
+    keys = ["b/x", "b/10/z", "b/9/z", "b/9/y/w", "a", "2", "10", "b/9/index.html", "b", "01"]
+    rows = inv.key_listing(spark.createDataFrame([(k,) for k in keys], "path string")).orderBy("position").collect()
+    # integer-like names first, by number, at each level; a name that is a file and a folder gives two entries
+    assert [(r.position, r.path, r.depth, r.kind, r.n_files) for r in rows] == [
+        (1, "2", 0, "file", 1), (2, "10", 0, "file", 1), (3, "01", 0, "file", 1), (4, "a", 0, "file", 1), (5, "b", 0, "file", 1),
+        (6, "b", 0, "folder", 4), (7, "b/9", 1, "folder", 2), (8, "b/9/y", 2, "folder", 1), (9, "b/9/y/w", 3, "file", 1), (10, "b/9/z", 2, "file", 1),
+        (11, "b/10", 1, "folder", 1), (12, "b/10/z", 2, "file", 1), (13, "b/x", 1, "file", 1)]
+    assert inv.key_listing(spark.createDataFrame([], "path string")).count() == 0
+
+
+def test_numbered_lines(spark):
+    from skywatch.operators.ordering import numbered
+    df = spark.range(5000).selectExpr("id % 7 AS a", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS b").repartition(7)
+    out = numbered(df, ["a", "b"])
+    got = [(r.a, r.b) for r in out.orderBy("line_number").collect()]
+    assert got == sorted((r.a, r.b) for r in df.collect())
+    assert sorted(r.line_number for r in out.collect()) == list(range(1, 5001))
+    assert numbered(df.limit(0), ["a"]).count() == 0

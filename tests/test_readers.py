@@ -220,3 +220,36 @@ def test_delivered_folder_layouts(spark, tmp_path):
     a.mkdir(parents=True)
     (a / "a.json").write_text(json.dumps({"timestamp": "2024-01-12T10:00:00Z", "message": "1.2.3.4,GET /x,r1"}) + "\n")
     assert logs.read_api_logs(spark, str(tmp_path / "api")).count() == 1
+
+
+def test_credential_report_of_many_columns_and_quoted_line_breaks(spark, tmp_path):
+    d = tmp_path / "r" / "111"
+    d.mkdir(parents=True)
+    head = [f"c{i}" for i in range(200)] + ["arn", "note", "user", "mfa_active", "user"]
+    rows = [["x"] * 200 + ["arn:1", '"two\r\nlines, ""quoted"""', "old", "true", "bob"],
+            [""] * 200 + ["arn:2", '""', "old", "false", '"a,b"'],
+            ["x"] * 200 + ["arn:3", 'an 8" disk', "old", "", "carol"]]
+    (d / "r.csv").write_text("﻿" + "\r\n".join(",".join(r) for r in [head, *rows]) + "\r\n\r\n", newline="")
+    got = sorted((r.arn, r.user, r.mfa_active, r.password_enabled) for r in reports.read_credential_report(spark, str(tmp_path / "r")).collect())
+    assert got == [("arn:1", "bob", "true", None), ("arn:2", "a,b", "false", None), ("arn:3", "carol", None, None)]
+    cells = spark.createDataFrame([('"two\r\nlines, ""quoted""",,"",x\n\n  \ny,"z\n"',)], "t string") \
+        .select(reports.csv_records(F.col("t")).alias("l")).select(F.transform("l", reports.csv_cells).alias("c")).first().c
+    assert cells == [['two\r\nlines, "quoted"', "", "", "x"], ["y", "z\n"]]
+
+
+def test_a_long_report_is_read_whole(spark, tmp_path):
+    d = tmp_path / "r" / "7"
+    d.mkdir(parents=True)
+    (d / "r.csv").write_text("user,arn,note\n" + "".join(f'u{i},a{i},"{"line" * 50}\n{i}"\n' for i in range(3000)))
+    df = reports.read_credential_report(spark, str(tmp_path / "r"))
+    assert df.count() == 3000 == df.select("arn").distinct().count()
+
+
+def test_landed_folders_of_other_resources_are_pruned(spark, tmp_path):
+    rows = [(f"b{k}/web/site", f"10.0.0.{k}") for k in range(6)] + [("b1/web/site/2024", "10.0.1.1")]
+    logs.land_log_family(spark.createDataFrame(rows, "logFolder string, request_ip string"), str(tmp_path / "landed"), date_col=None)
+    res = spark.createDataFrame([("A", "web", "site", "b1", "CloudFront"), ("B", "web", "site", "b2", "S3AccessLogs")],
+                                "accountId string, stackName string, name string, source string, type string")
+    df = logs.read_tracked(spark, str(tmp_path / "landed"), res, "CloudFront")
+    assert sorted(r.request_ip for r in df.collect()) == ["10.0.0.1", "10.0.1.1"]
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
