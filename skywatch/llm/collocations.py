@@ -1,16 +1,19 @@
 """Operator 11: collocations, mined from phrase counts in burstable tries.
 
-Phrases are counted by length, one pass over the texts each. A task gives the
-words it meets ids of its own and counts phrases in a HAT-trie: by first word
-a hash container of the words after it, which bursts into containers by second
-word when it grows too large. When the task's tries hold :data:`MAX_ENTRIES`
-phrases, whole subtrees, the largest first, are spilled as sorted runs of
-(language, phrase, count). Runs are dealt out by the phrase's prefix (its first
+Words, phrases of two, and phrases of three and four words are counted in one
+pass over the texts each. A task gives the
+words it meets ids of its own and counts phrases in a HAT-trie over the ids: a
+hash container holds the phrases of a range of first words, and one that grows
+too large bursts into 64 by the next six bits of its phrases' ids, so that
+frequent words get containers of their own, by second word in the end. When the
+task's tries hold :data:`MAX_ENTRIES` phrases, whole subtrees, the largest
+first, are spilled as runs of (language, phrase, count), sorted by their words.
+Runs are dealt out by the phrase's prefix (its first
 two words) and merged there, by Spark's aggregation, to the exact counts.
 
 A phrase of at least ``least`` occurrences has only parts of as many, so each
-pass counts only phrases whose two parts one word shorter were frequent in the
-pass before. They are known by a bit map of hashes, 16 bits a phrase and at
+pass counts only phrases of which all parts of the pass before's length were
+frequent in it. They are known by a bit map of hashes, 16 bits a phrase and at
 most :data:`FILTER_BITS` (32 MB) however many phrases there are; a chance hit
 costs a counted phrase and no exactness, since the merged counts decide.
 
@@ -32,6 +35,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skywatch.llm.common import materialize, release, table
+from skywatch.llm.common import materialize, release, table, without_collector
 
 LONGEST = 4
 LEAST = 30
@@ -47,12 +51,15 @@ TOP = 2000
 SHARES = 64
 MAX_ENTRIES = 1 << 19  # phrases a task holds before it spills
 MAX_WORDS = 1 << 19  # words a task has ids for before it starts anew
-BURST = 1 << 12  # entries of a container before it bursts
+BURST = 1 << 14  # entries of a container before it bursts
 FILTER_BITS = 28  # 2^28 bits at most
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 21
 RUNS = "lang string, phrase binary, n long"
 
+RUN_ENTRIES = 1 << 15  # phrases of a run, or of one larger subtree
+
 _BITS = 21  # of a word's id within a key
+_SPAN = 6  # bits of a key that part the containers of a node
 _UPPER = bytes(range(65, 91))
 _CLEAN = bytes.maketrans(_UPPER + b".,;:!?\x0a\x0b\x0c\x0d", _UPPER.lower() + b"\n" * 10)
 _BREAK = b"\xff"
@@ -60,8 +67,12 @@ _SPACE = re.compile(rb"[ \t\n]")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
+
+
 def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang.encode()))
+    return xxhash.xxh64_intdigest(word, _seed(lang))
 
 
 class Filter:
@@ -91,84 +102,126 @@ class Words(dict):
         super().__init__({_BREAK: -1})
         self.lang, self.known, self.words, self.hashes = lang, known, [], []
 
-    def __missing__(self, word: bytes) -> int:
-        h = _word_hash(self.lang, word)
-        i = len(self.words) if self.known(np.array([[h]], np.uint64))[0] else -1
-        if i >= 0:
-            self.words.append(word)
-            self.hashes.append(h)
-        self[word] = i
-        return i
+    def ids(self, tokens: list[bytes]) -> np.ndarray:
+        """Ids of the tokens, those of new words given out."""
+        ids = np.fromiter(map(self.get, tokens, repeat(-2)), np.int64, len(tokens))
+        at = np.flatnonzero(ids == -2)
+        if len(at):
+            fresh = [tokens[i] for i in at.tolist()]
+            new, seed = list(set(fresh)), _seed(self.lang)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in new), np.uint64, len(new))
+            for w, h, known in zip(new, hashes.tolist(), self.known(hashes[None, :]).tolist(), strict=True):
+                if known:
+                    self[w] = len(self.words)
+                    self.words.append(w)
+                    self.hashes.append(h)
+                else:
+                    self[w] = -1
+            ids[at] = [self[w] for w in fresh]
+        return ids
 
 
 class HatTrie:
-    """Counts of phrases of ``length`` word ids: by first word a container (rest of the phrase: count), or, once burst,
-    containers by second word."""
+    """Counts of phrases of ``length`` word ids.
+
+    A phrase is a key: its leading id (its first word; of four words, the number of their first two), then the ids after
+    it. A node is a container (a hash table of keys) or, once burst, containers by six more bits of the keys."""
 
     def __init__(self, length: int) -> None:
         self.length, self.size = length, 0
-        self.whole: dict[int, dict[int, int]] = {}
-        self.burst: dict[int, dict[int, dict[int, int]]] = {}
-
-    def add(self, heads: list[int], rests: list[int], counts: list[int]) -> None:
-        whole, burst = self.whole, self.burst
-        shift = _BITS * (self.length - 2)
-        mask, before, box = (1 << shift) - 1, None, None
-        for head, rest, n in zip(heads, rests, counts, strict=True):
-            if head != before:
-                if box is not None:
-                    self._grown(before, box)
-                before, box = head, None
-                if head not in burst:
-                    box = whole.get(head)
-                    if box is None:
-                        box = whole[head] = {}
-            if box is None:
-                children = burst[head]
-                child = children.get(rest >> shift)
-                if child is None:
-                    child = children[rest >> shift] = {}
-                old, key, held = child.get(rest & mask), rest & mask, child
-            else:
-                old, key, held = box.get(rest), rest, box
-            if old is None:
-                held[key] = n
-                self.size += 1
+        self.rest = _BITS * min(length - 1, 2)
+        self.root: dict[int, dict | list] = {}
+        self.heads: dict[int, int] = _Numbers()
+
+    def keys(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys of the phrases that start at the places."""
+        key = ids[at]
+        if self.length == 4:
+            pairs = (key << _BITS | ids[at + 1]).tolist()
+            key = np.fromiter(map(self.heads.__getitem__, pairs), np.int64, len(pairs))
+        for k in range(1 if self.length < 4 else 2, self.length):
+            key = key << _BITS | ids[at + k]
+        return key
+
+    def add(self, keys: np.ndarray) -> None:
+        self._add(self.root, np.sort(keys), self.rest + _SPAN)
+
+    def _add(self, children: dict, keys: np.ndarray, shift: int) -> None:
+        """Sorted keys to the children, which part them by the bits from ``shift`` on."""
+        top = keys >> shift
+        starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+        ends = [*starts[1:].tolist(), len(keys)]
+        for slot, a, b in zip(top[starts].tolist(), starts.tolist(), ends, strict=True):
+            node = children.get(slot)
+            if node is None:
+                node = children[slot] = Counter()
+            if type(node) is Counter:
+                before = len(node)
+                node.update(keys[a:b].tolist())
+                self.size += len(node) - before
+                if len(node) > BURST and shift >= _SPAN:
+                    children[slot] = self._burst(node, shift - _SPAN)
             else:
-                held[key] = old + n
-        if box is not None:
-            self._grown(before, box)
+                self._add(node, keys[a:b], shift - _SPAN)
 
-    def _grown(self, head: int, box: dict[int, int]) -> None:
-        if len(box) <= BURST or self.length < 3:
-            return
-        shift = _BITS * (self.length - 2)
-        children: dict[int, dict[int, int]] = {}
-        for rest, n in box.items():
-            children.setdefault(rest >> shift, {})[rest & ((1 << shift) - 1)] = n
-        self.burst[head] = children
-        del self.whole[head]
-
-    def _entries(self, head: int) -> Iterator[tuple[list[int], int]]:
-        low = (1 << _BITS) - 1
-        shift = _BITS * (self.length - 2)
-        boxes = [(0, self.whole[head])] if head in self.whole else [(second << shift, box) for second, box in self.burst[head].items()]
-        places = [_BITS * k for k in range(self.length - 2, -1, -1)]
-        for above, box in boxes:
-            for key, n in box.items():
-                key += above
-                yield [head, *[key >> p & low for p in places]], n
+    @staticmethod
+    def _burst(node: Counter, shift: int) -> dict:
+        children: dict[int, Counter] = {}
+        for key, n in node.items():
+            child = children.get(key >> shift)
+            if child is None:
+                child = children[key >> shift] = Counter()
+            child[key] = n
+        return children
+
+    def _containers(self, node: Counter | dict) -> Iterator[Counter]:
+        if type(node) is Counter:
+            yield node
+        else:
+            for child in node.values():
+                yield from self._containers(child)
 
     def spill(self, words: list[bytes], keep: int) -> Iterator[tuple[list[bytes], list[int]]]:
         """Sorted runs of whole subtrees, the largest first, until at most ``keep`` entries are left."""
-        sizes = {h: len(b) for h, b in self.whole.items()} | {h: sum(map(len, c.values())) for h, c in self.burst.items()}
-        for head in sorted(sizes, key=sizes.get, reverse=True):
+        if not self.root:
+            return
+        sizes = {slot: sum(map(len, self._containers(node))) for slot, node in self.root.items()}
+        order = np.argsort(np.array([*words, b""], object)[:-1], kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        texts = np.array([*words, None], object)
+        pairs = np.fromiter(self.heads, np.int64, len(self.heads))
+        run: list[Counter] = []
+        for slot in sorted(sizes, key=sizes.get, reverse=True):
             if self.size <= keep:
-                return
-            run = sorted((b" ".join([words[i] for i in ids]), n) for ids, n in self._entries(head))
-            self.whole.pop(head, None), self.burst.pop(head, None)
-            self.size -= sizes[head]
-            yield [p for p, _ in run], [n for _, n in run]
+                break
+            run += self._containers(self.root.pop(slot))
+            self.size -= sizes[slot]
+            if sum(map(len, run)) >= RUN_ENTRIES:
+                yield self._run(run, rank, texts, pairs)
+                run = []
+        if run:
+            yield self._run(run, rank, texts, pairs)
+
+    def _run(self, containers: list[Counter], rank: np.ndarray, texts: np.ndarray, pairs: np.ndarray) -> tuple[list[bytes], list[int]]:
+        n = sum(map(len, containers))
+        keys = np.fromiter(chain.from_iterable(containers), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(c.values() for c in containers), np.int64, n)
+        low, parts = (1 << _BITS) - 1, []
+        for _ in range(self.rest // _BITS):
+            parts.insert(0, keys & low)
+            keys = keys >> _BITS
+        parts[:0] = [pairs[keys] >> _BITS, pairs[keys] & low] if self.length == 4 else [keys]
+        order = np.lexsort([rank[p] for p in reversed(parts)])
+        return list(map(b" ".join, zip(*[texts[p[order]] for p in parts], strict=True))), counts[order].tolist()
+
+
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: int) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 def _tokens(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -182,17 +235,6 @@ def _tokens(texts: list[bytes]) -> Iterator[list[bytes]]:
         at = end
 
 
-def _distinct(ids: np.ndarray, at: np.ndarray, length: int) -> tuple[list[int], list[int], list[int]]:
-    """First words, rests and counts of the phrases that start at the places, in order."""
-    head, rest = ids[at], np.zeros(len(at), np.int64)
-    for k in range(1, length):
-        rest = rest << _BITS | ids[at + k]
-    order = np.lexsort((rest, head))
-    head, rest = head[order], rest[order]
-    new = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (rest[1:] != rest[:-1]))))
-    return head[new].tolist(), rest[new].tolist(), np.diff(np.append(new, len(head))).tolist()
-
-
 def _by_lang(pdf: pd.DataFrame) -> Iterator[tuple[str, list[bytes]]]:
     for lang, part in pdf.groupby("lang", sort=False):
         yield lang, part["text"].tolist()
@@ -208,7 +250,7 @@ def _word_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = sorted(count.items())
         return pd.DataFrame({"lang": lang, "phrase": [w for w, _ in run] + [None], "n": [n for _, n in run] + [sum(count.values())]})
 
-    for pdf in batches:
+    for pdf in without_collector(batches):
         for lang, texts in _by_lang(pdf):
             for words in _tokens(texts):
                 held.setdefault(lang, Counter()).update(words)
@@ -219,48 +261,50 @@ def _word_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     release()
 
 
-def _phrase_runs(length: int, known_words: Filter, known_parts: Filter | None):
+def _phrase_runs(lengths: tuple[int, ...], known_words: Filter, known_parts: Filter | None):
+    """Counts phrases of the lengths; ``known_parts``: of phrases one word shorter than the shortest of them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, tries = {}, {}
+        words: dict[str, Words] = {}
+        tries: dict[tuple[str, int], HatTrie] = {}
 
         def spilled(keep: int) -> Iterator[pd.DataFrame]:
-            for lang, trie in tries.items():
-                phrases, counts = [], []
-                for p, n in trie.spill(words[lang].words, keep):
-                    phrases += p
-                    counts += n
-                    if len(phrases) >= 20_000:
-                        yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": counts})
-                        phrases, counts = [], []
-                if phrases:
+            for (lang, _), trie in tries.items():
+                for phrases, counts in trie.spill(words[lang].words, keep):
                     yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": counts})
 
-        for pdf in batches:
+        for pdf in without_collector(batches):
             for lang, texts in _by_lang(pdf):
                 last = np.zeros(0, np.int64)
                 for tokens in _tokens(texts):
-                    if sum(len(w) for w in words.values()) > MAX_WORDS:
-                        carried = [words[lang].words[i] if i >= 0 else _BREAK for i in last] if lang in words else []
+                    before = [words[lang].words[i] if i >= 0 else _BREAK for i in last]
+                    if sum(map(len, words.values())) + sum(len(t.heads) for t in tries.values()) > MAX_WORDS:
                         yield from spilled(0)
-                        words, tries = {}, {}
-                        tokens, last = [*carried, *tokens], last[:0]
+                        words.clear(), tries.clear()
                     if lang not in words:
-                        words[lang], tries[lang] = Words(lang, known_words), HatTrie(length)
+                        words[lang] = Words(lang, known_words)
+                        tries |= {(lang, length): HatTrie(length) for length in lengths}
                     own = words[lang]
-                    ids = np.concatenate((last, np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))))
-                    last = ids[max(0, len(ids) - length + 1):]
-                    n = len(ids) - length + 1
-                    if n <= 0:
-                        continue
-                    ok = np.ones(n, bool)
-                    for k in range(length):
-                        ok &= ids[k:k + n] >= 0
-                    at = np.flatnonzero(ok)
-                    if known_parts is not None and len(at):
-                        h = np.array(own.hashes, np.uint64)[np.array([ids[at + k] for k in range(length)])]
-                        at = at[known_parts(h[:-1]) & known_parts(h[1:])]
-                    if len(at):
-                        tries[lang].add(*_distinct(ids, at, length))
+                    last = own.ids(before)
+                    seen, ids = len(last), np.concatenate((last, own.ids(tokens)))
+                    last = ids[max(0, len(ids) - max(lengths) + 1):]
+                    for length in lengths:
+                        start = max(0, seen - length + 1)  # phrases that end in the new tokens
+                        n = len(ids) - length + 1 - start
+                        if n <= 0:
+                            continue
+                        ok = np.ones(n, bool)
+                        for k in range(length):
+                            ok &= ids[start + k:start + k + n] >= 0
+                        at = np.flatnonzero(ok) + start
+                        if known_parts is not None and len(at):
+                            h = np.array(own.hashes, np.uint64)[np.array([ids[at + k] for k in range(length)])]
+                            part, fine = min(lengths) - 1, True
+                            for k in range(length - part + 1):
+                                fine = fine & known_parts(h[k:k + part])
+                            at = at[fine]
+                        if len(at):
+                            trie = tries[lang, length]
+                            trie.add(trie.keys(ids, at))
                     if sum(t.size for t in tries.values()) > MAX_ENTRIES:
                         yield from spilled(MAX_ENTRIES // (2 * len(tries)))
         yield from spilled(0)
@@ -309,11 +353,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     parts = [found.select("lang", F.when(F.col("phrase").isNull(), 0).otherwise(1).alias("words"), "phrase", "f")]
     known = _filter_of(found.where("phrase is not null"))
     known_words, known_parts = spark.sparkContext.broadcast(known), None
-    for length in range(2, longest + 1):
-        counting = _counting(length, known_words, known_parts)
-        found = materialize(_merged(rows.mapInPandas(counting, RUNS)).where(F.col("f") >= least), f"phrases-{length}")
-        parts.append(found.select("lang", F.lit(length).alias("words"), "phrase", "f"))
-        if length < longest:
+    passes = [(n,) for n in range(2, min(longest, 3))] + [tuple(range(min(longest, 3), longest + 1))] if longest > 1 else []
+    for lengths in passes:
+        counting = _counting(lengths, known_words, known_parts)
+        found = materialize(_merged(rows.mapInPandas(counting, RUNS)).where(F.col("f") >= least), f"phrases-{lengths[0]}")
+        parts.append(found.select("lang", F.size(F.split("phrase", " ")).alias("words"), "phrase", "f"))
+        if lengths[-1] < longest:
             known_parts = spark.sparkContext.broadcast(_filter_of(found))
     out = parts[0]
     for p in parts[1:]:
@@ -321,10 +366,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return out
 
 
-def _counting(length: int, known_words, known_parts):
+def _counting(lengths: tuple[int, ...], known_words, known_parts):
     """Function for mapInPandas that takes its filters from broadcasts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _phrase_runs(length, known_words.value, None if known_parts is None else known_parts.value)(batches)
+        return _phrase_runs(lengths, known_words.value, None if known_parts is None else known_parts.value)(batches)
     return run
 
 

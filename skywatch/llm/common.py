@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from skywatch.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACES", "SHINGLE_WORDS", "SIMILARITY", "table", "n_words", "fresh", "materialize", "release"]
+__all__ = ["WORD", "SPACES", "SHINGLE_WORDS", "SIMILARITY", "table", "n_words", "fresh", "materialize", "release", "without_collector"]
 
 # Word shingles and near-duplicate similarity of the package, unless a caller says otherwise.
 SHINGLE_WORDS = 5
@@ -44,3 +46,14 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
         trim(0)
+
+
+def without_collector(batches: Iterator) -> Iterator:
+    """The batches; while they last, the cycle collector is off, which would look through large tables of small objects
+    again and again. Afterwards memory is given back."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
+        release()
