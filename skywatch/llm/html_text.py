@@ -44,7 +44,8 @@ from pyspark.sql import types as T
 
 from skywatch.llm.common import table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
+_QUOTE = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.I)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in
         ("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math", "object", "select", "button", "canvas", "video", "audio")}
@@ -75,6 +76,7 @@ _CONTAINER = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 _SCOPE = frozenset("table ul ol dl article section div main body html nav aside footer header form blockquote".split())
+_PARAGRAPH_BARRIERS = _SCOPE - {"ul", "ol", "dl"}
 # Beside the best container, what has this share of its characters in links is taken for a menu.
 _LINKS = 0.5
 _SPACE = re.compile(r"\s+")
@@ -132,21 +134,27 @@ def _points(text: str) -> float:
 
 
 def _without_frames(tags: list[str], parents: list[int], mains: list[bool], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """The blocks but those in a form, header or fieldset that holds neither an article or main nor, of it or else of the page, most of the paragraphs."""
+    """The blocks but those in a form, header or fieldset that holds neither an article or main nor, of it or else of the page, most of the paragraphs.
+    A header within an article or main, which holds its title, is left out only if it is mostly links."""
     n = len(tags)
     chars, main_chars, within = [0] * n, [0] * n, [False] * n  # of paragraphs; of those in an article or main
+    said, in_links_of = [0] * n, [0] * n  # of all blocks
     for k in range(n):
         within[k] = mains[k] or k > 0 and within[parents[k]]
     for node, text, in_links in blocks:
+        said[node] += len(text)
+        in_links_of[node] += in_links
         if tags[node] not in _HEADINGS and in_links < _LINKS * len(text):
             chars[node] += len(text)
             main_chars[node] += len(text) * within[node]
     for k in range(n - 1, 0, -1):
-        chars[parents[k]] += chars[k]
-        main_chars[parents[k]] += main_chars[k]
+        for sums in (chars, main_chars, said, in_links_of):
+            sums[parents[k]] += sums[k]
     out = [False] * n
     for k in range(1, n):
-        if main_chars[0]:
+        if tags[k] == "header" and within[parents[k]]:
+            small = in_links_of[k] >= _LINKS * said[k]
+        elif main_chars[0]:
             small = 2 * main_chars[k] <= main_chars[0] if within[k] else not main_chars[k]
         else:
             small = 2 * chars[k] <= chars[0]
@@ -183,49 +191,77 @@ def main_text(page: str | None) -> str:
             if links:
                 linked.append(raw)
 
+    open_at: dict[str, list[int]] = {}  # depths in the stack of the open elements of a name
+    scopes: list[int] = []  # of those that bound what a tag closes by itself
+    block_depths: list[int] = []
+
+    def nearest(*names: str) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
+
     def pop_to(depth: int) -> None:
         nonlocal left_out, links, articles, frames
         while len(stack) > depth:
-            if stack[-1][0] in _BLOCK:
+            name = stack[-1][0]
+            if name in _BLOCK:
                 flush()
+                block_depths.pop()
+            if name in _SCOPE:
+                scopes.pop()
             stack.pop()
+            open_at[name].pop()
             out, link, article, frame = kinds.pop()
             left_out -= out
             links -= link
             articles -= article
             frames -= frame
 
-    at, end = 0, len(page)
+    at, end, quotes = 0, len(page), True
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
             said(page[at:])
             break
-        said(page[at:m.start()])
-        at = m.end()
         if m[2] is None:  # comment, doctype, processing instruction
+            said(page[at:m.start()])
+            at = m.end()
             continue
+        # The tag ends at the first > outside quotes. Where a quote is never closed, quotes no longer count, from there on.
+        close = page.find(">", m.end())
+        if close < 0:  # no tag ends any more
+            said(page[at:])
+            break
+        q = _QUOTE.search(page, m.end()) if quotes else None
+        while q and q[0] != ">":
+            shut = page.find(q[0], q.end())
+            q = _QUOTE.search(page, shut + 1) if shut >= 0 else None
+        if q:
+            close = q.start()
+        else:
+            quotes = False
+        said(page[at:m.start()])
+        attrs = page[m.end():close]
+        at = close + 1
         tag = m[2].lower()
         if m[1]:
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                same = ("h1", "h2", "h3", "h4", "h5", "h6")
-            else:
-                same = (tag,)
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] in same:
-                    pop_to(d)
-                    break
-                if tag not in _BLOCK and stack[d][0] in _BLOCK or tag in ("p", "li", "dd", "dt") and stack[d][0] in _SCOPE - {"ul", "ol", "dl"} or tag in ("td", "tr", "th") and stack[d][0] == "table":
-                    break
+            match = nearest("h1", "h2", "h3", "h4", "h5", "h6") if tag in _HEADINGS else nearest(tag)
+            barrier = 0
+            if tag not in _BLOCK and block_depths:
+                barrier = block_depths[-1]
+            elif tag in ("p", "li", "dd", "dt"):
+                barrier = nearest(*_PARAGRAPH_BARRIERS)
+            elif tag in ("td", "tr", "th"):
+                barrier = nearest("table")
+            if match > barrier:
+                pop_to(match)
             if tag in _BLOCK:
                 flush()
             continue
         if tag == "br":
             said(" ")
             continue
-        if tag in _RAW and not m[3].rstrip().endswith("/"):
-            close = _RAW[tag].search(page, at)
-            at = close.end() if close else end
+        if tag in _RAW and not attrs.rstrip().endswith("/"):
+            shut = _RAW[tag].search(page, at)
+            at = shut.end() if shut else end
             said(" ") if tag in ("button", "select") else None
             continue
         if tag in _VOID:
@@ -233,27 +269,21 @@ def main_text(page: str | None) -> str:
                 flush()
             continue
         if tag in _BLOCK:
-            for d in range(len(stack) - 1, 0, -1):  # what this tag closes by itself
-                name = stack[d][0]
-                if name == "p":
-                    pop_to(d)
-                    break
-                if name in _SCOPE or name in ("li", "td", "th"):
-                    break
+            scope = scopes[-1] if scopes else 0  # what this tag closes by itself
+            if (p := nearest("p")) > max(scope, nearest("li", "td", "th")):
+                pop_to(p)
             for _ in range(3):
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][0] in _CLOSES.get(tag, ()):
-                        pop_to(d)
-                        break
-                    if stack[d][0] in _SCOPE:
-                        break
-                else:
-                    break
+                if (other := nearest(*_CLOSES.get(tag, ()))) > (scopes[-1] if scopes else 0):
+                    pop_to(other)
             flush()
-        out, role, doubt = _beside(tag, m[3], articles > 0)
+        out, role, doubt = _beside(tag, attrs, articles > 0)
         out |= frames > 0 and tag in _CONTROLS
         main = role or tag in ("article", "main")
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         if tag in _BLOCK:
+            block_depths.append(len(stack))
             if doubt:
                 doubts.append(len(tags))
             tags.append(tag)
@@ -277,15 +307,17 @@ def main_text(page: str | None) -> str:
         return ""
 
     score, chars, link_chars = [0.0] * n, [0] * n, [0] * n
+    holder = [0] * n  # the nearest container from an element on, itself included
+    for k in range(n):
+        holder[k] = k if tags[k] in _CONTAINER else holder[parents[k]]
     for node, text, in_links in blocks:
-        points, level, k = _points(text) * (1 - in_links / len(text) if in_links < len(text) else 0.0), 0, node
-        while k >= 0:
-            if tags[k] in _CONTAINER:
-                score[k] += points if level == 0 else points / (2 if level == 1 else 3 * level)
-                level += 1
-                if level > 8:
-                    break
-            k = parents[k]
+        points, level, k = _points(text) * (1 - in_links / len(text) if in_links < len(text) else 0.0), 0, holder[node]
+        while True:
+            score[k] += points if level == 0 else points / (2 if level == 1 else 3 * level)
+            level += 1
+            if level > 8 or k == 0:
+                break
+            k = holder[parents[k]]
         chars[node] += len(text)
         link_chars[node] += in_links
     for k in range(n - 1, 0, -1):  # children come after their parents

@@ -23,7 +23,9 @@ Counts cover all training texts: nothing is pruned, sampled or capped.
 Cases: a null text is empty and scores its end alone; a null id counts as
 training text and not held out; without training texts every byte is equally
 likely and the base score uses c = N = V = 0; repeated rows count as often as
-they occur and are scored once each; other columns are ignored.
+they occur and are scored once each; the bytes FE and FF, which UTF-8 never
+has and which are the marks here, count as FD in a text; a long text is held
+whole by one task, at some 50 times its size; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ ALPHABET = 255  # the other 254 and the end mark
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER[START:] = START - 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _T = np.random.default_rng(10).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,8 +137,13 @@ def _chunk(pack: P.Pack, first: int, last: int) -> tuple[np.ndarray, np.ndarray,
     return pack.data[pack.starts[first]:pack.ends[last - 1]], lens, trained
 
 
-def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each is in training texts."""
+def _distinct(keys: np.ndarray, trained: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of so many bits and how often each is in training texts."""
+    if bits < 64 and len(keys):  # one sort, with the flag as the lowest bit
+        both = np.sort(keys << np.uint64(1) | trained.astype(np.uint64))
+        key = both >> np.uint64(1)
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return key[heads], np.add.reduceat((both & np.uint64(1)).astype(np.int64), heads)
     all_keys = np.unique(keys)
     own, n = np.unique(keys[trained], return_counts=True)
     out = np.zeros(len(all_keys), np.int64)
@@ -143,6 +151,32 @@ def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.nda
     return all_keys, out
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, bits: int) -> np.ndarray:
+    """``values`` at the places of ``wanted`` (keys of so many bits, all of them known) in the ascending ``keys``.
+
+    Some tens of thousands are sorted at a time, their places in the lowest bits, and searched in order: neighbours are
+    found next to each other, where a search for each as it comes would go through all of the keys' memory."""
+    out, block = np.empty(len(wanted), values.dtype), 1 << min(20, 64 - bits)
+    for a in range(0, len(wanted), block):
+        part = wanted[a:a + block]
+        both = np.sort(part << np.uint64(64 - bits) | np.arange(len(part), dtype=np.uint64))
+        key = both >> np.uint64(64 - bits)
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        found = values[np.searchsorted(keys, key[heads])]
+        out[a + (both & np.uint64((1 << (64 - bits)) - 1)).astype(np.int64)] = np.repeat(found, np.diff(np.append(heads, len(key))))
+    return out
+
+
+def _names(pack: P.Pack, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings and words of a pack, as :func:`_asked` has them."""
+    grams, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for first, last in pack.chunks():
+        data, lens, _ = _chunk(pack, first, last)
+        grams.append(np.unique(_grams(data, lens, order)[0]))
+        words.append(np.unique(_words(data, lens)[0]))
+    return np.unique(np.concatenate(grams)), np.unique(np.concatenate(words))
+
+
 def _asked(pack: P.Pack, order: int) -> tuple[tuple, tuple, np.ndarray, int, int]:
     """(strings, counts), (words, counts), training counts of pairs, training words and texts."""
     grams, words, pairs, tokens, texts = ([], []), ([], []), np.zeros(65536, np.int64), 0, 0
@@ -151,7 +185,7 @@ def _asked(pack: P.Pack, order: int) -> tuple[tuple, tuple, np.ndarray, int, int
         code, n = _grams(data, lens, order)
         own = np.repeat(trained, n)
         pairs += np.bincount((code[own] & np.uint64(0xFFFF)).astype(np.int64), minlength=65536)
-        for out, got in zip(grams, _distinct(code, own), strict=True):
+        for out, got in zip(grams, _distinct(code, own, 8 * (order + 1)), strict=True):
             out.append(got)
         word, n = _words(data, lens)
         own = np.repeat(trained, n)
@@ -309,7 +343,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     below = np.log10(n_train + 0.5 * (int(distinct) + 1))
 
     def scored(k: int, pack: P.Pack, got: dict[int, bytes]) -> pd.DataFrame:
-        (codes, _), (words, _), _, _, _ = _asked(pack, order)
+        codes, words = _names(pack, order)
         value, count = np.zeros(len(codes)), np.zeros(len(words), np.int64)
         for p, i in _parts_of(codes, _gram_parts(codes, n_ranges), n_ranges):
             value[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(got[p]), "<f4")
@@ -319,7 +353,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for first, last in pack.chunks():
             data, lens, trained = _chunk(pack, first, last)
             code, n = _grams(data, lens, order)
-            total = np.add.reduceat(value[np.searchsorted(codes, code)], np.cumsum(n) - n)
+            total = np.add.reduceat(_looked_up(codes, value, code, 8 * (order + 1)), np.cumsum(n) - n)
             word, m = _words(data, lens)
             c = count[np.searchsorted(words, word)] if len(word) else np.zeros(0, np.int64)
             cuts = np.concatenate(([0], np.cumsum(m)))

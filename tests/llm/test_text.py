@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -29,6 +30,23 @@ def test_main_text_edge_cases():
         assert html_text.main_text(page) == text
 
 
+def test_main_text_is_linear_in_malformed_pages():
+    """A megabyte each; quadratic steps would take hours."""
+    begin = time.process_time()
+    for page in ('<a b="' * 160_000, "<i></p>" * 140_000, "<center>x" * 100_000, "<i>" * 50_000 + "<div>x</div>" * 80_000, "<h1>" * 200_000,
+                 "<p><li>x" * 100_000, "<!--" * 250_000, "<" * 1_000_000, "<a b='x>" * 120_000 + ">", "<article><header>" * 50_000 + "x"):
+        html_text.main_text(page)
+    assert time.process_time() - begin < 120
+    assert html_text.main_text("<p>a</p>" + '<a b="' * 3 + "c>d</a><p>e</p>") == "a\nd\ne"
+
+
+def test_main_text_keeps_an_articles_own_header():
+    text = "Some text, long enough to count, with commas, and more of it, as articles have."
+    page = f"<header><a href=/>Site</a> <a href=/n>News</a></header><article><header><h1>Title</h1><p>By A. Author</p></header><p>{text}</p></article>"
+    assert html_text.main_text(page) == f"Title\nBy A. Author\n{text}"
+    assert html_text.main_text(f"<article><header><a href=/>One</a> <a href=/b>Two</a></header><p>{text}</p></article>") == text
+
+
 def test_main_text_keeps_what_stands_beside_the_best_container():
     def words(page):
         return html_text.main_text(page).split("\n")
@@ -186,3 +204,12 @@ def test_ppm_without_training_texts(spark):
     rows = [(held, "ab")]
     assert scored(spark.createDataFrame(rows, "doc_id long, text string")) == Counter(brute_ppm(rows, ppm.ORDER))
     assert ppm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ppm_bytes_that_are_its_marks(spark):
+    def of(odd):
+        rows = [(i, b"the cat " + odd * (i % 3) + b" sat") for i in range(40)]
+        return ppm.score(spark.createDataFrame(rows, "doc_id long, raw binary").selectExpr("doc_id", "CAST(raw AS STRING) AS text")).collect()
+
+    marks, others = (sorted(map(tuple, of(x))) for x in (b"\xfe\xff", b"\xfd\xfd"))
+    assert marks == others and len(marks) == 40
