@@ -51,7 +51,7 @@ STEP_BYTES = 1 << 20
 _rng = np.random.default_rng(2)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_SIG = "id long, n long, k1 long, k2 long, bands binary"
+_SIG = "id long, hash long, n long, k1 long, k2 long, bands binary"
 
 
 def _steps(ids: list, texts: list) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -111,8 +111,8 @@ def _digests(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for ids, h, n in _steps(pdf["id"].tolist(), pdf["text"].tolist()):
-                out = pd.DataFrame({"id": ids, "n": n, "k1": 0, "k2": 0, "bands": b""})
+            for rows, h, n in _steps(list(zip(pdf["id"], pdf["hash"], strict=True)), pdf["text"].tolist()):
+                out = pd.DataFrame({"id": [i for i, _ in rows], "hash": [x for _, x in rows], "n": n, "k1": 0, "k2": 0, "bands": b""})
                 some = n > 0
                 if some.any():
                     k1, k2, bands = _digests(h, n)
@@ -125,8 +125,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    """id, text and the text's hash, which tells rows of one id, or without one, apart."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+
+
+def _of_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts that may stand for a wanted set; however many rows share an id or have none, each is at most one set's."""
+    return texts.join(wanted, (F.col("id") == F.col("set_id")) & (F.col("hash") == F.col("set_hash"))).select("cls", "k1", "k2", "text")
 
 
 def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -204,7 +210,8 @@ def _verified(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, class_id, n_links, kept, set_id: one row per row of ``docs``."""
     sigs = materialize(signatures(docs, id_col, text_col), "jaccard-signatures")
-    sets = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("set_id"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    sets = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "hash")).alias("of"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    sets = sets.select("k1", "k2", F.col("of.id").alias("set_id"), F.col("of.hash").alias("set_hash"), "size", "n", "bands")
     sets = materialize(sets.withColumn("cls", F.monotonically_increasing_id()), "jaccard-sets")
 
     # Buckets of more than one class; a band's hash is eight bytes of `bands`.
@@ -223,10 +230,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = each_group(in_tiles.select("cls", "band", "hash", "size", "bands", "tile", "ti", "tj"), group, _needed, schema)
     needed = materialize(needed, "jaccard-needed")
 
-    # The full sets of the classes still needed, from one document of each.
-    wanted = needed.select("cls").distinct().join(sets.select(F.col("cls").alias("w_cls"), "set_id", "k1", "k2"), F.col("cls") == F.col("w_cls")) \
-        .select(F.col("cls"), "set_id", "k1", "k2")
-    grams = _texts(docs, id_col, text_col).join(wanted, F.col("id") == F.col("set_id")).select("cls", "k1", "k2", "text")
+    # The full sets of the classes still needed, from one document of each: a row's id and text find one class at most.
+    wanted = needed.select("cls").distinct().join(sets.select(F.col("cls").alias("w_cls"), "set_id", "set_hash", "k1", "k2"), F.col("cls") == F.col("w_cls")) \
+        .select(F.col("cls"), "set_id", "set_hash", "k1", "k2")
+    grams = _of_sets(_texts(docs, id_col, text_col), wanted)
 
     def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -217,3 +217,17 @@ def test_simhash_blocks_find_all_within_radius(spark):
     own = df.where("k = 0").select(F.col("block").alias("b0"), F.col("bits").alias("v0"))
     hit = df.join(own, (F.col("block") == F.col("b0")) & (F.col("bits") == F.col("v0"))).select("k").distinct()
     assert hit.count() == len(rows)
+
+
+def test_jaccard_rows_that_share_an_id_or_have_none(spark):
+    """1000 rows without an id and 1000 of one id, in pairs of near copies: each text stands for one set at most."""
+    def text(k):
+        return " ".join(f"w{k // 2}x{j}" for j in range(60)) + (" end" if k % 2 else "")
+
+    rows = [(None if k < 1000 else 7, text(k)) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_duplicates(docs).collect()
+    assert len(got) == 2000 and all(r.n_links == 1 for r in got)
+    texts = jaccard._texts(docs, "doc_id", "text")
+    wanted = texts.select(F.monotonically_increasing_id().alias("cls"), F.col("id").alias("set_id"), F.col("hash").alias("set_hash"), F.lit(0).alias("k1"), F.lit(0).alias("k2"))
+    assert jaccard._of_sets(texts, wanted).count() == 2000
