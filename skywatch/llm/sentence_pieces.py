@@ -18,8 +18,11 @@ the merges on the pair.
 
 No token holds a white space mark after another character, so no merge
 crosses from one word into the next mark: the stretches of the table are the
-words with the marks before them, and each worker keeps the encodings of
-frequent words (:data:`CACHE_WORDS` at most, cleared when full).
+words with the marks before them. Some megabytes of texts are encoded
+together: their distinct words are sorted, so that a word takes over the
+table of the prefix it shares with the word before. Each worker keeps the
+encodings of the words seen last (:data:`CACHE_WORDS` at most, in two halves of
+which the older goes when the newer is full).
 
 :class:`Codec` is built once on the driver from the vocabulary (its size is the
 vocabulary's) and broadcast; each document is a row, nothing is shuffled.
@@ -38,6 +41,7 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,11 +49,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywatch.llm.common import fresh, table
+from skywatch.llm.common import fresh, table, without_collector
 
 MARK = "▁"  # a space within a piece
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 CACHED_LENGTH = 40  # longer stretches are not kept
+STEP_CHARS = 4 << 20  # characters of texts that are encoded together, or one longer text
 MAX_PAIRS = 1 << 19  # answers about pairs of tokens that are kept
 MAX_STEPS = 1 << 20  # steps of the automaton that are kept besides the tree's
 START = -(1 << 30)  # the token before a stretch
@@ -89,7 +94,9 @@ class Codec:
             if all(x in self.simple and (len(pieces[x]) == 1 or scores[x] > scores[i]) for x in last if x >= 0) and min(last) >= 0:
                 self.simple.add(i)
         self._build(tokens)
-        self._words: dict[str, list[int]] = {}
+        self._newer: dict[str, list[int]] = {}
+        self._older: dict[str, list[int]] = {}
+        self.numerals = [str(i) for i in range(len(pieces))]
 
     def _build(self, tokens: list[int]) -> None:
         """The automaton of the tokens: per state the next states by character (completed while it runs), the state of
@@ -131,7 +138,7 @@ class Codec:
         return nxt
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_words": {}}
+        return self.__dict__ | {"_newer": {}, "_older": {}}
 
     @staticmethod
     def _plain(piece: str, kind: str) -> bytes:
@@ -205,33 +212,44 @@ class Codec:
 
     # -- encoding
 
-    def _stretch(self, s: str) -> list[int]:
-        """Tokens of a stretch: the table of last tokens by prefix, read backwards. A character without a piece has a negative token."""
-        n = len(s)
-        if n == 1:
-            return [self._symbol(s)]
-        last, back = [START] * (n + 1), [0] * (n + 1)
-        go, ends, state, end = self.go, self.ends, 0, 0
-        for ch in s:
-            end += 1
-            nxt = go[state].get(ch)
-            state = self._step(state, ch) if nxt is None else nxt
-            for i, k, known in ends[state]:
-                before = last[end - k]
-                ok = known.get(before)
-                if ok is None:
-                    ok = self._learn(before, i)
-                if ok:
-                    last[end], back[end] = i, k
+    def _stretches(self, stretches: list[str]) -> Iterator[list[int]]:
+        """Tokens of each stretch: the table of last tokens by prefix, read backwards. A character without a piece has a
+        negative token. The table of a prefix that the stretch before had, too, is not filled again."""
+        last, back, states, before_s = [START], [0], [0], ""
+        go, ends = self.go, self.ends
+        for s in stretches:
+            n, same = len(s), 0
+            for x, y in zip(s, before_s):  # noqa: B905 - to the end of the shorter
+                if x != y:
                     break
-            else:  # no token of the vocabulary ends there: the character by itself
-                last[end], back[end] = -1 - ord(ch), 1
-        out = []
-        while end:
-            out.append(last[end])
-            end -= back[end]
-        out.reverse()
-        return out
+                same += 1
+            if len(last) <= n:
+                more = n + 1 - len(last)
+                last += [START] * more
+                back += [0] * more
+                states += [0] * more
+            state, end = states[same], same
+            for ch in s[same:] if same else s:
+                end += 1
+                nxt = go[state].get(ch)
+                states[end] = state = self._step(state, ch) if nxt is None else nxt
+                for i, k, known in ends[state]:
+                    before = last[end - k]
+                    ok = known.get(before)
+                    if ok is None:
+                        ok = self._learn(before, i)
+                    if ok:
+                        last[end], back[end] = i, k
+                        break
+                else:  # no token of the vocabulary ends there: the character by itself
+                    last[end], back[end] = -1 - ord(ch), 1
+            out = []
+            while end:
+                out.append(last[end])
+                end -= back[end]
+            out.reverse()
+            before_s = s
+            yield out
 
     def _with_bytes(self, tokens: list[int]) -> list[int]:
         if min(tokens) >= 0:
@@ -249,23 +267,45 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without an end id."""
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= STEP_CHARS:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[list[int]]:
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         if not self.by_word or self.byte_ids is None:
-            return self._with_bytes(self._stretch(marked))
-        out: list[int] = []
-        words = self._words
-        for w in _STRETCH.findall(marked):
-            ids = words.get(w)
+            for m in marked:
+                yield self._with_bytes(next(self._stretches([m]))) if m else []
+            return
+        words = [_STRETCH.findall(m) for m in marked]
+        newer, older, known, new = self._newer, self._older, {}, []
+        for w in set().union(*words):
+            ids = newer.get(w)
             if ids is None:
-                ids = self._with_bytes(self._stretch(w))
-                if len(w) <= CACHED_LENGTH:
-                    if len(words) >= CACHE_WORDS:
-                        words.clear()
-                    words[w] = ids
-            out += ids
-        return out
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                newer[w] = ids
+            known[w] = ids
+        new.sort()
+        for w, ids in zip(new, self._stretches(new), strict=True):
+            known[w] = ids = self._with_bytes(ids)
+            if len(w) <= CACHED_LENGTH:
+                newer[w] = ids
+        if len(newer) >= CACHE_WORDS // 2:
+            self._newer, self._older = {}, newer
+        for ws in words:
+            yield list(chain.from_iterable(map(known.__getitem__, ws)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; the space that encoding puts before a text is taken off again."""
@@ -303,8 +343,8 @@ def encoded(docs: DataFrame, codec: Codec, text_col: str = "text", end_id: int =
     @F.pandas_udf("n_tokens long, ids array<int>, decoded string")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = spread.value
-        for s in batches:
-            rows = [[*own.encode(x or ""), end_id] for x in s]
+        for s in without_collector(batches):
+            rows = [[*ids, end_id] for ids in own.encode_all(x or "" for x in s)]
             yield pd.DataFrame({"n_tokens": [len(r) for r in rows], "ids": [np.array(r, np.int32) for r in rows], "decoded": [own.decode(r) for r in rows]})
 
     return docs.withColumn("pieces", coded(F.col(text_col)))
@@ -317,11 +357,12 @@ def digests(docs: DataFrame, codec: Codec, text_col: str = "text", end_id: int =
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = spread.value
-        for s in batches:
+        for s in without_collector(batches):
             out = []
-            for text in s:
-                ids = [*own.encode(text or ""), end_id]
-                out.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
+            for ids in own.encode_all(x or "" for x in s):
+                ids.append(end_id)
+                numbers = " ".join(map(own.numerals.__getitem__, ids))
+                out.append((len(ids), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     work, made = fresh("pieces"), ("n_tokens", "ids_sha256", "decoded_sha256")
