@@ -8,6 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# ---- fixed values that must equal the reference's for the same texts ----
+# First path segment with a slash after it.
+_URL_ROOT = r"^/?([^/]+)/"
+# "Country (AS123 Org)".
+_NETWORK_NUMBER = r"^([^\(]+\()AS\d+ (.+\))$"
+# How a JavaScript Date prints in a template literal in a UTC runtime.
+JS_DATE_FORMAT = "EEE MMM dd yyyy HH:mm:ss 'GMT+0000 (Coordinated Universal Time)'"
+# ---------------------------------------------------------------------------
+
+
 def col_or_lit(x) -> Column:
     if isinstance(x, Column):
         return x
@@ -18,8 +28,6 @@ def col_or_lit(x) -> Column:
 
 # ---------------------------------------------------------------- dates
 
-
-
 def epoch_to_date_text(x, millis: bool = True) -> Column:
     """Seconds or millis since the epoch -> ``yyyy-MM-dd`` in UTC (G1)."""
     c = col_or_lit(x)
@@ -36,10 +44,6 @@ def log_time_to_date(text) -> Column:
     return F.try_to_date(F.substring(col_or_lit(text), 1, 11), "dd/MMM/yyyy")
 
 
-# How a JavaScript Date prints in a template literal in a UTC runtime.
-JS_DATE_FORMAT = "EEE MMM dd yyyy HH:mm:ss 'GMT+0000 (Coordinated Universal Time)'"
-
-
 def js_date_text(millis) -> Column:
     """Epoch millis -> the text of ``new Date(millis)`` in a template literal (UTC)."""
     return F.date_format(F.timestamp_millis(col_or_lit(millis)), JS_DATE_FORMAT)
@@ -50,25 +54,16 @@ def is_monday(d) -> Column:
     return F.weekday(col_or_lit(d)) == 0
 
 
-def js_round(x) -> Column:
-    """Round half up toward +infinity as JavaScript ``Math.round`` does."""
-    return F.floor(col_or_lit(x) + F.lit(0.5))
-
-
-
-
-
-
 # ---------------------------------------------------------------- text
 
 def first_path_segment(uri) -> Column:
     """First path segment when a slash follows it, else NULL."""
-    return F.nullif(F.regexp_extract(col_or_lit(uri), r"^/?([^/]+)/", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(col_or_lit(uri), _URL_ROOT, 1), F.lit(""))
 
 
 def strip_network_number(short_description) -> Column:
     """``Country (AS123 Org)`` -> ``Country (Org)``; other texts unchanged."""
-    return F.regexp_replace(col_or_lit(short_description), r"^([^\(]+\()AS\d+ (.+\))$", "$1$2")
+    return F.regexp_replace(col_or_lit(short_description), _NETWORK_NUMBER, "$1$2")
 
 
 def safe_table_name(name) -> Column:

@@ -11,7 +11,7 @@ two accounts or two buckets stay apart, deeper folders (by year, by region)
 belong to the location above them, and no row is counted twice.
 
 A file-log location registered by several resources cannot be told apart:
-:func:`location_errors` lists such locations, and :func:`attribute` fails on
+:func:`location_errors` lists such locations, and :func:`registered` fails on
 them from within the plan. Several resources may watch one log group; each
 then gets its counts, as each asks for them.
 """
@@ -25,6 +25,7 @@ from skywatch import config
 from skywatch.operators.constraints import guarded
 
 FOLDER = "logFolder"
+_FILE_TYPES = (config.TYPE_CLOUDFRONT, config.TYPE_S3_ACCESS_LOGS)
 
 
 def clean_path(path: Column) -> Column:
@@ -57,30 +58,36 @@ def longest_prefix(rows: DataFrame, keys: list[str], path_col: str, locations: D
     return hits.groupBy(*keys).agg(F.max_by("_location", "_depth").alias("location"), *[F.any_value(c).alias(c) for c in rest])
 
 
-def _registered(resources: DataFrame, rtype: str) -> DataFrame:
-    return resources.where(F.col("type") == rtype).select(
-        resource_location().alias("location"), "accountId", "stackName", F.col("name").alias("stackResourceName"),
+def registered(resources: DataFrame) -> DataFrame:
+    """(type, location, accountId, stackName, stackResourceName, _split) of the tracked resources.
+
+    Running it fails where two resources of a file-log type register one location."""
+    owners = resources.select(
+        "type", resource_location().alias("location"), "accountId", "stackName", F.col("name").alias("stackResourceName"),
         F.coalesce(F.col("splitReportingByUrlRoot"), F.lit(False)).alias("_split"))
+    groups = F.col("type") == config.TYPE_LOG_GROUP
+    one = owners.where(F.col("type").isin(*_FILE_TYPES)).groupBy("type", "location") \
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("accountId", "stackName", "stackResourceName", "_split")).alias("r"))
+    said = F.format_string("%d resources keep their logs at '%s'", F.col("n"), F.col("location"))
+    one = one.select("type", guarded(F.col("location"), F.col("n") == 1, said).alias("location"), "r.*")
+    return one.unionByName(owners.where(groups))
 
 
 def location_errors(resources: DataFrame) -> DataFrame:
     """File-log locations that more than one resource of a type registers: (type, location, n_resources, error)."""
-    files = resources.where(F.col("type").isin(config.TYPE_CLOUDFRONT, config.TYPE_S3_ACCESS_LOGS))
+    files = resources.where(F.col("type").isin(*_FILE_TYPES))
     counts = files.select("type", resource_location().alias("location")).groupBy("type", "location").agg(F.count(F.lit(1)).alias("n_resources"))
     return counts.where("n_resources > 1").withColumn("error", F.format_string("%d resources keep their logs at '%s'", "n_resources", "location"))
 
 
-def attribute(agg: DataFrame, resources: DataFrame, rtype: str) -> DataFrame:
-    """Rows of an aggregated family (one per :data:`FOLDER` and further columns, with ``count``) by the resource they belong to.
+def attribute(agg: DataFrame, owners: DataFrame, rtype: str) -> DataFrame:
+    """Rows of an aggregated family (one per :data:`FOLDER` and further columns, with ``count``) by the resource they
+    belong to. ``owners``: :func:`registered`, written once by the caller, since each family reads it.
 
     Rows of folders under no registered location are dropped (nobody asked for them); rows of one resource in several
     folders are summed. Only aggregated rows meet the resource table."""
     keys = [c for c in agg.columns if c != "count"]
     dims = [c for c in keys if c != FOLDER]
-    owners = _registered(resources, rtype)
-    if rtype != config.TYPE_LOG_GROUP:
-        one = owners.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("accountId", "stackName", "stackResourceName", "_split")).alias("r"))
-        several = F.format_string("%d resources keep their logs at '%s'", F.col("n"), F.col("location"))
-        owners = one.select(guarded(F.col("location"), F.col("n") == 1, several).alias("location"), "r.*")
-    found = longest_prefix(agg.where(F.col(FOLDER).isNotNull()), keys, FOLDER, owners).drop(FOLDER)
-    return found.join(owners, on="location").groupBy("accountId", "stackName", "stackResourceName", "_split", *dims).agg(F.sum("count").alias("count"))
+    own = owners.where(F.col("type") == rtype).drop("type")
+    found = longest_prefix(agg.where(F.col(FOLDER).isNotNull()), keys, FOLDER, own).drop(FOLDER)
+    return found.join(own, on="location").groupBy("accountId", "stackName", "stackResourceName", "_split", *dims).agg(F.sum("count").alias("count"))

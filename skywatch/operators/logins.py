@@ -13,8 +13,10 @@ from skywatch import config
 from skywatch.functions.scalars import js_text
 from skywatch.operators.allowlist import outside_ranges
 
+# ---- fixed values that must equal the reference's messages ----
 ALERT_INTRO = "The following cloudtrail records originated from IPs that weren't in expected ranges:\n\n"
 ALERT_SUBJECT = "AWS account login alert"
+# ---------------------------------------------------------------------------
 
 
 def signin_events(records: DataFrame) -> DataFrame:

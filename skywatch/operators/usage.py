@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from skywatch import config
 from skywatch.functions.scalars import first_path_segment, log_time_to_date
-from skywatch.operators.attribution import FOLDER, attribute
+from skywatch.operators.attribution import FOLDER, attribute, registered
 from skywatch.operators.constraints import guarded, matches
+from skywatch.session import materialize
 
 
 def _d(x) -> Column:
@@ -136,31 +137,34 @@ def usage_rows(resources: DataFrame, start, end,
     log frames carry the folder of each row (``logFolder``); rows belong to the
     resource with the longest registered location around it (C9). With
     ``log_groups`` the API family is limited to groups passing B8, and a watched
-    group that is missing or not the only one of its name fails the run.
+    group that is missing or not the only one of its name fails the run. The
+    tracked resources are checked and written at once, the logs read when the
+    result is.
     """
+    if log_groups is not None:
+        state = log_group_state(resources, log_groups, api_end if api_end is not None else end, now if now is not None else end)
+        open_groups = state.where(guarded(F.col("in_range"), F.col("error").isNull(), F.col("error"))).select("accountId", "source")
+        watched = F.col("type") == config.TYPE_LOG_GROUP
+        resources = resources.where(~watched).unionByName(resources.where(watched).join(open_groups, on=["accountId", "source"], how="left_semi"))
+    owners = materialize(registered(resources), "tracked")  # one row per resource, read by each family
     parts = []
     # NULL result cells read as '' (as the reference reads them); one SQL
     # projection per family.
     if cdn is not None:
-        a = attribute(cdn_usage(cdn, start, end, by_folder=True), resources, config.TYPE_CLOUDFRONT)
+        a = attribute(cdn_usage(cdn, start, end, by_folder=True), owners, config.TYPE_CLOUDFRONT)
         parts.append(a.selectExpr(
             "accountId", "stackName", "stackResourceName", "date_format(date, 'yyyy-MM-dd') AS date", "count",
             "concat_ws(' ', coalesce(method, ''), coalesce(CAST(status AS STRING), '')) AS event",
             "request_ip AS sourceIp", "geoBlocked",
             "CASE WHEN _split THEN coalesce(uriRoot, '') END AS uriRoot"))
     if objlog is not None:
-        a = attribute(object_usage(objlog, start, end, by_folder=True), resources, config.TYPE_S3_ACCESS_LOGS)
+        a = attribute(object_usage(objlog, start, end, by_folder=True), owners, config.TYPE_S3_ACCESS_LOGS)
         parts.append(a.selectExpr(
             "accountId", "stackName", "stackResourceName", "date_format(date, 'yyyy-MM-dd') AS date", "count",
             "concat_ws(' ', coalesce(method, ''), coalesce(status, '')) AS event",
             "request_ip AS sourceIp", "CAST(NULL AS STRING) AS geoBlocked", "CAST(NULL AS STRING) AS uriRoot"))
     if api is not None:
-        res = resources
-        if log_groups is not None:
-            state = log_group_state(resources, log_groups, api_end if api_end is not None else end, now if now is not None else end)
-            open_groups = state.where(guarded(F.col("in_range"), F.col("error").isNull(), F.col("error"))).select("accountId", "source")
-            res = res.join(open_groups, on=["accountId", "source"], how="left_semi")
-        a = attribute(api_usage(api, start, api_end if api_end is not None else end, by_folder=True), res, config.TYPE_LOG_GROUP)
+        a = attribute(api_usage(api, start, api_end if api_end is not None else end, by_folder=True), owners, config.TYPE_LOG_GROUP)
         parts.append(a.selectExpr(
             "accountId", "stackName", "stackResourceName", "date", "count",
             "concat_ws(' ', coalesce(method, ''), coalesce(path, '')) AS event",

@@ -3,7 +3,8 @@
 Each job reads its inputs from storage with the library readers, runs the
 same operators the registered queries use, and writes results to sinks.
 Nothing is collected to the driver except a few counts. A job that fails
-leaves one error notification next to its own (H8) and raises the error again.
+leaves one error notification next to its own (H8) and raises the error again;
+intermediate tables are removed when a job ends.
 
 * weekly usage report  -> :func:`usage_report_job`
 * credential check     -> :func:`credential_check_job`
@@ -27,7 +28,7 @@ from skywatch.config import Params
 from skywatch.operators import devices, drift, rules, usage
 from skywatch.plans import accounts
 from skywatch.plans import usage_report as ur
-from skywatch.session import materialize, prepare_session
+from skywatch.session import materialize, prepare_session, scratch_removed
 from skywatch.sources import logs, reports, sinks
 
 
@@ -42,7 +43,7 @@ def notices(workload: str, sink: str = "out_path") -> Callable:
             given.apply_defaults()
             a = given.arguments
             prepare_session(a["spark"])
-            with sinks.notify_on_failure(a["spark"], f"{a[sink].rstrip('/')}/notifications", workload, a["invocation_id"]):
+            with sinks.notify_on_failure(a["spark"], f"{a[sink].rstrip('/')}/notifications", workload, a["invocation_id"]), scratch_removed(a["spark"]):
                 return job(*args, **kwargs)
         return run
     return around

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -115,10 +116,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_scratch: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession):
+    """Intermediate tables written within are removed at its end. For jobs that write their results; frames that read
+    such a table must not leave the block."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        from skywatch.sources import files
+        for path in _scratch.pop():
+            files.remove(spark, path)
 
 
 def materialize(df, name: str):

@@ -3,9 +3,11 @@
 import datetime as dt
 import gzip
 import json
+import pathlib
 
 from skywatch.config import Params
 from skywatch.plans import jobs
+from skywatch.session import checkpoint_dir
 from tests.test_readers import CDN_HEADER, cdn_line
 
 
@@ -28,9 +30,11 @@ def test_usage_report_job(spark, tmp_path):
                           ).write.parquet(str(tmp_path / "ipinfo"))
     params = Params(now=dt.datetime(2024, 1, 17, 9), days=7, home_countries=["HO"], accounts=["111"])
     out = str(tmp_path / "out")
+    scratch = len(list(pathlib.Path(checkpoint_dir(spark).removeprefix("file:")).iterdir()))
     res = jobs.usage_report_job(spark, params, str(stacks), str(tmp_path / "ipinfo"), out, "inv-9",
                                 cdn_path=str(tmp_path / "cdn"))
     assert res == {"usage_rows": 2}
+    assert len(list(pathlib.Path(checkpoint_dir(spark).removeprefix("file:")).iterdir())) == scratch  # nothing is left behind
     text = "".join(open(f).read() for f in sorted((tmp_path / "out" / "report").glob("part-*"))).splitlines()
     assert text == ["Usage info for the past 7 days:", "1.1.1.1: Home > R > C (AS1 Net) (low risk)",
                     "111 / web / site / app", "low risk: Home (Net): 2",

@@ -59,13 +59,6 @@ def test_age_rules(spark):
                    ("A", "u90", "password_last_changed", exp, "90")]
 
 
-def test_js_rounding_of_negative_halves(spark):
-    from pyspark.sql import functions as F
-    from skywatch.functions.scalars import js_round
-    df = spark.createDataFrame([(-2.5,), (2.5,), (-0.4,)], "x double")
-    assert [r[0] for r in df.select(js_round(F.col("x")).cast("int")).collect()] == [-2, 3, 0]
-
-
 def test_console_user_mfa(spark):
     got = issues(spark, [{"accountId": "A", "user": "<root_account>", "arn": "root", "mfa_active": "true",
                           "access_key_1_active": "false", "access_key_2_active": "false"},
