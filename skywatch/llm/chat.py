@@ -30,7 +30,8 @@ conversation, plus one per message without identifier:
 
 Cases: null conv_id is a conversation of its own; null payloads are null
 arguments (not JSON) or an absent result text; an unknown tool is an error;
-empty tables give an empty result; other columns are ignored.
+empty tables give an empty result; texts of any
+length stay in the JVM; other columns are ignored.
 """
 
 from __future__ import annotations

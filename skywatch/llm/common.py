@@ -17,7 +17,7 @@ from skywatch.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACES", "SHINGLE_WORDS", "SIMILARITY", "table", "n_words", "fresh", "materialize", "release", "without_collector"]
+__all__ = ["WORD", "SPACES", "SHINGLE_WORDS", "SIMILARITY", "table", "n_words", "fresh", "materialize", "release", "small_batches", "without_collector"]
 
 # Word shingles and near-duplicate similarity of the package, unless a caller says otherwise.
 SHINGLE_WORDS = 5
@@ -39,6 +39,14 @@ def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows go to Python by at most so many at a time from now on: ten thousand whole texts a batch, Spark's setting, would
+    be held by the JVM's buffers and by the worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def release() -> None:
     """Gives freed memory back to the system. Python workers live on between tasks, and what an allocator
     keeps of a past peak counts against the executor's memory in every later stage."""

@@ -34,7 +34,7 @@ leaked; a null doc_id or item_id is kept as null; rows that repeat id and text
 give one result row, rows that repeat an id with other texts are told apart;
 of equally similar windows the first is reported; empty tables give an empty
 result (:func:`clean`: the documents unchanged); other columns are ignored
-(kept by :func:`clean`).
+(kept by :func:`clean`); texts of any length are read whole, in the JVM.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ set_id (smallest id with the same set).
 Cases: a null text has no n-grams; a null id sorts last, and is null as
 class_id where the whole group has none (then kept is true); rows that repeat
 an id count as documents, and stay or go together if their texts are alike;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; a long text is handled whole by one
+task, at some 40 times its size; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Cases: a null source is a source of its own and comes last; a null or empty
 text has size 0, counts for nothing and is taken 0 times (it emits no copy);
 a source without words has target 0; repeated rows count as documents of
 their own (equal rows may get different numbers of copies, as a set the
-result is always the same); null ids are allowed; other columns are kept by
+result is always the same); null ids are allowed; of a text only
+its words are counted, whatever its length; other columns are kept by
 :func:`mix` whatever their names; an empty table gives an empty result.
 """
 

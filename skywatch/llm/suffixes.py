@@ -32,7 +32,8 @@ id) but both repeat earlier ones; repeated rows are reported once each;
 an empty table gives an empty result; other columns are kept by
 :func:`without_repeats`, those named like its results are replaced. The
 remaining bytes may begin or end within a character: as text, such bytes are
-left out.
+left out. A long text is handled whole by one task, at up to a hundred times
+its size.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ from skywatch.llm import packs as P
 from skywatch.llm.common import materialize, table
 
 LENGTH = 50
+RANGE_BYTES = 12 << 20  # bytes of text whose anchors meet in one range: some 60 bytes are held for an anchor
 NAME = 24
 MANY = np.uint64(2)
 PER_WINDOW = LENGTH - NAME + 1  # names in a window
@@ -261,7 +263,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, with ``with_text`` also ``kept`` (the
     remaining bytes), and ``rest`` (JSON of the columns ``keep``)."""
     packs = P.pack(docs, id_col, text_col, pack_bytes, keep, "suffix-packs")
-    n_ranges = P.ranges(packs)
+    n_ranges = P.ranges(packs, RANGE_BYTES)
     first = materialize(P.answer(P.ask(packs, _ask_stretches(n_ranges)), _compare), "suffix-anchors")
     second = materialize(P.answer(P.settle(packs, first, _ask_windows(n_ranges), P.ASK), _compare), "suffix-windows")
     # negative ranges mark the second round

@@ -22,8 +22,9 @@ Cases: a null html is an empty payload; a null url is written as
 percent-encoded in the header (the index keeps the encoded form); rows with
 equal id and payload are all responses if that id is the smallest (they are
 the same capture); a null id never becomes the response while another row has
-an id, and refers to nothing if none has; other columns are ignored; an empty
-table gives no archives and an empty index.
+an id, and refers to nothing if none has; other columns are ignored; a record
+is held whole by one task, an archive of at most RECORDS_PER_ARCHIVE records,
+too; an empty table gives no archives and an empty index.
 """
 
 from __future__ import annotations
