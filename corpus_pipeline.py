@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skywatch.llm import decontaminate, jaccard, language, mixing, suffixes
-from skywatch.llm.common import fresh, materialize, table
+from skywatch.llm.common import fresh, materialize, small_batches, table
 
 # A declared language is taken for wrong only if the prediction is this sure: of the held-out rows, at most one
 # in a thousand has a prediction this sure that is not its label (figures in the README).
@@ -28,6 +28,7 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without any letter and those whose declared language the text surely contradicts;
     a null declared language contradicts nothing."""
+    small_batches(spark)
     model = language.fit(language.learnable(docs))
     if not model.languages:  # nothing learned: nothing to reject but texts without a letter
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -40,6 +41,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by similarity 0.8 or more one row stays: that of the smallest id, null ids last.
     Decided row by row, whatever ids repeat or are null; a row without words is linked with nothing and stays."""
+    small_batches(spark)
     row, gone, own, least = fresh("row"), fresh("gone"), fresh("own"), fresh("least")
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     linked = jaccard.near_duplicates(rows.select(row, "text"), row).where("n_links > 0").select(F.col("id").alias(gone), "class_id")
@@ -56,6 +58,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the bytes that repeat an earlier document; a document of which nothing but white space is left goes.
     n_chars is counted again where text was removed."""
+    small_batches(spark)
     others, null = [c for c in docs.columns if c != "text"], fresh("null")
     rows = docs.withColumn(null, F.col("text").isNull())
     out = suffixes.without_repeats(rows, keep=[*others, null])
