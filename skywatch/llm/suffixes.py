@@ -50,7 +50,7 @@ from skywatch.llm import packs as P
 from skywatch.llm.common import materialize, table
 
 LENGTH = 50
-RANGE_BYTES = 12 << 20  # bytes of text whose anchors meet in one range: some 60 bytes are held for an anchor
+RANGE_BYTES = 16 << 20  # bytes of text whose anchors meet in one range: some 60 bytes are held for an anchor
 NAME = 24
 MANY = np.uint64(2)
 PER_WINDOW = LENGTH - NAME + 1  # names in a window
@@ -74,7 +74,7 @@ class Stretches:
 
     def __init__(self, pack: P.Pack) -> None:
         lo, hi, doc, anchor, pair = [], [], [], [], []
-        for first, last in pack.chunks(1 << 18):
+        for first, last in pack.chunks(1 << 17):
             base, end = int(pack.starts[first]), int(pack.ends[last - 1])
             if end - base < LENGTH:
                 continue
@@ -259,7 +259,7 @@ def _repeated_bytes(pack: P.Pack, first: dict[int, bytes], second: dict[int, byt
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
-                    with_text: bool = True, pack_bytes: int = 4 << 20) -> DataFrame:
+                    with_text: bool = True, pack_bytes: int = 2 << 20) -> DataFrame:
     """Per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, with ``with_text`` also ``kept`` (the
     remaining bytes), and ``rest`` (JSON of the columns ``keep``)."""
     packs = P.pack(docs, id_col, text_col, pack_bytes, keep, "suffix-packs")
