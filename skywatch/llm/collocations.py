@@ -181,7 +181,7 @@ class HatTrie:
             for child in node.values():
                 yield from self._containers(child)
 
-    def spill(self, words: list[bytes], keep: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    def spill(self, words: list[bytes], keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Sorted runs of whole subtrees, the largest first, until at most ``keep`` entries are left."""
         if not self.root:
             return
@@ -203,7 +203,7 @@ class HatTrie:
         if run:
             yield self._run(run, rank, texts, pairs)
 
-    def _run(self, containers: list[Counter], rank: np.ndarray, texts: np.ndarray, pairs: np.ndarray) -> tuple[list[bytes], list[int]]:
+    def _run(self, containers: list[Counter], rank: np.ndarray, texts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = sum(map(len, containers))
         keys = np.fromiter(chain.from_iterable(containers), np.int64, n)
         counts = np.fromiter(chain.from_iterable(c.values() for c in containers), np.int64, n)
@@ -213,7 +213,9 @@ class HatTrie:
             keys = keys >> _BITS
         parts[:0] = [pairs[keys] >> _BITS, pairs[keys] & low] if self.length == 4 else [keys]
         order = np.lexsort([rank[p] for p in reversed(parts)])
-        return list(map(b" ".join, zip(*[texts[p[order]] for p in parts], strict=True))), counts[order].tolist()
+        phrases = np.empty(n, object)
+        phrases[:] = list(map(b" ".join, zip(*[texts[p[order]] for p in parts], strict=True)))
+        return phrases, counts[order]
 
 
 class _Numbers(dict):
@@ -247,8 +249,11 @@ def _word_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def out(lang: str) -> pd.DataFrame:
         count = held.pop(lang)
         count.pop(_BREAK, None)
-        run = sorted(count.items())
-        return pd.DataFrame({"lang": lang, "phrase": [w for w, _ in run] + [None], "n": [n for _, n in run] + [sum(count.values())]})
+        words = sorted(count)
+        phrases = np.empty(len(words) + 1, object)
+        phrases[:-1] = words  # the last, without a phrase, holds the sum
+        counts = np.fromiter(chain(map(count.__getitem__, words), [sum(count.values())]), np.int64, len(phrases))
+        return pd.DataFrame({"lang": lang, "phrase": phrases, "n": counts})
 
     for pdf in without_collector(batches):
         for lang, texts in _by_lang(pdf):
