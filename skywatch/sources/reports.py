@@ -40,16 +40,20 @@ def read_credential_report(spark: SparkSession, path: str | list[str]) -> DataFr
     columns, their number and their order; of equal names the last one counts.
     No type inference: every cell stays text; columns a report lacks come back
     NULL, and so do empty unquoted cells. A report is one account's users
-    (kilobytes), so a file is read whole by one task.
+    (kilobytes), so a file is read whole by one task; its records go on one by one.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     folder = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
     text = F.regexp_replace("value", "^\uFEFF", "")
-    rows = (raw.select(F.regexp_replace(folder, "^[^=/]*=", "").alias("accountId"), csv_records(text).alias("l")).where(F.size("l") > 1)
-            .select("accountId", F.transform(csv_cells(F.get("l", F.lit(0))), lambda x: F.trim(x)).alias("h"), F.explode(F.slice("l", 2, 1 << 30)).alias("line"))
-            .select("accountId", "h", csv_cells(F.col("line")).alias("v")))
-    last = lambda c: F.size("h") - F.nullif(F.array_position(F.reverse("h"), c), F.lit(0))  # noqa: E731 - NULL without such a column
-    cols = [F.nullif(F.get("v", last(c).cast("int")), F.lit("")).alias(c) for c in schemas.CREDENTIAL_COLUMNS]
+    files = raw.select(F.regexp_replace(folder, "^[^=/]*=", "").alias("accountId"), csv_records(text).alias("l"))
+    # the header is turned into the columns' places before the records are dealt out, so that a record carries those alone
+    # and not its file's records
+    head = files.select("accountId", F.slice("l", 2, 1 << 30).alias("l"), F.transform(csv_cells(F.get("l", F.lit(0))), lambda x: F.trim(x)).alias("h"))
+    last = lambda c: (F.size("h") - F.nullif(F.array_position(F.reverse("h"), c), F.lit(0))).cast("int")  # noqa: E731 - NULL without such a column
+    placed = head.select("accountId", F.struct(*[last(c).alias(c) for c in schemas.CREDENTIAL_COLUMNS]).alias("at"), "l")
+    lines = placed.select("accountId", "at", F.explode_outer("l").alias("line")).where("line IS NOT NULL")  # outer: no filter that splits the text once more
+    rows = lines.select("accountId", "at", csv_cells(F.col("line")).alias("v"))
+    cols = [F.nullif(F.get("v", F.col(f"at.{c}")), F.lit("")).alias(c) for c in schemas.CREDENTIAL_COLUMNS]
     return rows.select(*cols, "accountId")
 
 

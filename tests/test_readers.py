@@ -253,3 +253,17 @@ def test_landed_folders_of_other_resources_are_pruned(spark, tmp_path):
     df = logs.read_tracked(spark, str(tmp_path / "landed"), res, "CloudFront")
     assert sorted(r.request_ip for r in df.collect()) == ["10.0.0.1", "10.0.1.1"]
     assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_report_record_carries_no_other_record(spark, tmp_path):
+    """Where records are dealt out, a row holds the account and the columns' places, not the file's header or records."""
+    import re
+    d = tmp_path / "r" / "7"
+    d.mkdir(parents=True)
+    (d / "r.csv").write_text("arn,x,user\na1,1,u1\na2,2,u2\n")
+    (tmp_path / "r" / "8").mkdir()
+    (tmp_path / "r" / "8" / "r.csv").write_text("arn,x,user\n")
+    df = reports.read_credential_report(spark, str(tmp_path / "r"))
+    carried = re.search(r"Generate explode\w*\(\S+, \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert sorted(re.sub(r"#\d+", "", c) for c in carried.split(", ")) == ["accountId", "at"]
+    assert sorted((r.accountId, r.user, r.arn) for r in df.collect()) == [("7", "u1", "a1"), ("7", "u2", "a2")]
