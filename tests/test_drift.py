@@ -77,3 +77,22 @@ def test_drift_rules_match_model(spark, stacks):
     want = {f"s{i}": "IN_SYNC" if all(_model_acceptable(t, ds) for t, ds in drifts) else "DRIFTED"
             for i, drifts in enumerate(stacks)}
     assert got == want
+
+
+def test_drift_files_are_compressed_and_hold_every_drift(spark, tmp_path):
+    """Resource drifts go out as gzip JSON, joined with their stack while narrow; the rows are those of the tables."""
+    from skywatch.plans import shims
+    from skywatch.sources import reports
+    spark.createDataFrame([(k, "1-URGENT" if k % 2 else None, "FO"[k % 2]) for k in range(6)] + [(5, "2-HIGH", "F")],
+                          "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, n, None if k in (3, None) else 97 * n + k, "AR"[n % 2], "F") for k in [*range(8), None] for n in (1, 4, 7)],
+                          "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    base = shims.write_drift_results(spark, str(tmp_path), str(tmp_path / "drift"))
+    data = [p.name for p in (tmp_path / "drift").rglob("part-*")]
+    assert data and all(n.endswith(".json.gz") for n in data)
+    stacks, drifts = reports.read_drift_results(spark, f"{base}/stacks", f"{base}/drifts")
+    assert stacks.count() == 7
+    owner = shims.drift_stacks(spark, str(tmp_path)).select("stackKey", "accountId")
+    want = shims.resource_drifts(spark, str(tmp_path)).join(owner, "stackKey").selectExpr("accountId", "concat('stack', stackKey) AS StackName", *drifts.columns[2:])
+    flat = lambda df: sorted(df.selectExpr("to_json(struct(*)) AS j").toPandas()["j"])
+    assert drifts.columns[:2] == ["accountId", "StackName"] and flat(drifts) == flat(want) and len(flat(drifts)) == 21
