@@ -132,3 +132,22 @@ def test_failing_stream_leaves_one_notice(spark, tmp_path):
         spark.streams.removeListener(listener)
     got = spark.read.json(str(tmp_path / "notifications")).collect()
     assert len(got) == 1 and got[0].subject == "AWS account uptime check alert" and "broken feed" in got[0].message
+
+
+def test_device_stream_batches_do_not_follow_the_files(spark, tmp_path, monkeypatch):
+    """However many files the events come in, four batches take them, and each writes a file per bucket."""
+    import datetime as dt
+
+    from skywatch.operators.devices import latest_state
+    from skywatch.plans import shims
+    from skywatch.sources import files
+    from skywatch.streaming import devices as sd
+    rows = [(k, k % 7 if k % 5 else None, ["click", "error"][k % 2], dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k // 2)) for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(sd, "scratch_path", lambda spark, name: str(tmp_path / "run"))
+    flat = lambda df: sorted(map(str, df.select("thing", "connected", "last_ts", "n_events").collect()))
+    assert flat(sd.run_device_state_stream(spark, str(tmp_path))) == flat(latest_state(shims.device_events(spark, str(tmp_path)), tiebreak="event_id"))
+    done = files.names(spark, str(tmp_path / "run" / "out" / "complete"))
+    assert len(list((tmp_path / "run" / "in").rglob("*.parquet"))) > 4
+    assert [n for n in done if n.startswith("delta")] == [f"delta-{k}" for k in range(4)] and "base-2" in done
+    assert all(len(list(b.glob("*.parquet"))) == 1 for b in (tmp_path / "run" / "out" / "delta").rglob("bucket=*"))
