@@ -267,3 +267,75 @@ def test_a_report_record_carries_no_other_record(spark, tmp_path):
     carried = re.search(r"Generate explode\w*\(\S+, \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString()).group(1)
     assert sorted(re.sub(r"#\d+", "", c) for c in carried.split(", ")) == ["accountId", "at"]
     assert sorted((r.accountId, r.user, r.arn) for r in df.collect()) == [("7", "u1", "a1"), ("7", "u2", "a2")]
+
+
+def test_names_in_a_large_or_empty_folder(spark, tmp_path):
+    from skywatch.sources import files
+    want = sorted([f"logFolder=b%2Fs, {k} ü" for k in range(40)] + ["a\nb"])
+    for n in want:
+        (tmp_path / "f" / n).mkdir(parents=True)
+    (tmp_path / "none").mkdir()
+    calls, send = [], spark.sparkContext._gateway._gateway_client.send_command
+    spark.sparkContext._gateway._gateway_client.send_command = lambda *a, **k: calls.append(a) or send(*a, **k)
+    try:
+        assert files.names(spark, str(tmp_path / "f")) == want
+    finally:
+        del spark.sparkContext._gateway._gateway_client.send_command
+    assert len([c for c in calls if c[0][0] == "c"]) < 30  # method calls: not one for each name
+    assert files.names(spark, str(tmp_path / "none")) == [] == files.names(spark, str(tmp_path / "missing"))
+
+
+def _events(spark, path, n=60):
+    import datetime as dt
+    rows = [(k, k % 50 * 10, ["click", "signup"][k % 2], dt.datetime(2024, 1, 12) + dt.timedelta(minutes=k)) for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def _tasks(spark, run):
+    """Tasks of each stage of the jobs that ``run`` starts."""
+    import uuid
+    group, sc = uuid.uuid4().hex, spark.sparkContext
+    sc.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    return [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+
+
+def test_folders_are_listed_by_a_few_tasks(spark, tmp_path):
+    from skywatch.session import LISTING_TASKS
+    base, limit = tmp_path / "logs", 2 * max(spark.sparkContext.defaultParallelism, 8)
+    for k in range(limit + 40):
+        (base / "b" / "s" / f"r{k}").mkdir(parents=True)
+        (base / "b" / "s" / f"r{k}" / "f.json").write_text('{"timestamp": "2024-01-12T10:00:00Z", "message": "1.2.3.4,GET /x,r1"}\n')
+        (tmp_path / "landed" / f"logFolder=r{k}").mkdir(parents=True)
+    spark.createDataFrame([(1,)], "x int").coalesce(1).write.mode("append").parquet(str(tmp_path / "landed" / "logFolder=r1"))
+    before = spark.conf.get(LISTING_TASKS)
+    for read, path in ((logs.read_cdn_logs, base), (logs.read_object_access_logs, base), (logs.read_api_logs, base), (logs.read_landed, tmp_path / "landed")):
+        found = _tasks(spark, lambda: read(spark, str(path)))
+        assert found and max(found) <= limit
+    assert spark.conf.get(LISTING_TASKS) == before
+    assert logs.read_api_logs(spark, str(base)).count() == limit + 40
+
+
+def test_many_small_log_files_are_written_by_all_tasks(spark, tmp_path):
+    """Files, not bytes, are the work: a coalesced shuffle would leave it to one task."""
+    from skywatch.plans import shims
+    d = _events(spark, tmp_path)
+    for write, kind in ((shims.write_cdn_log_files, "cdn"), (shims.write_object_log_files, "object"), (shims.write_api_log_files, "api")):
+        found = list((tmp_path / kind).rglob("part-*")) if write(spark, d, str(tmp_path / kind)) else []
+        assert len({p.name.split("-")[1] for p in found}) > 1
+        assert len(found) == len({p.parent for p in found})  # still a file per folder
+
+
+def test_landing_again_replaces_the_folders_that_come(spark, tmp_path):
+    out = str(tmp_path / "landed")
+    land = lambda *rows: logs.land_log_family(spark.createDataFrame(rows, "logFolder string, request_ip string"), out, date_col=None)
+    seen = lambda: sorted((r.logFolder, r.request_ip) for r in logs.read_landed(spark, out).collect())
+    land(("b/a", "1"), ("b/c", "2"))
+    assert seen() == [("b/a", "1"), ("b/c", "2")]
+    land(("b/c", "3"), ("b/d", "4"))
+    assert seen() == [("b/a", "1"), ("b/c", "3"), ("b/d", "4")]
