@@ -9,10 +9,8 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skywatch.llm import decontaminate, jaccard, language, mixing, suffixes
 from skywatch.llm.common import fresh, materialize, small_batches, table
@@ -61,15 +59,9 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     small_batches(spark)
     others, null = [c for c in docs.columns if c != "text"], fresh("null")
     rows = docs.withColumn(null, F.col("text").isNull())
-    out = suffixes.without_repeats(rows, keep=[*others, null])
-
-    @F.pandas_udf(T.StringType())
-    def as_text(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
+    out = suffixes.without_repeats(rows, keep=[*others, null], whole_characters=True)
     changed = F.col("n_removed") > 0
-    out = out.select(F.from_json("rest", rows.select(*others, null).schema).alias("row"), changed.alias("changed"),
-                     F.when(changed, as_text("kept")).otherwise(F.col("kept").cast("string")).alias("text"))
+    out = out.select(F.from_json("rest", rows.select(*others, null).schema).alias("row"), changed.alias("changed"), F.col("kept").cast("string").alias("text"))
     out = out.withColumn("text", F.when(~F.col(f"row.{null}"), F.col("text")))
     out = out.where(~F.col("changed") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     made = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text")).otherwise(F.col("row.n_chars")).cast("long")}

@@ -39,12 +39,13 @@ def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:12]}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows go to Python by at most so many at a time from now on: ten thousand whole texts a batch, Spark's setting, would
-    be held by the JVM's buffers and by the worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Rows go to Python by at most so many and about so many bytes at a time from now on: ten thousand whole texts a batch,
+    or a thousand packs, would by Spark's settings be held by the JVM's buffers and by the worker at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a size with a unit was chosen by the caller
+            spark.conf.set(key, most)
 
 
 def release() -> None:

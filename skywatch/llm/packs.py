@@ -78,9 +78,10 @@ def _body(ids: list[int], texts: list[bytes], rests: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = 4 << 20, keep: list[str] | None = None, name: str = "packs") -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = 4 << 20, keep: list[str] | None = None, name: str = "packs", gather: bool = False) -> DataFrame:
     """(pack, n_docs, n_bytes, body), bucketed by pack; one pack holds ``pack_bytes`` of text, or one longer text.
-    A null text is empty. ``keep``: columns that :meth:`Pack.rest` gives back."""
+    A null text is empty. ``keep``: columns that :meth:`Pack.rest` gives back. ``gather``: one file a bucket, for a
+    shuffle of the packs; small packs are almost a file each otherwise."""
     spark = docs.sparkSession
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +113,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = 4 << 20,
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = max(default_parallelism(spark), min(1 << 16, math.ceil(size / BUCKET_BYTES)))
     table, path = f"packs_{uuid.uuid4().hex}", scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    rows.mapInPandas(packed, PACK).write.bucketBy(n, "pack").option("path", path).option("compression", "none").format("parquet").saveAsTable(table)
+    made = rows.mapInPandas(packed, PACK)
+    made = made.repartition(n, "pack") if gather else made
+    made.write.bucketBy(n, "pack").option("path", path).option("compression", "none").format("parquet").saveAsTable(table)
     packs = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the files stay: the table is external and already resolved
     return packs
@@ -153,13 +156,23 @@ def ask(packs: DataFrame, fn: Callable[[int, Pack], Iterator[pd.DataFrame]]) ->
     return packs.select("pack", "body").mapInPandas(asked, ASK)
 
 
-def answer(asked: DataFrame, fn: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Rows of ANSWER: for each range, ``fn`` gets all packs' entries and returns as many answers."""
+def answer(asked: DataFrame, fn: Callable[[Iterator[bytes]], list[bytes]]) -> DataFrame:
+    """Rows of ANSWER: for each range, ``fn`` gets all packs' entries, a batch in memory at a time, and returns as many answers."""
 
-    def answered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fn([bytes(v) for v in pdf["v"]])
+    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packs, parts = [], []
+
+        def entries() -> Iterator[bytes]:
+            for pdf in batches:
+                packs.append(pdf["pack"].to_numpy())
+                parts.append(pdf["part"].to_numpy())
+                yield from map(bytes, pdf["v"])
+
+        got = fn(entries())
+        release()
+        yield pd.DataFrame({"pack": np.concatenate(packs), "part": np.concatenate(parts), "v": got})
+        del got
         release()
-        return pd.DataFrame({"pack": pdf["pack"], "part": pdf["part"], "v": got})
 
     return asked.groupBy("part").applyInPandas(answered, ANSWER)
 

@@ -47,13 +47,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch.llm import packs as P
-from skywatch.llm.common import materialize, table
+from skywatch.llm.common import materialize, release, table
 
 LENGTH = 50
 RANGE_BYTES = 16 << 20  # bytes of text whose anchors meet in one range: some 60 bytes are held for an anchor
 NAME = 24
 MANY = np.uint64(2)
 PER_WINDOW = LENGTH - NAME + 1  # names in a window
+SLICE = 1 << 18  # entries of a range that are sorted at once: some hundred bytes are held for each
 
 _M = 0x9E3779B97F4A7C15 | 1
 _T = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,20 +149,38 @@ def _read(v: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at += 8 * m
     keys = np.frombuffer(v, "<u4", n, at)
     at += 4 * n
-    seconds = np.zeros((n, 8), np.uint8)
-    seconds[:, :6] = np.frombuffer(v, np.uint8, 6 * n, at).reshape(n, 6)
+    seconds = np.frombuffer(v, np.uint8, 6 * n, at).reshape(n, 6)
     at += 6 * n
     ids = known[np.frombuffer(v, "<u2" if m <= 0xFFFF else "<u4", n, at)]
-    return keys, seconds.view("<u8")[:, 0], ids
+    return keys.copy(), seconds.copy(), ids  # nothing that holds v
 
 
-def _compare(parts: list[bytes]) -> list[bytes]:
+def _compare(parts: Iterator[bytes]) -> list[bytes]:
     """Two bits per entry: another document with a smaller id has the same key and second name; another document
     has the key but they are not all of one second name (even names mark entries that are several by themselves,
-    MANY those of more than one id)."""
+    MANY those of more than one id). All entries are held at their width, some SLICE at a time are sorted."""
     read = [_read(v) for v in parts]
     sizes = [len(k) for k, _, _ in read]
-    key, second, ids = (np.concatenate([r[i] for r in read]) for i in range(3))
+    keys, seconds, ids = zip(*read, strict=True)
+    del read
+    keys = np.concatenate(keys)
+    seconds = np.concatenate(seconds)
+    ids = np.concatenate(ids)
+    release()
+    bits = np.zeros((len(keys), 2), bool)
+    slices = -(-len(keys) // SLICE)
+    for i in range(slices):  # equal keys are in one slice
+        at = np.flatnonzero(keys % np.uint32(slices) == i)
+        if len(at):
+            second = np.zeros((len(at), 8), np.uint8)
+            second[:, :6] = seconds[at]
+            bits[at] = _judge(keys[at], second.view("<u8")[:, 0], ids[at])
+    cuts = np.cumsum([0, *sizes])
+    return [np.packbits(bits[a:b].ravel()).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _judge(key: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The two bits of each entry."""
     n = len(key)
     order = np.lexsort((second, key))
     k, s, d = key[order], second[order], ids[order]
@@ -179,8 +198,7 @@ def _compare(parts: list[bytes]) -> list[bytes]:
     bits = np.zeros((n, 2), bool)
     bits[order, 0] = repeated
     bits[order, 1] = np.repeat(mixed & several, width) & ~repeated
-    cuts = np.cumsum([0, *sizes])
-    return [np.packbits(bits[a:b].ravel()).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return bits
 
 
 def _replies(parts: np.ndarray, got: dict[int, bytes], n_ranges: int) -> np.ndarray:
@@ -259,10 +277,11 @@ def _repeated_bytes(pack: P.Pack, first: dict[int, bytes], second: dict[int, byt
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
-                    with_text: bool = True, pack_bytes: int = 2 << 20) -> DataFrame:
+                    with_text: bool = True, pack_bytes: int = 2 << 20, whole_characters: bool = False) -> DataFrame:
     """Per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, with ``with_text`` also ``kept`` (the
-    remaining bytes), and ``rest`` (JSON of the columns ``keep``)."""
-    packs = P.pack(docs, id_col, text_col, pack_bytes, keep, "suffix-packs")
+    remaining bytes; where some were removed, with ``whole_characters`` without those that are no whole character),
+    and ``rest`` (JSON of the columns ``keep``)."""
+    packs = P.pack(docs, id_col, text_col, pack_bytes, keep, "suffix-packs", gather=True)
     n_ranges = P.ranges(packs, RANGE_BYTES)
     first = materialize(P.answer(P.ask(packs, _ask_stretches(n_ranges)), _compare), "suffix-anchors")
     second = materialize(P.answer(P.settle(packs, first, _ask_windows(n_ranges), P.ASK), _compare), "suffix-windows")
@@ -277,7 +296,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left = pack.data[a:b][~out].tobytes()
             n = b - a - len(left)
             spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum()) if n else 0
-            rows.append((int(pack.ids[i]), b - a, n, spans, hashlib.sha256(left).hexdigest(), left if with_text else None, pack.rest(i) if keep else None))
+            digest = hashlib.sha256(left).hexdigest()
+            if with_text and whole_characters and n:
+                left = left.decode("utf-8", "ignore").encode()
+            rows.append((int(pack.ids[i]), b - a, n, spans, digest, left if with_text else None, pack.rest(i) if keep else None))
         return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rest"])
 
     done = P.settle(packs, both, finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, rest string")

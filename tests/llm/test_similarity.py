@@ -2,13 +2,17 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skywatch.llm import decontaminate, embeddings, jaccard, suffixes
+from skywatch.llm.packs import Pack, pack
+from skywatch.session import default_parallelism
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOW = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
@@ -133,6 +137,49 @@ def test_suffixes_of_one_id_in_two_packs(spark):
         assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == Counter(brute_suffixes(rows))
 
 
+def test_entries_of_a_range_compared_in_slices():
+    """A range's entries cost their width and a slice of work arrays, and come out as those of one slice do."""
+    r = np.random.default_rng(9)
+    n = 100_000
+    parts = [suffixes._entries(r.integers(0, 60_000 * 8, n).astype(np.uint64), r.integers(1, 4, n).astype(np.uint64), r.integers(0, 500, n)) for _ in range(8)]
+    got = suffixes._compare(iter(parts))  # what is loaded once is not counted
+    tracemalloc.start()
+    assert suffixes._compare(iter(parts)) == got
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * 8 * n
+    keys, seconds, ids = (np.concatenate(x) for x in zip(*[suffixes._read(v) for v in parts], strict=True))
+    wide = np.zeros((len(keys), 8), np.uint8)
+    wide[:, :6] = seconds
+    whole = suffixes._judge(keys, wide.view("<u8")[:, 0], ids)
+    assert whole.any(0).all() and got == [np.packbits(whole[a:a + n].ravel()).tobytes() for a in range(0, 8 * n, n)]
+
+
+def test_suffixes_of_cut_characters(spark):
+    """Characters of which bytes are removed go whole where asked for; the digest is of all remaining bytes."""
+    a, b = "x" * 49 + "é", "x" * 49 + "è" + "end"  # 50 bytes are alike, the last of them half a character
+    plain = {r.id: r for r in suffixes.without_repeats(frame(spark, [(1, a), (2, b)])).collect()}
+    whole = {r.id: r for r in suffixes.without_repeats(frame(spark, [(1, a), (2, b)]), whole_characters=True).collect()}
+    assert bytes(plain[2].kept) == b.encode()[50:] and bytes(whole[2].kept) == b"end" and bytes(whole[1].kept) == a.encode()
+    assert plain[2].kept_sha256 == whole[2].kept_sha256 == hashlib.sha256(b.encode()[50:]).hexdigest()
+
+
+def test_packs_gathered_in_a_file_a_bucket(spark):
+    docs = frame(spark, [(i, " ".join(prose(i, 20))) for i in range(200)]).repartition(16)
+    n = default_parallelism(spark)
+    packs = pack(docs, "doc_id", "text", 200, gather=True)
+    assert packs.count() > 16 and len(packs.inputFiles()) <= n
+    assert Counter(i for r in packs.collect() for i in Pack(bytes(r.body)).ids.tolist()) == Counter(range(200))
+
+
+def test_repeats_stage_runs_one_worker_a_task(spark):
+    """What follows the operator's last step stays in the JVM: a second Python step would hold two workers a task."""
+    docs = spark.createDataFrame([(1, "a " * 60, "en", "s", 120), (2, "a " * 60 + "b", "en", "s", 121)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.repeats_stage(spark, docs, "")
+    assert "EvalPython" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in out.collect()] == [(1, "a " * 60, "en", "s", 120), (2, "b", "en", "s", 1)]
+
+
 def test_suffixes_query_on_table(spark, sf_small):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(map(tuple, suffixes.op9_suffixes(spark, sf_small).collect())) == Counter(brute_suffixes(rows))
