@@ -24,8 +24,11 @@ def tiled(members: DataFrame, keys: list[str], by: str, tiles: Column) -> DataFr
     return rows.select(*members.columns, "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
 
 
-def each_group(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``fn`` for the rows of each group. Like grouping with applyInPandas, but many small groups share a batch."""
+def each_group(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``fn`` for the rows of each group. Like grouping with applyInPandas, but many small groups share a batch.
+    ``order``: a group's parts by these columns come one after the other, in their order, in one task."""
+
+    parts = [*keys, *order]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -37,13 +40,13 @@ def each_group(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], It
                 continue
             new = np.zeros(len(pdf), bool)
             new[0] = True
-            for k in keys:
+            for k in parts:
                 v = pdf[k].to_numpy()
                 new[1:] |= v[1:] != v[:-1]
             cuts = [*np.flatnonzero(new).tolist(), len(pdf)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = pdf.iloc[a:b]
-                key = tuple(part[k].iloc[0] for k in keys)
+                key = tuple(part[k].iloc[0] for k in parts)
                 if held and key != held_key:
                     got = fn(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True))
                     if got is not None and len(got):
@@ -63,7 +66,7 @@ def each_group(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], It
             yield pd.concat(out, ignore_index=True)
         release()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*parts).mapInPandas(run, schema)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

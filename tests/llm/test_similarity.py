@@ -1,6 +1,7 @@
 """Operators 1, 2, 8 and 9 against brute force, with nulls, empties, repeats and ties."""
 
 import hashlib
+import os
 import re
 import tracemalloc
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from skywatch.llm import decontaminate, embeddings, jaccard, suffixes
 from skywatch.llm.packs import Pack, pack
-from skywatch.session import default_parallelism
+from skywatch.session import checkpoint_dir, default_parallelism
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOW = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
@@ -220,6 +221,40 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert Counter(got) == Counter(brute_vectors(rows))
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_large_components_in_tiles(spark, monkeypatch, kind):
+    monkeypatch.setattr(embeddings, "TILE", 64)  # a label's codes in several tiles, vectors of a component in tiles of 8
+    monkeypatch.setattr(embeddings, "SMALL", 4)
+    monkeypatch.setattr(embeddings, "ROWS", 16)
+    r = np.random.default_rng(5)
+    base, rows = r.normal(size=(3, 24)), []
+    for k in range(330):  # a dense group whose cosines lie about the limit, a loose one, and vectors alone
+        v = base[0] + r.normal(size=24) * 0.14 if k < 120 else base[1] + r.normal(size=24) * 0.2 if k < 180 else r.normal(size=24) * 10.0 ** r.integers(-3, 4)
+        rows.append((k, [float(np.float32(x)) for x in v], "a" if k < 300 else "b"))
+    rows += [(1000 + k, list(rows[7 * k][1]), "a") for k in range(10)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string")
+    got = [tuple(x) for x in embeddings.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert Counter(got) == Counter(brute_vectors(rows))
+    assert max(x[1] for x in got) > 20
+
+
+def written(spark):
+    """Bytes of shuffle files and of intermediate tables."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    tables = (os.path.join(d, f) for d, _, names in os.walk(checkpoint_dir(spark).removeprefix("file:")) for f in names)
+    return sum(files.apply(k).length() for k in range(files.size())) + sum(map(os.path.getsize, tables))
+
+
+def test_embeddings_write_a_vector_few_times(spark):
+    n, dims = 6000, 64
+    r = np.random.default_rng(6)
+    rows = [(k, v.tolist(), k % 3) for k, v in enumerate(r.normal(size=(n, dims)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(2).localCheckpoint()
+    before = written(spark)
+    assert embeddings.near_duplicates(df).where("n_links = 0 and kept").count() == n
+    assert written(spark) - before < 6 * n * dims * 4
+
+
 def leaked(rows, items):
     """Brute force over all item-sized windows of documents that hold a shingle of the item."""
     out = set()
