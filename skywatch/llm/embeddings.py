@@ -160,7 +160,7 @@ class _Cells:
 
 
 def _apart(low: np.ndarray, high: np.ndarray, of: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
-    """At least the squared distances of the boxes ``of`` to another box."""
+    """Squared distances of the boxes ``of`` to another box: no two points within are nearer."""
     far = np.zeros(len(of), np.float32)
     for d in range(len(other_low)):
         gap = np.maximum(np.maximum(low[d].take(of) - other_high[d], other_low[d] - high[d].take(of)), 0)
@@ -474,9 +474,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     coded = _coded(classes.select("cls", "label", "dims", "vec"), tiles, kind)
     found = each_group(coded, ["label", "dims", "held"], _Candidates(cosine), "a long, b long", ("step",))
     near = materialize(components(found, "embedding-candidates").select(F.col("node").alias("cls"), "root"), "embedding-near")
+    n_bins = max(1, -(-near.count() // BIN))
     count = near.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "n_root")
     near = near.join(count, F.col("root") == F.col("n_root")).select("cls", "root", "n")
-    fetched = _fetched(classes, near, max(1, -(-near.count() // BIN)), max(1, TILE // 8))
+    fetched = _fetched(classes, near, n_bins, max(1, TILE // 8))
     found = materialize(each_group(fetched, ["dims", "bin", "held"], _Links(cosine, kind), "a long, b long, links long", ("step",)), "embedding-links")
     linked = found.where("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"), F.min("b").alias("least"))
     roots = components(found.where("links = 0").select("a", "b"), "embedding-components").select(F.col("node").alias("r_cls"), "root")
